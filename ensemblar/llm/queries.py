@@ -5,9 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import ogg, secret_scan, sentencepieces
 from .common import table
+from .packing import pack_documents
 from .simhash import near_duplicates
+from .urls import ALLOW, BLOCK, filter_urls
+
+#: The rules of op2, as (verdict, host/path).
+URL_RULES = [(BLOCK, "com/en/"), (ALLOW, "example.com/en/7"), (ALLOW, "net/de/"), (BLOCK, "example.net/de/8"), (BLOCK, "org/es/")]
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,8 +22,53 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, radius=2, seed=42)
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page's url."""
+    return filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of every document's pieces in sequences of 2048 tokens."""
+    return pack_documents(table(spark, sf_dir, "documents"), capacity=2048, end_id=0)
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and digests of the secrets in every document."""
+    found = secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda x: ~x["decoded"])
+    counts = [secret_scan.count_kind(base, k).alias(f"n_{k}") for k in secret_scan.KINDS]
+    digest = F.sha2(secret_scan.listed(base), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, digest, secret_scan.listed(F.col("spans")).alias("spans"), "layers", "cut_off")
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's ids and of the text decoded from them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", sentencepieces.encode(F.col("text")).alias("ids"))
+    decoded = docs.withColumn("decoded", sentencepieces.decode(F.col("ids")))
+    ids = F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256)
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op9_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's Ogg file and of the payload read back from it."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", ogg.to_media(F.col("text")).alias("media"))
+    read = docs.withColumn("read", ogg.from_media(F.col("media")))
+    payload = F.col("read.payload")
+    return read.select(
+        "doc_id",
+        F.col("read.n_bytes").alias("n_bytes"),
+        F.octet_length(payload).cast("long").alias("payload_bytes"),
+        F.sha2(payload, 256).alias("payload_sha256"),
+        F.crc32(F.substring(payload, -64, 64)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        F.col("read.feature").alias("feature"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash}
+    found = (op1_simhash, op2_url_filter, op3_packing, op5_secrets, op8_sentencepiece, op9_ogg)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
