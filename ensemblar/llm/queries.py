@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ogg, secret_scan, sentencepieces
+from . import covertree, lm, ogg, secret_scan, sentencepieces, toxicity
 from .common import table
 from .packing import pack_documents
 from .simhash import near_duplicates
 from .urls import ALLOW, BLOCK, filter_urls
+from .warc import archive_and_read_back
 
 #: The rules of op2, as (verdict, host/path).
 URL_RULES = [(BLOCK, "com/en/"), (ALLOW, "example.com/en/7"), (ALLOW, "net/de/"), (BLOCK, "example.net/de/8"), (BLOCK, "org/es/")]
@@ -32,6 +33,11 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), capacity=2048, end_id=0)
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record as read back from the archives."""
+    return archive_and_read_back(table(spark, sf_dir, "pages"), least=100)
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and digests of the secrets in every document."""
     found = secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
@@ -41,6 +47,16 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, digest, secret_scan.listed(F.col("spans")).alias("spans"), "layers", "cut_off")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document, learnt outside the held-out fifth."""
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), folds=5)
+
+
+def op7_covertree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector at cosine 0.9."""
+    return covertree.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's ids and of the text decoded from them."""
     docs = table(spark, sf_dir, "documents").select("doc_id", sentencepieces.encode(F.col("text")).alias("ids"))
@@ -66,8 +82,13 @@ def op9_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and recurrent log-probabilities of every document."""
+    return lm.score_documents(table(spark, sf_dir, "documents"), folds=10)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_simhash, op2_url_filter, op3_packing, op5_secrets, op8_sentencepiece, op9_ogg)
+    found = (op1_simhash, op2_url_filter, op3_packing, op4_warc, op5_secrets, op6_toxicity, op7_covertree, op8_sentencepiece, op9_ogg, op10_lm)
     return {f.__name__: f for f in found}
 
 
