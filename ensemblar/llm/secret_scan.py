@@ -191,15 +191,8 @@ def find_secrets(text: str | None, max_layer: int = MAX_LAYER) -> tuple[list[tup
 SPANS = "array<struct<kind:string,start:long,end:long,decoded:boolean>>"
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_layer: int = MAX_LAYER, keep: list[str] | None = None) -> DataFrame:
-    """(id_col, kept columns, spans, layers, cut_off) for every row of ``docs``.
-
-    spans: array of (kind, start, end, decoded), code points, end exclusive.
-    Null and empty texts have no spans. Repeated rows each get a row. ``keep``
-    names further columns of ``docs`` to keep; others are ignored. Of a
-    compressed layer ``max_layer`` bytes are taken at most; cut_off tells where
-    that happened. No find of the text itself is ever left out.
-    """
+def secrets_in(text: Column, max_layer: int = MAX_LAYER) -> Column:
+    """struct(spans, layers, cut_off) of a text; null counts as empty."""
 
     @F.pandas_udf(f"struct<spans:{SPANS},layers:int,cut_off:boolean>")
     def of(texts: pd.Series) -> pd.DataFrame:
@@ -207,9 +200,20 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         spans = [[{"kind": k, "start": s, "end": e, "decoded": d} for k, s, e, d in x] for x, _, _ in rows]
         return pd.DataFrame({"spans": spans, "layers": [x[1] for x in rows], "cut_off": [x[2] for x in rows]})
 
-    names = [id_col, *(keep or [])]
-    found = docs.select(*names, of(F.col(text_col)).alias("found"))
-    return found.select(*names, "found.spans", "found.layers", "found.cut_off")
+    return of(text)
+
+
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_layer: int = MAX_LAYER) -> DataFrame:
+    """(id_col, spans, layers, cut_off) for every row of ``docs``.
+
+    spans: array of (kind, start, end, decoded), code points, end exclusive.
+    Null and empty texts have no spans. Repeated rows each get a row. Other columns
+    are ignored; an empty table gives an empty result. Of a
+    compressed layer ``max_layer`` bytes are taken at most; cut_off tells where
+    that happened. No find of the text itself is ever left out.
+    """
+    found = docs.select(F.col(id_col).alias("id"), secrets_in(F.col(text_col), max_layer).alias("found"))
+    return found.select(F.col("id").alias(id_col), "found.spans", "found.layers", "found.cut_off")
 
 
 def listed(spans: Column) -> Column:
