@@ -39,7 +39,7 @@ def remove_bias(pairs: DataFrame, keys: list[str], f: str = "fa", o: str = "oa",
     """f minus its leave-one-year-out bias; with ``fill`` an undefined bias counts as 0."""
     bias = leave_one_year_out(pairs, keys, f, o, year)
     own = F.coalesce("bias", F.lit(0.0)) if fill else F.col("bias")
-    return pairs.join(bias, [year, *keys], "left").withColumn(f, F.col(f) - own)
+    return pairs.join(bias, [year, *keys], "left").withColumn(f, F.col(f) - own).drop("bias")
 
 
 def remove_group_mean(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:

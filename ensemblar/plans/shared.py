@@ -1,0 +1,18 @@
+"""The folder that driver and executors share."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import SparkSession
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path under spark.checkpoint.dir; on one machine, where that is unset, under a temporary folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
