@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
-from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -22,14 +21,38 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 BLANK = "▁"
+_LETTER = re.compile(r"[^\W\d_]")
 #: Words and pairs kept before a memo starts anew, and the longest word kept.
-MEMO, MEMO_CHARS = 300_000, 32
+MEMO, MEMO_CHARS = 400_000, 32
 
 
 def default_path() -> str:
     return str(public_tokenizers.path("piece_bpe_32k.model"))
 
 
+class _Words(dict):
+    """Ids of stretches of text that no token leaves; blanks in front are left off the keys.
+
+    Two generations: when the young one is full it becomes the old one, out of which
+    words that come up again are taken over.
+    """
+
+    def __init__(self, encode) -> None:
+        super().__init__()
+        self.encode, self.old = encode, {}
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.old.get(word)
+        if found is None:
+            found = self.encode(BLANK + word)
+        if len(word) <= MEMO_CHARS:
+            if len(self) >= MEMO:
+                self.old = dict(self)
+                self.clear()
+            self[word] = found
+        return found
+
+
 class PrefixTable:
     """Encodes exactly as the library does with a merge-type model with byte fallback."""
 
@@ -37,17 +60,25 @@ class PrefixTable:
         self.library = sp = sentencepiece.SentencePieceProcessor(model_file=path)
         ids = range(sp.get_piece_size())
         plain = [i for i in ids if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
-        self.id = {sp.id_to_piece(i): i for i in plain}
+        # tokens by number: 0 stands for none, numbers past the vocabulary for characters that are no token
+        self.text = ["", *(sp.id_to_piece(i) for i in plain)]
+        self.number = {t: k for k, t in enumerate(self.text)}
+        self.ids = [b"", *(np.int32(i).tobytes() for i in plain)]
         self.score = {sp.id_to_piece(i): sp.get_score(i) for i in plain}
-        self.bytes = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
+        self.bytes = [np.int32(sp.piece_to_id(f"<0x{b:02X}>")).tobytes() for b in range(256)]
         self.automaton = ahocorasick.Automaton()
-        for piece in self.id:
-            self.automaton.add_word(piece, piece)
+        for k, piece in enumerate(self.text):
+            if piece:
+                self.automaton.add_word(piece, (k, len(piece)))
         self.automaton.make_automaton()
-        # with no token that goes on after a blank behind other characters, none crosses the start of a word
-        self.cuts = not any(re.search(f"[^{BLANK}]{BLANK}", piece) for piece in self.id)
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.words: dict[str, bytes] = {}
+        # where no token goes on, a text can be cut: before a blank behind another character ...
+        self.cuts = not any(re.search(f"[^{BLANK}]{BLANK}", piece) for piece in self.text)
+        # ... and between a letter and a sign that follows a letter in no token
+        signs = {c for piece in self.text for c in piece if not c.isalnum() and c != BLANK} | {"\n"}
+        signs -= {b for piece in self.text for a, b in zip(piece, piece[1:], strict=False) if _LETTER.match(a)}
+        self.sign = re.compile(f"(?<={_LETTER.pattern})(?=[{re.escape(''.join(sorted(signs)))}])")
+        self.pairs: dict[int, bool] = {}
+        self.words, self.parts = _Words(self.split), {}
 
     def merged(self, text: str) -> list[str]:
         """Plain BPE of a short text: the best-scored merge first, of equal ones the leftmost."""
@@ -63,54 +94,79 @@ class PrefixTable:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def compatible(self, before: str, token: str) -> bool:
-        """Whether the two stay as they are when encoded together; before is empty at the start."""
-        key = (before, token)
+    def compatible(self, before: int, token: int) -> bool:
+        """Whether the two stay as they are when encoded together; before is 0 at the start."""
+        key = before << 24 | token
         found = self.pairs.get(key)
         if found is None:
-            if len(self.pairs) >= 4 * MEMO:
+            if len(self.pairs) >= 2 * MEMO:
                 self.pairs.clear()
-            found = self.pairs[key] = self.merged(before + token) == ([before, token] if before else [token])
+            a, b = self.text[before], self.text[token]
+            found = self.pairs[key] = self.merged(a + b) == ([a, b] if a else [b])
         return found
 
-    def tokens(self, text: str) -> list[str]:
-        ending: list[list[str]] = [[] for _ in text]
-        for end, piece in self.automaton.iter(text):
-            ending[end].append(piece)
-        last = [""]
-        for i, pieces in enumerate(ending):
-            for piece in sorted(pieces, key=len, reverse=True) if len(pieces) > 1 else pieces:
-                if self.compatible(last[i + 1 - len(piece)], piece):
-                    last.append(piece)
-                    break
-            else:
-                last.append(text[i])  # a character that is no token
+    def other(self, char: str) -> int:
+        """The number of a character that is no token."""
+        k = self.number.get(char)
+        if k is None:
+            k = self.number[char] = len(self.text)
+            self.text.append(char)
+            self.ids.append(b"".join(self.bytes[b] for b in char.encode("utf-8", "surrogatepass")))
+        return k
+
+    def prefixes(self, text: str) -> bytes:
+        """The ids of a stretch, as little-endian 32-bit integers, by its prefix table."""
+        last = [0] * (len(text) + 1)
+        pairs, compatible = self.pairs, self.compatible
+        done = 0
+        for end, (token, size) in self.automaton.iter(text):
+            end += 1
+            if last[end]:
+                continue
+            while done < end - 1:  # places where nothing ended that fits
+                done += 1
+                if not last[done]:
+                    last[done] = self.other(text[done - 1])
+            before = last[end - size]
+            fits = pairs.get(before << 24 | token)
+            if fits is None:
+                fits = compatible(before, token)
+            if fits:
+                last[end] = token
+        for at in range(done + 1, len(text) + 1):
+            if not last[at]:
+                last[at] = self.other(text[at - 1])
         out, at = [], len(text)
         while at:
-            out.append(last[at])
-            at -= len(last[at])
-        return out[::-1]
-
-    def word(self, text: str) -> bytes:
-        """The ids of a stretch that no token leaves, as little-endian 32-bit integers."""
-        found = self.words.get(text)
-        if found is None:
-            ids = [[self.id[t]] if t in self.id else [self.bytes[b] for b in t.encode()] for t in self.tokens(text)]
-            found = np.fromiter(chain.from_iterable(ids), "<i4").tobytes()
-            if len(text) <= MEMO_CHARS:
-                if len(self.words) >= MEMO:
-                    self.words.clear()
-                self.words[text] = found
-        return found
+            out.append(self.ids[last[at]])
+            at -= len(self.text[last[at]])
+        out.reverse()
+        return b"".join(out)
+
+    def split(self, text: str) -> bytes:
+        """The ids of a word, cut at signs."""
+        if len(text) > MEMO_CHARS:
+            return self.prefixes(text)
+        first, *signs = self.sign.split(text)
+        if not signs:
+            return self.prefixes(text)
+        out = [self.words[first[1:]] if first[0] == BLANK and first[1:2] != BLANK else self.prefixes(first)]
+        for part in signs:
+            found = self.parts.get(part)
+            if found is None:
+                if len(self.parts) >= MEMO >> 3:
+                    self.parts.clear()
+                found = self.parts[part] = self.prefixes(part)
+            out.append(found)
+        return b"".join(out)
 
     def encode(self, text: str) -> bytes:
         text = self.library.normalize(text)
         if not self.cuts:
-            return self.word(text) if text else b""
+            return self.prefixes(text)
         if BLANK * 2 in text or not text.startswith(BLANK):
-            return b"".join(map(self.word, re.findall(f"{BLANK}+[^{BLANK}]*|^[^{BLANK}]+", text)))
-        word = self.word
-        return b"".join([word(BLANK + w) for w in text[1:].split(BLANK)])
+            return b"".join(map(self.split, re.findall(f"{BLANK}+[^{BLANK}]*|^[^{BLANK}]+", text)))
+        return b"".join(map(self.words.__getitem__, text[1:].split(BLANK)))
 
 
 @lru_cache(maxsize=2)
