@@ -212,7 +212,7 @@ def onset_statistics(t: Tables) -> DataFrame:
 
 R = 50
 BLOCKS = f"wk as (select *, year(init_date) || '-' || lpad(month(init_date)::varchar, 2, '0') as block from weekly where fa is not null and oa is not null), num as (select block, row_number() over (order by block) - 1 as k from (select distinct block from wk)), cnt as (select count(*) as nb from num), draws as (select r::int as replicate, floor({uniform_sql('7, r, d')} * nb)::int as k from cnt, range(1, {R + 1}) x(r), range(10000) y(d) where d < nb), bw as (select replicate, block, count(*) as weight from draws join num using (k) group by 1, 2 union all select 0, block, 1 from num)"
-SUMS = "sums as (select block, model, week, count(*) as n, sum(fa) as f, sum(oa) as o, sum(fa * fa) as ff, sum(oa * oa) as oo, sum(fa * oa) as fo from wk group by 1, 2, 3), rep as (select replicate, model, week, sum(weight * n)::double as n, sum(weight * f) as f, sum(weight * o) as o, sum(weight * ff) as ff, sum(weight * oo) as oo, sum(weight * fo) as fo from sums join bw using (block) group by 1, 2, 3), cor as (select replicate, model, week, (fo / n - f / n * (o / n)) / (sqrt(ff / n - f / n * (f / n)) * sqrt(oo / n - o / n * (o / n))) as r from rep)"
+SUMS = "sums as (select block, model, week, count(*) as n, sum(fa) as f, sum(oa) as o, sum(fa * fa) as ff, sum(oa * oa) as oo, sum(fa * oa) as fo from wk group by 1, 2, 3), rep as (select replicate, model, week, sum(weight * n)::double as n, sum(weight * f) as f, sum(weight * o) as o, sum(weight * ff) as ff, sum(weight * oo) as oo, sum(weight * fo) as fo from sums join bw using (block) group by 1, 2, 3), cor as (select replicate, model, week, case when n > 1 and ff / n - f / n * (f / n) > 1e-14 and oo / n - o / n * (o / n) > 1e-14 then (fo / n - f / n * (o / n)) / (sqrt(ff / n - f / n * (f / n)) * sqrt(oo / n - o / n * (o / n))) end as r from rep)"
 
 
 def _weekly_blocks(t: Tables) -> DataFrame:
