@@ -92,5 +92,30 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in found}
 
 
+#: Equal payloads of 100 bytes or more refer to the smallest page_id.
+WARC_SQL = r"""
+with p as (select page_id, replace(replace(url, chr(13), '%0D'), chr(10), '%0A') as url, encode(coalesce(html, '')) as b from pages),
+d as (select page_id, url, octet_length(b) as n, sha256(b) as s from p),
+h as (select s, min(page_id) as head from d where n >= 100 group by 1)
+select page_id, n::bigint as payload_bytes, d.s as payload_digest,
+       case when head is null or head = page_id then 'response' else 'revisit' end as record_type,
+       case when head <> page_id then head end as refers_to, url as archived_url
+from d left join h on h.s = d.s and d.n >= 100
+"""
+
+#: Every pair is compared; components by reachability.
+COVERTREE_SQL = r"""
+with recursive v as (select vec_id, embedding::double[] as e from embeddings),
+u as (select vec_id, e, sqrt(list_inner_product(e, e)) as n from v),
+l as (select a.vec_id as a, b.vec_id as b from u a join u b on a.vec_id <> b.vec_id and list_inner_product(a.e, b.e) / (a.n * b.n) >= 0.9),
+r as (select vec_id as a, vec_id as b from u union select r.a, l.b from r join l on l.a = r.b),
+c as (select a, min(b) as c from r group by 1),
+k as (select a, count(*) as n from l group by 1)
+select vec_id, coalesce(k.n, 0)::bigint as n_links, c.c as component_id, c.c = vec_id as kept
+from u join c on c.a = vec_id left join k on k.a = vec_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the queries that it can express: no trained model, tokenizer or XXH64."""
+    return {"op4_warc": WARC_SQL, "op7_covertree": COVERTREE_SQL}
