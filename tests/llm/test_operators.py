@@ -311,7 +311,7 @@ def test_factorization_machine_learns_an_interaction():
 
 def test_toxicity_held_out(spark):
     rng = random.Random(3)
-    words = ["alpha", "beta", "gamma", "delta", "omega", "sigma"]
+    words = [chr(97 + k % 26) * 3 + str(k) for k in range(120)]
     rows, labels = [], []
     for k in range(600):
         bad = k % 4 == 0
