@@ -13,7 +13,7 @@ import tiktoken
 from tokenizers import Tokenizer
 
 #: Words kept before the memo starts anew, and the longest word kept.
-MEMO, MEMO_CHARS = 300_000, 32
+MEMO, MEMO_CHARS = 200_000, 32
 #: White space around a blank where cutting at it could change how white space groups.
 ODD = re.compile(r"\s \s|\s \Z")
 

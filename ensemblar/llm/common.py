@@ -46,6 +46,15 @@ def id_bucket(doc_id: Column, n: int) -> Column:
     return F.pmod(F.crc32(text.cast("binary")), F.lit(n)).cast("int")
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Hands texts to Python workers in batches of ``rows`` at most, which bounds a worker's memory where texts are long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, rows)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the given tables."""
+    """One of the given tables, read for Python operators too."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
