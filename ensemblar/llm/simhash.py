@@ -16,6 +16,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import cut
 from .graph import connected_components
@@ -147,3 +148,83 @@ def near_duplicates(
     return marked.join(named, "fp").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+#: Odd numbers that make a wide fingerprint's lanes out of one hash of a shingle.
+LANES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)
+
+
+def wide_fingerprint(text: str | None, width: int = 2, seed: int = 42) -> np.ndarray:
+    """Four independent 64-bit fingerprints of the text's distinct shingles; zeros where there are no words.
+
+    Short shingles change less under edits than long ones, and each counts once, so that the
+    number of differing bits of the four follows the share of edited words.
+    """
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(4, np.int64)
+    shingles = {b" ".join(words)} if len(words) < width else set(map(b" ".join, zip(*(words[k:] for k in range(width)), strict=False)))
+    digest = xxhash.xxh64_intdigest
+    hashes = np.fromiter((digest(x, seed) for x in shingles), np.uint64, len(shingles))
+    out = np.zeros(4, np.uint64)
+    for k, odd in enumerate(LANES):
+        mixed = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(odd)
+        mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(LANES[k - 1])
+        mixed ^= mixed >> np.uint64(32)
+        ones = np.zeros(64, np.int64)
+        for at in range(0, len(mixed), CHUNK):
+            ones += np.unpackbits(mixed[at : at + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        out[k] = np.packbits(ones * 2 > len(mixed), bitorder="little").view("<u8")[0]
+    return out.view(np.int64)
+
+
+def wide_links(nodes: DataFrame, radius: int = 26) -> DataFrame:
+    """Links (a, b) between nodes (node, w0, w1, w2, w3) at ``radius`` or fewer of the 256 bits.
+
+    Each of the eight segments of 32 bits is looked up with the ball of radius 1: two
+    values at 15 bits or fewer meet in some bucket, and most at 26 do. Whoever meets in a bucket is
+    linked to one of those whose own value stands there and not to all, another one in each
+    segment, so that a large group of copies gives a number of links in proportion to its size. A pair whose
+    common partners are all too far from one of the two is missed.
+    """
+    parts = ", ".join(f"named_struct('seg', {2 * k + h}, 'part', shiftrightunsigned(w{k}, {32 * h}) & 4294967295L)" for k in range(4) for h in range(2))
+    masks = ", ".join(f"{m}L" for m in [0, *(1 << b for b in range(32))])
+    rows = nodes.select("node", F.expr(f"inline(array({parts}))")).select("node", "seg", "part", F.expr(f"explode(array({masks})) as mask"))
+    rows = rows.where("mask = 0 or part & mask != 0").select("node", "seg", F.expr("part ^ mask as key"), F.expr("mask = 0 as stands"))
+    here = Window.partitionBy("seg", "key").orderBy(F.desc("stands"), F.xxhash64("node", "seg"), "node")
+    first = F.first(F.struct("stands", "node")).over(here)
+    met = rows.select("node", first.alias("f")).where("f.stands and f.node != node")
+    pairs = met.select(F.least("node", "f.node").alias("a"), F.greatest("node", "f.node").alias("b")).distinct()
+    words = ["w0", "w1", "w2", "w3"]
+    both = pairs.join(nodes.select(F.col("node").alias("a"), *words), "a").join(nodes.select(F.col("node").alias("b"), *(F.col(w).alias(f"{w}b") for w in words)), "b")
+    far = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"{w}b"))) for w in words), F.lit(0))
+    return both.where(far <= radius).select("a", "b")
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 26) -> DataFrame:
+    """(id_col, component_id) for every row of ``docs``, where texts link as in ``near_duplicates`` or at ``radius`` of 256 bits.
+
+    26 bits are about a similarity of 0.8 of the sets of five-word shingles. Null, empty
+    and wordless texts are alike. Null ids, repeated rows, other columns and empty tables
+    are as in ``near_duplicates``.
+    """
+
+    @F.pandas_udf("struct<fp:long,w0:long,w1:long,w2:long,w3:long>")
+    def of(texts: pd.Series) -> pd.DataFrame:
+        wide = np.array([wide_fingerprint(t) for t in texts], np.int64).reshape(-1, 4)
+        out = pd.DataFrame(wide, columns=["w0", "w1", "w2", "w3"])
+        out.insert(0, "fp", np.fromiter((fingerprint(t) for t in texts), np.uint64, len(texts)).view(np.int64))
+        return out
+
+    prints = ["fp", "w0", "w1", "w2", "w3"]
+    marked = cut(docs.select(F.col(id_col).alias("id"), of(F.col(text_col)).alias("p")).select("id", "p.*"))
+    # numbers are given after the checkpoint, whose partitions stay as they are
+    nodes = cut(marked.groupBy(*prints).agg(F.min("id").alias("low"))).withColumn("node", F.monotonically_increasing_id())
+    narrow = nodes.groupBy("fp").agg(F.min("node").alias("head"))
+    links = wide_links(nodes, radius).union(nodes.join(narrow, "fp").where("node != head").select(F.col("node").alias("a"), F.col("head").alias("b")))
+    close = hamming_links(narrow, "fp").join(narrow.toDF("a", "x"), "a").join(narrow.toDF("b", "y"), "b")
+    roots = connected_components(links.union(close.select("x", "y")))
+    rooted = nodes.join(roots, "node", "left").select(*prints, "low", F.coalesce("root", "node").alias("root"))
+    lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
+    named = rooted.join(lows, "root").select(*prints, "component_id")
+    return marked.join(named, prints).select(F.col("id").alias(id_col), "component_id")

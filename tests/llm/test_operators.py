@@ -83,6 +83,50 @@ def test_fingerprint_by_hand_and_edges(spark):
     assert simhash.near_duplicates(docs_of(spark, TEXTS).limit(0)).count() == 0
 
 
+def test_wide_links_are_near_and_miss_none_at_15_bits(spark):
+    rng = random.Random(7)
+    values = []
+    for _ in range(12):
+        base = [rng.getrandbits(64) for _ in range(4)]
+        for _ in range(8):
+            x = list(base)
+            for _ in range(rng.choice([0, 5, 12, 20, 40])):
+                x[rng.randrange(4)] ^= 1 << rng.randrange(64)
+            values.append(tuple(x))
+    values = sorted(set(values))
+    far = lambda i, j: sum((a ^ b).bit_count() for a, b in zip(values[i], values[j], strict=True))
+    signed = [(k, *(v - 2**64 if v >= 2**63 else v for v in x)) for k, x in enumerate(values)]
+    links = [tuple(r) for r in simhash.wide_links(spark.createDataFrame(signed, "node long, w0 long, w1 long, w2 long, w3 long")).collect()]
+    assert links and all(far(a, b) <= 26 for a, b in links)
+    # three alike: no third value can stand in a bucket before them
+    trio = [(0, 1, 2, 3, 4), (1, 1 ^ 0b111, 2, 3, 4), (2, 1, 2 ^ 0b11, 3, 4 ^ (1 << 40))]
+    got = simhash.wide_links(spark.createDataFrame(trio, "node long, w0 long, w1 long, w2 long, w3 long")).collect()
+    assert len(set(union_find(3, [tuple(r) for r in got]))) == 1
+
+
+def test_near_copies(spark):
+    rng = random.Random(8)
+    vocab = [f"term{k}" for k in range(3000)]
+    texts, source = [], []
+    for k in range(25):
+        base = [rng.choice(vocab) for _ in range(300)]
+        texts.append(" ".join(base))
+        source.append(k)
+        for _ in range(rng.randrange(4)):
+            copy = list(base)
+            for _ in range(2):
+                copy[rng.randrange(300)] = rng.choice(vocab)
+            texts.append(" ".join(copy))
+            source.append(k)
+    texts += [None, "", texts[0].upper(), "two words", "words two"]
+    source += [100, 100, 0, 101, 102]
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(docs_of(spark, texts)).collect()}
+    assert [got[k] for k in range(len(texts))] == [source.index(s) for s in source]
+    assert simhash.near_copies(docs_of(spark, texts).limit(0)).count() == 0
+    odd = spark.createDataFrame([(None, "a b c d"), (3, "a b c d"), (3, "a b c d"), (None, "q w e r")], "doc_id long, text string")
+    assert sorted(((r.doc_id, r.component_id) for r in simhash.near_copies(odd).collect()), key=str) == sorted([(None, 3), (3, 3), (3, 3), (None, None)], key=str)
+
+
 def test_null_and_repeated_ids(spark):
     df = spark.createDataFrame([(None, "a b c d"), (3, "a b c d"), (3, "a b c d"), (None, "q w e r")], "doc_id long, text string")
     got = sorted(((r.doc_id, r.component_id) for r in simhash.near_duplicates(df).collect()), key=str)

@@ -21,21 +21,28 @@ def test_stages_against_brute_force(spark, sf_dir):
     assert kept.columns == columns
     texts = {r.doc_id: r.text for r in docs.collect() if r.doc_id is not None}
     prints = {i: simhash.fingerprint(t) for i, t in texts.items()}
-    root = {i: i for i in prints}
+    wide = {i: [int(x) & 2**64 - 1 for x in simhash.wide_fingerprint(t)] for i, t in texts.items()}
+    ids = sorted(prints)
 
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
+    def heads(links):
+        root = {i: i for i in ids}
 
-    ids = sorted(prints)
-    for n, i in enumerate(ids):
-        for j in ids[:n]:
-            if (prints[i] ^ prints[j]).bit_count() <= 2:
-                a, b = find(i), find(j)
-                root[max(a, b)] = min(a, b)
-    want = sorted(i for i in ids if find(i) == i)
-    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == want
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for n, i in enumerate(ids):
+            for j in ids[:n]:
+                if links(i, j):
+                    a, b = find(i), find(j)
+                    root[max(a, b)] = min(a, b)
+        return {i for i in ids if find(i) == i}
+
+    narrow = lambda i, j: (prints[i] ^ prints[j]).bit_count() <= 2
+    far = lambda i, j: sum((a ^ b).bit_count() for a, b in zip(wide[i], wide[j], strict=True))
+    got = sorted(r.doc_id for r in kept.collect() if r.doc_id is not None)
+    assert len(set(got)) == len(got) and heads(lambda i, j: narrow(i, j) or far(i, j) <= 26) <= set(got) <= heads(narrow)
     clean = {r.doc_id: r for r in corpus_pipeline.redact_secrets(spark, docs, sf_dir).collect()}
     for i, t in texts.items():
         spans = secret_scan.find_secrets(t)[0]
