@@ -35,6 +35,26 @@ def snapshot_eof(anomalies: DataFrame, time: str, cell: list[str], value: str =
     return loadings, [float(values[k] / values.sum()) for k in lead]
 
 
+def combined_eof(df: DataFrame, time: str, feature: str, value: str = "value", k: int = 2) -> tuple[DataFrame, list[float]]:
+    """(feature, pc1..pck) of several fields side by side, one feature a field and longitude, and the shares of variance.
+
+    For about a thousand features and any number of times: the covariance is summed in
+    Spark, and only features x features of it are decomposed. Times that lack a feature go. Signs are
+    arbitrary: see align_sign.
+    """
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector
+
+    names = [r[0] for r in df.select(feature).distinct().orderBy(feature).collect()]
+    whole = df.where(F.col(value).isNotNull()).groupBy(time).agg(F.array_sort(F.collect_list(F.struct(feature, value))).alias("_a")).where(F.size("_a") == len(names))
+    model = PCA(k=k, inputCol="_v", outputCol="_p").fit(whole.select(array_to_vector(F.transform("_a", lambda x: x[value])).alias("_v")))
+    loadings = model.pc.toArray()
+    rows = [(n, *(float(x) for x in loadings[i])) for i, n in enumerate(names)]
+    kind = dict(df.dtypes)[feature]
+    out = df.sparkSession.createDataFrame(rows, ", ".join([f"{feature} {kind}", *(f"pc{m + 1} double" for m in range(k))]))
+    return out, [float(x) for x in model.explainedVariance]
+
+
 def project(df: DataFrame, eof: DataFrame, cell: list[str], keys: list[str], value: str = "value") -> DataFrame:
     """sum(value * wgt * loading) over the pattern's cells."""
     return df.join(eof.select(*cell, "wgt", "loading"), cell).groupBy(*keys).agg(F.sum(F.col(value) * F.col("wgt") * F.col("loading")).alias("pc"))

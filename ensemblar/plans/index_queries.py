@@ -104,16 +104,38 @@ def _eof(t: Tables) -> DataFrame:
 
 @query("e2_projection")
 def projection(t: Tables) -> DataFrame:
-    """The daily index of the leading pattern over its deviation, from an eigenvector that SQL has no name for."""
+    """The daily index of the leading pattern over its deviation, from an eigenvector that SQL has no name for."""
     eof = _eof(t)
     pc = indices.project(t.obs, eof, ["cell"], ["valid_date"])
     sd = pc.agg(F.stddev_pop("pc").alias("sd"), F.avg("pc").alias("m"))
     return rounded(pc.join(F.broadcast(sd), F.lit(True)).select("valid_date", ((F.col("pc") - F.col("m")) / F.col("sd")).alias("index")))
 
 
+@query("e4_combined_eof")
+def combined_eof(t: Tables) -> DataFrame:
+    """The two leading patterns of two fields side by side over half-years, each field over its own deviation; an eigenvector again."""
+    half = (F.year("valid_date") * 2 + F.floor((F.month("valid_date") - 1) / 6)).cast("int").alias("half")
+    means = t.obs.groupBy(half, "cell").agg(F.avg("value").alias("a"), F.avg(F.col("value") * F.col("value")).alias("b"))
+    fields = means.select("half", F.explode(F.array(F.struct((F.col("cell")).alias("feature"), F.col("a").alias("value")), F.struct((F.col("cell") + 24).alias("feature"), F.col("b").alias("value")))).alias("x")).select("half", "x.*")
+    w = Window.partitionBy((F.col("feature") >= 24))
+    centred = climate.remove_group_mean(fields, ["feature"], ["value"])
+    scaled = centred.withColumn("value", F.col("value") / F.stddev_pop("value").over(w))
+    eof, _ = indices.combined_eof(scaled, "half", "feature")
+    top = F.max_by("pc1", F.abs("pc1")).over(Window.partitionBy(F.lit(0))), F.max_by("pc2", F.abs("pc2")).over(Window.partitionBy(F.lit(0)))
+    return rounded(eof.select("feature", (F.col("pc1") * F.signum(top[0])).alias("pc1"), (F.col("pc2") * F.signum(top[1])).alias("pc2")))
+
+
+@query("e11_pattern_units", "with s as (select stddev_pop(value) as sd from daily) select cell, round(sin(radians(cell * 15.0)) / sqrt(cos(radians(lat))) * sd / 9.80665, 4) as gpm from cells, s")
+def pattern_units(t: Tables) -> DataFrame:
+    """A pattern in metres for one deviation of its index."""
+    sd = t.daily.agg(F.stddev_pop("value")).first()[0]  # one number
+    eof = t.cells.select("cell", F.sin(F.radians(F.col("cell") * 15.0)).alias("loading"), sqrt_cos_weight(F.col("lat")).alias("wgt"))
+    return rounded(indices.pattern_units(eof, sd or 0.0).select("cell", "gpm"))
+
+
 @query("e5_reprojection", "with a as (select valid_date, cell, value - avg(value) over (partition by cell) as v from obs) select valid_date, round(sum(v * sin(radians(cell * 15.0))) / sqrt(12.0), 4) as pc1, round(sum(v * cos(radians(cell * 15.0))) / sqrt(12.0), 4) as pc2 from a group by 1")
 def reprojection(t: Tables) -> DataFrame:
-    """An index pair by projection on two given patterns over the root of their eigenvalue."""
+    """An index pair by projection on two given patterns over the root of their eigenvalue."""
     a = climate.remove_group_mean(t.obs, ["cell"], ["value"])
     angle = F.radians(F.col("cell") * 15.0)
     eofs = t.cells.select("cell", F.sin(angle).alias("e1"), F.cos(angle).alias("e2"))

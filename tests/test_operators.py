@@ -137,6 +137,42 @@ def test_eof_is_the_leading_singular_vector(spark):
     assert abs(got @ v[0]) == pytest.approx(1) and share[0] == pytest.approx(s[0] ** 2 / (s**2).sum())
 
 
+def test_combined_eof_is_the_covariances_eigenvector(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(30, 6)) @ np.diag([4, 3, 1, 1, 0.5, 0.5])
+    rows = [(t, c, float(x[t, c])) for t in range(30) for c in range(6)] + [(99, 0, 1.0)]
+    eof, share = indices.combined_eof(spark.createDataFrame(rows, "t int, f int, value double"), "t", "f")
+    got = np.array([[r.pc1, r.pc2] for r in eof.orderBy("f").collect()])
+    values, vectors = np.linalg.eigh(np.cov(x.T))
+    for m in (0, 1):
+        assert abs(got[:, m] @ vectors[:, -1 - m]) == pytest.approx(1) and share[m] == pytest.approx(values[-1 - m] / values.sum())
+
+
+def test_table_sink_and_station_names(spark, tmp_path):
+    df = spark.createDataFrame([(1, 2.5)], "a int, b double")
+    sinks.write_table(df, str(tmp_path / "c"))
+    assert [tuple(r) for r in spark.read.option("header", True).csv(str(tmp_path / "c")).collect()] == [("1", "2.5")]
+    spark.createDataFrame([(1.0, 2.0, 3.0)], "latitude double, longitude double, rain double").write.parquet(str(tmp_path / "y1"))
+    spark.createDataFrame([(1.0, 2.0, 4.0)], "lat double, lon double, rain double").write.parquet(str(tmp_path / "y2"))
+    rows = readers.load_forecast("stations", spark, {2023: str(tmp_path / "y1"), 2024: str(tmp_path / "y2")}).collect()
+    assert sorted((r.lat, r.lon, r.rain, r.year) for r in rows) == [(1.0, 2.0, 3.0, 2023), (1.0, 2.0, 4.0, 2024)]
+
+
+def test_hindcast_years_without_a_leap_day_go(spark):
+    df = spark.createDataFrame([(DAY(2024, 2, 29), [2020, 2021])], "base_date date, hindcast_years array<int>")
+    assert [r.init_date for r in readers.fan_out(df).collect()] == [DAY(2020, 2, 29)]
+
+
+def test_flat_files(spark, tmp_path):
+    spark.createDataFrame([(1.0,)], "value double").coalesce(1).write.parquet(str(tmp_path / "w"))
+    part = next((tmp_path / "w").glob("part*.parquet"))
+    (tmp_path / "f").mkdir()
+    part.rename(tmp_path / "f" / "x_2020010100_ens_7.parquet")
+    (row,) = readers.load_forecast("flat_files", spark, str(tmp_path / "f")).collect()
+    assert row.number == 7 and row.init_time == dt.datetime(2020, 1, 1)
+    assert readers.files_of(spark, str(tmp_path / "f")).count() == 1
+
+
 def test_replicate_zero_is_the_sample(spark):
     df = spark.createDataFrame([(f"b{k % 4}", float(k), float(k * k % 7)) for k in range(20)], "block string, fa double, oa double")
     sums = resample.pair_sums(df, ["block"], "fa", "oa")
