@@ -45,12 +45,15 @@ class _Words(dict):
         found = self.old.get(word)
         if found is None:
             found = self.encode(BLANK + word)
+        self.keep(word, found)
+        return found
+
+    def keep(self, word: str, found: bytes) -> None:
         if len(word) <= MEMO_CHARS:
             if len(self) >= MEMO:
                 self.old = dict(self)
                 self.clear()
             self[word] = found
-        return found
 
 
 class PrefixTable:
@@ -71,6 +74,7 @@ class PrefixTable:
             if piece:
                 self.automaton.add_word(piece, (k, len(piece)))
         self.automaton.make_automaton()
+        self.longest = max(map(len, self.text))
         # where no token goes on, a text can be cut: before a blank behind another character ...
         self.cuts = not any(re.search(f"[^{BLANK}]{BLANK}", piece) for piece in self.text)
         # ... and between a letter and a sign that follows a letter in no token
@@ -114,14 +118,13 @@ class PrefixTable:
             self.ids.append(b"".join(self.bytes[b] for b in char.encode("utf-8", "surrogatepass")))
         return k
 
-    def prefixes(self, text: str) -> bytes:
-        """The ids of a stretch, as little-endian 32-bit integers, by its prefix table."""
-        last = [0] * (len(text) + 1)
+    def fill(self, text: str, last: list[int], known: int) -> None:
+        """The prefix table of ``text``, of which the first ``known`` places stand already."""
         pairs, compatible = self.pairs, self.compatible
-        done = 0
-        for end, (token, size) in self.automaton.iter(text):
+        done = known
+        for end, (token, size) in self.automaton.iter(text, max(0, known - self.longest)):
             end += 1
-            if last[end]:
+            if end <= known or last[end]:
                 continue
             while done < end - 1:  # places where nothing ended that fits
                 done += 1
@@ -136,13 +139,40 @@ class PrefixTable:
         for at in range(done + 1, len(text) + 1):
             if not last[at]:
                 last[at] = self.other(text[at - 1])
-        out, at = [], len(text)
+
+    def backwards(self, last: list[int]) -> bytes:
+        """The ids that a prefix table holds, as little-endian 32-bit integers."""
+        out, at = [], len(last) - 1
         while at:
-            out.append(self.ids[last[at]])
-            at -= len(self.text[last[at]])
+            token = last[at]
+            out.append(self.ids[token])
+            at -= len(self.text[token])
         out.reverse()
         return b"".join(out)
 
+    def prefixes(self, text: str) -> bytes:
+        last = [0] * (len(text) + 1)
+        self.fill(text, last, 0)
+        return self.backwards(last)
+
+    def learn(self, words: set[str]) -> None:
+        """Takes up the words not known yet in sorted order, so that a table goes on from the beginning that two neighbours share."""
+        known, old = self.words, self.words.old
+        fresh = [w for w in words if w not in known and w not in old and len(w) <= MEMO_CHARS]
+        stems = {self.sign.split(BLANK + w, 1)[0] for w in fresh}
+        last, before = [0], ""
+        for stem in sorted(s for s in stems if s[1:] not in known and s[1:2] != BLANK):
+            same = 0
+            for a, b in zip(stem, before, strict=False):
+                if a != b:
+                    break
+                same += 1
+            del last[same + 1 :]
+            last += [0] * (len(stem) - same)
+            self.fill(stem, last, same)
+            known.keep(stem[1:], self.backwards(last))
+            before = stem
+
     def split(self, text: str) -> bytes:
         """The ids of a word, cut at signs."""
         if len(text) > MEMO_CHARS:
@@ -160,13 +190,24 @@ class PrefixTable:
             out.append(found)
         return b"".join(out)
 
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian 32-bit integers."""
+        out = []
+        for at in range(0, len(texts), 500):
+            some = [self.library.normalize(t) for t in texts[at : at + 500]]
+            plain = [t[1:].split(BLANK) if self.cuts and t.startswith(BLANK) and BLANK * 2 not in t else None for t in some]
+            self.learn(set().union(*(w for w in plain if w is not None)))
+            for text, words in zip(some, plain, strict=True):
+                if words is not None:
+                    out.append(b"".join(map(self.words.__getitem__, words)))
+                elif self.cuts:
+                    out.append(b"".join(map(self.split, re.findall(f"{BLANK}+[^{BLANK}]*|^[^{BLANK}]+", text))))
+                else:
+                    out.append(self.prefixes(text))
+        return out
+
     def encode(self, text: str) -> bytes:
-        text = self.library.normalize(text)
-        if not self.cuts:
-            return self.prefixes(text)
-        if BLANK * 2 in text or not text.startswith(BLANK):
-            return b"".join(map(self.split, re.findall(f"{BLANK}+[^{BLANK}]*|^[^{BLANK}]+", text)))
-        return b"".join(map(self.words.__getitem__, text[1:].split(BLANK)))
+        return self.encode_all([text])[0]
 
 
 @lru_cache(maxsize=2)
@@ -183,7 +224,7 @@ def encode(text: Column, path: str | None = None, end: bool = True) -> Column:
     def of(texts: pa.Array) -> pa.Array:
         table = load(path)
         tail = np.array([table.library.eos_id()] * end, "<i4").tobytes()
-        rows = [table.encode(t or "") + tail for t in texts.to_pylist()]
+        rows = [ids + tail for ids in table.encode_all([t or "" for t in texts.to_pylist()])]
         offsets = np.cumsum([0, *map(len, rows)]) // 4
         return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(rows), "<i4"), pa.int32()))
 
