@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.maths import mjo_phase, sqrt_cos_weight, transition_group, uniform
-from ..operators import align, climate, indices, monsoon, regrid, resample, scores
+from ..operators import climate, indices, monsoon, regrid, resample, scores
 from ..sources import readers
 from .registry import Tables, query, rounded, uniform_sql
 

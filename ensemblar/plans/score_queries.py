@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ensemble as ens
-from ..functions.dates import winter_year
-from ..functions.maths import normal_cdf, normal_pdf, uniform
+from ..functions.maths import normal_cdf, normal_pdf
 from ..operators import align, climate, masks, scores
 from .registry import Tables, query, rounded, uniform_sql
 
@@ -63,7 +62,6 @@ def crps_window(t: Tables) -> DataFrame:
     w = Window.partitionBy(*CASE)
     m = t.fc.join(t.cases.where("n = n_all and n > 0").select(*CASE, "obs"), CASE)
     m = m.withColumns({"_k": F.row_number().over(w.orderBy("value")), "_n": F.count("value").over(w)})
-    spread = F.sum((2 * F.col("_k") - F.col("_n") - 1) * F.col("value")) / (F.max("_n") * (F.max("_n") - 1))
     n = F.max("_n")
     return rounded(m.groupBy(*CASE).agg((F.avg(F.abs(F.col("value") - F.col("obs"))) - F.when(n > 1, F.try_divide(F.sum((2 * F.col("_k") - F.col("_n") - 1) * F.col("value")), n * (n - 1))).otherwise(0.0)).alias("crps")))
 
