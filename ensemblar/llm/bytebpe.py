@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import base64
 import re
+import sys
+from array import array
 from functools import lru_cache
 from pathlib import Path
 
-import numpy as np
 import public_tokenizers
 import tiktoken
 from tokenizers import Tokenizer
@@ -18,19 +19,32 @@ MEMO, MEMO_CHARS = 200_000, 32
 ODD = re.compile(r"\s \s|\s \Z")
 
 
+def _bytes(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit integers."""
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 def default_path() -> str:
     return str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 class _Memo(dict):
+    """Ids of words behind a blank. Two generations: when the young one is full it becomes the old one, out of which words that come up again are taken over."""
+
     def __init__(self, encode) -> None:
         super().__init__()
-        self.encode = encode
+        self.encode, self.old = encode, {}
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.encode(" " + word)
+        ids = self.old.get(word)
+        if ids is None:
+            ids = self.encode(" " + word)
         if len(word) <= MEMO_CHARS:
             if len(self) >= MEMO:
+                self.old = dict(self)
                 self.clear()
             self[word] = ids
         return ids
@@ -57,12 +71,12 @@ class ByteBpe:
         self.memo = _Memo(self._plain)
 
     def _plain(self, text: str) -> bytes:
-        return np.array(self.fast.encode_ordinary(text), "<u4").tobytes()
+        return _bytes(self.fast.encode_ordinary(text))
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         if self.fast is None or any(s in text for s in self.special):
-            return np.array(self.own.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            return _bytes(self.own.encode(text, add_special_tokens=False).ids)
         if ODD.search(text):
             return self._plain(text)
         first, *rest = text.split(" ")
