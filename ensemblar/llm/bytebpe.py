@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import base64
+import json
 import re
 import sys
 from array import array
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from pathlib import Path
 
 import public_tokenizers
@@ -14,7 +15,7 @@ import tiktoken
 from tokenizers import Tokenizer
 
 #: Words kept before the memo starts anew, and the longest word kept.
-MEMO, MEMO_CHARS = 200_000, 32
+MEMO, MEMO_CHARS = 120_000, 32
 #: White space around a blank where cutting at it could change how white space groups.
 ODD = re.compile(r"\s \s|\s \Z")
 
@@ -60,9 +61,8 @@ class ByteBpe:
     """
 
     def __init__(self, path: str) -> None:
-        self.own = Tokenizer.from_file(path)
-        added = self.own.get_added_tokens_decoder().values()
-        self.special = [t.content for t in added if t.special]
+        self.path = path
+        self.special = [t["content"] for t in json.loads(Path(path).read_bytes())["added_tokens"] if t["special"]]
         ranks_file = Path(path).with_suffix(".tiktoken")
         self.fast = None
         if ranks_file.exists():
@@ -70,6 +70,11 @@ class ByteBpe:
             self.fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.memo = _Memo(self._plain)
 
+    @cached_property
+    def own(self) -> Tokenizer:
+        """The file's own tokenizer, loaded where a text needs it."""
+        return Tokenizer.from_file(self.path)
+
     def _plain(self, text: str) -> bytes:
         return _bytes(self.fast.encode_ordinary(text))
 
