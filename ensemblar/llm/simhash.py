@@ -189,9 +189,11 @@ def wide_links(nodes: DataFrame, radius: int = 26) -> DataFrame:
     """
     parts = ", ".join(f"named_struct('seg', {2 * k + h}, 'part', shiftrightunsigned(w{k}, {32 * h}) & 4294967295L)" for k in range(4) for h in range(2))
     masks = ", ".join(f"{m}L" for m in [0, *(1 << b for b in range(32))])
-    rows = nodes.select("node", F.expr(f"inline(array({parts}))")).select("node", "seg", "part", F.expr(f"explode(array({masks})) as mask"))
-    rows = rows.where("mask = 0 or part & mask != 0").select("node", "seg", F.expr("part ^ mask as key"), F.expr("mask = 0 as stands"))
-    here = Window.partitionBy("seg", "key").orderBy(F.desc("stands"), F.xxhash64("node", "seg"), "node")
+    # the order is by content, so that it is the same in every run
+    rows = nodes.select("node", F.expr("xxhash64(w0, w1, w2, w3) as mixed"), F.expr(f"inline(array({parts}))"))
+    rows = rows.select("node", "mixed", "seg", "part", F.expr(f"explode(array({masks})) as mask")).where("mask = 0 or part & mask != 0")
+    rows = rows.select("node", "mixed", "seg", F.expr("part ^ mask as key"), F.expr("mask = 0 as stands"))
+    here = Window.partitionBy("seg", "key").orderBy(F.desc("stands"), F.xxhash64("mixed", "seg"), "mixed", "node")
     first = F.first(F.struct("stands", "node")).over(here)
     met = rows.select("node", first.alias("f")).where("f.stands and f.node != node")
     pairs = met.select(F.least("node", "f.node").alias("a"), F.greatest("node", "f.node").alias("b")).distinct()
