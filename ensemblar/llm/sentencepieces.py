@@ -159,7 +159,8 @@ class PrefixTable:
         """Takes up the words not known yet in sorted order, so that a table goes on from the beginning that two neighbours share."""
         known, old = self.words, self.words.old
         fresh = [w for w in words if w not in known and w not in old and len(w) <= MEMO_CHARS]
-        stems = {self.sign.split(BLANK + w, 1)[0] for w in fresh}
+        cut = [self.sign.split(BLANK + w) for w in fresh]
+        stems = {c[0] for c in cut}
         last, before = [0], ""
         for stem in sorted(s for s in stems if s[1:] not in known and s[1:2] != BLANK):
             same = 0
@@ -172,14 +173,20 @@ class PrefixTable:
             self.fill(stem, last, same)
             known.keep(stem[1:], self.backwards(last))
             before = stem
+        for w, parts in zip(fresh, cut, strict=True):
+            if len(parts) > 1:
+                known.keep(w, self.joined(parts))
 
     def split(self, text: str) -> bytes:
         """The ids of a word, cut at signs."""
         if len(text) > MEMO_CHARS:
             return self.prefixes(text)
-        first, *signs = self.sign.split(text)
-        if not signs:
-            return self.prefixes(text)
+        parts = self.sign.split(text)
+        return self.joined(parts) if len(parts) > 1 else self.prefixes(text)
+
+    def joined(self, parts: list[str]) -> bytes:
+        """The ids of a word cut at signs; the first part is a word of its own."""
+        first, *signs = parts
         out = [self.words[first[1:]] if first[0] == BLANK and first[1:2] != BLANK else self.prefixes(first)]
         for part in signs:
             found = self.parts.get(part)
@@ -193,8 +200,8 @@ class PrefixTable:
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
         out = []
-        for at in range(0, len(texts), 500):
-            some = [self.library.normalize(t) for t in texts[at : at + 500]]
+        for at in range(0, len(texts), 1000):
+            some = [self.library.normalize(t) for t in texts[at : at + 1000]]
             plain = [t[1:].split(BLANK) if self.cuts and t.startswith(BLANK) and BLANK * 2 not in t else None for t in some]
             self.learn(set().union(*(w for w in plain if w is not None)))
             for text, words in zip(some, plain, strict=True):
