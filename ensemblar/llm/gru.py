@@ -94,19 +94,21 @@ class Gru:
                 back[at] += d @ p["words"][low:high]
         return out, back
 
-    def train(self, ids: np.ndarray, target: np.ndarray, first: np.ndarray, streams: int = 64, window: int = 16, rate: float = 0.1, passes: int = 1) -> float:
-        """Truncated backpropagation through time; returns the mean loss of the last tenth.
+    def train(self, ids: np.ndarray, target: np.ndarray, first: np.ndarray, streams: int = 64, window: int = 16, rate: float = 0.1, passes: int = 1, seen: dict[str, np.ndarray] | None = None) -> float:
+        """Truncated backpropagation through time over every token; returns the mean loss of the last tenth.
 
         ids: inputs; target: what follows; first: whether a text starts there, where
-        the state is zero. The tokens are cut into ``streams`` that run side by side; slopes
-        go back over ``window`` steps, states go on to the next window. Steps are AdaGrad's.
+        the state is zero. The tokens are cut into ``streams`` that run side by side (the last ones end earlier); slopes
+        go back over ``window`` steps, states go on to the next window. Steps are AdaGrad's, whose
+        sums ``seen`` of former calls are taken and added to.
         """
-        n = len(ids) // streams
-        if not n:
-            streams, n = 1, len(ids)
-        side = lambda x: x[: streams * n].reshape(streams, n).T
-        ids, target, first = side(ids), side(target), side(first)
-        seen = {k: np.full_like(v, 1e-6) for k, v in self.params.items()}
+        if len(ids) < streams:
+            streams = 1
+        n = -(-len(ids) // streams)
+        side = lambda x, fill: np.concatenate([x, np.full(streams * n - len(x), fill, x.dtype)]).reshape(streams, n).T
+        there = side(np.ones(len(ids), bool), False)
+        ids, target, first = side(ids, 0), side(target, 0), side(first, False)
+        seen = self.no_slopes() if seen is None else seen
         p, m, losses = self.params, self.hidden, []
         for _ in range(passes):
             h = np.zeros((streams, m), np.float32)
@@ -117,10 +119,14 @@ class Gru:
                     before = h * ~first[t][:, None]
                     h, gate, past, new = self.step(ids[t], before)
                     held.append((before, gate, past, new, h))
-                slopes = {k: np.zeros_like(v) for k, v in p.items()}
-                logs, back = self.log_prob(np.concatenate([x[4] for x in held]), np.concatenate([target[t] for t in steps]), slopes)
+                slopes = {k: np.zeros_like(v) for k, v in p.items() if k != "inputs"}
+                keep = np.flatnonzero(there[at : at + window])
+                states = np.concatenate([x[4] for x in held])
+                logs, got = self.log_prob(states[keep], target[at : at + window].reshape(-1)[keep], slopes)
                 losses.append(-logs.mean())
-                back, d_next = back.reshape(len(held), streams, m), np.zeros_like(h)
+                back, d_next = np.zeros_like(states), np.zeros_like(h)
+                back[keep] = got
+                back = back.reshape(len(held), streams, m)
                 rows, marks = [], []
                 for t, (before, gate, past, new, _), d_out in zip(reversed(steps), reversed(held), back[::-1], strict=True):
                     d = d_out + d_next
@@ -133,14 +139,23 @@ class Gru:
                     d_next = (d * (1 - z) + d_gate @ p["gates"].T + d_past @ p["state"].T) * ~first[t][:, None]
                     rows.append(np.concatenate([d_gate, d_new], 1))
                     marks.append(ids[t])
-                np.add.at(slopes["inputs"], np.concatenate(marks), np.concatenate(rows))
+                # only the inputs that occur have slopes
+                marks = np.concatenate(marks)
+                order = np.argsort(marks, kind="stable")
+                used, begin = np.unique(marks[order], return_index=True)
+                slopes["inputs"] = np.add.reduceat(np.concatenate(rows)[order], begin)
                 for k, d in slopes.items():
                     d /= streams
                     np.clip(d, -5, 5, out=d)
-                    seen[k] += d * d
-                    p[k] -= rate * d / np.sqrt(seen[k])
+                    at_k = used if k == "inputs" else slice(None)
+                    seen[k][at_k] += d * d
+                    p[k][at_k] -= rate * d / np.sqrt(seen[k][at_k])
         return float(np.mean(losses[-max(1, len(losses) // 10) :])) if losses else 0.0
 
+    def no_slopes(self) -> dict[str, np.ndarray]:
+        """AdaGrad's sums before the first step."""
+        return {k: np.full_like(v, 1e-6) for k, v in self.params.items()}
+
     def score(self, ids: np.ndarray, target: np.ndarray, lengths: np.ndarray, window: int = 32) -> np.ndarray:
         """The log-probability (natural) of each text; ids and target hold the texts one after another.
 

@@ -12,11 +12,12 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,8 +26,10 @@ from .gru import Gru, classes
 
 #: The end of a text as a word; no word is empty.
 END = b""
-#: Words counted at once in a task, tokens scored at once.
-HELD, CHUNK = 300_000, 4_000_000
+#: Words counted at once in a task, tokens scored at once, tokens learnt from at once.
+HELD, CHUNK, LEARNT = 300_000, 4_000_000, 1 << 20
+#: Texts that a task learns from side by side, and models averaged at once.
+STREAMS, FAN_IN = 256, 32
 
 
 def words(text: str | None) -> list[bytes]:
@@ -87,40 +90,80 @@ def _inputs(marks: np.ndarray, start: int) -> np.ndarray:
     return np.concatenate([[start], marks[:-1]])
 
 
-def train(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", id_col: str = "doc_id", most_docs: int = 1500, most_bytes: int = 1 << 16, most_tokens: int = 400_000, most_classes: int = 48, hidden: int = 24) -> Gru:
-    """Fits the recurrent model on a bounded sample.
+def train(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", id_col: str = "doc_id", most_tokens: int | None = None, most_classes: int = 48, hidden: int = 24, rounds: int = 4) -> Gru:
+    """Fits the recurrent model on every text of ``docs``.
 
-    The sample is the ``most_docs`` texts of at most ``most_bytes`` with the smallest
-    id hashes; whole texts of it are taken until ``most_tokens`` are reached. One task
-    fits the model and returns its parameters.
+    Each row belongs to one of ``rounds`` by a hash, so that each text is learnt from once. In a round every
+    task goes on from the parameters of the last one over its rows of the round; the results, of fixed size, are
+    averaged by numbers of tokens in a tree of groups. ``most_tokens``, where given, ends a task's
+    learning in a round. The model depends on how the rows are dealt out to tasks. ``trained`` of the model
+    is the number of tokens that it learnt from.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(vocabulary)
     starts, n_extra = classes(vocabulary.counts[: vocabulary.n_model], most_classes), vocabulary.n_extra
     model = Gru(starts, n_extra, hidden)
-    shapes = [(k, v.shape) for k, v in model.params.items()]
-
-    def learn(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, own = shared.value, Gru(starts, n_extra, hidden)
-        ids, target, first, n = [], [], [], 0
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                if n >= most_tokens:
-                    continue
-                tokens = words(text)
-                marks = known.marks(tokens, known.places(tokens))
-                ids.append(_inputs(marks, own.start_mark))
-                target.append(marks)
-                first.append(np.arange(len(tokens)) == 0)
-                n += len(tokens)
-        if ids:
-            own.train(np.concatenate(ids), np.concatenate(target), np.concatenate(first))
-        yield pa.RecordBatch.from_arrays([pa.array([own.params[k].astype("<f4").tobytes() for k, _ in shapes], pa.binary())], ["p"])
-
-    sample = docs.where(F.octet_length(text_col) <= most_bytes).orderBy(F.xxhash64(id_col), id_col, F.xxhash64(text_col)).limit(most_docs)
-    rows = sample.select(text_col).coalesce(1).mapInArrow(learn, "p binary").collect()
-    if rows:
-        model.params = {k: np.frombuffer(r["p"], "<f4").reshape(shape).copy() for (k, shape), r in zip(shapes, rows, strict=True)}
+    model.trained = 0
+    names = sorted(model.params)
+    shapes = [model.params[k].shape for k in names]
+    sizes = np.cumsum([math.prod(x) for x in shapes])
+
+    def flat(*parts: dict[str, np.ndarray]) -> np.ndarray:
+        return np.concatenate([p[k].reshape(-1) for p in parts for k in names]).astype(np.float32)
+
+    def unflat(x: np.ndarray) -> dict[str, np.ndarray]:
+        return {k: part.reshape(shape).copy() for k, shape, part in zip(names, shapes, np.split(x, sizes[:-1]), strict=True)}
+
+    def mean(table: pa.Table) -> pa.Table:
+        table = table.sort_by("part")
+        weights = table["n"].to_pylist()
+        total = np.zeros(2 * int(sizes[-1]))
+        for n, p in zip(weights, table["p"], strict=True):
+            total += n * np.frombuffer(p.as_buffer(), "<f4")
+        held = (total / sum(weights)).astype("<f4").tobytes()
+        return pa.table({"part": pa.array([table["part"][0].as_py() // FAN_IN], pa.int32()), "n": pa.array([sum(weights)], pa.int64()), "p": pa.array([held], pa.binary())})
+
+    def learner(now: Broadcast) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def learn(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known, own = shared.value, Gru(starts, n_extra, hidden)
+            own.params, seen = map(unflat, np.split(np.frombuffer(now.value, "<f4"), 2))
+            ids, target, first, n, done = [], [], [], 0, 0
+
+            def take() -> None:
+                own.train(np.concatenate(ids), np.concatenate(target), np.concatenate(first), min(STREAMS, max(16, n // 1024)), seen=seen)
+
+            for batch in batches:
+                for text in batch.column(0).to_pylist():
+                    if most_tokens is not None and n + done >= most_tokens:
+                        continue
+                    tokens = words(text)
+                    marks = known.marks(tokens, known.places(tokens))
+                    ids.append(_inputs(marks, own.start_mark))
+                    target.append(marks)
+                    first.append(np.arange(len(tokens)) == 0)
+                    n += len(tokens)
+                    if n >= LEARNT:
+                        take()
+                        ids, target, first, n, done = [], [], [], 0, done + n
+            if ids:
+                take()
+            if n + done:
+                part = TaskContext.get().partitionId()
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([n + done], pa.int64()), pa.array([flat(own.params, seen).tobytes()], pa.binary())], ["part", "n", "p"])
+
+        return learn
+
+    state = flat(model.params, model.no_slopes()).tobytes()
+    kind = "part int, n long, p binary"
+    for k in range(rounds):
+        now = spark.sparkContext.broadcast(state)
+        rows = docs.where(F.pmod(F.xxhash64(id_col, text_col), F.lit(rounds)) == k).select(text_col)
+        parts = rows.mapInArrow(learner(now), kind)
+        parts = parts.withColumn("slot", F.floor(F.col("part") / FAN_IN)).groupBy("slot").applyInArrow(mean, kind)
+        found = parts.withColumn("slot", F.col("n") * 0).groupBy("slot").applyInArrow(mean, kind).collect()
+        if found:
+            state, model.trained = bytes(found[0]["p"]), model.trained + found[0]["n"]
+    model.params = unflat(np.frombuffer(state, "<f4")[: sizes[-1]])
     return model
 
 

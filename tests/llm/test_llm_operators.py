@@ -513,6 +513,24 @@ def test_unigram_scores_and_proper_model(spark):
     assert {r.train_tokens for r in lm.score_documents(held).collect()} == {0}
 
 
+def test_recurrent_model_learns_from_every_text(spark):
+    rng = random.Random(16)
+    vocab = [f"w{k}" for k in range(60)] + ["ping", "pong"]
+    texts = [" ".join(rng.choice(vocab) for _ in range(rng.randint(0, 40))) for _ in range(2000)]
+    # one text of over 64 KiB is all there is to learn the pattern from
+    texts += ["ping pong " * 8000]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    tokens = [w for t in texts for w in lm.words(t)]
+    counts = Counter(tokens).most_common()
+    known = lm.Vocabulary([w for w, _ in counts], [c for _, c in counts], 100, 4, len(tokens), len(counts))
+    net = lm.train(df, known)
+    asked = lm.words("ping pong " * 50)
+    marks = known.marks(asked, known.places(asked))
+    score = net.score(lm._inputs(marks, net.start_mark), marks, np.array([len(marks)]))[0]
+    assert score / len(marks) > -2
+    assert net.trained == len(tokens)
+
+
 def test_gru_sums_to_one_learns_and_carries_state():
     from ensemblar.llm.gru import Gru, classes
 
