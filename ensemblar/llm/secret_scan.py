@@ -2,8 +2,8 @@
 
 The text is scanned as it is. Every layer that a decoder makes out of a layer
 (percent escapes, Unicode escapes, base64, compressed bytes) joins the worklist
-until nothing new appears; a layer seen before is not taken again. Finds in a
-decoded layer are mapped back to the span of the text that they came from.
+until nothing new appears; a layer seen before is not taken apart again. Finds in a
+decoded layer are mapped back to every span of the text that it came from.
 """
 
 from __future__ import annotations
@@ -159,23 +159,35 @@ def find_secrets(text: str | None, max_layer: int = MAX_LAYER) -> tuple[list[tup
     """
     data = (text or "").encode("utf-8", "surrogatepass")
     found = {x: False for x in scan(data)}
-    layers, cut_off = 0, False
-    seen = {hashlib.sha256(data).digest()}
-    work: list[tuple[bytes, list[Map]]] = [(data, [])]
+    cut_off = False
+    # layers are told apart by content, and taken apart once; into[j] has each place (layer, way back) where layer j was found
+    number = {hashlib.sha256(data).digest(): 0}
+    into: list[list[tuple[int, Map]]] = [[]]
+    finds: list[set[tuple[str, int, int]]] = [set()]
+    work = [(0, data)]
     while work:
-        layer, path = work.pop()
+        i, layer = work.pop()
         for got, back, short in _unwrap(layer, max_layer):
             cut_off |= short
-            if (key := hashlib.sha256(got).digest()) in seen:
-                continue
-            seen.add(key)
-            layers += 1
-            ways = [*path, back]
-            for kind, start, end in scan(got):
-                for way in reversed(ways):
-                    start, end = way(start, end)
-                found.setdefault((kind, start, end), True)
-            work.append((got, ways))
+            j = number.setdefault(hashlib.sha256(got).digest(), len(into))
+            if j == len(into):
+                into.append([])
+                finds.append(set(scan(got)))
+                work.append((j, got))
+            if j not in (0, i):
+                into[j].append((i, back))
+    layers = len(into) - 1
+    # each find goes back by every way until nothing is new, which ends also where layers hold each other
+    moves = [(j, x) for j in range(1, len(into)) for x in finds[j]]
+    while moves:
+        j, (kind, start, end) = moves.pop()
+        for i, back in into[j]:
+            x = (kind, *back(start, end))
+            if not i:
+                found.setdefault(x, True)
+            elif x not in finds[i]:
+                finds[i].add(x)
+                moves.append((i, x))
     order = sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
     if text and not text.isascii():
         places = sorted({p for x in order for p in x[1:]})
