@@ -35,6 +35,15 @@ ESCAPES = re.compile(rb"\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]
 PERCENT = re.compile(rb"(?:%[0-9A-Fa-f]{2})+")
 BASE64 = re.compile(rb"[A-Za-z0-9+/_-]{16,}={0,2}")
 MAGIC = (b"\x1f\x8b", b"\x78\x01", b"\x78\x5e", b"\x78\x9c", b"\x78\xda", b"BZh", b"\xfd7zXZ\x00", b"\x28\xb5\x2f\xfd")
+#: Where compressed streams may begin inside a layer, and what may stand between them.
+STREAM = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9](?:1AY&SY|\x17rE8P\x90)|\xfd7zXZ\x00|\x28\xb5\x2f\xfd")
+SKIPPED = re.compile(rb"\x00*")
+#: The shortest secret or encoded run has 12 bytes.
+PRINTABLE = re.compile(rb"[\t\r\n\x20-\x7e]{12}")
+#: Base64 over several lines, whose breaks may be written out.
+WRAPPED = re.compile(rb"[A-Za-z0-9+/_-]{16,}(?:(?:\r?\n|(?:\\r)?\\n)[ \t]*[A-Za-z0-9+/_-]+)+={0,2}")
+BREAK, LETTERS = re.compile(rb"\r?\n[ \t]*|(?:\\r)?\\n[ \t]*"), re.compile(rb"[^ ]+")
+URL_SAFE = bytes.maketrans(b"-_", b"+/")
 #: Decompressed bytes taken of one layer, against bombs.
 MAX_LAYER = 1 << 24
 
@@ -106,48 +115,100 @@ def _text_like(data: bytes) -> bool:
     return sum(c.isprintable() or c in "\r\n\t" for c in text) >= 0.9 * len(text)
 
 
-def _inflate(data: bytes, most: int) -> tuple[bytes, bool] | None:
-    """The decompressed bytes, and whether more than ``most`` were left out."""
-    if data[:2] == b"\x1f\x8b" or data[:1] == b"\x78":
+def _stream(data: bytes, at: int, most: int) -> tuple[bytes, int, bool]:
+    """What the compressed stream at ``at`` gives (as far as it can be read), its end, and whether it is whole."""
+    head, size = data[at : at + 3], 4096
+    if head[:2] == b"\x1f\x8b" or head[:1] == b"\x78":
         tool = zlib.decompressobj(47)
-    elif data[:3] == b"BZh":
+    elif head == b"BZh":
         tool = bz2.BZ2Decompressor()
-    elif data[:2] == b"\xfd7":
+    elif head[:2] == b"\xfd7":
         tool = lzma.LZMADecompressor(memlimit=1 << 27)
     else:
+        # it can't be held at a number of bytes, so that it gets little at once
+        tool, size = zstandard.ZstdDecompressor(max_window_size=1 << 27).decompressobj(), 256
+    out = bytearray()
+    while at < len(data) and not tool.eof and len(out) <= most:
+        piece = data[at : at + size]
         try:
-            with zstandard.ZstdDecompressor(max_window_size=1 << 27).stream_reader(data) as reader:
-                got = reader.read(most + 1)
-            return got[:most], len(got) > most
-        except zstandard.ZstdError:
-            return None
-    try:
-        got = tool.decompress(data, most + 1)
-    except (zlib.error, OSError, lzma.LZMAError, ValueError, EOFError):
+            out += tool.decompress(piece) if size == 256 else tool.decompress(piece, most + 1 - len(out))
+        except (zlib.error, OSError, lzma.LZMAError, ValueError, EOFError, zstandard.ZstdError):
+            return bytes(out), at + len(piece), False
+        at += len(piece) - len(tool.unused_data)
+    return bytes(out), at, tool.eof
+
+
+def _inflate(data: bytes, most: int, at: int = 0) -> tuple[bytes, int, bool] | None:
+    """The decompressed bytes of all streams that follow each other from ``at``, the end of the last, and whether more than ``most`` were left out."""
+    got, end, whole = _stream(data, at, most)
+    if not got and not whole:
         return None
-    return got[:most], len(got) > most
+    out = bytearray(got)
+    while whole and len(out) <= most:
+        # zeros may stand between streams
+        follow = SKIPPED.match(data, end).end()
+        if not data.startswith(MAGIC, follow):
+            break
+        got, stop, whole = _stream(data, follow, most - len(out))
+        if not got and not whole:
+            break
+        out += got
+        end = stop
+    return bytes(out[:most]), end, len(out) > most
+
+
+def _base64_runs(data: bytes) -> Iterator[tuple[bytes, Callable[[int], int]]]:
+    """Each run of base64 letters, and those over several lines joined, with the place of each letter."""
+    for m in BASE64.finditer(data):
+        yield m[0], lambda k, at=m.start(): at + k
+    for m in WRAPPED.finditer(data):
+        pieces, made, source, size = [], [], [], 0
+        for x in LETTERS.finditer(BREAK.sub(lambda b: b" " * len(b[0]), m[0])):
+            pieces.append(x[0])
+            made.append(size)
+            source.append(m.start() + x.start())
+            size += len(x[0])
+
+        def place(k: int, made=made, source=source) -> int:
+            j = bisect_right(made, k) - 1
+            return source[j] + k - made[j]
 
+        yield b"".join(pieces), place
 
-def _unwrap(data: bytes, most: int) -> Iterator[tuple[bytes, Map, bool]]:
-    """Each layer that can be decoded from this one, its way back, and whether it was cut."""
+
+def _unwrap(data: bytes, most: int, decoded: bool = False) -> Iterator[tuple[bytes, Map, bool]]:
+    """Each layer that can be decoded from this one, its way back, and whether it was cut.
+
+    Compressed streams are looked for at the beginning, and in a ``decoded`` layer everywhere. A run of base64 letters
+    may begin with others, so that it is decoded from each of its first four.
+    """
     if b"%" in data and (found := _replaced(data, PERCENT, unquote_to_bytes)):
         yield *found, False
     if (b"\\" in data or b"&#" in data) and (found := _replaced(data, ESCAPES, _unescape)):
         yield *found, False
-    if data.startswith(MAGIC):
-        if found := _inflate(data, most):
-            yield found[0], lambda start, end, n=len(data): (0, n), found[1]
-        return
-    for m in BASE64.finditer(data):
-        body = m[0].rstrip(b"=").translate(bytes.maketrans(b"-_", b"+/"))
-        body = body[: len(body) - (len(body) % 4 == 1)]
-        try:
-            got = base64.b64decode(body + b"=" * (-len(body) % 4))
-        except (binascii.Error, ValueError):
+    last = 0
+    for at in (m.start() for m in STREAM.finditer(data)) if decoded else (0,):
+        if at < last or not data.startswith(MAGIC, at) or not (got := _inflate(data, most, at)):
             continue
-        if got.startswith(MAGIC) or _text_like(got):
-            at, stop = m.start(), m.end()
-            yield got, lambda start, end, at=at, stop=stop: (at + start // 3 * 4, min(stop, at + (end + 2) // 3 * 4)), False
+        # a few bytes look like a stream by chance
+        if not at or PRINTABLE.search(got[0]) or STREAM.search(got[0]):
+            last = got[1] if at or len(got[0]) > 64 else 0
+            yield got[0], lambda start, end, at=at, stop=got[1]: (at, stop), got[2]
+    for run, place in _base64_runs(data):
+        letters = run.rstrip(b"=").translate(URL_SAFE)
+        for k in range(4):
+            body = letters[k:]
+            body = body[: len(body) - (len(body) % 4 == 1)]
+            try:
+                got = base64.b64decode(body + b"=" * (-len(body) % 4))
+            except (binascii.Error, ValueError):
+                continue
+            if PRINTABLE.search(got) or STREAM.search(got) or not k and _text_like(got):
+
+                def back(start: int, end: int, k=k, n=len(run), place=place) -> tuple[int, int]:
+                    return place(k + start // 3 * 4), place(min(n, k + (end + 2) // 3 * 4) - 1) + 1
+
+                yield got, back, False
 
 
 def find_secrets(text: str | None, max_layer: int = MAX_LAYER) -> tuple[list[tuple[str, int, int, bool]], int, bool]:
@@ -167,7 +228,7 @@ def find_secrets(text: str | None, max_layer: int = MAX_LAYER) -> tuple[list[tup
     work = [(0, data)]
     while work:
         i, layer = work.pop()
-        for got, back, short in _unwrap(layer, max_layer):
+        for got, back, short in _unwrap(layer, max_layer, i > 0):
             cut_off |= short
             j = number.setdefault(hashlib.sha256(got).digest(), len(into))
             if j == len(into):
