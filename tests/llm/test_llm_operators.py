@@ -491,25 +491,56 @@ def test_dual_search_across_trees():
 # 8
 
 
+def encoded(table, texts):
+    ids, counts = table.encode_all(texts)
+    return [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
+
+
 def test_sentencepiece_equals_the_library(spark):
     table = sentencepieces.load(sentencepieces.default_path())
     rng = random.Random(4)
     alphabet = "ab ▁  \n\t.,!?'éßñ漢字🙂\u3000ﬁxyztheTHE012²\x00"
-    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60))) for _ in range(1500)] + ["a" * 3000, "the" * 2000 + " " * 100, "...!!!", "foo,bar.baz\nqux"]
-    for t, ids in zip(texts, table.encode_all(texts), strict=True):
-        assert np.frombuffer(ids, "<i4").tolist() == table.library.encode(t), repr(t)
-    df = docs_of(spark, TEXTS).select("doc_id", sentencepieces.encode(F.col("text")).alias("ids"))
-    for r in df.withColumn("back", sentencepieces.decode(F.col("ids"))).collect():
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60))) for _ in range(1500)]
+    texts += ["a" * 3000, "the" * 2000 + " " * 100, "...!!!", "foo,bar.baz\nqux", "", " ", "🙂🙂 漢🙂x " * 30, "word " * 20_000 + "b" * 50_000]
+    got = encoded(table, texts)
+    for t, ids in zip(texts, got, strict=True):
+        assert ids == table.library.encode(t), repr(t[:80])
+    assert table.decode_all(*table.encode_all(texts)) == [table.library.decode([int(i) for i in x]) for x in got]
+    df = docs_of(spark, TEXTS).select("doc_id", sentencepieces.encode(F.col("text")).alias("ids"), "fp", "score")
+    rows = df.withColumn("back", sentencepieces.decode(F.col("ids"))).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(len(TEXTS)))
+    for r in rows:
         want = table.library.encode(TEXTS[r.doc_id] or "", add_eos=True)
         assert r.ids == want and r.back == table.library.decode(want)
-    assert df.limit(0).count() == 0
+    empty = df.limit(0).withColumn("back", sentencepieces.decode(F.col("ids")))
+    assert empty.collect() == [] and empty.columns == ["doc_id", "ids", "fp", "score", "back"]
+
+
+def test_decode_of_any_ids(spark):
+    library = sentencepieces.load(sentencepieces.default_path()).library
+    rng = random.Random(7)
+    blank = library.piece_to_id("▁")
+    rows = [[rng.choice([blank, 0, 1, 2, *range(3, 260), *range(300, 330)]) for _ in range(rng.randint(0, 12))] for _ in range(400)] + [[blank], [blank, blank], [blank, blank, 400], [], None]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(rows)], "k int, ids array<int>")
+    for r in df.select("k", sentencepieces.decode(F.col("ids")).alias("t")).collect():
+        assert r.t == (None if rows[r.k] is None else library.decode(rows[r.k])), rows[r.k]
 
 
 def test_prefix_table_when_memos_overflow(monkeypatch):
     monkeypatch.setattr(sentencepieces, "MEMO", 3)
     table = sentencepieces.PrefixTable(sentencepieces.default_path())
-    texts = [f"word{k} other{k % 3}, more-{k}" for k in range(60)]
-    assert [np.frombuffer(x, "<i4").tolist() for x in table.encode_all(texts)] == [table.library.encode(t) for t in texts]
+    texts = [f"word{k} other{k % 3}, more-{k} {'x' * k}" for k in range(60)]
+    for _ in range(2):
+        assert encoded(table, texts) == [table.library.encode(t) for t in texts]
+
+
+def test_numbers_map():
+    rng = np.random.default_rng(0)
+    keys = rng.permutation(1 << 20)[:60_000]
+    table = sentencepieces.Numbers(4)
+    for part in np.split(keys, 30):
+        table.add(part, (part * 7 % 1000).astype(np.int32))
+    assert (table.get(keys) == keys * 7 % 1000).all() and (table.get(keys + (1 << 20)) == -1).all()
 
 
 # 9
