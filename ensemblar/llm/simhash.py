@@ -14,9 +14,8 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import cut
 from .graph import connected_components
@@ -88,42 +87,45 @@ def _signed(x: int) -> str:
     return "(-9223372036854775807L - 1L)" if x == -(1 << 63) else f"{x}L"
 
 
-def hamming_links(points: DataFrame, fp: str = "fp", radius: int = 2, segments: int = 2, bucket_limit: int = 64) -> DataFrame:
-    """Links (a, b) between the distinct 64-bit values in column ``fp`` at ``radius`` or fewer bits.
+def hamming_links(points: DataFrame, fp: str = "fp", radius: int = 2, segments: int = 2, bucket_limit: int = 64, carry: str | None = None) -> DataFrame:
+    """Links (a, b) between distinct 64-bit values of column ``fp`` whose components are those of all pairs at ``radius`` or fewer bits.
 
+    Each link is such a pair. ``carry`` names a column of ``points`` that comes along as a_carry and b_carry.
     Of a pair that differs inside a segment, only the side that has the mask's
     highest bit set looks it up, which halves the probes. For radius 2, table
     buckets of more than ``bucket_limit`` values are handled apart and exactly:
     whoever stands in such a bucket or looks it up enumerates the whole
     word's ball of radius 1, and those that share a point (65 values at most,
-    each two bits apart at most) are linked as a star. Components are then
-    the same; of the pairs in such a bucket only the star's are returned. For
+    each two bits apart at most) are linked as a star. For
     other radii every bucket is joined.
     """
-    spark = points.sparkSession
     plan = _segments(64, radius, segments)
-    values = points.select(F.col(fp).alias("fp")).where(F.col(fp).isNotNull())
+    values = points.select(F.struct(F.col(fp).alias("fp"), (F.col(carry) if carry else F.lit(None)).alias("carry")).alias("p")).where("p.fp is not null")
     part = "element_at(array(%s), seg + 1)" % ", ".join(_signed(((1 << w) - 1) << s) for s, w, _ in plan)
-    table = values.select("fp", F.expr(f"explode(array({', '.join(map(str, range(len(plan))))})) as seg"))
-    table = table.select("seg", F.expr(f"fp & {part}").alias("key"), F.col("fp").alias("b"))
-    probes = values.select("fp", F.expr(_probes(plan))).where("mask = 0 or fp & high != 0")
-    probes = probes.select("seg", F.expr(f"(fp ^ mask) & {part}").alias("key"), F.col("fp").alias("a"), (F.col("mask") == 0).alias("same"))
+    table = values.select("p", F.expr(f"explode(array({', '.join(map(str, range(len(plan))))})) as seg"))
+    table = table.select("seg", F.expr(f"p.fp & {part}").alias("key"), F.col("p").alias("b"))
+    probes = values.select("p", F.expr(_probes(plan))).where("mask = 0 or p.fp & high != 0")
+    probes = probes.select("seg", F.expr(f"(p.fp ^ mask) & {part}").alias("key"), F.col("p").alias("a"), (F.col("mask") == 0).alias("same"))
+    close = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= radius
     heavy = None
     if radius == 2:
         heavy = cut(table.groupBy("seg", "key").count().where(F.col("count") > bucket_limit).select("seg", "key"))
         if heavy.isEmpty():
             heavy = None
     light = probes if heavy is None else probes.join(heavy, ["seg", "key"], "left_anti")
-    met = light.join(table, ["seg", "key"]).where("not same or a < b")
-    links = met.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius).select("a", "b")
-    if heavy is None:
-        return links
-    crowd = probes.join(heavy, ["seg", "key"], "left_semi").select(F.col("a").alias("fp")).distinct()
-    ball = ", ".join(["0L", *(_signed(1 << k) for k in range(64))])
-    shared = crowd.select("fp", F.expr(f"explode(array({ball})) as mask")).groupBy(F.expr("fp ^ mask").alias("point"))
-    stars = shared.agg(F.min("fp").alias("a"), F.collect_list("fp").alias("all")).where(F.size("all") > 1)
-    stars = stars.select("a", F.explode("all").alias("b")).where("a != b")
-    return links.union(stars.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius))
+    links = light.join(table, ["seg", "key"]).where("not same or a.fp < b.fp").where(close).select("a", "b")
+    if heavy is not None:
+        crowd = probes.join(heavy, ["seg", "key"], "left_semi").select(F.col("a").alias("p")).distinct()
+        ball = ", ".join(["0L", *(_signed(1 << k) for k in range(64))])
+        shared = crowd.select("p", F.expr(f"explode(array({ball})) as mask")).groupBy(F.expr("p.fp ^ mask").alias("point"))
+        stars = shared.agg(F.min("p").alias("a"), F.collect_list("p").alias("all")).where(F.size("all") > 1)
+        links = links.union(stars.select("a", F.explode("all").alias("b")).where("a.fp != b.fp").where(close))
+    return links.select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"), *([F.col("a.carry").alias("a_carry"), F.col("b.carry").alias("b_carry")] if carry else []))
+
+
+def _name(low: Column, node: Column) -> Column:
+    """A node's name in a graph: names are in the order of the smallest id, so that a component's least name holds its id; null ids come last."""
+    return F.struct(low.isNull().alias("none"), low.alias("low"), node.alias("node"))
 
 
 def near_duplicates(
@@ -133,18 +135,18 @@ def near_duplicates(
 
     fingerprint: 16 lower-case hex digits. component_id: the smallest id
     reachable over links, the row's own included. Null, empty and wordless texts
-    have fingerprint zero and link as any other. Equal fingerprints meet once,
+    have fingerprint zero and link as any other; a text of any length is read whole. Equal fingerprints meet once,
     as one node, however many rows have them. Repeated rows each get a
     row. Null ids get the component of their fingerprint, but never name one
-    (a component of null ids alone is null). Other columns are ignored; an
+    (a component of null ids alone is null). Other columns, whatever their names, are ignored; an
     empty table gives an empty result.
     """
     marked = cut(fingerprints(docs, id_col, text_col, width, seed))
     nodes = cut(marked.groupBy("fp").agg(F.min("id").alias("low")))
-    roots = connected_components(hamming_links(nodes, "fp", radius))
-    rooted = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = rooted.join(lows, "root").select("fp", "component_id")
+    links = hamming_links(nodes, "fp", radius, carry="low")
+    roots = connected_components(links.select(_name(F.col("a_carry"), F.col("a")).alias("a"), _name(F.col("b_carry"), F.col("b")).alias("b")))
+    roots = roots.select(F.col("node.node").alias("fp"), F.col("root.low").alias("root"), F.lit(True).alias("linked"))
+    named = nodes.join(roots, "fp", "left").select("fp", F.when(F.col("linked"), F.col("root")).otherwise(F.col("low")).alias("component_id"))
     return marked.join(named, "fp").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
@@ -154,13 +156,15 @@ def near_duplicates(
 LANES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)
 
 
-def wide_fingerprint(text: str | None, width: int = 2, seed: int = 42) -> np.ndarray:
-    """Four independent 64-bit fingerprints of the text's distinct shingles; zeros where there are no words.
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def wide_fingerprint(words: list[bytes], width: int, seed: int = 42) -> np.ndarray:
+    """Four independent 64-bit fingerprints of the distinct shingles of ``width`` words; zeros where there are no words.
 
-    Short shingles change less under edits than long ones, and each counts once, so that the
-    number of differing bits of the four follows the share of edited words.
+    Each shingle counts once, so that the number of differing bits of the four follows the similarity of the two sets.
     """
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.zeros(4, np.int64)
     shingles = {b" ".join(words)} if len(words) < width else set(map(b" ".join, zip(*(words[k:] for k in range(width)), strict=False)))
@@ -178,55 +182,71 @@ def wide_fingerprint(text: str | None, width: int = 2, seed: int = 42) -> np.nda
     return out.view(np.int64)
 
 
-def wide_links(nodes: DataFrame, radius: int = 26) -> DataFrame:
-    """Links (a, b) between nodes (node, w0, w1, w2, w3) at ``radius`` or fewer of the 256 bits.
+#: Bits of a segment of the wide fingerprint, and the words of one signature as columns.
+SEGMENT = 32
+WIDE = tuple(f"w{k}" for k in range(4))
+LONG = tuple(f"s{k}" for k in range(4))
+
 
-    Each of the eight segments of 32 bits is looked up with the ball of radius 1: two
-    values at 15 bits or fewer meet in some bucket, and most at 26 do. Whoever meets in a bucket is
-    linked to one of those whose own value stands there and not to all, another one in each
-    segment, so that a large group of copies gives a number of links in proportion to its size. A pair whose
-    common partners are all too far from one of the two is missed.
+def wide_links(nodes: DataFrame, name: Column, radius: int = 45, bucket_limit: int = 64) -> DataFrame:
+    """Links (a, b), as ``name``, between nodes (node, weight, w0..w3, s0..s3) whose s words differ at ``radius`` or fewer of 256 bits.
+
+    Candidates come from multi-index hashing of the w words: each of the eight segments of 32 bits is looked up with
+    the ball of radius 1, so that two values at 15 bits or fewer always meet in a bucket, and most at 23 do. All that stand in a
+    bucket of up to ``bucket_limit`` meet whoever looks it up. In a larger one three of them do, the one with the greatest
+    weight and two more that differ from segment to segment, so that a
+    group of copies gives a number of pairs in proportion to its size. Whole distances are verified for each pair.
     """
-    parts = ", ".join(f"named_struct('seg', {2 * k + h}, 'part', shiftrightunsigned(w{k}, {32 * h}) & 4294967295L)" for k in range(4) for h in range(2))
-    masks = ", ".join(f"{m}L" for m in [0, *(1 << b for b in range(32))])
+    cuts = ", ".join(f"{(2 * k + h) << SEGMENT}L | (shiftrightunsigned({w}, {SEGMENT * h}) & 4294967295L)" for k, w in enumerate(WIDE) for h in range(2))
+    # masks move a bit that is set; the pair's other side stands at the place moved to
+    masks = ", ".join(f"{m}L" for m in [0, *(1 << b for b in range(SEGMENT))])
+    order = [F.xxhash64(F.col("key"), "mixed", F.lit(k)) for k in range(2)]
     # the order is by content, so that it is the same in every run
-    rows = nodes.select("node", F.expr("xxhash64(w0, w1, w2, w3) as mixed"), F.expr(f"inline(array({parts}))"))
-    rows = rows.select("node", "mixed", "seg", "part", F.expr(f"explode(array({masks})) as mask")).where("mask = 0 or part & mask != 0")
-    rows = rows.select("node", "mixed", "seg", F.expr("part ^ mask as key"), F.expr("mask = 0 as stands"))
-    here = Window.partitionBy("seg", "key").orderBy(F.desc("stands"), F.xxhash64("mixed", "seg"), "mixed", "node")
-    first = F.first(F.struct("stands", "node")).over(here)
-    met = rows.select("node", first.alias("f")).where("f.stands and f.node != node")
-    pairs = met.select(F.least("node", "f.node").alias("a"), F.greatest("node", "f.node").alias("b")).distinct()
-    words = ["w0", "w1", "w2", "w3"]
-    both = pairs.join(nodes.select(F.col("node").alias("a"), *words), "a").join(nodes.select(F.col("node").alias("b"), *(F.col(w).alias(f"{w}b") for w in words)), "b")
-    far = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"{w}b"))) for w in words), F.lit(0))
-    return both.where(far <= radius).select("a", "b")
-
-
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 26) -> DataFrame:
-    """(id_col, component_id) for every row of ``docs``, where texts link as in ``near_duplicates`` or at ``radius`` of 256 bits.
-
-    26 bits are about a similarity of 0.8 of the sets of five-word shingles. Null, empty
-    and wordless texts are alike. Null ids, repeated rows, other columns and empty tables
-    are as in ``near_duplicates``.
+    stands = nodes.select(F.col("node").alias("b"), "weight", F.xxhash64(*WIDE, *LONG).alias("mixed"), F.expr(f"explode(array({cuts})) as key"))
+    hubs = [F.max_by("b", F.struct("weight", order[0])), F.max_by("b", F.struct(order[0], "b")), F.max_by("b", F.struct(order[1], "b"))]
+    heavy = cut(stands.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.array_distinct(F.array(*hubs)).alias("hubs")).where(F.col("n") > bucket_limit).select("key", "hubs"))
+    partners = stands.select("key", "b").join(heavy, "key", "left_anti").union(heavy.select("key", F.explode("hubs")))
+    probes = nodes.select(F.col("node").alias("a"), F.expr(f"explode(array({cuts})) as at")).select("a", "at", F.expr(f"explode(array({masks})) as mask"))
+    probes = probes.where("mask = 0 or at & mask != 0").select(F.expr("at ^ mask").alias("key"), "a")
+    met = probes.join(partners, "key").where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    side = lambda x: nodes.select(F.col("node").alias(x), F.struct(*LONG, name.alias("name")).alias(f"{x}_side"))
+    both = met.join(side("a"), "a").join(side("b"), "b")
+    far = sum((F.bit_count(F.col(f"a_side.{w}").bitwiseXOR(F.col(f"b_side.{w}"))) for w in LONG), F.lit(0))
+    return both.where(far <= radius).select(F.col("a_side.name").alias("a"), F.col("b_side.name").alias("b"))
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 45, keep: list[str] | None = None) -> DataFrame:
+    """(id_col, kept columns, component_id, stays) for every row of ``docs``, where texts link as in ``near_duplicates`` or at ``radius`` of the
+    256 bits of a fingerprint of their distinct five-word shingles; 45 bits are about a similarity of 0.8.
+
+    stays: the row is the one of its component that a corpus keeps: it has the component's id, and of texts that share that id the
+    one that gives the component its name. Rows that repeat an id and a text alike have it alike. Null, empty
+    and wordless texts are alike. Null ids never name a component that has another id; of a component of null ids, rows of one text stay. Other
+    columns, whatever their names, are ignored but for ``keep``; an empty table gives an empty result.
     """
+    keep = keep or []
 
-    @F.pandas_udf("struct<fp:long,w0:long,w1:long,w2:long,w3:long>")
+    @F.pandas_udf("struct<" + ",".join(f"{c}:long" for c in ("fp", *WIDE, *LONG)) + ">")
     def of(texts: pd.Series) -> pd.DataFrame:
-        wide = np.array([wide_fingerprint(t) for t in texts], np.int64).reshape(-1, 4)
-        out = pd.DataFrame(wide, columns=["w0", "w1", "w2", "w3"])
-        out.insert(0, "fp", np.fromiter((fingerprint(t) for t in texts), np.uint64, len(texts)).view(np.int64))
-        return out
-
-    prints = ["fp", "w0", "w1", "w2", "w3"]
-    marked = cut(docs.select(F.col(id_col).alias("id"), of(F.col(text_col)).alias("p")).select("id", "p.*"))
+        out = np.empty((len(texts), 9), np.int64)
+        for k, text in enumerate(texts):
+            words = _words(text)
+            out[k, 0] = np.uint64(fingerprint(text)).astype(np.int64)
+            out[k, 1:5], out[k, 5:] = wide_fingerprint(words, 1), wide_fingerprint(words, 5)
+        return pd.DataFrame(out, columns=["fp", *WIDE, *LONG])
+
+    prints = ["fp", *WIDE, *LONG]
+    marked = docs.select(F.col(id_col).alias("id"), F.struct(*keep).alias("kept") if keep else F.lit(None).alias("kept"), of(F.col(text_col)).alias("p"))
+    marked = cut(marked.select("id", "kept", "p.*"))
     # numbers are given after the checkpoint, whose partitions stay as they are
-    nodes = cut(marked.groupBy(*prints).agg(F.min("id").alias("low"))).withColumn("node", F.monotonically_increasing_id())
-    narrow = nodes.groupBy("fp").agg(F.min("node").alias("head"))
-    links = wide_links(nodes, radius).union(nodes.join(narrow, "fp").where("node != head").select(F.col("node").alias("a"), F.col("head").alias("b")))
-    close = hamming_links(narrow, "fp").join(narrow.toDF("a", "x"), "a").join(narrow.toDF("b", "y"), "b")
-    roots = connected_components(links.union(close.select("x", "y")))
-    rooted = nodes.join(roots, "node", "left").select(*prints, "low", F.coalesce("root", "node").alias("root"))
-    lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = rooted.join(lows, "root").select(*prints, "component_id")
-    return marked.join(named, prints).select(F.col("id").alias(id_col), "component_id")
+    nodes = cut(marked.groupBy(*prints).agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("weight"))).withColumn("node", F.monotonically_increasing_id())
+    name = _name(F.col("low"), F.col("node"))
+    links = wide_links(nodes, name, radius)
+    narrow = nodes.groupBy("fp").agg(F.min(name).alias("head"))
+    links = links.union(nodes.join(narrow, "fp").select(name.alias("a"), F.col("head").alias("b")).where("a != b"))
+    links = links.union(hamming_links(narrow, "fp", carry="head").select("a_carry", "b_carry"))
+    roots = connected_components(links).select(F.col("node.node").alias("node"), "root")
+    named = nodes.join(roots, "node", "left").select(*prints, F.coalesce("root", name).alias("root"), "node")
+    named = named.select(*prints, F.col("root.low").alias("component_id"), (F.col("root.node") == F.col("node")).alias("first"))
+    found = marked.join(named, prints)
+    return found.select(F.col("id").alias(id_col), *(F.col(f"kept.{c}").alias(c) for c in keep), "component_id", (F.col("first") & F.col("id").eqNullSafe(F.col("component_id"))).alias("stays"))

@@ -83,25 +83,29 @@ def test_fingerprint_by_hand_and_edges(spark):
     assert simhash.near_duplicates(docs_of(spark, TEXTS).limit(0)).count() == 0
 
 
-def test_wide_links_are_near_and_miss_none_at_15_bits(spark):
+def test_wide_links_meet_all_at_15_bits_and_verify(spark):
     rng = random.Random(7)
+    signed = lambda x: [v - 2**64 if v >= 2**63 else v for v in x]
     values = []
     for _ in range(12):
-        base = [rng.getrandbits(64) for _ in range(4)]
+        base, long = [rng.getrandbits(64) for _ in range(4)], [rng.getrandbits(64) for _ in range(4)]
         for _ in range(8):
-            x = list(base)
-            for _ in range(rng.choice([0, 5, 12, 20, 40])):
+            x, y = list(base), list(long)
+            for _ in range(rng.choice([0, 3, 7])):
                 x[rng.randrange(4)] ^= 1 << rng.randrange(64)
-            values.append(tuple(x))
-    values = sorted(set(values))
-    far = lambda i, j: sum((a ^ b).bit_count() for a, b in zip(values[i], values[j], strict=True))
-    signed = [(k, *(v - 2**64 if v >= 2**63 else v for v in x)) for k, x in enumerate(values)]
-    links = [tuple(r) for r in simhash.wide_links(spark.createDataFrame(signed, "node long, w0 long, w1 long, w2 long, w3 long")).collect()]
-    assert links and all(far(a, b) <= 26 for a, b in links)
-    # three alike: no third value can stand in a bucket before them
-    trio = [(0, 1, 2, 3, 4), (1, 1 ^ 0b111, 2, 3, 4), (2, 1, 2 ^ 0b11, 3, 4 ^ (1 << 40))]
-    got = simhash.wide_links(spark.createDataFrame(trio, "node long, w0 long, w1 long, w2 long, w3 long")).collect()
-    assert len(set(union_find(3, [tuple(r) for r in got]))) == 1
+            for _ in range(rng.choice([0, 20, 30, 60])):
+                y[rng.randrange(4)] ^= 1 << rng.randrange(64)
+            values.append((x, y))
+    far = lambda i, j, k: sum((a ^ b).bit_count() for a, b in zip(values[i][k], values[j][k], strict=True))
+    rows = [(k, 1, *signed(x), *signed(y)) for k, (x, y) in enumerate(values)]
+    nodes = spark.createDataFrame(rows, "node long, weight long, w0 long, w1 long, w2 long, w3 long, s0 long, s1 long, s2 long, s3 long")
+    pairs = [(i, j) for j in range(len(values)) for i in range(j)]
+    sure = {(i, j) for i, j in pairs if far(i, j, 0) <= 15 and far(i, j, 1) <= 45}
+    got = {tuple(r) for r in simhash.wide_links(nodes, F.col("node")).collect()}
+    assert len(sure) > 60 and sure <= got <= {(i, j) for i, j in pairs if far(i, j, 1) <= 45}
+    # large buckets meet a few of their own
+    some = {tuple(r) for r in simhash.wide_links(nodes, F.col("node"), bucket_limit=2).collect()}
+    assert some <= got and len(some) < len(got)
 
 
 def test_near_copies(spark):
@@ -124,7 +128,8 @@ def test_near_copies(spark):
     assert [got[k] for k in range(len(texts))] == [source.index(s) for s in source]
     assert simhash.near_copies(docs_of(spark, texts).limit(0)).count() == 0
     odd = spark.createDataFrame([(None, "a b c d"), (3, "a b c d"), (3, "a b c d"), (None, "q w e r")], "doc_id long, text string")
-    assert sorted(((r.doc_id, r.component_id) for r in simhash.near_copies(odd).collect()), key=str) == sorted([(None, 3), (3, 3), (3, 3), (None, None)], key=str)
+    want = [(None, 3, False), (3, 3, True), (3, 3, True), (None, None, True)]
+    assert sorted((tuple(r) for r in simhash.near_copies(odd).collect()), key=str) == sorted(want, key=str)
 
 
 def test_null_and_repeated_ids(spark):

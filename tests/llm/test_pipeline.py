@@ -21,7 +21,7 @@ def test_stages_against_brute_force(spark, sf_dir):
     assert kept.columns == columns
     texts = {r.doc_id: r.text for r in docs.collect() if r.doc_id is not None}
     prints = {i: simhash.fingerprint(t) for i, t in texts.items()}
-    wide = {i: [int(x) & 2**64 - 1 for x in simhash.wide_fingerprint(t)] for i, t in texts.items()}
+    wide = {i: [int(x) & 2**64 - 1 for x in simhash.wide_fingerprint((t or "").lower().encode().split(), 5)] for i, t in texts.items()}
     ids = sorted(prints)
 
     def heads(links):
@@ -42,7 +42,7 @@ def test_stages_against_brute_force(spark, sf_dir):
     narrow = lambda i, j: (prints[i] ^ prints[j]).bit_count() <= 2
     far = lambda i, j: sum((a ^ b).bit_count() for a, b in zip(wide[i], wide[j], strict=True))
     got = sorted(r.doc_id for r in kept.collect() if r.doc_id is not None)
-    assert len(set(got)) == len(got) and heads(lambda i, j: narrow(i, j) or far(i, j) <= 26) <= set(got) <= heads(narrow)
+    assert len(set(got)) == len(got) and heads(lambda i, j: narrow(i, j) or far(i, j) <= 45) <= set(got) <= heads(narrow)
     clean = {r.doc_id: r for r in corpus_pipeline.redact_secrets(spark, docs, sf_dir).collect()}
     for i, t in texts.items():
         spans = secret_scan.find_secrets(t)[0]
@@ -52,6 +52,15 @@ def test_stages_against_brute_force(spark, sf_dir):
         assert stage(spark, docs.limit(0), sf_dir).count() == 0
 
 
+def test_near_copies_go_by_row(spark, sf_dir):
+    x, y, z = "some text that stands twice " * 9, "a wholly different one " * 9, "without any name " * 9
+    rows = [(3, x), (5, x), (5, y), (None, x), (None, z), (None, z), (None, z), (7, x.upper()), (8, None), (9, ""), (8, None), (3, x)]
+    docs = spark.createDataFrame([(i, t, "digest", 1) for i, t in rows], "doc_id long, text string, digest string, id int")
+    kept = corpus_pipeline.drop_near_copies(spark, docs, sf_dir)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(3, x), (5, y), (None, z), (8, None)], key=str)
+
+
 def test_run(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir)
     total = out.agg(F.sum("length"), F.count_distinct("sequence_id"), F.count_distinct("doc_id")).first()
@@ -70,8 +79,12 @@ def test_every_row_is_there(spark, sf_dir, name):
     source = {"op2_url_filter": "pages", "op4_warc": "pages", "op7_covertree": "embeddings"}.get(name, "documents")
     got = queries.queries()[name](spark, sf_dir)
     key = got.columns[0]
-    want = {r[0] for r in spark.read.parquet(f"{sf_dir}/{source}.parquet").select(key).collect()}
-    assert {r[0] for r in got.select(key).collect()} == want
+    want = sorted(r[0] for r in spark.read.parquet(f"{sf_dir}/{source}.parquet").select(key).collect())
+    have = [r[0] for r in got.select(key).collect()]
+    assert sorted(set(have) if name == "op3_packing" else have) == want
+    if name == "op3_packing":  # pieces of a document are numbered without a gap
+        pieces = got.groupBy(key).agg(F.count("*").alias("n"), F.count_distinct("piece").alias("d"), F.max("piece").alias("m"))
+        assert pieces.where("n != d or n != m + 1").isEmpty()
 
 
 def test_toxic_accuracy(spark):
