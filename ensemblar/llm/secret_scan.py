@@ -31,7 +31,7 @@ KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 ASSIGN = re.compile(rb"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE)
 ACCESS = re.compile(rb"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(rb"[0-9a-f]{24,}")
-ESCAPES = re.compile(rb"\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
+ESCAPES = re.compile(rb"\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};|&[A-Za-z][A-Za-z0-9]{1,31};")
 PERCENT = re.compile(rb"(?:%[0-9A-Fa-f]{2})+")
 BASE64 = re.compile(rb"[A-Za-z0-9+/_-]{16,}={0,2}")
 MAGIC = (b"\x1f\x8b", b"\x78\x01", b"\x78\x5e", b"\x78\x9c", b"\x78\xda", b"BZh", b"\xfd7zXZ\x00", b"\x28\xb5\x2f\xfd")
@@ -40,12 +40,14 @@ STREAM = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9](?:1AY&SY|\x1
 SKIPPED = re.compile(rb"\x00*")
 #: The shortest secret or encoded run has 12 bytes.
 PRINTABLE = re.compile(rb"[\t\r\n\x20-\x7e]{12}")
+#: ASCII in two bytes a character, either one first.
+WIDE = re.compile(rb"(?:[\t\r\n\x20-\x7e]\x00){12,}|(?:\x00[\t\r\n\x20-\x7e]){12,}")
 #: Base64 over several lines, whose breaks may be written out.
 WRAPPED = re.compile(rb"[A-Za-z0-9+/_-]{16,}(?:(?:\r?\n|(?:\\r)?\\n)[ \t]*[A-Za-z0-9+/_-]+)+={0,2}")
 BREAK, LETTERS = re.compile(rb"\r?\n[ \t]*|(?:\\r)?\\n[ \t]*"), re.compile(rb"[^ ]+")
 URL_SAFE = bytes.maketrans(b"-_", b"+/")
-#: Decompressed bytes taken of one layer, against bombs.
-MAX_LAYER = 1 << 24
+#: Decompressed bytes that are held and scanned at once, those of the piece before that are scanned again, and those taken of one text in all, against bombs.
+PIECE, OVERLAP, MAX_TOTAL = 1 << 24, 1 << 16, 1 << 30
 
 Map = Callable[[int, int], tuple[int, int]]
 
@@ -115,8 +117,15 @@ def _text_like(data: bytes) -> bool:
     return sum(c.isprintable() or c in "\r\n\t" for c in text) >= 0.9 * len(text)
 
 
-def _stream(data: bytes, at: int, most: int) -> tuple[bytes, int, bool]:
-    """What the compressed stream at ``at`` gives (as far as it can be read), its end, and whether it is whole."""
+class Budget:
+    """Decompressed bytes that a text may still give."""
+
+    def __init__(self, left: int) -> None:
+        self.left, self.cut_off = left, False
+
+
+def _stream(data: bytes, at: int, budget: Budget) -> Iterator[tuple[bytes, int, bool]]:
+    """What the compressed stream at ``at`` gives, as far as it can be read: each part, where the reading stands then, and whether that is its end."""
     head, size = data[at : at + 3], 4096
     if head[:2] == b"\x1f\x8b" or head[:1] == b"\x78":
         tool = zlib.decompressobj(47)
@@ -127,34 +136,49 @@ def _stream(data: bytes, at: int, most: int) -> tuple[bytes, int, bool]:
     else:
         # it can't be held at a number of bytes, so that it gets little at once
         tool, size = zstandard.ZstdDecompressor(max_window_size=1 << 27).decompressobj(), 256
-    out = bytearray()
-    while at < len(data) and not tool.eof and len(out) <= most:
-        piece = data[at : at + size]
+    rest = b""
+    while not tool.eof:
+        full = not rest and not getattr(tool, "needs_input", True)  # what was read gives more yet
+        piece = b"" if full else rest or data[at : at + size]
+        if not piece and not full:
+            return
+        at += 0 if rest else len(piece)
         try:
-            out += tool.decompress(piece) if size == 256 else tool.decompress(piece, most + 1 - len(out))
+            got = tool.decompress(piece) if size == 256 else tool.decompress(piece, PIECE)
         except (zlib.error, OSError, lzma.LZMAError, ValueError, EOFError, zstandard.ZstdError):
-            return bytes(out), at + len(piece), False
-        at += len(piece) - len(tool.unused_data)
-    return bytes(out), at, tool.eof
-
-
-def _inflate(data: bytes, most: int, at: int = 0) -> tuple[bytes, int, bool] | None:
-    """The decompressed bytes of all streams that follow each other from ``at``, the end of the last, and whether more than ``most`` were left out."""
-    got, end, whole = _stream(data, at, most)
-    if not got and not whole:
-        return None
-    out = bytearray(got)
-    while whole and len(out) <= most:
-        # zeros may stand between streams
-        follow = SKIPPED.match(data, end).end()
-        if not data.startswith(MAGIC, follow):
+            return
+        rest = getattr(tool, "unconsumed_tail", b"")
+        budget.left -= len(got)
+        if budget.left < 0:
+            budget.cut_off = True
+            yield got[: budget.left], at, False
+            budget.left = 0
+            return
+        yield got, at - len(tool.unused_data) * tool.eof, tool.eof
+
+
+def _inflate(data: bytes, at: int, budget: Budget) -> Iterator[tuple[bytes, int]]:
+    """The decompressed bytes of all streams that follow each other from ``at``, in pieces that overlap, and where the reading stands then."""
+    held, new = bytearray(), 0
+    while data.startswith(MAGIC, at):
+        whole = False
+        for got, at, whole in _stream(data, at, budget):
+            held += got
+            new += len(got)
+            if len(held) >= PIECE:
+                yield bytes(held), at
+                del held[:-OVERLAP]
+                new = 0
+        if not whole:
             break
-        got, stop, whole = _stream(data, follow, most - len(out))
-        if not got and not whole:
+        end = at
+        # zeros may stand between streams
+        at = SKIPPED.match(data, at).end()
+        if not data.startswith(MAGIC, at):
+            at = end
             break
-        out += got
-        end = stop
-    return bytes(out[:most]), end, len(out) > most
+    if new:
+        yield bytes(held), at
 
 
 def _base64_runs(data: bytes) -> Iterator[tuple[bytes, Callable[[int], int]]]:
@@ -176,24 +200,28 @@ def _base64_runs(data: bytes) -> Iterator[tuple[bytes, Callable[[int], int]]]:
         yield b"".join(pieces), place
 
 
-def _unwrap(data: bytes, most: int, decoded: bool = False) -> Iterator[tuple[bytes, Map, bool]]:
-    """Each layer that can be decoded from this one, its way back, and whether it was cut.
+def _unwrap(data: bytes, budget: Budget, decoded: bool = False) -> Iterator[tuple[bytes, Map]]:
+    """Each layer that can be decoded from this one, and its way back.
 
     Compressed streams are looked for at the beginning, and in a ``decoded`` layer everywhere. A run of base64 letters
     may begin with others, so that it is decoded from each of its first four.
     """
     if b"%" in data and (found := _replaced(data, PERCENT, unquote_to_bytes)):
-        yield *found, False
-    if (b"\\" in data or b"&#" in data) and (found := _replaced(data, ESCAPES, _unescape)):
-        yield *found, False
+        yield found
+    if (b"\\" in data or b"&" in data) and (found := _replaced(data, ESCAPES, _unescape)):
+        yield found
+    if b"\0" in data:
+        for m in WIDE.finditer(data):
+            yield m[0].replace(b"\0", b""), lambda start, end, at=m.start(): (at + 2 * start, at + 2 * end)
     last = 0
     for at in (m.start() for m in STREAM.finditer(data)) if decoded else (0,):
-        if at < last or not data.startswith(MAGIC, at) or not (got := _inflate(data, most, at)):
+        if at < last or not data.startswith(MAGIC, at):
             continue
-        # a few bytes look like a stream by chance
-        if not at or PRINTABLE.search(got[0]) or STREAM.search(got[0]):
-            last = got[1] if at or len(got[0]) > 64 else 0
-            yield got[0], lambda start, end, at=at, stop=got[1]: (at, stop), got[2]
+        for got, stop in _inflate(data, at, budget):
+            # a few bytes look like a stream by chance
+            if not at or PRINTABLE.search(got) or STREAM.search(got) or WIDE.search(got):
+                last = stop if at or len(got) > 64 else 0
+                yield got, lambda start, end, at=at, stop=stop: (at, stop)
     for run, place in _base64_runs(data):
         letters = run.rstrip(b"=").translate(URL_SAFE)
         for k in range(4):
@@ -203,40 +231,44 @@ def _unwrap(data: bytes, most: int, decoded: bool = False) -> Iterator[tuple[byt
                 got = base64.b64decode(body + b"=" * (-len(body) % 4))
             except (binascii.Error, ValueError):
                 continue
-            if PRINTABLE.search(got) or STREAM.search(got) or not k and _text_like(got):
+            if PRINTABLE.search(got) or STREAM.search(got) or WIDE.search(got) or not k and _text_like(got):
 
                 def back(start: int, end: int, k=k, n=len(run), place=place) -> tuple[int, int]:
                     return place(k + start // 3 * 4), place(min(n, k + (end + 2) // 3 * 4) - 1) + 1
 
-                yield got, back, False
+                yield got, back
 
 
-def find_secrets(text: str | None, max_layer: int = MAX_LAYER) -> tuple[list[tuple[str, int, int, bool]], int, bool]:
-    """Spans (kind, start, end, decoded) in code points, the number of decoded layers, and whether one was cut at ``max_layer``.
+def find_secrets(text: str | None, max_total: int = MAX_TOTAL) -> tuple[list[tuple[str, int, int, bool]], int, bool]:
+    """Spans (kind, start, end, decoded) in code points, the number of decoded layers, and whether they were cut at ``max_total`` decompressed bytes.
 
     Spans are ordered by start, then kind as in KINDS, then end. decoded is
     false for spans of the text as it is; a find in a decoded layer that maps
-    to such a span of the same kind is the same find.
+    to such a span of the same kind is the same find. A large compressed layer is decoded and scanned piece by piece.
     """
     data = (text or "").encode("utf-8", "surrogatepass")
     found = {x: False for x in scan(data)}
-    cut_off = False
+    budget = Budget(max_total)
     # layers are told apart by content, and taken apart once; into[j] has each place (layer, way back) where layer j was found
     number = {hashlib.sha256(data).digest(): 0}
     into: list[list[tuple[int, Map]]] = [[]]
     finds: list[set[tuple[str, int, int]]] = [set()]
-    work = [(0, data)]
+    # each layer is held while what it holds is taken apart, which bounds the bytes held by the depth
+    work = [(0, _unwrap(data, budget))]
     while work:
-        i, layer = work.pop()
-        for got, back, short in _unwrap(layer, max_layer, i > 0):
-            cut_off |= short
-            j = number.setdefault(hashlib.sha256(got).digest(), len(into))
-            if j == len(into):
-                into.append([])
-                finds.append(set(scan(got)))
-                work.append((j, got))
-            if j not in (0, i):
-                into[j].append((i, back))
+        i, layers = work[-1]
+        item = next(layers, None)
+        if item is None:
+            work.pop()
+            continue
+        got, back = item
+        j = number.setdefault(hashlib.sha256(got).digest(), len(into))
+        if j == len(into):
+            into.append([])
+            finds.append(set(scan(got)))
+            work.append((j, _unwrap(got, budget, True)))
+        if j not in (0, i):
+            into[j].append((i, back))
     layers = len(into) - 1
     # each find goes back by every way until nothing is new, which ends also where layers hold each other
     moves = [(j, x) for j in range(1, len(into)) for x in finds[j]]
@@ -257,35 +289,35 @@ def find_secrets(text: str | None, max_layer: int = MAX_LAYER) -> tuple[list[tup
             # bytes that start a code point
             n += sum(b & 0xC0 != 0x80 for b in data[at:p])
             points[p], at = n, p
-        return [(k, points[s], points[e], found[k, s, e]) for k, s, e in order], layers, cut_off
-    return [(*x, found[x]) for x in order], layers, cut_off
+        return [(k, points[s], points[e], found[k, s, e]) for k, s, e in order], layers, budget.cut_off
+    return [(*x, found[x]) for x in order], layers, budget.cut_off
 
 
 SPANS = "array<struct<kind:string,start:long,end:long,decoded:boolean>>"
 
 
-def secrets_in(text: Column, max_layer: int = MAX_LAYER) -> Column:
+def secrets_in(text: Column, max_total: int = MAX_TOTAL) -> Column:
     """struct(spans, layers, cut_off) of a text; null counts as empty."""
 
     @F.pandas_udf(f"struct<spans:{SPANS},layers:int,cut_off:boolean>")
     def of(texts: pd.Series) -> pd.DataFrame:
-        rows = [find_secrets(t, max_layer) for t in texts]
+        rows = [find_secrets(t, max_total) for t in texts]
         spans = [[{"kind": k, "start": s, "end": e, "decoded": d} for k, s, e, d in x] for x, _, _ in rows]
         return pd.DataFrame({"spans": spans, "layers": [x[1] for x in rows], "cut_off": [x[2] for x in rows]})
 
     return of(text)
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_layer: int = MAX_LAYER) -> DataFrame:
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_total: int = MAX_TOTAL) -> DataFrame:
     """(id_col, spans, layers, cut_off) for every row of ``docs``.
 
     spans: array of (kind, start, end, decoded), code points, end exclusive.
     Null and empty texts have no spans. Repeated rows each get a row. Other columns
-    are ignored; an empty table gives an empty result. Of a
-    compressed layer ``max_layer`` bytes are taken at most; cut_off tells where
+    are ignored; an empty table gives an empty result. A text's compressed layers
+    give ``max_total`` bytes at most, which only bombs reach; cut_off tells where
     that happened. No find of the text itself is ever left out.
     """
-    found = docs.select(F.col(id_col).alias("id"), secrets_in(F.col(text_col), max_layer).alias("found"))
+    found = docs.select(F.col(id_col).alias("id"), secrets_in(F.col(text_col), max_total).alias("found"))
     return found.select(F.col("id").alias(id_col), "found.spans", "found.layers", "found.cut_off")
 
 

@@ -2,9 +2,9 @@
 
 score = sigmoid(bias + sum of w[i] + sum over pairs of <v[i], v[j]>) over the
 terms of a text. The pair term learns combinations, such as an insult
-beside the mention of a group, that a sum of weights misses. Buckets that
-tell the classes apart are chosen by counts made in Spark; the factors are then
-fitted on the driver over those buckets alone, whose number is bounded.
+beside the mention of a group, that a sum of weights misses. A text is a vector of
+length one over its terms. All buckets that enough labelled texts hold are learnt, those too
+that tell nothing by themselves; those that do weigh more. The sample of labelled rows is bounded.
 """
 
 from __future__ import annotations
@@ -35,12 +35,17 @@ def terms(text: str | None, bits: int) -> np.ndarray:
     return np.unique(np.fromiter(map(zlib.crc32, words), np.int64, len(words)) & ((1 << bits) - 1))
 
 
+#: Entries of a batch of texts that are scored at once.
+HELD = 1 << 20
+
+
 @dataclass
 class FactorizationMachine:
-    """buckets (sorted), their weights and factors, and the bias."""
+    """buckets (sorted), what a term of each counts, their weights and factors, and the bias."""
 
     bits: int
     buckets: np.ndarray
+    scale: np.ndarray
     weight: np.ndarray
     factors: np.ndarray
     bias: float
@@ -51,70 +56,135 @@ class FactorizationMachine:
         rows[self.buckets] = np.arange(len(self.buckets))
         return rows
 
+    def margins(self, flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The log-odds of texts whose terms' rows are given one text after another."""
+        return _forward(self.scale, self.weight, self.factors, self.bias, flat, sizes)[0]
+
     def score(self, rows: np.ndarray) -> float:
-        """The probability for the rows of a text's terms."""
-        v = self.factors[rows]
-        z = self.bias + self.weight[rows].sum() + 0.5 * (v.sum(0) ** 2 - (v**2).sum(0)).sum()
-        return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+        """The probability for the rows of one text's terms."""
+        return float(_sigmoid(self.margins(np.asarray(rows, np.int64), np.array([len(rows)])))[0])
+
+
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
 
+def _forward(scale: np.ndarray, w: np.ndarray, v: np.ndarray, bias: float, flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Margins, and for slopes: what each term counts in its text, sums of factors by text, and each term's factors, both by what they count."""
+    if not len(sizes):
+        return np.zeros(0), np.zeros(0), np.zeros((0, v.shape[1])), np.zeros((0, v.shape[1]))
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    x = scale[flat]
+    x = x / np.sqrt(np.bincount(text, x * x, len(sizes)))[text]
+    own = v[flat] * x[:, None]
+    total = np.stack([np.bincount(text, c, len(sizes)) for c in own.T], 1)
+    squares = np.bincount(text, (own * own).sum(1), len(sizes))
+    return bias + np.bincount(text, w[flat] * x, len(sizes)) + 0.5 * ((total * total).sum(1) - squares), x, total, own
 
-def fit(present: np.ndarray, y: np.ndarray, bits: int, buckets: np.ndarray, k: int = 4, steps: int = 150, rate: float = 0.05, penalty: float = 1e-3, seed: int = 0) -> FactorizationMachine:
-    """Full-batch Adam on the logistic loss; present: rows of 0 and 1 for the buckets. Classes weigh alike."""
+
+def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
+
+
+def _descend(scale: np.ndarray, flat: np.ndarray, sizes: np.ndarray, y: np.ndarray, m: int, k: int, steps: int, batch: int, rate: float, seed: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """AdaGrad on the logistic loss of batches of texts; both classes weigh alike."""
     rng = np.random.default_rng(seed)
-    n, m = present.shape
-    params = [np.zeros(m), rng.normal(0, 0.05, (m, k)), np.array([-2.0])]
-    moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
-    share = np.where(y > 0, 0.5 / max(1, y.sum()), 0.5 / max(1, n - y.sum()))
-    x = present.astype(np.float32)
-    for t in range(1, steps + 1 if n and m else 1):
-        w, v, b = params
-        s = x @ v.astype(np.float32)
-        z = b[0] + x @ w.astype(np.float32) + 0.5 * (s * s).sum(1) - 0.5 * (x @ (v * v).astype(np.float32)).sum(1)
-        g = (share * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)).astype(np.float32)
-        total = x.T @ g
-        slopes = [total + penalty * w / m, x.T @ (g[:, None] * s) - total[:, None] * v + penalty * v / m, np.array([g.sum()])]
-        for p, d, (first, second) in zip(params, slopes, moments, strict=True):
-            first += 0.1 * (d - first)
-            second += 0.001 * (d * d - second)
-            p -= rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
-    return FactorizationMachine(bits, buckets, params[0], params[1], float(params[2][0]))
-
-
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", bits: int = 20, per_class: int = 6000, most_buckets: int = 1024, z_least: float = 6.0, least_rows: int = 5) -> FactorizationMachine:
+    w, v, bias = np.zeros(m), rng.normal(0, 0.05, (m, k)), 0.0
+    seen_w, seen_v, seen_b = np.full(m, 1e-4), np.full((m, k), 1e-4), 1e-4
+    share = np.where(y > 0, 0.5 / max(1, y.sum()), 0.5 / max(1, len(y) - y.sum())) * len(y)
+    starts, order = np.cumsum(sizes) - sizes, np.zeros(0, np.int64)
+    for _ in range(steps):
+        if not len(order):
+            order = rng.permutation(len(y))
+        rows, order = order[:batch], order[batch:]
+        n = sizes[rows]
+        places = flat[_spans(starts[rows], n)]
+        z, x, total, own = _forward(scale, w, v, bias, places, n)
+        g = share[rows] * (_sigmoid(z) - y[rows]) / len(rows)
+        text = np.repeat(np.arange(len(rows)), n)
+        gx = g[text] * x
+        slope = np.bincount(places, gx, m)
+        pairs = gx[:, None] * (total[text] - own)
+        slopes = np.stack([np.bincount(places, c, m) for c in pairs.T], 1)
+        seen_w += slope * slope
+        seen_v += slopes * slopes
+        seen_b += g.sum() ** 2
+        w -= rate * slope / np.sqrt(seen_w)
+        v -= rate * slopes / np.sqrt(seen_v)
+        bias -= rate * g.sum() / np.sqrt(seen_b)
+    return w, v, bias
+
+
+def telling(flat: np.ndarray, sizes: np.ndarray, y: np.ndarray, m: int, sure: float = 6.0, least: float = 0.05) -> np.ndarray:
+    """What a term of each bucket counts: (z / sure)^2, z being the standard score of the gap between the shares of the classes' rows with it, but ``least`` to 1.
+
+    It makes known signs weigh more than chance; no bucket is left out.
+    """
+    n1 = y.sum()
+    n0 = len(y) - n1
+    if not n1 or not n0:
+        return np.ones(m)
+    by_row = np.repeat(y, sizes)
+    c1, c = np.bincount(flat, by_row, m), np.bincount(flat, minlength=m)
+    share = c / len(y)
+    gap = c1 / n1 - (c - c1) / n0
+    z2 = gap * gap / np.maximum(1e-12, share * (1 - share) * (1 / n1 + 1 / n0))
+    return np.clip(z2 / sure**2, least, 1)
+
+
+def fit(flat: np.ndarray, sizes: np.ndarray, y: np.ndarray, bits: int, buckets: np.ndarray, k: int = 4, steps: int = 300, batch: int = 128, rate: float = 0.3, seed: int = 0) -> FactorizationMachine:
+    """A machine for texts whose terms are rows of ``buckets``, given one text after another.
+
+    A fifth of the rows is not learnt from; the bias is moved to where their classes fall apart best.
+    """
+    if not (len(buckets) and 0 < y.sum() < len(y)):
+        return FactorizationMachine(bits, buckets[:0], np.zeros(0), np.zeros(0), np.zeros((0, 1)), -2.0)
+    m, starts = len(buckets), np.cumsum(sizes) - sizes
+    turn = np.random.default_rng(seed + 1).permutation(len(y)) % 5
+    mine, other = np.flatnonzero(turn), np.flatnonzero(turn == 0)
+    learnt = flat[_spans(starts[mine], sizes[mine])], sizes[mine], y[mine]
+    scale = telling(*learnt, m)
+    w, v, bias = _descend(scale, *learnt, m, k, steps, batch, rate, seed)
+    z, truth = _forward(scale, w, v, bias, flat[_spans(starts[other], sizes[other])], sizes[other])[0], y[other]
+    share = np.where(truth > 0, 0.5 / max(1, truth.sum()), 0.5 / max(1, len(truth) - truth.sum())) * (0 < truth.sum() < len(truth))
+    low, high = -4.0, 4.0
+    for _ in range(40):  # the loss is convex in the shift
+        shift = (low + high) / 2
+        low, high = (shift, high) if (share * (_sigmoid(z + shift) - truth)).sum() < 0 else (low, shift)
+    shift *= share.any()
+    return FactorizationMachine(bits, buckets, scale, w.astype(np.float32), v.astype(np.float32), float(bias + shift))
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", bits: int = 18, per_class: int = 6000, least_share: float = 0.0025, **options) -> FactorizationMachine:
     """A model from labelled rows.
 
     ``per_class`` rows of each label, those with the smallest id hashes, bound
-    the sample, so that its join with ``docs`` moves no text. Buckets are
-    kept by the z score of the difference between the classes' shares of rows with them. Ids with
-    both labels count as positive; null labels are left out.
+    the sample, so that its join with ``docs`` moves no text. Buckets that less than ``least_share`` of its rows
+    hold (one row, in small samples) are left out, whatever the labels of those rows. Ids with
+    both labels count as positive; null labels are left out. ``options`` are those of ``fit``.
     """
     named = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y"))
+    # a row is 12 bytes, and each partition hands on per_class of them at most
     parts = [named.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(per_class) for y in (1, 0)]
-    sample = cut(parts[0].union(parts[1]))  # 2 * per_class rows of 12 bytes, at most
+    sample = cut(parts[0].union(parts[1]))
 
-    @F.pandas_udf("array<int>")
+    @F.pandas_udf("binary")
     def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([terms(t, bits).astype(np.int32) for t in texts])
+        return pd.Series([terms(t, bits).astype("<i4").tobytes() for t in texts])
 
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(F.broadcast(sample), "id")
-    rows = cut(texts.select("y", of("t").alias("terms")).dropDuplicates(["terms", "y"]))
-    totals = dict(rows.groupBy("y").count().collect())
-    n1, n0 = totals.get(1, 0), totals.get(0, 0)
-    counts = rows.select("y", F.explode("terms").alias("bucket")).groupBy("bucket").agg(F.sum("y").alias("c1"), F.sum(1 - F.col("y")).alias("c0"))
-    both = (F.col("c1") + F.col("c0")) / (n1 + n0)
-    gap = F.abs(F.col("c1") / n1 - F.col("c0") / n0) if n1 and n0 else F.lit(0.0)
-    spread = F.sqrt(both * (1 - both) * ((1 / n1 + 1 / n0) if n1 and n0 else 0.0))
-    chosen = counts.where(F.col("c1") + F.col("c0") >= least_rows).withColumn("z", F.try_divide(gap, spread)).where(F.col("z") >= z_least)
-    chosen = chosen.orderBy(F.desc("z"), "bucket").limit(most_buckets)
-    buckets = np.array(sorted(r["bucket"] for r in chosen.collect()), np.int64)
-    if not (n1 and n0 and len(buckets)):
-        return FactorizationMachine(bits, np.zeros(0, np.int64), np.zeros(0), np.zeros((0, 1)), -2.0)
-    kept = F.array_intersect("terms", F.from_json(F.lit(str(buckets.tolist())), "array<int>"))
-    held = rows.select("y", kept.alias("terms")).collect()  # 2 * per_class rows of most_buckets numbers, at most
-    present = np.zeros((len(held), len(buckets)), np.uint8)
-    for k, r in enumerate(held):
-        present[k, np.searchsorted(buckets, r["terms"])] = 1
-    return fit(present, np.array([r["y"] for r in held], np.float64), bits, buckets)
+    rows = texts.select("y", of("t").alias("terms")).dropDuplicates(["terms", "y"]).orderBy("terms", "y")
+    held = rows.collect()  # 2 * per_class rows of 2^bits numbers, at most
+    sizes = np.array([len(r["terms"]) // 4 for r in held], np.int64)
+    flat = np.frombuffer(b"".join(bytes(r["terms"]) for r in held), "<i4")
+    counts = np.bincount(flat, minlength=1 << bits)
+    buckets = np.flatnonzero(counts >= max(2, least_share * len(held)))
+    place = np.full(1 << bits, -1, np.int64)
+    place[buckets] = np.arange(len(buckets))
+    there = place[flat] >= 0
+    text = np.repeat(np.arange(len(held)), sizes)[there]
+    return fit(place[flat[there]], np.bincount(text, minlength=len(held)), np.array([r["y"] for r in held], np.float64), bits, buckets, **options)
 
 
 def score(text: Column, model: FactorizationMachine) -> Column:
@@ -122,9 +192,23 @@ def score(text: Column, model: FactorizationMachine) -> Column:
 
     @F.pandas_udf("double")
     def of(texts: pd.Series) -> pd.Series:
-        place = model.place()
-        rows = (place[terms(t, model.bits)] for t in texts)
-        return pd.Series([model.score(r[r >= 0]) for r in rows], dtype="float64")
+        place, out, rows, held = model.place(), [np.zeros(0)], [], 0
+
+        def take() -> None:
+            sizes = np.array([len(r) for r in rows], np.int64)
+            out.append(_sigmoid(model.margins(np.concatenate(rows).astype(np.int64), sizes)))
+            rows.clear()
+
+        for t in texts:
+            found = place[terms(t, model.bits)]
+            rows.append(found[found >= 0])
+            held += len(rows[-1])
+            if held >= HELD:
+                take()
+                held = 0
+        if rows:
+            take()
+        return pd.Series(np.concatenate(out))
 
     return of(text)
 
