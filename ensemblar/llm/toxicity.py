@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -87,16 +88,17 @@ def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
 
 
-def _descend(scale: np.ndarray, flat: np.ndarray, sizes: np.ndarray, y: np.ndarray, m: int, k: int, steps: int, batch: int, rate: float, seed: int) -> tuple[np.ndarray, np.ndarray, float]:
-    """AdaGrad on the logistic loss of batches of texts; both classes weigh alike."""
+def _descend(scale: np.ndarray, flat: np.ndarray, sizes: np.ndarray, y: np.ndarray, m: int, learnt: np.ndarray, k: int, steps: int, batch: int, rate: float, seed: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """AdaGrad on the logistic loss of batches of the ``learnt`` texts; both classes weigh alike."""
     rng = np.random.default_rng(seed)
     w, v, bias = np.zeros(m), rng.normal(0, 0.05, (m, k)), 0.0
     seen_w, seen_v, seen_b = np.full(m, 1e-4), np.full((m, k), 1e-4), 1e-4
-    share = np.where(y > 0, 0.5 / max(1, y.sum()), 0.5 / max(1, len(y) - y.sum())) * len(y)
+    ones = y[learnt].sum()
+    share = np.where(y > 0, 0.5 / max(1, ones), 0.5 / max(1, len(learnt) - ones)) * len(learnt)
     starts, order = np.cumsum(sizes) - sizes, np.zeros(0, np.int64)
     for _ in range(steps):
         if not len(order):
-            order = rng.permutation(len(y))
+            order = rng.permutation(learnt)
         rows, order = order[:batch], order[batch:]
         n = sizes[rows]
         places = flat[_spans(starts[rows], n)]
@@ -116,19 +118,21 @@ def _descend(scale: np.ndarray, flat: np.ndarray, sizes: np.ndarray, y: np.ndarr
     return w, v, bias
 
 
-def telling(flat: np.ndarray, sizes: np.ndarray, y: np.ndarray, m: int, sure: float = 6.0, least: float = 0.05) -> np.ndarray:
-    """What a term of each bucket counts: (z / sure)^2, z being the standard score of the gap between the shares of the classes' rows with it, but ``least`` to 1.
+def telling(flat: np.ndarray, sizes: np.ndarray, y: np.ndarray, m: int, learnt: np.ndarray, sure: float = 6.0, least: float = 0.05) -> np.ndarray:
+    """What a term of each bucket counts: (z / sure)^2, z being the standard score of the gap between the shares of the classes' ``learnt`` rows with it, but ``least`` to 1.
 
     It makes known signs weigh more than chance; no bucket is left out.
     """
-    n1 = y.sum()
-    n0 = len(y) - n1
+    n1, n0 = (y[learnt] > 0).sum(), (y[learnt] == 0).sum()
     if not n1 or not n0:
         return np.ones(m)
-    by_row = np.repeat(y, sizes)
-    c1, c = np.bincount(flat, by_row, m), np.bincount(flat, minlength=m)
-    share = c / len(y)
-    gap = c1 / n1 - (c - c1) / n0
+    ends = np.cumsum(sizes)
+    c1, c0 = np.zeros(m), np.zeros(m)
+    for k in np.flatnonzero(learnt):  # a text has a bucket once
+        (c1 if y[k] > 0 else c0)[flat[ends[k] - sizes[k] : ends[k]]] += 1
+    c = c1 + c0
+    share = c / (n1 + n0)
+    gap = c1 / n1 - c0 / n0
     z2 = gap * gap / np.maximum(1e-12, share * (1 - share) * (1 / n1 + 1 / n0))
     return np.clip(z2 / sure**2, least, 1)
 
@@ -142,10 +146,9 @@ def fit(flat: np.ndarray, sizes: np.ndarray, y: np.ndarray, bits: int, buckets:
         return FactorizationMachine(bits, buckets[:0], np.zeros(0), np.zeros(0), np.zeros((0, 1)), -2.0)
     m, starts = len(buckets), np.cumsum(sizes) - sizes
     turn = np.random.default_rng(seed + 1).permutation(len(y)) % 5
-    mine, other = np.flatnonzero(turn), np.flatnonzero(turn == 0)
-    learnt = flat[_spans(starts[mine], sizes[mine])], sizes[mine], y[mine]
-    scale = telling(*learnt, m)
-    w, v, bias = _descend(scale, *learnt, m, k, steps, batch, rate, seed)
+    other = np.flatnonzero(turn == 0)
+    scale = telling(flat, sizes, y, m, turn > 0)
+    w, v, bias = _descend(scale, flat, sizes, y, m, np.flatnonzero(turn), k, steps, batch, rate, seed)
     z, truth = _forward(scale, w, v, bias, flat[_spans(starts[other], sizes[other])], sizes[other])[0], y[other]
     share = np.where(truth > 0, 0.5 / max(1, truth.sum()), 0.5 / max(1, len(truth) - truth.sum())) * (0 < truth.sum() < len(truth))
     low, high = -4.0, 4.0
@@ -156,7 +159,7 @@ def fit(flat: np.ndarray, sizes: np.ndarray, y: np.ndarray, bits: int, buckets:
     return FactorizationMachine(bits, buckets, scale, w.astype(np.float32), v.astype(np.float32), float(bias + shift))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", bits: int = 18, per_class: int = 6000, least_share: float = 0.0025, **options) -> FactorizationMachine:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", bits: int = 18, per_class: int = 3000, least_share: float = 0.0025, **options) -> FactorizationMachine:
     """A model from labelled rows.
 
     ``per_class`` rows of each label, those with the smallest id hashes, bound
@@ -175,16 +178,20 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(F.broadcast(sample), "id")
     rows = texts.select("y", of("t").alias("terms")).dropDuplicates(["terms", "y"]).orderBy("terms", "y")
-    held = rows.collect()  # 2 * per_class rows of 2^bits numbers, at most
-    sizes = np.array([len(r["terms"]) // 4 for r in held], np.int64)
-    flat = np.frombuffer(b"".join(bytes(r["terms"]) for r in held), "<i4")
+    held = rows.toArrow()  # 2 * per_class rows of 2^bits numbers, at most
+    sizes = pc.binary_length(held["terms"]).to_numpy().astype(np.int64) // 4
+    flat = np.concatenate([np.zeros(0, np.int32), *(np.frombuffer(x.as_buffer(), "<i4") for x in held["terms"])])
+    truth = held["y"].to_numpy().astype(np.float64)
+    del held
     counts = np.bincount(flat, minlength=1 << bits)
-    buckets = np.flatnonzero(counts >= max(2, least_share * len(held)))
-    place = np.full(1 << bits, -1, np.int64)
+    buckets = np.flatnonzero(counts >= max(2, least_share * len(sizes)))
+    place = np.full(1 << bits, -1, np.int32)
     place[buckets] = np.arange(len(buckets))
-    there = place[flat] >= 0
-    text = np.repeat(np.arange(len(held)), sizes)[there]
-    return fit(place[flat[there]], np.bincount(text, minlength=len(held)), np.array([r["y"] for r in held], np.float64), bits, buckets, **options)
+    flat = place[flat]
+    there = flat >= 0
+    before = np.concatenate([[0], np.cumsum(there)])
+    ends = np.cumsum(sizes)
+    return fit(flat[there], before[ends] - before[ends - sizes], truth, bits, buckets, **options)
 
 
 def score(text: Column, model: FactorizationMachine) -> Column:
