@@ -8,12 +8,22 @@ import numpy as np
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    """In place; what overflows is 0."""
+    np.negative(x, out=x)
+    with np.errstate(over="ignore"):
+        np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+def _softmax(x: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The log-probability of each row's target, and all probabilities in place of x."""
+    x -= x.max(1, keepdims=True)
+    own = x[np.arange(len(x)), target]
+    np.exp(x, out=x)
+    total = x.sum(1)
+    x /= total[:, None]
+    return own - np.log(total), x
 
 
 def classes(counts: np.ndarray, most: int) -> np.ndarray:
@@ -56,9 +66,13 @@ class Gru:
         """The next state, and what going back needs."""
         p, n = self.params, self.hidden
         x = p["inputs"][ids]
-        gate = _sigmoid(x[:, : 2 * n] + h @ p["gates"])
+        gate = h @ p["gates"]
+        gate += x[:, : 2 * n]
+        gate = _sigmoid(gate)
         past = h @ p["state"]
-        new = np.tanh(x[:, 2 * n :] + gate[:, n:] * past)
+        new = gate[:, n:] * past
+        new += x[:, 2 * n :]
+        np.tanh(new, out=new)
         return h + gate[:, :n] * (new - h), gate, past, new
 
     def log_prob(self, h: np.ndarray, target: np.ndarray, slopes: dict[str, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray | None]:
@@ -67,16 +81,17 @@ class Gru:
         known = target < self.n_words
         kind = np.full(len(target), self.n_classes)
         kind[known] = self.kind[target[known]]
-        logs = _log_softmax(h @ p["kinds"] + p["kinds_bias"])
-        out = logs[np.arange(len(target)), kind].astype(np.float64)
+        logits = h @ p["kinds"]
+        logits += p["kinds_bias"]
+        logs, d = _softmax(logits, kind)
+        out = logs.astype(np.float64)
         back = None
         if slopes is not None:
-            d = np.exp(logs)
             d[np.arange(len(target)), kind] -= 1
             slopes["kinds"] += h.T @ d
             slopes["kinds_bias"] += d.sum(0)
             back = d @ p["kinds"].T
-        order = np.argsort(kind, kind="stable")
+        order = np.argsort(kind.astype(np.int16), kind="stable")
         ends = np.searchsorted(kind[order], np.arange(self.n_classes + 1))
         for k in np.flatnonzero(np.diff(ends)):
             low, high = self.starts[k], self.starts[k + 1]
@@ -84,10 +99,11 @@ class Gru:
                 continue
             at = order[ends[k] : ends[k + 1]]
             state, local = h[at], target[at] - low
-            logs = _log_softmax(state @ p["words"][low:high].T + p["words_bias"][low:high])
-            out[at] += logs[np.arange(len(at)), local]
+            logits = state @ p["words"][low:high].T
+            logits += p["words_bias"][low:high]
+            logs, d = _softmax(logits, local)
+            out[at] += logs
             if slopes is not None:
-                d = np.exp(logs)
                 d[np.arange(len(at)), local] -= 1
                 slopes["words"][low:high] += d.T @ state
                 slopes["words_bias"][low:high] += d.sum(0)
@@ -127,23 +143,29 @@ class Gru:
                 back, d_next = np.zeros_like(states), np.zeros_like(h)
                 back[keep] = got
                 back = back.reshape(len(held), streams, m)
-                rows, marks = [], []
-                for t, (before, gate, past, new, _), d_out in zip(reversed(steps), reversed(held), back[::-1], strict=True):
-                    d = d_out + d_next
-                    z, r = gate[:, :m], gate[:, m:]
-                    d_new = d * z * (1 - new * new)
-                    d_gate = np.concatenate([d * (new - before), d_new * past], 1) * gate * (1 - gate)
-                    d_past = d_new * r
-                    slopes["gates"] += before.T @ d_gate
-                    slopes["state"] += before.T @ d_past
-                    d_next = (d * (1 - z) + d_gate @ p["gates"].T + d_past @ p["state"].T) * ~first[t][:, None]
-                    rows.append(np.concatenate([d_gate, d_new], 1))
-                    marks.append(ids[t])
+                rows = np.empty((len(held), streams, 3 * m), np.float32)
+                pasts = np.empty((len(held), streams, m), np.float32)
+                for k in range(len(held) - 1, -1, -1):
+                    before, gate, past, new, _ = held[k]
+                    d = back[k] + d_next
+                    z = gate[:, :m]
+                    d_gate, d_new = rows[k, :, : 2 * m], rows[k, :, 2 * m :]
+                    np.multiply(d, z, out=d_new)
+                    d_new *= 1 - new * new
+                    np.multiply(d, new - before, out=d_gate[:, :m])
+                    np.multiply(d_new, past, out=d_gate[:, m:])
+                    d_gate *= gate * (1 - gate)
+                    np.multiply(d_new, gate[:, m:], out=pasts[k])
+                    d_next = (d * (1 - z) + d_gate @ p["gates"].T + pasts[k] @ p["state"].T) * ~first[at + k][:, None]
+                rows = rows.reshape(-1, 3 * m)
+                befores = np.concatenate([x[0] for x in held])
+                slopes["gates"] += befores.T @ rows[:, : 2 * m]
+                slopes["state"] += befores.T @ pasts.reshape(-1, m)
+                marks = ids[at : at + window].reshape(-1)
                 # only the inputs that occur have slopes
-                marks = np.concatenate(marks)
-                order = np.argsort(marks, kind="stable")
+                order = np.argsort(marks.astype(np.int32), kind="stable")
                 used, begin = np.unique(marks[order], return_index=True)
-                slopes["inputs"] = np.add.reduceat(np.concatenate(rows)[order], begin)
+                slopes["inputs"] = np.add.reduceat(rows[order], begin)
                 for k, d in slopes.items():
                     d /= streams
                     np.clip(d, -5, 5, out=d)
@@ -156,27 +178,30 @@ class Gru:
         """AdaGrad's sums before the first step."""
         return {k: np.full_like(v, 1e-6) for k, v in self.params.items()}
 
-    def score(self, ids: np.ndarray, target: np.ndarray, lengths: np.ndarray, window: int = 32) -> np.ndarray:
+    def score(self, ids: np.ndarray, target: np.ndarray, lengths: np.ndarray, window: int = 1 << 14) -> np.ndarray:
         """The log-probability (natural) of each text; ids and target hold the texts one after another.
 
         Texts run side by side, longest first, so that those still going on stand in front. The state
-        is carried from window to window until a text ends.
+        is carried from window to window, each of about ``window`` tokens, until a text ends.
         """
         order = np.argsort(-lengths, kind="stable")
         start, size = (np.cumsum(lengths) - lengths)[order], lengths[order]
         h, total = np.zeros((len(order), self.hidden), np.float32), np.zeros(len(order))
         going = np.searchsorted(-size, -np.arange(1, (size[0] if len(size) else 0) + 1), side="right")
-        for at in range(0, len(going), window):
-            states, places, rows = [], [], []
-            for t in range(at, min(at + window, len(going))):
-                n = going[t]
-                place = start[:n] + t
-                h = self.step(ids[place], h[:n])[0]
-                states.append(h)
-                places.append(place)
-                rows.append(np.arange(n))
-            logs, _ = self.log_prob(np.concatenate(states), target[np.concatenate(places)])
-            total += np.bincount(np.concatenate(rows), logs, len(total))
+        states, places, held = [], [], 0
+        for t, n in enumerate(going.tolist()):
+            place = start[:n] + t
+            h = self.step(ids[place], h[:n])[0]
+            states.append(h)
+            places.append(place)
+            held += n
+            if held >= window or t + 1 == len(going):
+                logs, _ = self.log_prob(np.concatenate(states), target[np.concatenate(places)])
+                at = 0
+                for x in places:
+                    total[: len(x)] += logs[at : at + len(x)]
+                    at += len(x)
+                states, places, held = [], [], 0
         out = np.empty(len(order))
         out[order] = total
         return out

@@ -10,13 +10,12 @@ words share by smoothed counts, so that its probabilities sum to one.
 from __future__ import annotations
 
 import math
-import zlib
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +28,7 @@ END = b""
 #: Words counted at once in a task, tokens scored at once, tokens learnt from at once.
 HELD, CHUNK, LEARNT = 300_000, 4_000_000, 1 << 20
 #: Texts that a task learns from side by side, and models averaged at once.
-STREAMS, FAN_IN = 256, 32
+STREAMS, FAN_IN = 1024, 32
 
 
 def words(text: str | None) -> list[bytes]:
@@ -47,47 +46,80 @@ def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(list(held.keys()), pa.binary()), pa.array(list(held.values()), pa.int64())], ["word", "c"])
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                held.update(words(text))
-                if len(held) > HELD:
-                    yield out()
-                    held.clear()
+            found, sizes = split_words(batch.column(0))
+            counts = found.value_counts()
+            for word, n in zip(counts.field(0).cast(pa.binary()).to_pylist(), counts.field(1).to_pylist(), strict=True):
+                held[word] += n
+            held[END] += len(sizes)
+            if len(held) > HELD:
+                yield out()
+                held.clear()
         yield out()
 
     counted = docs.select(text_col).mapInArrow(count, "word binary, c long")
     return counted.groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, one text after another and without ends, and the number of each text's."""
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    found, sizes = pc.list_flatten(parts), pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
+    there = pc.binary_length(found).to_numpy(zero_copy_only=False) > 0
+    if there.all():
+        return found, sizes
+    before = np.concatenate([[0], np.cumsum(there)])
+    ends = np.cumsum(sizes)
+    return found.filter(pa.array(there)), before[ends] - before[ends - sizes]
+
+
 class Vocabulary:
     """The end and the most frequent words, falling by count; the first ``n_model`` are the recurrent model's."""
 
     def __init__(self, names: list[bytes], counts: list[int], n_model: int, n_extra: int, total: int, distinct: int) -> None:
-        self.place = {w: i for i, w in enumerate(names)}
+        self.names, self.has_end = pa.array(names, pa.binary()).cast(pa.string()), END in names[:1]
         self.counts = np.array(counts, np.float64)
         self.n_model, self.n_extra = min(n_model, len(names)), n_extra
         self.total, self.distinct = total, distinct
-        self.mark = np.array([i if i < self.n_model else self.extra(w) for i, w in enumerate(names)], np.int64)
+        own = np.arange(len(names))
+        self.mark = np.where(own < self.n_model, own, self.extra(self.names))
         self.log_count = np.log10(self.counts + 0.1)
         self.log_all = math.log10(total + 0.1 * (distinct + 1))
         # words outside the model, and the unseen one
         self.log_rest = math.log10(max(0.0, total - self.counts[: self.n_model].sum()) + 0.1 * (distinct - self.n_model + 1))
 
-    def extra(self, word: bytes) -> int:
-        """The input mark of a word outside the model, by its ending."""
-        return self.n_model + zlib.crc32(word[-2:]) % self.n_extra
-
-    def places(self, tokens: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.place.get, tokens, repeat(-1)), np.int64, len(tokens))
-
-    def marks(self, tokens: list[bytes], places: np.ndarray) -> np.ndarray:
-        out = self.mark[places] if len(self.mark) else np.zeros(len(tokens), np.int64)
-        for k in np.flatnonzero(places < 0).tolist():
-            out[k] = self.extra(tokens[k])
-        return out
-
-
-def _inputs(marks: np.ndarray, start: int) -> np.ndarray:
-    return np.concatenate([[start], marks[:-1]])
+    def extra(self, words: pa.Array) -> np.ndarray:
+        """The input marks of words outside the model, by their endings."""
+        if not len(words):
+            return np.zeros(0, np.int64)
+        words = words.cast(pa.large_string())
+        ends = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+        data = np.concatenate([[0], np.frombuffer(words.buffers()[2] or b"", np.uint8), [0]]).astype(np.int64)
+        last, size = ends[1:], np.diff(ends)
+        ending = np.where(size > 0, data[last], 0) * 256 + np.where(size > 1, data[np.maximum(last - 1, 0)], 0)
+        return self.n_model + ending * 40503 % 65536 * self.n_extra // 65536
+
+    def tokens(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+        """Of all texts, each with its end: the place of each token or -1, its mark, the number of each text's; the words without a place and their numbers."""
+        words, sizes = split_words(texts)
+        coded = words.dictionary_encode()
+        turn = coded.indices.to_numpy(zero_copy_only=False)
+        place = pc.fill_null(pc.index_in(coded.dictionary, self.names), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        mark = np.where(place < 0, self.extra(coded.dictionary), self.mark[place] if len(self.mark) else 0)
+        ends = np.cumsum(sizes)
+        places = np.insert(place[turn], ends, 0 if self.has_end else -1)
+        end_mark = self.mark[0] if self.has_end else self.extra(pa.array([""]))[0]
+        strange = place[turn] < 0
+        before = np.concatenate([[0], np.cumsum(strange)])
+        return places, np.insert(mark[turn], ends, end_mark), sizes + 1, words.filter(pa.array(strange)), before[ends] - before[ends - sizes]
+
+
+def _inputs(marks: np.ndarray, sizes: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
+    """The input before each token of texts one after another, and where texts begin."""
+    first = np.zeros(len(marks), bool)
+    first[np.cumsum(sizes) - sizes] = True
+    out = np.roll(marks, 1)
+    out[first] = start
+    return out, first
 
 
 def train(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", id_col: str = "doc_id", most_tokens: int | None = None, most_classes: int = 48, hidden: int = 24, rounds: int = 4) -> Gru:
@@ -133,18 +165,17 @@ def train(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", id_co
                 own.train(np.concatenate(ids), np.concatenate(target), np.concatenate(first), min(STREAMS, max(16, n // 1024)), seen=seen)
 
             for batch in batches:
-                for text in batch.column(0).to_pylist():
-                    if most_tokens is not None and n + done >= most_tokens:
-                        continue
-                    tokens = words(text)
-                    marks = known.marks(tokens, known.places(tokens))
-                    ids.append(_inputs(marks, own.start_mark))
-                    target.append(marks)
-                    first.append(np.arange(len(tokens)) == 0)
-                    n += len(tokens)
-                    if n >= LEARNT:
-                        take()
-                        ids, target, first, n, done = [], [], [], 0, done + n
+                if most_tokens is not None and n + done >= most_tokens:
+                    continue
+                _, marks, sizes, _, _ = known.tokens(batch.column(0))
+                inputs, starting = _inputs(marks, sizes, own.start_mark)
+                ids.append(inputs)
+                target.append(marks)
+                first.append(starting)
+                n += len(marks)
+                if n >= LEARNT:
+                    take()
+                    ids, target, first, n, done = [], [], [], 0, done + n
             if ids:
                 take()
             if n + done:
@@ -189,42 +220,47 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, net = shared.value
-        held: list[tuple[object, bool, np.ndarray, np.ndarray, bytes]] = []
+        held: list[tuple] = []
         n = 0
 
         def out() -> pa.RecordBatch:
-            lengths = np.array([len(x[2]) for x in held], np.int64)
-            logs = net.score(np.concatenate([_inputs(x[3], net.start_mark) for x in held]), np.concatenate([x[3] for x in held]), lengths) / math.log(10)
-            base = [known.log_count[x[2][x[2] >= 0]].sum() for x in held]
+            ids, outs, places, marks, sizes, rare, n_rare = zip(*held, strict=True)
+            places, marks, sizes, n_rare = map(np.concatenate, (places, marks, sizes, n_rare))
+            inputs, _ = _inputs(marks, sizes, net.start_mark)
+            logs = net.score(inputs, marks, sizes) / math.log(10)
+            begin = np.cumsum(sizes) - sizes
+            there = places >= 0
+            safe = np.where(there, places, 0)
+            each = known.log_count[safe] if len(known.log_count) else np.zeros(len(places))
+            base = np.add.reduceat(np.where(there, each, 0), begin)
             # words of the table outside the model; those outside the table are joined
-            logs += [(known.log_count[p] - known.log_rest).sum() for p in (x[2][x[2] >= known.n_model] for x in held)]
-            if END not in known.place:  # nothing was learnt
-                base, logs = [b - 1 for b in base], logs - 1 - known.log_rest
-            found = [int((x[2] >= 0).sum()) for x in held]
-            columns = [pa.array([x[0] for x in held], id_type), pa.array([x[1] for x in held]), pa.array(lengths), pa.array(found, pa.int64()), pa.array(base, pa.float64()), pa.array(logs), pa.array([x[4] for x in held], pa.binary())]
+            logs += np.add.reduceat(np.where(places >= known.n_model, each - known.log_rest, 0), begin)
+            if not known.has_end:  # nothing was learnt
+                base, logs = base - 1, logs - 1 - known.log_rest
+            found = np.add.reduceat(there.astype(np.int64), begin)
+            words = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_rare)]), pa.int32()), pa.concat_arrays(rare))
+            columns = [pa.concat_arrays(ids), pa.concat_arrays(outs), pa.array(sizes, pa.int64()), pa.array(found), pa.array(base, pa.float64()), pa.array(logs, pa.float64()), words]
             return pa.RecordBatch.from_arrays(columns, ["id", "held_out", "n_tokens", "found", "base", "logs", "rare"])
 
-        id_type = None
         for batch in batches:
-            id_type = batch.schema.field("id").type
-            for doc_id, held_out, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                tokens = words(text)
-                places = known.places(tokens)
-                rare = b" ".join([tokens[k] for k in np.flatnonzero(places < 0).tolist() if tokens[k]])
-                held.append((doc_id, held_out, places.astype(np.int32), known.marks(tokens, places).astype(np.int32), rare))
-                n += len(tokens)
-                if n >= CHUNK:
-                    yield out()
-                    held, n = [], 0
+            if not batch.num_rows:
+                continue
+            ids, outs, texts = batch.columns
+            places, marks, sizes, rare, n_rare = known.tokens(texts)
+            held.append((ids, outs, places.astype(np.int32), marks.astype(np.int32), sizes, rare, n_rare))
+            n += len(marks)
+            if n >= CHUNK:
+                yield out()
+                held, n = [], 0
         if held:
             yield out()
 
     kind = docs.schema[id_col].dataType.simpleString()
     passed = rows.select("id", (id_bucket(F.col("id"), folds) == 0).alias("held_out"), "text")
-    passed = passed.mapInArrow(score, f"id {kind}, held_out boolean, n_tokens long, found long, base double, logs double, rare binary")
+    passed = passed.mapInArrow(score, f"id {kind}, held_out boolean, n_tokens long, found long, base double, logs double, rare array<string>")
     # row numbers are given after the checkpoint, whose partitions stay as they are
     passed = cut(passed).withColumn("row", F.monotonically_increasing_id())
-    rare = passed.where(F.octet_length("rare") > 0).select("row", F.explode(F.split(F.col("rare").cast("string"), " ")).alias("word"))
+    rare = passed.select("row", F.explode("rare").alias("word"))
     joined = rare.join(counts.select(F.col("word").cast("string").alias("word"), "c"), "word", "left")
     sums = joined.groupBy("row").agg(F.count(F.lit(1)).alias("n"), F.count("c").alias("known"), F.sum(F.log10(F.coalesce("c", F.lit(0)) + 0.1)).alias("log"))
     whole = passed.drop("rare").join(sums, "row", "left").na.fill(0, ["n", "known", "log"])

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -671,6 +672,46 @@ def test_unigram_scores_and_proper_model(spark):
     assert {r.train_tokens for r in lm.score_documents(held).collect()} == {0}
 
 
+def test_tokens_of_a_batch():
+    texts = [None, "", "  a B\tc ", "\x0b\x0cé É a", "\u00a0x y\x1fz A", "a " * 5000, "a"]
+    known = lm.Vocabulary([b"", b"a", b"b"], [9, 5, 2], 2, 4, 20, 6)
+    places, marks, sizes, rare, n_rare = known.tokens(pa.array(texts))
+    at, words = 0, rare.to_pylist()
+    for t, size, n in zip(texts, sizes, n_rare, strict=True):
+        tokens = lm.words(t)
+        assert len(tokens) == size and [known.names.to_pylist()[p].encode() if p >= 0 else None for p in places[at : at + size]] == [w if w in (b"", b"a", b"b") else None for w in tokens]
+        assert [w.encode() for w in words[:n]] == [w for w in tokens if w not in (b"", b"a", b"b")]
+        at, words = at + size, words[n:]
+    assert at == len(places) and not words and ((marks < 2) == (places >= 0) & (places < 2)).all() and marks.max() < 2 + 4
+    inputs, first = lm._inputs(marks, sizes, 6)
+    assert first.sum() == len(texts) and (inputs[first] == 6).all() and (inputs[1:][~first[1:]] == marks[:-1][~first[1:]]).all()
+    assert [len(x) for x in known.tokens(pa.array([], pa.string()))] == [0, 0, 0, 0, 0]
+
+
+def test_score_is_the_sum_over_tokens(spark):
+    """Scores with rare and long words outside every table against the model taken token by token."""
+    rng = random.Random(12)
+    texts = [" ".join(rng.choice(["aa", "bb", "cc", "dd", "ee", "f" * 80, "g" * 300]) for _ in range(rng.randint(0, 15))) for _ in range(60)] + [None]
+    df = spark.createDataFrame([(k, t, 1, 2.0, "x") for k, t in enumerate(texts)], "doc_id long, text string, row int, logs double, rare string").repartition(1)
+    got = {r.doc_id: r for r in lm.score_documents(df, table_words=4, model_words=3).collect()}
+    # a text's score less the recurrent part is the share of words outside the model, so that all words' probabilities sum to one
+    count = Counter(w for k, t in enumerate(texts) if zlib.crc32(str(k).encode()) % 10 for w in lm.words(t))
+    order = sorted(((w, c) for w, c in count.items() if len(w) <= 64), key=lambda x: (len(x[0]) > 0, -x[1], x[0]))[:4]
+    known = lm.Vocabulary([w for w, _ in order], [c for _, c in order], 3, 64, sum(count.values()), len(count))
+    net = lm.train(df.where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(10)) != 0), known)
+    inside = [w for w, _ in order[:3]]
+    rest = sum(count.values()) - sum(count[w] for w in inside) + 0.1 * (len(count) - 3 + 1)
+    for k, t in enumerate(texts):
+        _, marks, sizes, _, _ = known.tokens(pa.array([t], pa.string()))
+        inputs, _ = lm._inputs(marks, sizes, net.start_mark)
+        h, want = np.zeros((1, net.hidden), np.float32), 0.0
+        for i, m, w in zip(inputs, marks, lm.words(t), strict=True):
+            h = net.step(np.array([i]), h)[0]
+            want += net.log_prob(h, np.array([m]))[0][0] / math.log(10)
+            want += 0 if w in inside else math.log10((count[w] + 0.1) / rest)
+        assert got[k].score == pytest.approx(want, rel=2e-3), k
+
+
 def test_recurrent_model_learns_from_every_text(spark):
     rng = random.Random(16)
     vocab = [f"w{k}" for k in range(60)] + ["ping", "pong"]
@@ -682,9 +723,8 @@ def test_recurrent_model_learns_from_every_text(spark):
     counts = Counter(tokens).most_common()
     known = lm.Vocabulary([w for w, _ in counts], [c for _, c in counts], 100, 4, len(tokens), len(counts))
     net = lm.train(df, known)
-    asked = lm.words("ping pong " * 50)
-    marks = known.marks(asked, known.places(asked))
-    score = net.score(lm._inputs(marks, net.start_mark), marks, np.array([len(marks)]))[0]
+    _, marks, sizes, _, _ = known.tokens(pa.array(["ping pong " * 50]))
+    score = net.score(lm._inputs(marks, sizes, net.start_mark)[0], marks, sizes)[0]
     assert score / len(marks) > -2
     assert net.trained == len(tokens)
 
@@ -709,6 +749,43 @@ def test_gru_sums_to_one_learns_and_carries_state():
     assert np.allclose(both, alone, atol=1e-3)
 
 
+def test_gru_back_propagation_is_right():
+    from ensemblar.llm.gru import Gru
+
+    rng = np.random.default_rng(2)
+    ids, target = rng.integers(0, 7, 6), rng.integers(0, 6, 6)
+    first = np.array([True, False, False, True, False, False])
+
+    def loss(net):
+        h, total = np.zeros((1, 3)), 0.0
+        for i, m, f in zip(ids, target, first, strict=True):
+            h = net.step(np.array([i]), h * (not f))[0]
+            total -= net.log_prob(h, np.array([m]))[0][0]
+        return total
+
+    def fresh():
+        net = Gru(np.array([0, 2, 4]), n_extra=2, hidden=3, seed=3)
+        for k in net.params:
+            net.params[k] = net.params[k].astype(np.float64)
+        return net
+
+    # one step of one window: AdaGrad's sums are the squares of the slopes, whose signs the steps show
+    after, seen = fresh(), {k: np.full(v.shape, 1e-12) for k, v in fresh().params.items()}
+    after.train(ids, target, first, streams=1, window=6, rate=1e-9, seen=seen)
+    for k in ("gates", "state", "inputs"):
+        base = fresh()
+        for at in np.ndindex(base.params[k].shape):
+            base.params[k][at] += 1e-6
+            up = loss(base)
+            base.params[k][at] -= 2e-6
+            down = loss(base)
+            base.params[k][at] += 1e-6
+            slope = (up - down) / 2e-6
+            assert np.sqrt(max(0, seen[k][at] - 1e-12)) == pytest.approx(abs(slope), abs=1e-4), (k, at)
+            if abs(slope) > 1e-3:
+                assert np.sign(base.params[k][at] - after.params[k][at]) == np.sign(slope)
+
+
 def test_gru_slopes_are_right():
     from ensemblar.llm.gru import Gru
 
