@@ -1,11 +1,17 @@
 """Block bootstrap on sufficient statistics.
 
 Weights are alike within a block, so that sums are made by block once and
-every replicate weighs those. Draws are keyed numbers: the same everywhere.
+every replicate weighs those: the sums of a key's blocks are packed in one row, and all its replicates are
+one product with the matrix of weights, whose size is that of replicates times blocks, whatever the grid.
+Draws are keyed numbers: the same everywhere.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,7 +25,7 @@ def block_numbers(blocks: DataFrame, block: str = "block") -> DataFrame:
     return distinct.withColumn("k", F.row_number().over(Window.orderBy(block)) - 1)
 
 
-def weights(blocks: DataFrame, replicates: int, seed: int = 0, block: str = "block") -> DataFrame:
+def weights(blocks: DataFrame, replicates: int = 1000, seed: int = 0, block: str = "block") -> DataFrame:
     """(replicate, block, weight): replicate 0 is the sample as it is; the others draw as many blocks as there are, with return."""
     numbered = block_numbers(blocks, block)
     n = numbered.agg(F.count(F.lit(1)).alias("n"))
@@ -39,16 +45,90 @@ def pair_sums(df: DataFrame, by: list[str], f: str, o: str) -> DataFrame:
 SUMS = ("n", "f", "o", "ff", "oo", "fo")
 
 
-def weigh(sums: DataFrame, w: DataFrame, by: list[str], columns: tuple[str, ...] = SUMS, block: str = "block") -> DataFrame:
-    """Sums of each replicate, from sums by block."""
-    return sums.join(w, block).groupBy("replicate", *by).agg(*(F.sum(F.col("weight") * F.col(c)).alias(c) for c in columns))
-
-
-def correlation(least_variance: float = 1e-14) -> Column:
-    """Correlation from the six sums."""
-    n, f, o, ff, oo, fo = (F.col(c) for c in SUMS)
-    vf, vo = ff / n - f / n * (f / n), oo / n - o / n * (o / n)
-    return F.when((n > 1) & (vf > least_variance) & (vo > least_variance), (fo / n - f / n * (o / n)) / (F.sqrt(vf) * F.sqrt(vo)))
+#: Numbers that a matrix of weights may hold.
+MOST_WEIGHTS = 1 << 26
+
+
+def weight_matrix(w: DataFrame, block: str = "block") -> tuple[dict, np.ndarray]:
+    """The place of each block, and the weights: a row a replicate, a column a block."""
+    held = w.select("replicate", block, "weight").toPandas()
+    blocks = {b: k for k, b in enumerate(sorted(held[block].unique()))}
+    rows = int(held["replicate"].max()) + 1 if len(held) else 0
+    if rows * len(blocks) > MOST_WEIGHTS:
+        raise ValueError("too many replicates times blocks; take larger blocks")
+    matrix = np.zeros((rows, len(blocks)))
+    matrix[held["replicate"].to_numpy(), held[block].map(blocks).to_numpy(int)] = held["weight"]
+    return blocks, matrix
+
+
+def _packed(sums: DataFrame, by: list[str], columns: tuple[str, ...], block: str) -> DataFrame:
+    return sums.groupBy(*by).agg(F.collect_list(F.struct(F.col(block).alias("block"), *columns)).alias("packed"))
+
+
+def _products(batch: pa.RecordBatch, blocks: dict, matrix: np.ndarray, columns: tuple[str, ...]) -> np.ndarray:
+    """(rows, columns, replicates) of a batch of packed rows."""
+    packed = batch.column(batch.num_columns - 1)
+    inner, sizes = packed.flatten(), packed.value_lengths().to_numpy()
+    held = np.zeros((batch.num_rows, len(columns), len(blocks)))
+    row, place = np.repeat(np.arange(batch.num_rows), sizes), np.array([blocks[b] for b in inner.field(0).to_pylist()], int)
+    for k in range(len(columns)):
+        held[row, k, place] = inner.field(k + 1).to_numpy(zero_copy_only=False)
+    return held @ matrix.T
+
+
+def replicate_sums(sums: DataFrame, w: DataFrame, by: list[str], columns: tuple[str, ...], block: str = "block") -> DataFrame:
+    """(by, replicate, columns): the sums of each replicate, from sums by block."""
+    blocks, matrix = weight_matrix(w, block)
+    packed = _packed(sums, by, columns, block)
+
+    def multiply(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = _products(batch, blocks, matrix, columns)
+            n = matrix.shape[0]
+            keys = [batch.column(k).take(pa.array(np.repeat(np.arange(batch.num_rows), n))) for k in range(len(by))]
+            replicate = pa.array(np.tile(np.arange(n, dtype=np.int32), batch.num_rows))
+            yield pa.RecordBatch.from_arrays([*keys, replicate, *(pa.array(got[:, k].reshape(-1)) for k in range(len(columns)))], [*by, "replicate", *columns])
+
+    kinds = [f"{c} {packed.schema[c].dataType.simpleString()}" for c in by]
+    return packed.mapInArrow(multiply, ", ".join([*kinds, "replicate int", *(f"{c} double" for c in columns)]))
+
+
+def replicate_regional_correlation(sums: DataFrame, w: DataFrame, by: list[str], cells: DataFrame, block: str = "block", least: float = 1e-9) -> DataFrame:
+    """(by, region, replicate, r): in each replicate the correlation of every cell, then its mean over the region's cells that have one.
+
+    ``sums`` are those of ``pair_sums`` by block, ``by`` and cell; ``cells`` has (cell, region, weight), a row for each region that holds
+    the cell. A cell whose variances are not above ``least`` of its mean squares has no correlation. A task adds up its
+    cells, so that what is shuffled grows with the number of regions and not with the grid.
+    """
+    blocks, matrix = weight_matrix(w, block)
+    placed = cells.groupBy("cell").agg(F.collect_list(F.struct("region", "weight")).alias("regions"))
+    packed = _packed(sums, [*by, "cell"], SUMS, block).join(placed, "cell").select(*by, "regions", "packed")
+
+    def correlate(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            n, f, o, ff, oo, fo = np.moveaxis(_products(batch, blocks, matrix, SUMS), 1, 0)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                vf, vo = ff / n - (f / n) ** 2, oo / n - (o / n) ** 2
+                fits = (n > 1) & (vf > least * ff / n) & (vo > least * oo / n)
+                r = np.where(fits, (fo / n - f / n * (o / n)) / np.sqrt(np.where(fits, vf * vo, 1)), 0)
+            for k, (*key, regions) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(len(by) + 1)), strict=True)):
+                for x in regions:
+                    held = totals.setdefault((*key, x["region"]), np.zeros((2, len(matrix))))
+                    held += x["weight"] * np.stack([r[k], fits[k]])
+        if totals:
+            n = len(matrix)
+            keys = pa.array(np.repeat(np.arange(len(totals)), n))
+            names = [pa.array(list(c)).take(keys) for c in zip(*totals, strict=True)]
+            values = np.concatenate(list(totals.values()), 1)
+            names = [c.cast(t) for c, t in zip(names, types, strict=True)]
+            yield pa.RecordBatch.from_arrays([*names, pa.array(np.tile(np.arange(n, dtype=np.int32), len(totals))), pa.array(values[0]), pa.array(values[1])], [*by, "region", "replicate", "wr", "w"])
+
+    kinds = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "date": pa.date32()}
+    types = [*(kinds[packed.schema[c].dataType.simpleString()] for c in by), pa.string()]
+    schema = ", ".join([*(f"{c} {packed.schema[c].dataType.simpleString()}" for c in by), "region string, replicate int, wr double, w double"])
+    parts = packed.mapInArrow(correlate, schema).groupBy(*by, "region", "replicate").agg(F.sum("wr").alias("wr"), F.sum("w").alias("w"))
+    return parts.select(*by, "region", "replicate", F.try_divide("wr", "w").alias("r"))
 
 
 def intervals(scores: DataFrame, by: list[str], value: str, low: float = 0.025, high: float = 0.975) -> DataFrame:
@@ -58,9 +138,12 @@ def intervals(scores: DataFrame, by: list[str], value: str, low: float = 0.025,
 
 
 def paired_difference(scores: DataFrame, a: str, b: str, keys: list[str], value: str) -> DataFrame:
-    """a minus b on the same replicates: value, interval, significance and the share above 0."""
-    left, right = (scores.where(F.col("model") == m).select("replicate", *keys, F.col(value).alias(n)) for m, n in ((a, "_a"), (b, "_b")))
-    d = left.join(right, ["replicate", *keys]).withColumn("d", F.col("_a") - F.col("_b"))
-    above = F.avg(F.when(F.col("replicate") > 0, (F.col("d") > 0).cast("double")))
-    out = intervals(d, keys, "d").join(d.groupBy(*keys).agg(above.alias("p_gt0")), keys)
-    return out.withColumn("significant", (F.col("low") > 0) | (F.col("high") < 0))
+    """a minus b on the same replicates: value, interval, significance and the share above 0; one pass over the replicates, and one over their differences. Differences within 1e-9 of 0 are rounding."""
+    of = lambda m: F.max(F.when(F.col("model") == m, F.col(value)))
+    d = scores.groupBy("replicate", *keys).agg((of(a) - of(b)).alias("d"))
+    own, other = F.col("replicate") == 0, F.when(F.col("replicate") > 0, F.col("d"))
+    out = d.groupBy(*keys).agg(
+        F.max(F.when(own, F.col("d"))).alias("value"), F.percentile(other, F.lit(0.025)).alias("low"), F.percentile(other, F.lit(0.975)).alias("high"),
+        F.avg((other > 1e-9).cast("double")).alias("p_gt0"),
+    )
+    return out.withColumn("significant", (F.col("low") > 1e-9) | (F.col("high") < -1e-9))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.maths import mjo_phase, sqrt_cos_weight, transition_group, uniform
-from ..operators import climate, indices, monsoon, regrid, resample, scores
+from ..operators import climate, indices, masks, monsoon, regrid, resample, scores
 from ..sources import readers
 from .registry import Tables, query, rounded, uniform_sql
 
@@ -232,9 +232,16 @@ def onset_statistics(t: Tables) -> DataFrame:
 
 # Resampling
 
-R = 50
-BLOCKS = f"wk as (select *, year(init_date) || '-' || lpad(month(init_date)::varchar, 2, '0') as block from weekly where fa is not null and oa is not null), num as (select block, row_number() over (order by block) - 1 as k from (select distinct block from wk)), cnt as (select count(*) as nb from num), draws as (select r::int as replicate, floor({uniform_sql('7, r, d')} * nb)::int as k from cnt, range(1, {R + 1}) x(r), range(10000) y(d) where d < nb), bw as (select replicate, block, count(*) as weight from draws join num using (k) group by 1, 2 union all select 0, block, 1 from num)"
-SUMS = "sums as (select block, model, week, count(*) as n, sum(fa) as f, sum(oa) as o, sum(fa * fa) as ff, sum(oa * oa) as oo, sum(fa * oa) as fo from wk group by 1, 2, 3), rep as (select replicate, model, week, sum(weight * n)::double as n, sum(weight * f) as f, sum(weight * o) as o, sum(weight * ff) as ff, sum(weight * oo) as oo, sum(weight * fo) as fo from sums join bw using (block) group by 1, 2, 3), cor as (select replicate, model, week, case when n > 1 and ff / n - f / n * (f / n) > 1e-14 and oo / n - o / n * (o / n) > 1e-14 then (fo / n - f / n * (o / n)) / (sqrt(ff / n - f / n * (f / n)) * sqrt(oo / n - o / n * (o / n))) end as r from rep)"
+R = 1000
+
+
+def _drawn(seed: int) -> str:
+    return f"num as (select block, row_number() over (order by block) - 1 as k from (select distinct block from blocked)), cnt as (select count(*)::int as nb from num), draws as (select r::int as replicate, floor({uniform_sql(f'{seed}, r, d')} * nb)::int as k from (select nb, unnest(range(nb)) as d from cnt), range(1, {R + 1}) x(r)), bw as (select replicate, block, count(*) as weight from draws join num using (k) group by 1, 2 union all select 0, block, 1 from num)"
+
+
+BLOCKS = f"blocked as (select *, year(init_date) || '-' || lpad(month(init_date)::varchar, 2, '0') as block from weekly where fa is not null and oa is not null), {_drawn(7)}"
+# each cell's correlation in each replicate, then the mean over a region's cells that have one
+REGIONAL = "sums as (select block, model, week, cell, count(*) as n, sum(fa) as f, sum(oa) as o, sum(fa * fa) as ff, sum(oa * oa) as oo, sum(fa * oa) as fo from blocked group by 1, 2, 3, 4), rep as (select replicate, model, week, cell, sum(weight * n)::double as n, sum(weight * f) as f, sum(weight * o) as o, sum(weight * ff) as ff, sum(weight * oo) as oo, sum(weight * fo) as fo from sums join bw using (block) group by 1, 2, 3, 4), v as (select *, ff / n - (f / n) ** 2 as vf, oo / n - (o / n) ** 2 as vo from rep), tcc as (select replicate, model, week, cell, case when n > 1 and vf > 1e-9 * ff / n and vo > 1e-9 * oo / n then (fo / n - f / n * (o / n)) / sqrt(vf * vo) end as r from v), located as (select *, cos(radians(lat)) as w, unnest(case when abs(lat) <= 20 then ['global', 'tropics'] when lat > 0 then ['global', 'NH'] else ['global', 'SH'] end) as region from tcc join cells using (cell)), cor as (select replicate, model, week, region, sum(w * r) / sum(case when r is not null then w end) as r from located group by 1, 2, 3, 4), keys as (select * from (select distinct replicate from bw), (select distinct model, week, region from cor)), whole as (select * from keys left join cor using (replicate, model, week, region))"
 
 
 def _weekly_blocks(t: Tables) -> DataFrame:
@@ -245,9 +252,9 @@ def _weekly_blocks(t: Tables) -> DataFrame:
 
 def _replicates(t: Tables) -> DataFrame:
     wk = _weekly_blocks(t)
-    sums = resample.pair_sums(wk, ["block", "model", "week"], "fa", "oa")
-    rep = resample.weigh(sums, resample.weights(wk, R, seed=7), ["model", "week"])
-    return rep.select("replicate", "model", "week", resample.correlation().alias("r"))
+    sums = resample.pair_sums(wk, ["block", "model", "week", "cell"], "fa", "oa")
+    regions = masks.cell_region(t.cells).select("cell", "region", F.cos(F.radians("lat")).alias("weight"))
+    return resample.replicate_regional_correlation(sums, resample.weights(wk, R, seed=7), ["model", "week"], regions)
 
 
 @query("b1_block_weights", f"with {BLOCKS} select replicate, block, weight from bw")
@@ -256,44 +263,44 @@ def block_weights(t: Tables) -> DataFrame:
     return resample.weights(_weekly_blocks(t), R, seed=7).withColumn("weight", F.col("weight").cast("long"))
 
 
-@query("b2_replicate_tcc", f"with {BLOCKS}, {SUMS} select replicate, model, week, round(r, 4) as r from cor")
+@query("b2_replicate_tcc", f"with {BLOCKS}, {REGIONAL} select replicate, model, week, region, round(r, 4) as r from whole")
 def replicate_tcc(t: Tables) -> DataFrame:
-    """B2: correlations of replicates out of block sums."""
+    """B2: in each replicate a correlation for each cell out of block sums, then the regions' cos-lat means."""
     return rounded(_replicates(t))
 
 
-@query("b3_tcc_interval", f"with {BLOCKS}, {SUMS} select model, week, round(max(r) filter (replicate = 0), 4) as value, round(quantile_cont(r, 0.025) filter (replicate > 0), 4) as low, round(quantile_cont(r, 0.975) filter (replicate > 0), 4) as high from cor group by 1, 2")
+@query("b3_tcc_interval", f"with {BLOCKS}, {REGIONAL} select model, week, region, round(max(r) filter (replicate = 0), 4) as value, round(quantile_cont(r, 0.025) filter (replicate > 0), 4) as low, round(quantile_cont(r, 0.975) filter (replicate > 0), 4) as high from whole group by 1, 2, 3")
 def tcc_interval(t: Tables) -> DataFrame:
-    """Exact percentile intervals."""
-    return rounded(resample.intervals(_replicates(t), ["model", "week"], "r"))
+    """Exact percentile intervals of regional means."""
+    return rounded(resample.intervals(_replicates(t), ["model", "week", "region"], "r"))
 
 
-@query("b4_paired_difference", f"with {BLOCKS}, {SUMS}, d as (select a.replicate, a.week, a.r - b.r as d from cor a join cor b on a.replicate = b.replicate and a.week = b.week and a.model = 'A' and b.model = 'B'), q as (select week, max(d) filter (replicate = 0) as value, quantile_cont(d, 0.025) filter (replicate > 0) as low, quantile_cont(d, 0.975) filter (replicate > 0) as high, avg((d > 0)::int) filter (replicate > 0) as p_gt0 from d group by 1) select week, round(value, 4) as value, round(low, 4) as low, round(high, 4) as high, round(p_gt0, 4) as p_gt0, low > 0 or high < 0 as significant from q")
+@query("b4_paired_difference", f"with {BLOCKS}, {REGIONAL}, d as (select replicate, week, region, max(r) filter (model = 'A') - max(r) filter (model = 'B') as d from whole group by 1, 2, 3), q as (select week, region, max(d) filter (replicate = 0) as value, quantile_cont(d, 0.025) filter (replicate > 0) as low, quantile_cont(d, 0.975) filter (replicate > 0) as high, avg((d > 1e-9)::int) filter (replicate > 0) as p_gt0 from d group by 1, 2) select week, region, round(value, 4) as value, round(low, 4) as low, round(high, 4) as high, round(p_gt0, 4) as p_gt0, low > 1e-9 or high < -1e-9 as significant from q")
 def paired_difference(t: Tables) -> DataFrame:
     """One model minus the other on the same replicates."""
-    return rounded(resample.paired_difference(_replicates(t), "A", "B", ["week"], "r"))
+    return rounded(resample.paired_difference(_replicates(t), "A", "B", ["week", "region"], "r"))
 
 
-BIVB = f"m as (select f.model, f.lead_day, f.init_date, avg(rmm1) as f1, avg(rmm2) as f2, any_value(o1) as o1, any_value(o2) as o2 from rmm f join rmm_obs b on b.valid_date = f.init_date + f.lead_day group by 1, 2, 3), mb as (select *, year(init_date)::varchar as block from m), num as (select block, row_number() over (order by block) - 1 as k from (select distinct block from mb)), cnt as (select count(*) as nb from num), draws as (select r::int as replicate, floor({uniform_sql('3, r, d')} * nb)::int as k from cnt, range(1, {R + 1}) x(r), range(1000) y(d) where d < nb), bw as (select replicate, block, count(*) as weight from draws join num using (k) group by 1, 2 union all select 0, block, 1 from num), s as (select block, model, lead_day, sum(f1 * o1 + f2 * o2) as fo, sum(f1 * f1 + f2 * f2) as ff, sum(o1 * o1 + o2 * o2) as oo from mb group by 1, 2, 3), acc as (select replicate, model, lead_day, sum(weight * fo) / sqrt(sum(weight * ff) * sum(weight * oo)) as acc from s join bw using (block) group by 1, 2, 3)"
+BIVB = f"m as (select f.model, f.lead_day, f.init_date, avg(rmm1) as f1, avg(rmm2) as f2, any_value(o1) as o1, any_value(o2) as o2 from rmm f join rmm_obs b on b.valid_date = f.init_date + f.lead_day group by 1, 2, 3), blocked as (select *, init_date::varchar as block from m), {_drawn(3)}, s as (select block, model, lead_day, sum(f1 * o1 + f2 * o2) as fo, sum(f1 * f1 + f2 * f2) as ff, sum(o1 * o1 + o2 * o2) as oo from blocked group by 1, 2, 3), acc as (select replicate, model, lead_day, sum(weight * fo) / sqrt(sum(weight * ff) * sum(weight * oo)) as acc from s join bw using (block) group by 1, 2, 3), keys as (select * from (select distinct replicate from bw), (select distinct model, lead_day from s)), whole as (select * from keys left join acc using (replicate, model, lead_day))"
 
 
 def _acc_replicates(t: Tables) -> DataFrame:
     f1, f2, o1, o2 = (F.col(c) for c in ("f1", "f2", "o1", "o2"))
-    m = indices.trajectory(t.rmm, t.rmm_obs).withColumn("block", F.year("init_date").cast("string"))
+    m = indices.trajectory(t.rmm, t.rmm_obs).withColumn("block", F.col("init_date").cast("string"))
     s = m.groupBy("block", "model", "lead_day").agg(F.sum(f1 * o1 + f2 * o2).alias("fo"), F.sum(f1 * f1 + f2 * f2).alias("ff"), F.sum(o1 * o1 + o2 * o2).alias("oo"))
-    rep = resample.weigh(s, resample.weights(m, R, seed=3), ["model", "lead_day"], ("fo", "ff", "oo"))
+    rep = resample.replicate_sums(s, resample.weights(m, R, seed=3), ["model", "lead_day"], ("fo", "ff", "oo"))
     return rep.select("replicate", "model", "lead_day", F.try_divide("fo", F.sqrt(F.col("ff") * F.col("oo"))).alias("acc"))
 
 
-@query("b5_bivariate_bootstrap", f"with {BIVB} select model, lead_day, round(max(acc) filter (replicate = 0), 4) as value, round(quantile_cont(acc, 0.025) filter (replicate > 0), 4) as low, round(quantile_cont(acc, 0.975) filter (replicate > 0), 4) as high from acc group by 1, 2")
+@query("b5_bivariate_bootstrap", f"with {BIVB} select model, lead_day, round(max(acc) filter (replicate = 0), 4) as value, round(quantile_cont(acc, 0.025) filter (replicate > 0), 4) as low, round(quantile_cont(acc, 0.975) filter (replicate > 0), 4) as high from whole group by 1, 2")
 def bivariate_bootstrap(t: Tables) -> DataFrame:
-    """Intervals of the bivariate ACC."""
+    """Intervals of the bivariate ACC over draws of inits."""
     return rounded(resample.intervals(_acc_replicates(t), ["model", "lead_day"], "acc"))
 
 
-@query("b6_skill_day_interval", f"with {BIVB}, l as (select *, lag(lead_day) over (partition by replicate, model order by lead_day) as bl from acc), k as (select replicate, model, coalesce(min(case when acc < 0.05 then coalesce(bl, 0) end), max(lead_day))::double as day, max(lead_day) as top from l group by 1, 2), q as (select model, max(day) filter (replicate = 0) as value, quantile_cont(day, 0.025) filter (replicate > 0) as low, quantile_cont(day, 0.975) filter (replicate > 0) as high, max(top) as top from k group by 1) select model, value, round(low, 4) as low, round(high, 4) as high, high >= top as censored from q")
+@query("b6_skill_day_interval", f"with {BIVB}, l as (select *, lag(lead_day) over (partition by replicate, model order by lead_day) as bl from whole), k as (select replicate, model, coalesce(min(case when acc < 0.05 then coalesce(bl, 0) end), max(lead_day))::double as day, max(lead_day) as top from l group by 1, 2), q as (select model, max(day) filter (replicate = 0) as value, quantile_cont(day, 0.025) filter (replicate > 0) as low, quantile_cont(day, 0.975) filter (replicate > 0) as high, max(top) as top from k group by 1) select model, value, round(low, 4) as low, round(high, 4) as high, high >= top as censored from q")
 def skill_day_interval(t: Tables) -> DataFrame:
-    """The skill day's interval, and whether its end is the last lead."""
+    """The skill day's interval on the same draws of inits, and whether its end is the last lead."""
     acc = _acc_replicates(t)
     days = scores.skill_day(acc, ["replicate", "model"], "before_drop", 0.05)
     top = acc.groupBy("model").agg(F.max("lead_day").alias("top"))
@@ -301,7 +308,7 @@ def skill_day_interval(t: Tables) -> DataFrame:
     return rounded(out.select("model", "value", "low", "high", (F.col("high") >= F.col("top")).alias("censored")))
 
 
-CONS = f"pairs as (select f.model, f.lead_day, f.init_date, avg((sqrt(rmm1 ** 2 + rmm2 ** 2) >= 1)::int) as p from rmm f join rmm_obs b on b.valid_date = f.init_date + f.lead_day group by 1, 2, 3), red as (select r::int as replicate, least(floor(p * 5)::int, 4) as bin, ({uniform_sql('5, r, model, init_date, lead_day')} < p)::int as o from pairs, range(1, 21) x(r)), f as (select replicate, bin, avg(o) as freq from red group by 1, 2)"
+CONS = f"pairs as (select f.model, f.lead_day, f.init_date, avg((sqrt(rmm1 ** 2 + rmm2 ** 2) >= 1)::int) as p from rmm f join rmm_obs b on b.valid_date = f.init_date + f.lead_day group by 1, 2, 3), red as (select r::int as replicate, least(floor(p * 5)::int, 4) as bin, ({uniform_sql('5, r, model, init_date, lead_day')} < p)::int as o from pairs, range(1, {R + 1}) x(r)), f as (select replicate, bin, avg(o) as freq from red group by 1, 2)"
 
 
 @query("b7_consistency_band", f"with {CONS} select bin, round(quantile_cont(freq, 0.05), 4) as low, round(quantile_cont(freq, 0.95), 4) as high from f group by 1")
@@ -309,7 +316,7 @@ def consistency_band(t: Tables) -> DataFrame:
     """Where observed frequencies would lie if the probabilities were right."""
     m = t.rmm.withColumn("valid_date", F.date_add("init_date", F.col("lead_day"))).join(t.rmm_obs, "valid_date")
     pairs = m.groupBy("model", "lead_day", "init_date").agg(F.avg((F.sqrt(F.col("rmm1") * F.col("rmm1") + F.col("rmm2") * F.col("rmm2")) >= 1).cast("double")).alias("p"))
-    drawn = pairs.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(20))))
+    drawn = pairs.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(R))))
     drawn = drawn.withColumn("o", (uniform(F.lit(5), "replicate", "model", "init_date", "lead_day") < F.col("p")).cast("int"))
     f = drawn.groupBy("replicate", scores.event_bins(F.col("p"), 5).alias("bin")).agg(F.avg("o").alias("freq"))
     return rounded(f.groupBy("bin").agg(F.percentile("freq", F.lit(0.05)).alias("low"), F.percentile("freq", F.lit(0.95)).alias("high")))

@@ -173,13 +173,33 @@ def test_flat_files(spark, tmp_path):
     assert readers.files_of(spark, str(tmp_path / "f")).count() == 1
 
 
-def test_replicate_zero_is_the_sample(spark):
-    df = spark.createDataFrame([(f"b{k % 4}", float(k), float(k * k % 7)) for k in range(20)], "block string, fa double, oa double")
-    sums = resample.pair_sums(df, ["block"], "fa", "oa")
-    rep = resample.weigh(sums, resample.weights(df, 5), [])
-    got = {r.replicate: r.r for r in rep.select("replicate", resample.correlation().alias("r")).collect()}
-    pdf = df.toPandas()
-    assert got[0] == pytest.approx(np.corrcoef(pdf.fa, pdf.oa)[0, 1]) and len(got) == 6
+def test_replicates_are_resamples(spark):
+    """Every replicate against the rows drawn one by one: a correlation for each cell, then the region's weighted mean."""
+    rng = np.random.default_rng(0)
+    data = [(f"b{k % 4}", c, float(rng.normal()), float(rng.normal())) for k in range(40) for c in range(3)]
+    data += [("b1", 3, 2.0, 1.0), ("b1", 3, 2.0, 3.0)]  # no variance
+    df = spark.createDataFrame(data, "block string, cell int, fa double, oa double").withColumn("model", F.lit("A"))
+    w = resample.weights(df, 5)
+    drawn = {(r.replicate, r.block): r.weight for r in w.collect()}
+    cells = spark.createDataFrame([(0, "all", 1.0), (1, "all", 0.5), (2, "all", 2.0), (3, "all", 9.0), (1, "one", 0.5), (3, "none", 1.0)], "cell int, region string, weight double")
+    sums = resample.pair_sums(df, ["block", "model", "cell"], "fa", "oa")
+    got = {(r.region, r.replicate): r.r for r in resample.replicate_regional_correlation(sums, w, ["model"], cells).collect()}
+    assert len(got) == 18
+    for k in range(6):
+        each = {}
+        for c in range(3):
+            pairs = [(f, o) for b, cell, f, o in data if cell == c for _ in range(drawn.get((k, b), 0))]
+            each[c] = np.corrcoef(np.array(pairs).T)[0, 1]
+        assert got["all", k] == pytest.approx((each[0] + 0.5 * each[1] + 2 * each[2]) / 3.5)
+        assert got["one", k] == pytest.approx(each[1]) and got["none", k] is None
+    whole = resample.replicate_sums(sums, w, ["model", "cell"], ("n", "fo")).where("replicate = 0 and cell = 2").first()
+    assert whole.n == 40 and whole.fo == pytest.approx(sum(f * o for _, c, f, o in data if c == 2))
+    with pytest.raises(ValueError):
+        resample.MOST_WEIGHTS, kept = 3, resample.MOST_WEIGHTS
+        try:
+            resample.weight_matrix(w)
+        finally:
+            resample.MOST_WEIGHTS = kept
 
 
 def test_skill_day_rules(spark):
