@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
+#: Parts that a node's neighbours are dealt out to.
+SALTS = 8
+
 
 def _state(edges: DataFrame) -> tuple:
     row = edges.agg(F.count(F.lit(1)), F.sum(F.hash("v", "m").cast("long")), F.sum(F.xxhash64("m", "v").cast("decimal(38,0)"))).first()
@@ -18,8 +21,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
     Each round replaces edges by edges to the smallest neighbour, first towards
     larger neighbours (large star) and then towards smaller ones (small star). The minimum is a
-    partial aggregate and the join on a hub can be split by adaptive execution,
-    so a star with very many leaves needs no single task. Rounds grow with the
+    partial aggregate and a hub's neighbours are dealt out to several tasks, so that
+    a star with very many leaves needs no single one. Rounds grow with the
     logarithm of the longest path. Self loops and null ends are ignored, and repeated edges are merged.
     """
     edges = (
@@ -32,7 +35,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     while before[0]:
         both = edges.select(F.col("v").alias("u"), F.col("m").alias("n")).union(edges.select("m", "v"))
         least = both.groupBy("u").agg(F.least(F.min("n"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where(F.col("n") > F.col("u")).select(F.col("n").alias("v"), "m").distinct()
+        dealt = both.where(F.col("n") > F.col("u")).withColumn("salt", F.pmod(F.xxhash64("n"), F.lit(SALTS)).cast("int"))
+        spread = least.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+        large = dealt.join(spread, ["u", "salt"]).select(F.col("n").alias("v"), "m").distinct()
         down = large.where(F.col("v") != F.col("m"))
         small = down.groupBy("v").agg(F.min("m").alias("low"))
         moved = down.join(small, "v").where(F.col("m") != F.col("low")).select(F.col("m").alias("v"), F.col("low").alias("m"))

@@ -188,7 +188,7 @@ WIDE = tuple(f"w{k}" for k in range(4))
 LONG = tuple(f"s{k}" for k in range(4))
 
 
-def wide_links(nodes: DataFrame, name: Column, radius: int = 45, bucket_limit: int = 64) -> DataFrame:
+def wide_links(nodes: DataFrame, name: Column, radius: int = 48, bucket_limit: int = 4) -> DataFrame:
     """Links (a, b), as ``name``, between nodes (node, weight, w0..w3, s0..s3) whose s words differ at ``radius`` or fewer of 256 bits.
 
     Candidates come from multi-index hashing of the w words: each of the eight segments of 32 bits is looked up with
@@ -215,9 +215,9 @@ def wide_links(nodes: DataFrame, name: Column, radius: int = 45, bucket_limit: i
     return both.where(far <= radius).select(F.col("a_side.name").alias("a"), F.col("b_side.name").alias("b"))
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 45, keep: list[str] | None = None) -> DataFrame:
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 48, keep: list[str] | None = None) -> DataFrame:
     """(id_col, kept columns, component_id, stays) for every row of ``docs``, where texts link as in ``near_duplicates`` or at ``radius`` of the
-    256 bits of a fingerprint of their distinct five-word shingles; 45 bits are about a similarity of 0.8.
+    256 bits of a fingerprint of their distinct five-word shingles; 48 bits hold nearly all texts of a similarity of 0.8 or more.
 
     stays: the row is the one of its component that a corpus keeps: it has the component's id, and of texts that share that id the
     one that gives the component its name. Rows that repeat an id and a text alike have it alike. Null, empty
