@@ -205,10 +205,12 @@ def wide_links(nodes: DataFrame, name: Column, radius: int = 48, bucket_limit: i
     stands = nodes.select(F.col("node").alias("b"), "weight", F.xxhash64(*WIDE, *LONG).alias("mixed"), F.expr(f"explode(array({cuts})) as key"))
     hubs = [F.max_by("b", F.struct("weight", order[0])), F.max_by("b", F.struct(order[0], "b")), F.max_by("b", F.struct(order[1], "b"))]
     heavy = cut(stands.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.array_distinct(F.array(*hubs)).alias("hubs")).where(F.col("n") > bucket_limit).select("key", "hubs"))
-    partners = stands.select("key", "b").join(heavy, "key", "left_anti").union(heavy.select("key", F.explode("hubs")))
+    light = stands.select("key", "b").join(heavy, "key", "left_anti")
+    partners = light.withColumn("every", F.lit(True)).union(heavy.select("key", F.explode("hubs"), F.lit(False)))
     probes = nodes.select(F.col("node").alias("a"), F.expr(f"explode(array({cuts})) as at")).select("a", "at", F.expr(f"explode(array({masks})) as mask"))
-    probes = probes.where("mask = 0 or at & mask != 0").select(F.expr("at ^ mask").alias("key"), "a")
-    met = probes.join(partners, "key").where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    probes = probes.where("mask = 0 or at & mask != 0").select(F.expr("at ^ mask").alias("key"), "a", F.expr("mask = 0").alias("own"))
+    # two that stand in one small bucket meet once
+    met = probes.join(partners, "key").where("a != b and not (own and every and a > b)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     side = lambda x: nodes.select(F.col("node").alias(x), F.struct(*LONG, name.alias("name")).alias(f"{x}_side"))
     both = met.join(side("a"), "a").join(side("b"), "b")
     far = sum((F.bit_count(F.col(f"a_side.{w}").bitwiseXOR(F.col(f"b_side.{w}"))) for w in LONG), F.lit(0))
