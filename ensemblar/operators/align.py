@@ -43,6 +43,12 @@ def cap_members(df: DataFrame, most: int) -> DataFrame:
     return df.where(F.col("number") < most)
 
 
+def first_inits(df: DataFrame, most: int, by: list[str], day: str = "init_date") -> DataFrame:
+    """Rows of each group's first ``most`` inits; only the distinct inits are ranked."""
+    inits = df.select(*by, day).distinct().withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy(day)))
+    return df.join(inits.where(F.col("_k") <= most).drop("_k"), [*by, day], "left_semi")
+
+
 def least_members(df: DataFrame, case: list[str], least: int) -> DataFrame:
     """Rows of cases with at least ``least`` members."""
     enough = df.groupBy(*case).agg(F.count_distinct("number").alias("_n")).where(F.col("_n") >= least).select(*case)
@@ -223,9 +229,10 @@ def pad_leads(df: DataFrame, keys: list[str], most: int) -> DataFrame:
     return frame.join(df, [*keys, "lead_day"], "left")
 
 
-def gaps(days: DataFrame, day: str = "valid_date") -> DataFrame:
-    """The first missing date of each gap in a daily series: days after a date that are not there themselves. No ordering of the whole series is needed."""
-    nxt = days.select(F.date_add(day, 1).alias(day)).distinct()
-    missing = nxt.join(days.select(day).distinct(), day, "left_anti")
-    last = days.agg(F.max(day).alias("_last"))
-    return missing.join(F.broadcast(last), F.col(day) <= F.col("_last")).select(F.col(day).alias("gap_start"))
+def gaps(days: DataFrame, day: str = "valid_date", keys: list[str] | None = None) -> DataFrame:
+    """The first missing date of each gap in each key's daily series: days after a date that are not there themselves. No ordering of a whole series is needed."""
+    keys = keys or []
+    missing = days.select(*keys, F.date_add(day, 1).alias(day)).distinct().join(days.select(*keys, day).distinct(), [*keys, day], "left_anti")
+    last = days.groupBy(*keys).agg(F.max(day).alias("_last"))
+    missing = missing.join(last, keys) if keys else missing.join(F.broadcast(last), F.lit(True))
+    return missing.where(F.col(day) <= F.col("_last")).select(*keys, F.col(day).alias("gap_start"))

@@ -30,7 +30,7 @@ def anomalies(df: DataFrame, clim: DataFrame, keys: list[str], columns: list[str
 
 def leave_one_year_out(pairs: DataFrame, keys: list[str], f: str = "fa", o: str = "oa", year: str = "year") -> DataFrame:
     """The mean of f - o over all years but each one: (total - own) / (count - own count). NULL where there is one year only."""
-    per = pairs.groupBy(year, *keys).agg(F.sum(F.col(f) - F.col(o)).alias("_s"), F.count(F.col(f) - F.col(o)).alias("_c"))
+    per = pairs.groupBy(year, *keys).agg(F.coalesce(F.sum(F.col(f) - F.col(o)), F.lit(0.0)).alias("_s"), F.count(F.col(f) - F.col(o)).alias("_c"))
     w = Window.partitionBy(*keys)
     return per.select(year, *keys, F.try_divide(F.sum("_s").over(w) - F.col("_s"), F.sum("_c").over(w) - F.col("_c")).alias("bias"))
 
@@ -42,6 +42,16 @@ def remove_bias(pairs: DataFrame, keys: list[str], f: str = "fa", o: str = "oa",
     return pairs.join(bias, [year, *keys], "left").withColumn(f, F.col(f) - own).drop("bias")
 
 
+def correct_fields(fc: DataFrame, cases: DataFrame, keys: list[str]) -> DataFrame:
+    """Every member's value minus its cell's leave-one-year-out bias, that of ensemble means; NULL where no other year has truth.
+
+    ``cases`` (init_date, keys, mean, obs) must have every case of ``fc``, those without truth too.
+    """
+    bias = leave_one_year_out(cases.withColumn("year", F.year("init_date")), keys, "mean", "obs")
+    joined = fc.withColumn("year", F.year("init_date")).join(bias, ["year", *keys], "left")
+    return joined.withColumn("value", F.col("value") - F.col("bias")).drop("bias", "year")
+
+
 def remove_group_mean(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
     """Each column minus its group's mean."""
     w = Window.partitionBy(*by)

@@ -6,6 +6,9 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.dates import winter_year
+from .climate import season_running_mean
+
 
 def gram(anomalies: DataFrame, time: str, cell: list[str], value: str = "value") -> DataFrame:
     """(t, s, g): sums over cells of products of two times, t <= s. As many rows as pairs of times: a few hundred times at most."""
@@ -60,6 +63,18 @@ def project(df: DataFrame, eof: DataFrame, cell: list[str], keys: list[str], val
     return df.join(eof.select(*cell, "wgt", "loading"), cell).groupBy(*keys).agg(F.sum(F.col(value) * F.col("wgt") * F.col("loading")).alias("pc"))
 
 
+def normalised(df: DataFrame, day: str, months: list[int], value: str = "value", width: int = 7) -> DataFrame:
+    """The season's rows with daily_index and weekly_index: the value, and the mean of ``width`` rows from it on that all lie in the season, each over its deviation.
+
+    A season that goes over the year's end must end by November, as rows are held by winters.
+    """
+    winter = winter_year(F.col(day))
+    running = season_running_mean(df, day, months, width, value, [winter]).select(day, "running")
+    inside = df.where(F.month(day).isin(months)).join(running, day, "left")
+    sd = inside.agg(F.stddev_pop(value).alias("_d"), F.stddev_pop("running").alias("_w"))  # one row
+    return inside.join(F.broadcast(sd), F.lit(True)).withColumns({"daily_index": F.try_divide(value, "_d"), "weekly_index": F.try_divide("running", "_w")}).drop("_d", "_w", "running")
+
+
 def align_sign(df: DataFrame, keys: list[str], a: str, ref: str, flip: list[str]) -> DataFrame:
     """``flip`` columns times -1 where the product sum of ``a`` and ``ref`` over a key is negative."""
     s = F.sum(F.col(a) * F.col(ref)).over(Window.partitionBy(*keys))

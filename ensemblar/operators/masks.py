@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 # The regions' latitude bounds.
 REGIONS = {"global": (-90.0, 90.0), "tropics": (-20.0, 20.0), "NH": (20.0, 90.0), "SH": (-90.0, -20.0)}
 
+# The bands of maps that also have land, ocean and the extratropics; a bound belongs to both sides.
+MAP_REGIONS = {"global": (-90.0, 90.0), "tropics": (-30.0, 30.0), "NH": (30.0, 90.0), "SH": (-90.0, -30.0)}
+EXTRATROPICS = 30.0
+
 
 def cell_region(cells: DataFrame, regions: dict[str, tuple[float, float]] = REGIONS) -> DataFrame:
     """(cell, region), a row for each latitude band that holds the cell; bands may overlap."""
@@ -15,6 +19,16 @@ def cell_region(cells: DataFrame, regions: dict[str, tuple[float, float]] = REGI
     return cells.select("*", F.explode(bands).alias("b")).where(F.col("lat").between(F.col("b.south"), F.col("b.north"))).select("cell", "ilat", "ilon", "lat", "lon", "b.region")
 
 
+def all_regions(cells: DataFrame, mask: DataFrame, n_lat: int, n_lon: int, land: float = 0.5, core: float = 0.99, around: float = 0.5) -> DataFrame:
+    """(cell, lat, region) of every region: bands, extratropics, land, ocean and the interior of land. ``mask``: (ilat, ilon, lsm)."""
+    bands = cell_region(cells, MAP_REGIONS).select("cell", "lat", "region")
+    outer = cells.where(F.abs("lat") >= EXTRATROPICS).select("cell", "lat", F.lit("extratropics").alias("region"))
+    surface = F.when(F.col("lsm") >= land, "land").otherwise("ocean").alias("region")
+    split = cells.join(mask.select("ilat", "ilon", "lsm"), ["ilat", "ilon"]).select("cell", "lat", surface)
+    interior = cells.join(land_interior(mask, n_lat, n_lon, core, around), ["ilat", "ilon"]).select("cell", "lat", F.lit("land_interior").alias("region"))
+    return bands.unionByName(outer).unionByName(split).unionByName(interior)
+
+
 def neighbours(df: DataFrame, offsets: list[tuple[int, int]], n_lon: int | None = None, n_lat: int | None = None) -> DataFrame:
     """Each cell with the cells at ``offsets``; longitude wraps at ``n_lon``, rows beyond the poles repeat the last of ``n_lat``."""
     moved = df.withColumn("_o", F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in offsets))))

@@ -109,6 +109,11 @@ def acc(f: Column, o: Column, w: Column | None = None) -> Column:
     return F.try_divide(s(f * o), F.sqrt(s(f * f) * s(o * o)))
 
 
+def weighted_acc(f: Column, o: Column, w: Column) -> Column:
+    """Aggregate: the weighted mean product over the roots of both weighted mean squares, each mean over the cells that have it."""
+    return F.try_divide(F.try_divide(weighted_mean(f * o, w), F.sqrt(weighted_mean(o * o, w))), F.sqrt(weighted_mean(f * f, w)))
+
+
 def pearson(f: Column, o: Column, least_variance: float = 0.0, w: Column | None = None) -> Column:
     """Aggregate: correlation from sums, with optional weights; NULL where a series is constant (variance at most ``least_variance``)."""
     w = F.lit(1.0) if w is None else w

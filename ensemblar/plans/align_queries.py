@@ -71,10 +71,10 @@ def analysis_years(t: Tables) -> DataFrame:
     return readers.analysis_years(t.obs, [1996, 1998]).groupBy(F.year("valid_date").alias("year")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("s9_climatological_ensemble", "with i as (select distinct init_date from fc where day(init_date) = 1), c as (select init_date, l::int as lead_day, least(dayofyear(init_date + l::int), 365) as d from i, range(1, 6) r(l)), y as (select year(valid_date)::int as number, least(dayofyear(valid_date), 365) as d, cell, avg(value) as value from obs group by 1, 2, 3) select init_date, lead_day, cell, count(*) as n, round(avg(value), 4) as value from c join y using (d) group by 1, 2, 3")
+@query("s9_climatological_ensemble", "with i as (select distinct init_date from fc), c as (select init_date, l::int as lead_day, least(dayofyear(init_date + l::int), 365) as d from i, range(1, 6) r(l)), y as (select year(valid_date)::int as number, least(dayofyear(valid_date), 365) as d, cell, avg(value) as value from obs group by 1, 2, 3) select init_date, lead_day, cell, count(*) as n, round(avg(value), 4) as value from c join y using (d) group by 1, 2, 3")
 def climatological_ensemble(t: Tables) -> DataFrame:
     """Past years' values at the same day of year as members."""
-    inits = t.fc.select("init_date").distinct().where(F.dayofmonth("init_date") == 1)
+    inits = t.fc.select("init_date").distinct()
     members = readers.climatological_ensemble(inits, 5, t.obs)
     return rounded(members.groupBy("init_date", "lead_day", "cell").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("value")))
 
@@ -224,11 +224,11 @@ def valid_time_join(t: Tables) -> DataFrame:
     return rounded(align.ensemble_cases(t.fc, t.obs, CASE, "left").select(*CASE, "mean", "obs"))
 
 
-@query("j2_nearest_time", "with o as (select cell, valid_date::timestamp as tm, value from obs where day(valid_date) in (1, 11, 21)), l as (select distinct cell, init_date::timestamp as tm from fc), r as (select l.cell, l.tm, o.tm as matched_time, o.value as matched, row_number() over (partition by l.cell, l.tm order by abs(epoch(o.tm) - epoch(l.tm)), o.tm) as k from l join o on o.cell = l.cell and o.tm between l.tm - interval 5 days and l.tm + interval 5 days) select l.cell, l.tm as init_time, matched_time, round(matched, 4) as matched from l left join r on r.cell = l.cell and r.tm = l.tm and r.k = 1")
+@query("j2_nearest_time", "with o as (select cell, valid_date::timestamp + interval 36 hours as tm, value from obs), l as (select distinct cell, init_date::timestamp as tm from fc), r as (select l.cell, l.tm, o.tm as matched_time, o.value as matched, row_number() over (partition by l.cell, l.tm order by abs(epoch(o.tm) - epoch(l.tm)), o.tm) as k from l join o on o.cell = l.cell and o.tm between l.tm - interval 5 days and l.tm + interval 5 days) select l.cell, l.tm as init_time, matched_time, round(matched, 4) as matched from l left join r on r.cell = l.cell and r.tm = l.tm and r.k = 1")
 def nearest_time(t: Tables) -> DataFrame:
     """The truth nearest in time within five days; of two as near, the earlier."""
     left = t.fc.select("cell", F.col("init_date").cast("timestamp").alias("init_time")).distinct()
-    right = t.obs.where(F.dayofmonth("valid_date").isin(1, 11, 21)).select("cell", F.col("valid_date").cast("timestamp").alias("init_time"), "value")
+    right = t.obs.select("cell", (F.col("valid_date").cast("timestamp") + F.expr("interval 36 hours")).alias("init_time"), "value")
     return rounded(align.nearest_time(left, right, ["cell"], "init_time", 5 * 86400))
 
 
@@ -241,23 +241,23 @@ def truth_rule(t: Tables) -> DataFrame:
     return rounded(align.truth_by_rule(means, truth, rules).groupBy("model", "lead_day").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("f") - F.col("o")).alias("bias")))
 
 
-@query("j7_nearest_init", "with a as (select distinct init_date from fc where model = 'A' and day(init_date) <= 10), b as (select distinct init_date from fc where model = 'B' and day(init_date) % 3 = 0), m as (select a.init_date as ref_date, b.init_date as other_date, (b.init_date - a.init_date)::int as offset, row_number() over (partition by a.init_date order by abs(b.init_date - a.init_date), b.init_date) as k from a join b on b.init_date between a.init_date - 3 and a.init_date + 3) select ref_date, other_date, \"offset\" from m where k = 1")
+@query("j7_nearest_init", "with a as (select distinct init_date from fc where model = 'A'), b as (select distinct init_date from fc where model = 'B'), m as (select a.init_date as ref_date, b.init_date as other_date, (b.init_date - a.init_date)::int as offset, row_number() over (partition by a.init_date order by abs(b.init_date - a.init_date), b.init_date) as k from a join b on b.init_date between a.init_date - 3 and a.init_date + 3) select ref_date, other_date, \"offset\" from m where k = 1")
 def nearest_init(t: Tables) -> DataFrame:
     """The nearest other init within three days."""
     inits = t.fc.select("model", "init_date").distinct()
-    a = inits.where("model = 'A'").where(F.dayofmonth("init_date") <= 10)
-    return align.nearest_init(a, inits.where("model = 'B'").where(F.dayofmonth("init_date") % 3 == 0), 3)
+    a = inits.where("model = 'A'")
+    return align.nearest_init(a, inits.where("model = 'B'"), 3)
 
 
 PASS = "select a.init_date as ref_date, b.init_date as other_date, {k} as off from a join b on b.init_date = a.init_date + {k}"
 
 
-@query("j8_one_to_one_pairs", "with a as (select distinct init_date from fc where model = 'A' and day(init_date) <= 10), b as (select distinct init_date from fc where model = 'B' and day(init_date) % 3 = 0), p0 as (" + PASS.format(k=0) + "), p1 as (select * from p0 union all (" + PASS.format(k=1) + " where a.init_date not in (select ref_date from p0) and b.init_date not in (select other_date from p0))), p2 as (select * from p1 union all (" + PASS.format(k=-1) + " where a.init_date not in (select ref_date from p1) and b.init_date not in (select other_date from p1))) select ref_date, other_date, off as offset from p2")
+@query("j8_one_to_one_pairs", "with a as (select distinct init_date from fc where model = 'A'), b as (select distinct init_date from fc where model = 'B'), p0 as (" + PASS.format(k=0) + "), p1 as (select * from p0 union all (" + PASS.format(k=1) + " where a.init_date not in (select ref_date from p0) and b.init_date not in (select other_date from p0))), p2 as (select * from p1 union all (" + PASS.format(k=-1) + " where a.init_date not in (select ref_date from p1) and b.init_date not in (select other_date from p1))) select ref_date, other_date, off as offset from p2")
 def one_to_one_pairs(t: Tables) -> DataFrame:
     """Greedy pairs within a day, each partner used once."""
     inits = t.fc.select("model", "init_date").distinct()
-    a = inits.where("model = 'A'").where(F.dayofmonth("init_date") <= 10)
-    return align.pair_inits(a, inits.where("model = 'B'").where(F.dayofmonth("init_date") % 3 == 0), 1)
+    a = inits.where("model = 'A'")
+    return align.pair_inits(a, inits.where("model = 'B'"), 1)
 
 
 @query("j9_relabelled", "select case when day(init_date) = 1 then init_date - 1 else init_date end as real_init, count(*) as n from fc group by 1")
@@ -360,10 +360,10 @@ def skill_day(t: Tables) -> DataFrame:
     return rounded(out)
 
 
-@query("w12_gaps", "with d as (select distinct valid_date from obs where cell = 0) select (valid_date + 1)::date as gap_start from d where (valid_date + 1) not in (select valid_date from d) and valid_date < (select max(valid_date) from d)")
+@query("w12_gaps", "with d as (select distinct cell, valid_date from obs), l as (select *, lead(valid_date) over (partition by cell order by valid_date) as following from d) select cell, (valid_date + 1)::date as gap_start from l where following > valid_date + 1")
 def gaps(t: Tables) -> DataFrame:
     """Where a daily series breaks off."""
-    return align.gaps(t.obs.where("cell = 0"))
+    return align.gaps(t.obs, keys=["cell"])
 
 
 @query("w13_padded_leads", "with k as (select model, cell, unnest(range(1, 46))::int as lead_day from (select distinct model, cell from fc)), v as (select model, cell, lead_day, avg(value) as value from fc group by 1, 2, 3) select k.model, k.cell, k.lead_day, round(value, 4) as value from k left join v using (model, cell, lead_day)")

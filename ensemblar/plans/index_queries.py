@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.maths import mjo_phase, sqrt_cos_weight, transition_group, uniform
-from ..operators import climate, indices, masks, monsoon, regrid, resample, scores
+from ..operators import align, climate, indices, masks, monsoon, regrid, resample, scores
 from ..sources import readers
 from .registry import Tables, query, rounded, uniform_sql
 
@@ -104,7 +104,7 @@ def _eof(t: Tables) -> DataFrame:
 
 @query("e2_projection")
 def projection(t: Tables) -> DataFrame:
-    """The daily index of the leading pattern over its deviation, from an eigenvector that SQL has no name for."""
+    """The daily index of the leading pattern over its deviation, from an eigenvector that SQL has no name for."""
     eof = _eof(t)
     pc = indices.project(t.obs, eof, ["cell"], ["valid_date"])
     sd = pc.agg(F.stddev_pop("pc").alias("sd"), F.avg("pc").alias("m"))
@@ -135,7 +135,7 @@ def pattern_units(t: Tables) -> DataFrame:
 
 @query("e5_reprojection", "with a as (select valid_date, cell, value - avg(value) over (partition by cell) as v from obs) select valid_date, round(sum(v * sin(radians(cell * 15.0))) / sqrt(12.0), 4) as pc1, round(sum(v * cos(radians(cell * 15.0))) / sqrt(12.0), 4) as pc2 from a group by 1")
 def reprojection(t: Tables) -> DataFrame:
-    """An index pair by projection on two given patterns over the root of their eigenvalue."""
+    """E5: an index pair by projection on two given patterns over the root of their eigenvalue."""
     a = climate.remove_group_mean(t.obs, ["cell"], ["value"])
     angle = F.radians(F.col("cell") * 15.0)
     eofs = t.cells.select("cell", F.sin(angle).alias("e1"), F.cos(angle).alias("e2"))
@@ -152,17 +152,48 @@ def sign_alignment(t: Tables) -> DataFrame:
     return rounded(indices.align_sign(m, ["model", "init_date"], "f1", "o1", ["f1"]).select("model", "init_date", "lead_day", "f1"))
 
 
-VERSIONS = "m as (select model, lead_day, init_date, avg(rmm1) as f1, avg(rmm2) as f2, any_value(o1) as o1, any_value(o2) as o2 from rmm f join rmm_obs b on b.valid_date = f.init_date + f.lead_day group by 1, 2, 3), y as (select *, year(init_date) as y from m), s as (select *, sum(f1 - o1) over l - sum(f1 - o1) over o as s1, sum(f2 - o2) over l - sum(f2 - o2) over o as s2, count(*) over l - count(*) over o as c from y window l as (partition by model, lead_day), o as (partition by model, lead_day, y)), v as (select 'raw' as version, model, lead_day, f1, f2, o1, o2 from m union all select 'corrected', model, lead_day, f1 - s1 / nullif(c, 0), f2 - s2 / nullif(c, 0), o1, o2 from s where c > 0)"
+# the bias of a cell is the mean error of the other years' inits; errors are those of ensemble means
+FIELD = "fe as (select f.model, f.init_date, f.lead_day, f.cell, year(f.init_date) as y, avg(f.value) - any_value(o.value) as e from fc f left join obs o on o.valid_date = f.init_date + f.lead_day and o.cell = f.cell group by 1, 2, 3, 4), fb as (select p.model, p.lead_day, p.cell, p.y, avg(q.e) as bias from (select distinct model, lead_day, cell, y from fe) p join fe q on q.model = p.model and q.lead_day = p.lead_day and q.cell = p.cell and q.y <> p.y group by 1, 2, 3, 4), fcc as (select f.model, f.init_date, f.lead_day, f.number, f.cell, f.value - b.bias as value from fc f join fb b on b.model = f.model and b.lead_day = f.lead_day and b.cell = f.cell and b.y = year(f.init_date)), frmm as (select model, init_date, lead_day, number, (avg(value) - 150) / 60 as rmm1, (avg(value * cos(radians(cell * 15.0))) + 5) / 60 as rmm2 from fcc where value is not null group by 1, 2, 3, 4)"
+VERSIONS = FIELD + ", m as (select model, lead_day, init_date, avg(rmm1) as f1, avg(rmm2) as f2, any_value(o1) as o1, any_value(o2) as o2 from rmm f join rmm_obs b on b.valid_date = f.init_date + f.lead_day group by 1, 2, 3), y as (select *, year(init_date) as y from m), s as (select *, sum(f1 - o1) over l - sum(f1 - o1) over o as s1, sum(f2 - o2) over l - sum(f2 - o2) over o as s2, count(*) over l - count(*) over o as c from y window l as (partition by model, lead_day), o as (partition by model, lead_day, y)), v as (select 'raw' as version, model, lead_day, f1, f2, o1, o2 from m union all select 'corrected', model, lead_day, f1 - s1 / nullif(c, 0), f2 - s2 / nullif(c, 0), o1, o2 from s where c > 0 union all select 'field', f.model, f.lead_day, avg(rmm1), avg(rmm2), any_value(o1), any_value(o2) from frmm f join rmm_obs b on b.valid_date = f.init_date + f.lead_day group by f.model, f.lead_day, f.init_date)"
+
+
+def _corrected_index(t: Tables) -> DataFrame:
+    cases = align.ensemble_cases(t.fc, t.obs, ["model", "init_date", "lead_day", "cell"], "left")
+    return t.index_pair(climate.correct_fields(t.fc, cases, ["model", "lead_day", "cell"]))
+
+
+@query("e8_field_correction", f"with {FIELD} select model, init_date, lead_day, number, round(rmm1, 4) as rmm1, round(rmm2, 4) as rmm2 from frmm union all select model, init_date, lead_day, -1, round(avg(rmm1), 4), round(avg(rmm2), 4) from frmm group by 1, 2, 3")
+def field_correction(t: Tables) -> DataFrame:
+    """Every member's index made of fields without their leave-one-year-out bias; member -1 is the ensemble mean."""
+    members = _corrected_index(t)
+    mean = members.groupBy("model", "init_date", "lead_day").agg(F.lit(-1).alias("number"), F.avg("rmm1").alias("rmm1"), F.avg("rmm2").alias("rmm2"))
+    return rounded(members.unionByName(mean))
+
+
+@query("e7_band_anomaly", "with band as (select valid_date, ilon, avg(value) as v from obs join cells using (cell) where lat between -15 and 15 group by 1, 2), c as (select dayofyear(valid_date) as d, ilon, avg(v) as clim from band where year(valid_date) between 1995 and 1999 group by 1, 2) select b.valid_date, b.ilon, round(v - clim, 4) as value from band b join c on c.ilon = b.ilon and c.d = dayofyear(b.valid_date)")
+def band_anomaly(t: Tables) -> DataFrame:
+    """A band's mean by longitude less the mean of its day of year over the base years."""
+    band = climate.meridional_mean(t.obs.join(F.broadcast(t.cells), "cell"), -15, 15, ["valid_date", "ilon"])
+    clim = climate.doy_climatology(band, ["ilon"], (1995, 1999))
+    return rounded(climate.anomalies(band, clim, ["ilon"], ["value"]).select("valid_date", "ilon", "value"))
+
+
+@query("e3_normalised", "with a as (select valid_date, value - avg(value) over (partition by dayofyear(valid_date)) as pc, month(valid_date) in (12, 1, 2) as fit from daily), r as (select *, avg(pc) over w as run, count(*) over w = 7 and bool_and(fit) over w as ok from a window w as (order by valid_date rows between current row and 6 following)), s as (select stddev_pop(pc) filter (fit) as sd, stddev_pop(run) filter (ok) as sw from r) select valid_date, round(pc / sd, 4) as daily_index, round(case when ok then run / sw end, 4) as weekly_index from r, s where fit")
+def normalised(t: Tables) -> DataFrame:
+    """The winter's daily index over its deviation, and seven-day means over theirs."""
+    a = climate.remove_group_mean(t.daily.withColumn("doy", F.dayofyear("valid_date")), ["doy"], ["value"])
+    return rounded(indices.normalised(a, "valid_date", [12, 1, 2]).select("valid_date", "daily_index", "weekly_index"))
 
 
 @query("e9_version_comparison", f"with {VERSIONS} select version, model, lead_day, count(*) as n, round(case when count(*) > 1 then sum(f1 * o1 + f2 * o2) / nullif(sqrt(sum(f1 * f1 + f2 * f2) * sum(o1 * o1 + o2 * o2)), 0) end, 4) as acc, round(sqrt(avg((f1 - o1) ** 2 + (f2 - o2) ** 2)), 4) as rmse from v group by 1, 2, 3")
 def version_comparison(t: Tables) -> DataFrame:
-    """Scores of an index as it is and after its leave-one-year-out correction."""
+    """Scores of an index as it is, after its own leave-one-year-out correction, and made of corrected fields."""
     m = indices.trajectory(t.rmm, t.rmm_obs).withColumn("year", F.year("init_date"))
     done = climate.remove_bias(climate.remove_bias(m, ["model", "lead_day"], "f1", "o1"), ["model", "lead_day"], "f2", "o2")
     cols = ["model", "lead_day", "f1", "f2", "o1", "o2"]
     both = m.select(F.lit("raw").alias("version"), *cols).unionByName(done.select(F.lit("corrected").alias("version"), *cols))
-    return rounded(scores.bivariate(both, ["version", "model", "lead_day"]))
+    field = indices.trajectory(_corrected_index(t), t.rmm_obs).select(F.lit("field").alias("version"), *cols)
+    return rounded(scores.bivariate(both.unionByName(field), ["version", "model", "lead_day"]))
 
 
 @query("e10_trajectory", "select f.model, f.init_date, f.lead_day, round(avg(rmm1), 4) as f1, round(avg(rmm2), 4) as f2, round(any_value(o1), 4) as o1, round(any_value(o2), 4) as o2 from rmm f join rmm_obs b on b.valid_date = f.init_date + f.lead_day group by 1, 2, 3")
@@ -173,7 +204,7 @@ def trajectory(t: Tables) -> DataFrame:
 
 @query("j13_init_state", "select f.model, least(floor((degrees(atan2(o2, o1)) + 180) / 45)::int + 1, 8) as init_phase, count(*) as n, round(avg(rmm1), 4) as rmm1 from rmm f left join rmm_obs b on b.valid_date = f.init_date group by 1, 2")
 def init_state(t: Tables) -> DataFrame:
-    """Forecasts by the phase of their init day; days without one count under NULL."""
+    """Forecasts by the phase of their init day; days without one count under NULL."""
     rows = indices.init_state(t.rmm, t.rmm_obs)
     return rounded(rows.groupBy("model", mjo_phase(F.col("o1"), F.col("o2")).alias("init_phase")).agg(F.count(F.lit(1)).alias("n"), F.avg("rmm1").alias("rmm1")))
 
@@ -188,13 +219,14 @@ def transition_groups(t: Tables) -> DataFrame:
 
 # Monsoon
 
-RAIN = "rain as (select year(valid_date)::int as year, valid_date, cell, greatest(value - 150, 0) as rain, 40 + cell as threshold from obs where cell < 6), roll as (select *, case when count(rain) over g = 5 then sum(rain) over g end as rolled from rain window g as (partition by year, cell order by valid_date rows between current row and 4 following)), onset as (select year, cell, min(case when valid_date > make_date(year, 6, 2) and rain > 1 and rolled > threshold then valid_date end) as onset from roll group by 1, 2)"
+RAIN = "rain as (select year(valid_date)::int as year, valid_date, cell % 6 as cell, avg(greatest(value - 150, 0)) as rain, 40 + cell % 6 as threshold from obs group by 1, 2, 3, 5), roll as (select *, case when count(rain) over g = 5 then sum(rain) over g end as rolled from rain window g as (partition by year, cell order by valid_date rows between current row and 4 following)), onset as (select year, cell, min(case when valid_date > make_date(year, 6, 2) and rain > 1 and rolled > threshold then valid_date end) as onset from roll group by 1, 2)"
 FRAIN = "fday as (select init_date, number, cell, lead_day, avg(greatest(value - 150, 0)) as rain from (select init_date, number, cell % 6 as cell, lead_day, value from fc) group by 1, 2, 3, 4), froll as (select *, 40 + cell as threshold, case when count(*) over g = 5 then sum(coalesce(rain, 0)) over g end as rolled from fday window g as (partition by init_date, number, cell order by lead_day rows between current row and 4 following)), mem as (select init_date, number, cell, min(case when lead_day between 1 and 15 and coalesce(rain, 0) > 1 and rolled > threshold then lead_day end) as onset_day from froll group by 1, 2, 3)"
 PROB = f"with {RAIN}, {FRAIN}, pairs as (select year(init_date)::int as year, init_date, m.cell, b.a || '-' || b.z as bin_days, avg(coalesce(onset_day between b.a and b.z, false)::int) as p, max((onset - init_date between b.a and b.z)::int) as o from mem m join onset s on s.cell = m.cell and s.year = year(init_date) and s.onset is not null and init_date < s.onset, (values (1, 5), (6, 10), (11, 15)) b(a, z) group by 1, 2, 3, 4)"
 
 
 def _rain(t: Tables) -> DataFrame:
-    return t.obs.where("cell < 6").select(F.year("valid_date").alias("year"), "valid_date", "cell", F.greatest(F.col("value") - 150, F.lit(0.0)).alias("rain"), (F.col("cell") + 40).alias("threshold"))
+    rain = t.obs.groupBy(F.year("valid_date").alias("year"), "valid_date", (F.col("cell") % 6).alias("cell")).agg(F.avg(F.greatest(F.col("value") - 150, F.lit(0.0))).alias("rain"))
+    return rain.withColumn("threshold", F.col("cell") + 40)
 
 
 def _pairs(t: Tables) -> DataFrame:
@@ -206,13 +238,13 @@ def _pairs(t: Tables) -> DataFrame:
 
 @query("w3_observed_onset", f"with {RAIN} select year, cell, onset from onset")
 def observed_onset(t: Tables) -> DataFrame:
-    """The first wet day from which five days are wet enough, by year and cell."""
+    """The first wet day from which five days are wet enough, by year and cell."""
     return monsoon.observed_onset(_rain(t), ["cell"])
 
 
 @query("w4_member_onset", f"with {FRAIN} select onset_day, count(*) as n from mem group by 1")
 def member_onset(t: Tables) -> DataFrame:
-    """Onset days of members, NULL where there is none."""
+    """Onset days of members, NULL where there is none."""
     fday = t.fc.withColumn("cell", F.col("cell") % 6).groupBy("init_date", "number", "cell", "lead_day").agg(F.avg(F.greatest(F.col("value") - 150, F.when(F.col("value").isNotNull(), 0.0))).alias("rain"))
     members = monsoon.member_onset(fday.withColumn("threshold", F.col("cell") + 40), ["cell"], start=None)
     return members.groupBy("onset_day").agg(F.count(F.lit(1)).alias("n"))
@@ -322,41 +354,6 @@ def consistency_band(t: Tables) -> DataFrame:
     return rounded(f.groupBy("bin").agg(F.percentile("freq", F.lit(0.05)).alias("low"), F.percentile("freq", F.lit(0.95)).alias("high")))
 
 
-# Streams
-
-
-@query("x1_streamed_rank_counts", f"with ranked as (select model, n, (len(list_filter(xs, lambda x: x < obs)) + floor({uniform_sql('0, init_date, lead_day, cell')} * (len(list_filter(xs, lambda x: x = obs)) + 1)))::int as rank from cases where n = n_all and n > 0) select model, n, rank, count(*) as count from ranked group by 1, 2, 3")
-def streamed_rank_counts(t: Tables) -> DataFrame:
-    """Counts from a stream of forecast files, equal to the batch's.
-
-    Files and checkpoint lie in the shared folder; what was taken before is not taken again.
-    """
-    from ..streaming import accumulate
-    from .shared import shared_path
-
-    base = shared_path(t.spark, "stream")
-    accumulate.packed(t.fc).repartition(4, "init_date").write.parquet(f"{base}/in")
-    schema = t.spark.read.parquet(f"{base}/in").schema
-    cases = accumulate.stream_cases(t.spark, f"{base}/in", schema, t.obs, files=2)
-    counts = accumulate.stream_rank_counts(cases, ["model"], ["init_date", "lead_day", "cell"])
-    accumulate.run_available(counts, f"{base}/checkpoint", lambda df, _: df.write.mode("overwrite").parquet(f"{base}/out"))
-    return t.spark.read.parquet(f"{base}/out")
-
-
-@query("x2_streamed_six_hourly", "with w as (select event_type, time_bucket(interval '6 hours', ts, timestamp '2000-01-01') as valid_time, avg(sqrt(value)) as value, count(*) as n from events group by 1, 2) select event_type, valid_time, round(value, 4) as value, n from w")
-def streamed_six_hourly(t: Tables) -> DataFrame:
-    """Six-hour means of an event stream, by watermark and window, in complete mode."""
-    from ..streaming import accumulate
-    from .shared import shared_path
-
-    base = shared_path(t.spark, "stream6h")
-    events = t.table("events").select("event_type", F.col("ts").cast("timestamp").alias("ts"), F.sqrt("value").alias("value"))
-    events.write.parquet(f"{base}/in")
-    means = accumulate.six_hourly(t.spark.readStream.schema(events.schema).parquet(f"{base}/in"))
-    accumulate.run_available(means, f"{base}/checkpoint", lambda df, _: df.write.mode("overwrite").parquet(f"{base}/out"))
-    return rounded(t.spark.read.parquet(f"{base}/out"))
-
-
 # Sinks and loaders
 
 

@@ -120,8 +120,12 @@ class Tables:
 
     @property
     def rmm(self) -> DataFrame:
+        return self.index_pair(self.fc)
+
+    def index_pair(self, fc: DataFrame) -> DataFrame:
+        """Two indices of each member's field: its mean and its first harmonic over cells."""
         second = (F.avg(F.col("value") * F.cos(F.radians(F.col("cell") * 15.0))) + 5) / 60
-        return self.fc.where("value is not null").groupBy("model", "init_date", "lead_day", "number").agg(((F.avg("value") - 150) / 60).alias("rmm1"), second.alias("rmm2"))
+        return fc.where("value is not null").groupBy("model", "init_date", "lead_day", "number").agg(((F.avg("value") - 150) / 60).alias("rmm1"), second.alias("rmm2"))
 
     @property
     def rmm_obs(self) -> DataFrame:

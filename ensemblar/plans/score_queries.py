@@ -135,15 +135,19 @@ def regional_acc(t: Tables) -> DataFrame:
     return rounded(each.groupBy("model", "lead_day", "region").agg(F.avg("acc").alias("acc"), F.count("acc").alias("n_inits")))
 
 
-@query("a15_acc_backward", f"with b as (select init_date, -lead_day as lead_day, f.cell, avg(f.value) as f, any_value(o.value) as o from fc f join obs o on o.valid_date = f.init_date - f.lead_day and o.cell = f.cell group by 1, 2, 3), u as (select 'backward' as direction, lead_day, f - 150 as f, o - 150 as o from b union all select 'forward', lead_day, mean - 150, obs - 150 from cases) select direction, lead_day, round({ACC.format(w='1')}, 4) as acc, round(sqrt(avg((f - o) ** 2)), 4) as rmse from u where f is not null group by 1, 2")
+@query("a15_acc_backward", "with clim as (select dayofyear(valid_date) as d, cell, avg(value) as clim from obs group by 1, 2), u as (select 'backward' as direction, f.model, f.init_date, -f.lead_day as lead_day, f.init_date - f.lead_day as vd, f.cell, avg(f.value) as f, any_value(o.value) as o from fc f join obs o on o.valid_date = f.init_date - f.lead_day and o.cell = f.cell group by all union all select 'forward', model, init_date, lead_day, init_date + lead_day, cell, mean, obs from cases), a as (select direction, model, init_date, lead_day, cos(radians(lat)) as w, f - clim as f, o - clim as o, unnest(case when abs(lat) <= 20 then ['global', 'tropics'] when lat > 0 then ['global', 'NH'] else ['global', 'SH'] end) as region from u join cells using (cell) join clim c on c.cell = u.cell and c.d = dayofyear(vd)), m as (select direction, model, init_date, lead_day, region, sum(w * f * o) / sum(case when f * o is not null then w end) as fo, sum(w * f * f) / sum(case when f is not null then w end) as ff, sum(w * o * o) / sum(case when o is not null then w end) as oo, sqrt(sum(w * (f - o) ** 2) / sum(case when f - o is not null then w end)) as rmse from a group by 1, 2, 3, 4, 5) select direction, model, lead_day, region, round(avg(case when ff > 0 and oo > 0 then fo / sqrt(oo) / sqrt(ff) end), 4) as acc, round(avg(rmse), 4) as rmse from m group by 1, 2, 3, 4")
 def acc_backward(t: Tables) -> DataFrame:
-    """ACC and RMSE of forward forecasts and of backward ones, whose leads are negative."""
+    """Area-weighted ACC and RMSE of anomalies by region, mean over inits, of forward forecasts and of backward ones, whose leads are negative."""
     truth = t.obs.withColumnRenamed("value", "o")
     back = t.fc.withColumn("valid_date", F.date_sub("init_date", F.col("lead_day"))).join(truth, ["valid_date", "cell"])
-    back = back.groupBy("init_date", (-F.col("lead_day")).alias("lead_day"), "cell").agg(F.avg("value").alias("f"), F.first("o").alias("o"))
-    both = back.select(F.lit("backward").alias("direction"), "lead_day", "f", "o").unionByName(t.cases.select(F.lit("forward").alias("direction"), "lead_day", F.col("mean").alias("f"), F.col("obs").alias("o")))
-    f, o = F.col("f") - 150, F.col("o") - 150
-    return rounded(both.where("f is not null").groupBy("direction", "lead_day").agg(scores.acc(f, o).alias("acc"), F.sqrt(F.avg((f - o) * (f - o))).alias("rmse")))
+    back = back.groupBy("model", "init_date", (-F.col("lead_day")).alias("lead_day"), "valid_date", "cell").agg(F.avg("value").alias("f"), F.first("o").alias("o"))
+    ahead = t.cases.select("model", "init_date", "lead_day", F.date_add("init_date", F.col("lead_day")).alias("valid_date"), "cell", F.col("mean").alias("f"), F.col("obs").alias("o"))
+    both = back.withColumn("direction", F.lit("backward")).unionByName(ahead.withColumn("direction", F.lit("forward")))
+    a = climate.anomalies(both, climate.doy_climatology(t.obs, ["cell"]), ["cell"], ["f", "o"])
+    a = a.join(F.broadcast(masks.cell_region(t.cells).select("cell", "lat", "region")), "cell")
+    f, o, w = F.col("f"), F.col("o"), F.cos(F.radians("lat"))
+    each = a.groupBy("direction", "model", "init_date", "lead_day", "region").agg(scores.weighted_acc(f, o, w).alias("acc"), F.sqrt(scores.weighted_mean((f - o) * (f - o), w)).alias("rmse"))
+    return rounded(each.groupBy("direction", "model", "lead_day", "region").agg(F.avg("acc").alias("acc"), F.avg("rmse").alias("rmse")))
 
 
 @query("a16_scalar_rmse", f"with {WIDE} select model, round(sqrt(sum(w * (f - o) ** 2) / sum(case when f is not null and o is not null then w end)), 4) as rmse from wide group by 1")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import name_date
+from ..schema import nan_to_null
 
 LOADERS: dict[str, Callable[..., DataFrame]] = {}
 
@@ -23,9 +24,10 @@ def loader(name: str):
 
 
 def load_forecast(kind: str, spark: SparkSession, *args, **options) -> DataFrame:
+    """A format's rows, NaN as NULL."""
     if kind not in LOADERS:
         raise ValueError(f"unknown format {kind!r}; there are {sorted(LOADERS)}")
-    return LOADERS[kind](spark, *args, **options)
+    return nan_to_null(LOADERS[kind](spark, *args, **options))
 
 
 def renumber_seeds(df: DataFrame, case: list[str]) -> DataFrame:
@@ -66,6 +68,16 @@ def stations(spark: SparkSession, paths: dict[int, str]) -> DataFrame:
     return out
 
 
+@loader("member_files")
+def member_files(spark: SparkSession, paths: dict[int, str], keys: list[str], time: str) -> DataFrame:
+    """One path a member brought together as a cube: number, and day 0..n-1 by time within each key and member."""
+    out = None
+    for number, path in paths.items():
+        df = spark.read.parquet(path).withColumn("number", F.lit(number))
+        out = df if out is None else out.unionByName(df)
+    return out.withColumn("day", F.row_number().over(Window.partitionBy(*keys, "number").orderBy(time)) - 1)
+
+
 @loader("months")
 def by_months(spark: SparkSession, path: str, first: int, last: int) -> DataFrame:
     """Rows of year=/month= folders whose month lies in a range that may go over the year's end."""

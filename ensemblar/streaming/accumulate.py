@@ -1,11 +1,14 @@
-"""Rank counts from a stream of new inits.
+"""Rank counts and window means from streams of new files.
 
-Counts are additive, so that a stream's totals equal the batch's. What needs all
+Each micro-batch writes its own folder, named by its number, so that a batch that is run again replaces
+itself and nothing else. Counts are additive: the sum over batches equals the batch query's. What needs all
 inits at once, such as the leave-one-year-out bias, is not for streams.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -14,34 +17,42 @@ from ..operators.align import ensemble_cases
 from ..operators.scores import ranked
 
 
-def stream_cases(spark: SparkSession, path: str, schema, truth: DataFrame, files: int = 1) -> DataFrame:
-    """A stream of packed forecast files (a row a case: model, init_date, lead_day, cell, xs, n, n_all, mean) joined with static truth."""
-    fc = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
-    return fc.withColumn("valid_date", F.date_add("init_date", F.col("lead_day"))).join(truth.select("valid_date", "cell", F.col("value").alias("obs")), ["valid_date", "cell"])
-
+def run_available(stream: DataFrame, checkpoint: str, path: str, make: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
+    """Takes the files that are new since the checkpoint and ends; ``make`` of each batch's rows goes to ``path``/batch=<number>.
 
-def stream_rank_counts(cases: DataFrame, by: list[str], keys: list[str], seed: int = 0) -> DataFrame:
-    """Running counts by rank; for update or complete mode."""
-    return ranked(cases, keys, seed).groupBy(*by, "n", "rank").agg(F.count(F.lit(1)).alias("count"))
+    Windowed aggregations come in update mode: only rows that changed.
+    """
 
+    def write(df: DataFrame, batch: int) -> None:
+        (make(df) if make else df).write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
-def run_available(counts: DataFrame, checkpoint: str, write) -> StreamingQuery:
-    """Takes what is there and ends; ``write(df, batch_id)`` gets the complete counts. A checkpoint makes later runs take new files only."""
-    query = counts.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
+    query = stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
     query.awaitTermination()
     return query
 
 
-def packed(fc: DataFrame) -> DataFrame:
-    """Forecast rows as a row a case, which is what a stream's files hold."""
-    keys = ["model", "init_date", "lead_day", "cell"]
-    return fc.groupBy(*keys).agg(F.array_sort(F.collect_list("value")).alias("xs"), F.count("value").alias("n"), F.count(F.lit(1)).alias("n_all"), F.avg("value").alias("mean"))
+def forecast_stream(spark: SparkSession, path: str, schema, files: int = 100) -> DataFrame:
+    """Forecast rows as files come in; one file holds whole inits."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
+
+
+def rank_counts(rows: DataFrame, truth: DataFrame, keys: list[str], by: list[str], seed: int = 0) -> DataFrame:
+    """Counts by rank of a batch of forecast rows; its members are packed before truth is joined."""
+    return ranked(ensemble_cases(rows, truth, keys), [k for k in keys if k not in by], seed).groupBy(*by, "n", "rank").agg(F.count(F.lit(1)).alias("count"))
+
+
+def summed(spark: SparkSession, path: str, by: list[str], count: str = "count") -> DataFrame:
+    """The batches' counts together."""
+    return spark.read.parquet(path).groupBy(*by).agg(F.sum(count).alias(count))
+
+
+def latest(spark: SparkSession, path: str, by: list[str], columns: list[str]) -> DataFrame:
+    """Of each key the row that the last batch gave."""
+    newest = F.max_by(F.struct(*columns), "batch").alias("_x")
+    return spark.read.parquet(path).groupBy(*by).agg(newest).select(*by, "_x.*")
 
 
 def six_hourly(events: DataFrame, late: str = "1 hour") -> DataFrame:
-    """Means of event values in six-hour windows, late rows within ``late`` included."""
+    """Means of event values in six-hour windows, for update mode. Rows over ``late`` behind the newest are left out once their window's state has gone."""
     windowed = events.withWatermark("ts", late).groupBy("event_type", F.window("ts", "6 hours"))
     return windowed.agg(F.avg("value").alias("value"), F.count(F.lit(1)).alias("n")).select("event_type", F.col("window.start").alias("valid_time"), "value", "n")
-
-
-__all__ = ["ensemble_cases", "packed", "run_available", "six_hourly", "stream_cases", "stream_rank_counts"]

@@ -245,3 +245,93 @@ def test_loaders(spark, tmp_path):
 def test_big_variable_map_is_refused(spark):
     with pytest.raises(ValueError, match="more than"):
         align.scale_units(spark.range(1).withColumn("value", F.lit(1.0)), spark.range(5).withColumn("s", F.lit(1.0)), "s", ["id"], most_rows=3)
+
+
+def test_fields_lose_the_mean_error_of_other_years(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    rows, truth = [], []
+    for year in (2001, 2002, 2003):
+        for day in (1, 2):
+            for cell in (0, 1):
+                value = None if (year, cell) == (2003, 1) else float(rng.normal())
+                truth.append((f"{year}-01-0{day}", cell, value))
+                rows += [(f"{year}-01-0{day}", cell, n, float(rng.normal())) for n in (0, 1)]
+    fc = spark.createDataFrame(rows, "init_date string, cell int, number int, value double").withColumn("init_date", F.col("init_date").cast("date"))
+    obs = {(d, c): v for d, c, v in truth}
+    mean = {}
+    for d, c, _, v in rows:
+        mean.setdefault((d, c), []).append(v)
+    cases = spark.createDataFrame([(d, c, float(np.mean(v)), obs[d, c]) for (d, c), v in mean.items()], "init_date string, cell int, mean double, obs double").withColumn("init_date", F.col("init_date").cast("date"))
+    got = {(str(r.init_date), r.cell, r.number): r.value for r in climate.correct_fields(fc, cases, ["cell"]).collect()}
+    assert len(got) == len(rows)
+    for d, c, n, v in rows:
+        errors = [np.mean(m) - obs[e, k] for (e, k), m in mean.items() if k == c and e[:4] != d[:4] and obs[e, k] is not None]
+        assert abs(got[d, c, n] - (v - np.mean(errors))) < 1e-9
+
+
+def test_weighted_acc_takes_each_mean_over_its_own_cells(spark):
+    import numpy as np
+
+    f, o, w = [1.0, 2.0, -1.0, None], [2.0, None, -3.0, 4.0], [1.0, 0.5, 0.7, 0.2]
+    df = spark.createDataFrame(list(zip(f, o, w, strict=True)), "f double, o double, w double")
+    got = df.agg(scores.weighted_acc(F.col("f"), F.col("o"), F.col("w")).alias("x")).first().x
+    mean = lambda x: np.average([a for a in x if a is not None], weights=[b for a, b in zip(x, w, strict=True) if a is not None])
+    both = [None if a is None or b is None else a * b for a, b in zip(f, o, strict=True)]
+    square = lambda x: [None if a is None else a * a for a in x]
+    assert abs(got - mean(both) / np.sqrt(mean(square(o))) / np.sqrt(mean(square(f)))) < 1e-12
+
+
+def test_every_region_holds_its_cells(spark):
+    from ensemblar.operators import masks
+
+    cells = spark.createDataFrame([(i * 4 + j, i, j, -75.0 + 30 * i, 90.0 * j) for i in range(6) for j in range(4)], "cell int, ilat int, ilon int, lat double, lon double")
+    share = {(i, j): 1.0 if i >= 2 else 0.0 for i in range(6) for j in range(4)}
+    mask = spark.createDataFrame([(i, j, v) for (i, j), v in share.items()], "ilat int, ilon int, lsm double")
+    got = {}
+    for r in masks.all_regions(cells, mask, 6, 4).collect():
+        got.setdefault(r.region, []).append(r.cell)
+    assert {k: len(v) for k, v in got.items()} == {"global": 24, "tropics": 8, "NH": 8, "SH": 8, "extratropics": 16, "land": 16, "ocean": 8, "land_interior": 12}
+    assert all(len(set(v)) == len(v) for v in got.values())
+
+
+def test_loaders_turn_nan_into_null(spark, tmp_path):
+    spark.createDataFrame([(1, float("nan")), (2, 3.0)], "lead_day int, value double").write.parquet(str(tmp_path / "n"))
+    got = readers.load_forecast("nested", spark, str(tmp_path / "n")).collect()
+    assert {r.lead_day: r.value for r in got} == {1: None, 2: 3.0}
+
+
+def test_a_second_run_of_a_stream_takes_new_files_only(spark, tmp_path):
+    import datetime
+
+    from ensemblar.streaming import accumulate
+
+    day = datetime.date(2020, 1, 1)
+    schema = "model string, init_date date, lead_day int, cell int, number int, value double"
+    truth = spark.createDataFrame([(day + datetime.timedelta(k), 0, 1.5) for k in range(9)], "valid_date date, cell int, value double")
+    keys = ["model", "init_date", "lead_day", "cell"]
+
+    def run(rows):
+        if rows:
+            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = accumulate.forecast_stream(spark, str(tmp_path / "in"), schema)
+        accumulate.run_available(stream, str(tmp_path / "c"), str(tmp_path / "out"), lambda df: accumulate.rank_counts(df, truth, keys, ["model"]))
+        return sum(r["count"] for r in accumulate.summed(spark, str(tmp_path / "out"), ["model", "n", "rank"]).collect())
+
+    member = lambda k: [("A", day + datetime.timedelta(k), 1, 0, n, float(n)) for n in range(3)]
+    assert run(member(0) + member(1)) == 2
+    assert run([]) == 2
+    assert run(member(2)) == 3
+
+
+def test_first_inits_and_gaps_by_key(spark):
+    import datetime
+
+    from ensemblar.operators import align
+
+    day = lambda k: datetime.date(2020, 1, k)
+    df = spark.createDataFrame([("A", day(k), n) for k in (1, 2, 5) for n in (0, 1)] + [("B", day(9), 0)], "model string, init_date date, number int")
+    assert sorted((r.model, r.init_date.day, r.number) for r in align.first_inits(df, 2, ["model"]).collect()) == [("A", 1, 0), ("A", 1, 1), ("A", 2, 0), ("A", 2, 1), ("B", 9, 0)]
+    assert [(r.model, r.gap_start.day) for r in align.gaps(df, "init_date", ["model"]).collect()] == [("A", 3)]
+    assert [r.gap_start.day for r in align.gaps(df, "init_date").orderBy("gap_start").collect()] == [3, 6]
