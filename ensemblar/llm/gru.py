@@ -16,13 +16,14 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return np.reciprocal(x, out=x)
 
 
-def _softmax(x: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The log-probability of each row's target, and all probabilities in place of x."""
-    x -= x.max(1, keepdims=True)
-    own = x[np.arange(len(x)), target]
+def _softmax(x: np.ndarray, target: np.ndarray, all_of_it: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """The log-probability of each column's target, and all probabilities in place of x (unnormalised without ``all_of_it``)."""
+    x -= x.max(0)
+    own = x[target, np.arange(x.shape[1])]
     np.exp(x, out=x)
-    total = x.sum(1)
-    x /= total[:, None]
+    total = x.sum(0)
+    if all_of_it:
+        x /= total
     return own - np.log(total), x
 
 
@@ -81,16 +82,18 @@ class Gru:
         known = target < self.n_words
         kind = np.full(len(target), self.n_classes)
         kind[known] = self.kind[target[known]]
-        logits = h @ p["kinds"]
-        logits += p["kinds_bias"]
-        logs, d = _softmax(logits, kind)
+        # a column a token: what goes over a token's choices then goes over whole rows
+        side = np.ascontiguousarray(h.T)
+        logits = p["kinds"].T @ side
+        logits += p["kinds_bias"][:, None]
+        logs, d = _softmax(logits, kind, slopes is not None)
         out = logs.astype(np.float64)
         back = None
         if slopes is not None:
-            d[np.arange(len(target)), kind] -= 1
-            slopes["kinds"] += h.T @ d
-            slopes["kinds_bias"] += d.sum(0)
-            back = d @ p["kinds"].T
+            d[kind, np.arange(len(target))] -= 1
+            slopes["kinds"] += side @ d.T
+            slopes["kinds_bias"] += d.sum(1)
+            back = d.T @ p["kinds"].T
         order = np.argsort(kind.astype(np.int16), kind="stable")
         ends = np.searchsorted(kind[order], np.arange(self.n_classes + 1))
         for k in np.flatnonzero(np.diff(ends)):
@@ -99,15 +102,15 @@ class Gru:
                 continue
             at = order[ends[k] : ends[k + 1]]
             state, local = h[at], target[at] - low
-            logits = state @ p["words"][low:high].T
-            logits += p["words_bias"][low:high]
-            logs, d = _softmax(logits, local)
+            logits = p["words"][low:high] @ state.T
+            logits += p["words_bias"][low:high, None]
+            logs, d = _softmax(logits, local, slopes is not None)
             out[at] += logs
             if slopes is not None:
-                d[np.arange(len(at)), local] -= 1
-                slopes["words"][low:high] += d.T @ state
-                slopes["words_bias"][low:high] += d.sum(0)
-                back[at] += d @ p["words"][low:high]
+                d[local, np.arange(len(at))] -= 1
+                slopes["words"][low:high] += d @ state
+                slopes["words_bias"][low:high] += d.sum(1)
+                back[at] += d.T @ p["words"][low:high]
         return out, back
 
     def train(self, ids: np.ndarray, target: np.ndarray, first: np.ndarray, streams: int = 64, window: int = 16, rate: float = 0.1, passes: int = 1, seen: dict[str, np.ndarray] | None = None) -> float:
