@@ -58,14 +58,18 @@ def conservative_axes(src_lat, dst_lat, src_lon, dst_lon) -> tuple[Axis, Axis]:
     return overlap_axis(src_lat, dst_lat, lambda x: math.sin(math.radians(x))), overlap_axis(src_lon, dst_lon, lambda x: x)
 
 
-def weights(spark: SparkSession, lat: Axis, lon: Axis) -> DataFrame:
-    """(ilat, ilon, jlat, jlon, w) from two axes. Each axis is a literal array; the product is made by explode."""
+def weights(spark: SparkSession, lat: Axis, lon: Axis, most_rows: int = 500_000) -> DataFrame:
+    """(ilat, ilon, jlat, jlon, w) from two axes. Each axis is a literal array; the product is made by explode.
+
+    Up to ``most_rows`` (some 20 MB) the table is marked for broadcast; a larger one is joined by shuffle.
+    """
 
     def axis(rows: Axis, i: str, j: str, w: str) -> F.Column:
         return F.explode(F.array(*(F.struct(F.lit(a).alias(i), F.lit(b).alias(j), F.lit(float(c)).alias(w)) for a, b, c in rows)))
 
     one = spark.range(1).select(axis(lat, "ilat", "jlat", "wa").alias("a")).select("a.*", axis(lon, "ilon", "jlon", "wb").alias("b"))
-    return one.select("ilat", "b.ilon", "jlat", "b.jlon", (F.col("wa") * F.col("b.wb")).alias("w"))
+    table = one.select("ilat", "b.ilon", "jlat", "b.jlon", (F.col("wa") * F.col("b.wb")).alias("w"))
+    return F.broadcast(table) if len(lat) * len(lon) <= most_rows else table
 
 
 def regrid(df: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
