@@ -74,12 +74,14 @@ def test_sql(spark, sf_dir, name):
     assert sorted(got.columns) == sorted(want.columns) and rows(got) == rows(want)
 
 
-@pytest.mark.parametrize("name", sorted(queries.queries()))
+@pytest.mark.parametrize("name", sorted(set(queries.queries()) - {"op12_lexical", "op13_divergence"}))
 def test_every_row_is_there(spark, sf_dir, name):
-    source = {"op2_url_filter": "pages", "op4_warc": "pages", "op7_covertree": "embeddings"}.get(name, "documents")
+    source = {"op2_url_filter": "pages", "op4_warc": "pages", "op7_covertree": "embeddings", "op11_chat": "conversations"}.get(name, "documents")
     got = queries.queries()[name](spark, sf_dir)
     key = got.columns[0]
     want = sorted(r[0] for r in spark.read.parquet(f"{sf_dir}/{source}.parquet").select(key).collect())
+    if name == "op11_chat":  # a row a conversation, and one more
+        want = sorted({-1, *want})
     have = [r[0] for r in got.select(key).collect()]
     assert sorted(set(have) if name == "op3_packing" else have) == want
     if name == "op3_packing":  # pieces of a document are numbered without a gap
