@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, covertree, lm, ogg, secret_scan, sentencepieces, toxicity
+from . import chat, covertree, lexical, lm, ogg, secret_scan, sentencepieces, toxicity
 from .common import table
 from .packing import pack_documents
 from .simhash import near_duplicates
@@ -107,8 +107,13 @@ def op11_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 documents of highest score for every benchmark item."""
+    return lexical.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_simhash, op2_url_filter, op3_packing, op4_warc, op5_secrets, op6_toxicity, op7_covertree, op8_sentencepiece, op9_ogg, op10_lm, op11_chat)
+    found = (op1_simhash, op2_url_filter, op3_packing, op4_warc, op5_secrets, op6_toxicity, op7_covertree, op8_sentencepiece, op9_ogg, op10_lm, op11_chat, op12_lexical)
     return {f.__name__: f for f in found}
 
 
@@ -150,7 +155,20 @@ select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text |
 from k group by 1
 """
 
+#: Every document that shares a term with an item is scored.
+LEXICAL_SQL = r"""
+with t as (select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from documents),
+i as (select item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark),
+c as (select doc_id, term, count(*) as tf from t group by 1, 2),
+s as (select count(distinct doc_id) as n_docs, count(*) as n_words from t),
+d as (select term, floor(1000 * ln((2 * any_value(n_docs) + 2)::double / (2 * count(*) + 1)))::bigint as w from c, s group by 1),
+m as (select doc_id, 75 + (25 * count(*) * any_value(n_docs)) // any_value(n_words) as m from t, s group by 1),
+r as (select item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::bigint as score from i join c using (term) join d using (term) join m using (doc_id) group by 1, 2),
+k as (select item_id, row_number() over (partition by item_id order by score desc, doc_id)::int as rank, doc_id, score from r where score > 0)
+select item_id, rank, doc_id, score from k where rank <= 20
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries that it can express: no trained model, tokenizer or XXH64."""
-    return {"op4_warc": WARC_SQL, "op7_covertree": COVERTREE_SQL, "op11_chat": CHAT_SQL}
+    return {"op4_warc": WARC_SQL, "op7_covertree": COVERTREE_SQL, "op11_chat": CHAT_SQL, "op12_lexical": LEXICAL_SQL}
