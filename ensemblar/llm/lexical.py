@@ -70,9 +70,6 @@ def chunks(docs: DataFrame, terms: dict[bytes, int], id_col: str = "doc_id", tex
             ids = batch.column(0).to_pylist()
             for i, text in zip(ids, batch.column(1).cast(pa.binary()), strict=True):
                 found = terms_of(text.as_py())
-                if not found:
-                    continue
-                seen, words = seen + 1, words + len(found)
                 hits = [(terms[t], c) for t, c in Counter(found).items() if t in terms]
                 if hits:
                     if held and (total + len(hits) > most_postings or len(held) >= most_docs):
@@ -81,6 +78,7 @@ def chunks(docs: DataFrame, terms: dict[bytes, int], id_col: str = "doc_id", tex
                         total = seen = words = 0
                     held.append((i is None, i or 0, len(found), hits))
                     total += len(hits)
+                seen, words = seen + bool(found), words + len(found)
         if seen:
             yield flush()
 
