@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, covertree, lexical, lm, ogg, secret_scan, sentencepieces, toxicity
+from . import chat, covertree, divergence, lexical, lm, ogg, secret_scan, sentencepieces, toxicity
 from .common import table
 from .packing import pack_documents
 from .simhash import near_duplicates
@@ -112,8 +112,13 @@ def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
 
 
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances between sources, and the terms that set each apart from its language."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_simhash, op2_url_filter, op3_packing, op4_warc, op5_secrets, op6_toxicity, op7_covertree, op8_sentencepiece, op9_ogg, op10_lm, op11_chat, op12_lexical)
+    found = (op1_simhash, op2_url_filter, op3_packing, op4_warc, op5_secrets, op6_toxicity, op7_covertree, op8_sentencepiece, op9_ogg, op10_lm, op11_chat, op12_lexical, op13_divergence)
     return {f.__name__: f for f in found}
 
 
@@ -168,7 +173,26 @@ k as (select item_id, row_number() over (partition by item_id order by score des
 select item_id, rank, doc_id, score from k where rank <= 20
 """
 
+#: Every group has every kept term of its language.
+DIVERGENCE_SQL = r"""
+with d as (select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text from documents),
+t as (select r, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from d),
+k as (select lang, term from t group by 1, 2 having count(distinct r) >= 3),
+v as (select lang, count(*) as v from k group by 1),
+c as (select lang, source, term, count(*) as n from t semi join k using (lang, term) group by 1, 2, 3),
+g as (select lang, source, coalesce(sum(n), 0) as n from (select distinct lang, source from d) left join c using (lang, source) group by 1, 2),
+a as (select lang, sum(n) as n from g group by 1),
+p as (select lang, g.source, k.term, coalesce(c.n, 0) as n, (1 + (1000000000 * (coalesce(c.n, 0) + 1)) // (g.n + v))::bigint as p from g join v using (lang) join k using (lang) left join c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+q as (select lang, term, (1 + (1000000000 * (sum(p.n) + 1)) // (any_value(a.n) + any_value(v)))::bigint as q from p join a using (lang) join v using (lang) group by 1, 2),
+s as (select x.lang, x.source, y.source as item, sum((x.p - y.p) * (x.p - y.p) // y.p) as value from p x join p y on x.lang = y.lang and x.term = y.term and x.source <> y.source group by 1, 2, 3),
+o as (select x.lang, x.source, y.source as item from g x join g y on x.lang = y.lang and x.source <> y.source),
+u as (select lang, source, 'pair' as part, item, coalesce(value, 0)::bigint as value from o left join s using (lang, source, item)
+  union all select lang, source, 'term', term, ((p - q) * (p - q) // q)::bigint from p join q using (lang, term) where n > 0 and p > q),
+f as (select *, row_number() over (partition by lang, source, part order by value desc, item)::int as rank from u)
+select lang, source, part, item, value, rank from f where part = 'pair' or rank <= 200
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries that it can express: no trained model, tokenizer or XXH64."""
-    return {"op4_warc": WARC_SQL, "op7_covertree": COVERTREE_SQL, "op11_chat": CHAT_SQL, "op12_lexical": LEXICAL_SQL}
+    return {"op4_warc": WARC_SQL, "op7_covertree": COVERTREE_SQL, "op11_chat": CHAT_SQL, "op12_lexical": LEXICAL_SQL, "op13_divergence": DIVERGENCE_SQL}
