@@ -17,6 +17,7 @@ import lzma
 import re
 import zlib
 from bisect import bisect_right
+from collections import deque
 from collections.abc import Callable, Iterator
 from urllib.parse import unquote_to_bytes
 
@@ -31,7 +32,7 @@ KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 ASSIGN = re.compile(rb"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE)
 ACCESS = re.compile(rb"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(rb"[0-9a-f]{24,}")
-ESCAPES = re.compile(rb"\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};|&[A-Za-z][A-Za-z0-9]{1,31};")
+ESCAPES = re.compile(rb"%u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};|&[A-Za-z][A-Za-z0-9]{1,31};")
 PERCENT = re.compile(rb"(?:%[0-9A-Fa-f]{2})+")
 BASE64 = re.compile(rb"[A-Za-z0-9+/_-]{16,}={0,2}")
 MAGIC = (b"\x1f\x8b", b"\x78\x01", b"\x78\x5e", b"\x78\x9c", b"\x78\xda", b"BZh", b"\xfd7zXZ\x00", b"\x28\xb5\x2f\xfd")
@@ -40,14 +41,16 @@ STREAM = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9](?:1AY&SY|\x1
 SKIPPED = re.compile(rb"\x00*")
 #: The shortest secret or encoded run has 12 bytes.
 PRINTABLE = re.compile(rb"[\t\r\n\x20-\x7e]{12}")
-#: ASCII in two bytes a character, either one first.
-WIDE = re.compile(rb"(?:[\t\r\n\x20-\x7e]\x00){12,}|(?:\x00[\t\r\n\x20-\x7e]){12,}")
-#: Base64 over several lines, whose breaks may be written out.
-WRAPPED = re.compile(rb"[A-Za-z0-9+/_-]{16,}(?:(?:\r?\n|(?:\\r)?\\n)[ \t]*[A-Za-z0-9+/_-]+)+={0,2}")
+#: ASCII in two or four bytes a character, either end first.
+WIDE = re.compile(rb"(?:[\t\r\n\x20-\x7e]\x00){12,}|(?:\x00[\t\r\n\x20-\x7e]){12,}|(?:[\t\r\n\x20-\x7e]\x00\x00\x00){12,}|(?:\x00\x00\x00[\t\r\n\x20-\x7e]){12,}")
+#: Base64 over several lines, whose breaks may be written out. It begins where a run does and takes runs whole, so that the time is in proportion to the text.
+WRAPPED = re.compile(rb"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:(?:\r?\n|(?:\\r)?\\n)[ \t]*+[A-Za-z0-9+/_-]++)++={0,2}")
 BREAK, LETTERS = re.compile(rb"\r?\n[ \t]*|(?:\\r)?\\n[ \t]*"), re.compile(rb"[^ ]+")
 URL_SAFE = bytes.maketrans(b"-_", b"+/")
 #: Decompressed bytes that are held and scanned at once, those of the piece before that are scanned again, and those taken of one text in all, against bombs.
 PIECE, OVERLAP, MAX_TOTAL = 1 << 24, 1 << 16, 1 << 30
+#: A layer gives way to others that wait when it has taken this part of what a text may give.
+TURNS = 8
 
 Map = Callable[[int, int], tuple[int, int]]
 
@@ -118,10 +121,12 @@ def _text_like(data: bytes) -> bool:
 
 
 class Budget:
-    """Decompressed bytes that a text may still give."""
+    """Decompressed bytes that a text may still give, and those that a layer takes in one turn."""
 
     def __init__(self, left: int) -> None:
         self.left, self.cut_off = left, False
+        self.turn = max(1, left // TURNS)
+        self.piece = min(PIECE, self.turn)
 
 
 def _stream(data: bytes, at: int, budget: Budget) -> Iterator[tuple[bytes, int, bool]]:
@@ -144,7 +149,7 @@ def _stream(data: bytes, at: int, budget: Budget) -> Iterator[tuple[bytes, int,
             return
         at += 0 if rest else len(piece)
         try:
-            got = tool.decompress(piece) if size == 256 else tool.decompress(piece, PIECE)
+            got = tool.decompress(piece) if size == 256 else tool.decompress(piece, budget.piece)
         except (zlib.error, OSError, lzma.LZMAError, ValueError, EOFError, zstandard.ZstdError):
             return
         rest = getattr(tool, "unconsumed_tail", b"")
@@ -165,7 +170,7 @@ def _inflate(data: bytes, at: int, budget: Budget) -> Iterator[tuple[bytes, int]
         for got, at, whole in _stream(data, at, budget):
             held += got
             new += len(got)
-            if len(held) >= PIECE:
+            if new >= budget.piece:
                 yield bytes(held), at
                 del held[:-OVERLAP]
                 new = 0
@@ -208,11 +213,12 @@ def _unwrap(data: bytes, budget: Budget, decoded: bool = False) -> Iterator[tupl
     """
     if b"%" in data and (found := _replaced(data, PERCENT, unquote_to_bytes)):
         yield found
-    if (b"\\" in data or b"&" in data) and (found := _replaced(data, ESCAPES, _unescape)):
+    if (b"\\" in data or b"&" in data or b"%u" in data) and (found := _replaced(data, ESCAPES, _unescape)):
         yield found
     if b"\0" in data:
         for m in WIDE.finditer(data):
-            yield m[0].replace(b"\0", b""), lambda start, end, at=m.start(): (at + 2 * start, at + 2 * end)
+            width = 4 if b"\0\0" in m[0] else 2
+            yield m[0].replace(b"\0", b""), lambda start, end, at=m.start(), width=width: (at + width * start, at + width * end)
     last = 0
     for at in (m.start() for m in STREAM.finditer(data)) if decoded else (0,):
         if at < last or not data.startswith(MAGIC, at):
@@ -253,10 +259,17 @@ def find_secrets(text: str | None, max_total: int = MAX_TOTAL) -> tuple[list[tup
     number = {hashlib.sha256(data).digest(): 0}
     into: list[list[tuple[int, Map]]] = [[]]
     finds: list[set[tuple[str, int, int]]] = [set()]
-    # each layer is held while what it holds is taken apart, which bounds the bytes held by the depth
-    work = [(0, _unwrap(data, budget))]
-    while work:
-        i, layers = work[-1]
+    # each layer is held while what it holds is taken apart, which bounds the bytes held by the depth; those that
+    # have had their turn wait, TURNS at most and their parents, so that a bomb doesn't hide what stands beside it
+    work, waiting = [(0, _unwrap(data, budget), budget.left)], deque()
+    while work or waiting:
+        if not work:
+            i, layers, _ = waiting.popleft()
+            work.append((i, layers, budget.left))
+        i, layers, since = work[-1]
+        if since - budget.left >= budget.turn and (waiting or len(work) > 1):
+            waiting.append(work.pop())
+            continue
         item = next(layers, None)
         if item is None:
             work.pop()
@@ -266,7 +279,7 @@ def find_secrets(text: str | None, max_total: int = MAX_TOTAL) -> tuple[list[tup
         if j == len(into):
             into.append([])
             finds.append(set(scan(got)))
-            work.append((j, _unwrap(got, budget, True)))
+            work.append((j, _unwrap(got, budget, True), budget.left))
         if j not in (0, i):
             into[j].append((i, back))
     layers = len(into) - 1
