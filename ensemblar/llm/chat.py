@@ -95,7 +95,7 @@ def render(turns: DataFrame, template: Template = DEFAULT, id_col: str = "conv_i
 
 
 def turn_order(turns: DataFrame, template: Template = DEFAULT, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", block: int = 64) -> DataFrame:
-    """(id_col, valid, first_bad_turn, complete) of every conversation.
+    """(key, valid, first_bad_turn, complete) of every conversation; key is a struct of the id, so that a null id is one as any other.
 
     Only turns and roles are shuffled. ``block`` turns at a time become a function from each state to the state
     behind them; functions of blocks are composed, so that a very long conversation is
@@ -116,25 +116,25 @@ def turn_order(turns: DataFrame, template: Template = DEFAULT, id_col: str = "co
         return F.struct(state.alias("state"), (state == at[BAD]).alias("bad"), F.when(x["bad"], x["turn"]).when(state == at[BAD], turn).alias("turn")).cast(reached)
 
     begin = F.array(*(F.struct(F.lit(k).alias("state"), F.lit(s == BAD).alias("bad"), F.lit(None).alias("turn")) for s, k in at.items())).cast(f"array<{reached}>")
-    rows = turns.select(F.col(id_col).alias("id"), F.floor(F.col(turn_col) / block).alias("part"), F.struct(F.col(turn_col).alias("turn"), role.alias("role"), table.alias("step")).alias("row"))
-    parts = rows.groupBy("id", "part").agg(F.array_sort(F.collect_list("row")).alias("rows"))
-    parts = parts.select("id", F.struct("part", F.aggregate("rows", begin, lambda f, r: F.transform(f, lambda x: move(x, r["step"], r["turn"]))).alias("f")).alias("p"))
+    rows = turns.select(F.struct(F.col(id_col).alias("id")).alias("key"), F.floor(F.col(turn_col) / block).alias("part"), F.struct(F.col(turn_col).alias("turn"), role.alias("role"), table.alias("step")).alias("row"))
+    parts = rows.groupBy("key", "part").agg(F.array_sort(F.collect_list("row")).alias("rows"))
+    parts = parts.select("key", F.struct("part", F.aggregate("rows", begin, lambda f, r: F.transform(f, lambda x: move(x, r["step"], r["turn"]))).alias("f")).alias("p"))
 
     def through(x: Column, p: Column) -> Column:
         y = F.element_at(p["f"], x["state"] + 1)
         return F.struct(y["state"].alias("state"), y["bad"].alias("bad"), F.when(x["bad"], x["turn"]).otherwise(y["turn"]).alias("turn")).cast(reached)
 
-    whole = parts.groupBy("id").agg(F.array_sort(F.collect_list("p")).alias("parts"))
-    last = whole.select("id", F.aggregate("parts", F.element_at(begin, 1), through).alias("x"))
-    return last.select(F.col("id").alias(id_col), (~F.col("x.bad")).alias("valid"), F.col("x.turn").alias("first_bad_turn"), F.col("x.state").isin([at[e] for e in template.ends]).alias("complete"))
+    whole = parts.groupBy("key").agg(F.array_sort(F.collect_list("p")).alias("parts"))
+    last = whole.select("key", F.aggregate("parts", F.element_at(begin, 1), through).alias("x"))
+    return last.select("key", (~F.col("x.bad")).alias("valid"), F.col("x.turn").alias("first_bad_turn"), F.col("x.state").isin([at[e] for e in template.ends]).alias("complete"))
 
 
 def assemble(rendered: DataFrame, template: Template = DEFAULT, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role") -> DataFrame:
-    """(id_col, segments) of whole conversations, by turn (then role, then text). One conversation is one value, of 2 GB at most."""
+    """(key, segments) of whole conversations, by turn (then role, then text). One conversation is one value, of 2 GB at most."""
     row = F.struct(F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col("segments").alias("segments"))
-    whole = rendered.select(F.col(id_col).alias("id"), row.alias("row")).groupBy("id").agg(F.array_sort(F.collect_list("row")).alias("rows"))
+    whole = rendered.select(F.struct(F.col(id_col).alias("id")).alias("key"), row.alias("row")).groupBy("key").agg(F.array_sort(F.collect_list("row")).alias("rows"))
     turns = F.flatten(F.transform("rows", lambda r: r["segments"]))
-    return whole.select(F.col("id").alias(id_col), F.concat(_segments([(F.lit(template.begin), False)]), turns).alias("segments"))
+    return whole.select("key", F.concat(_segments([(F.lit(template.begin), False)]), turns).alias("segments"))
 
 
 def formatted(segments: Column) -> Column:
@@ -177,5 +177,6 @@ def format_conversations(turns: DataFrame, template: Template = DEFAULT, id_col:
     names, are ignored; an empty table gives an empty result. Texts of any length are whole.
     """
     whole = assemble(render(turns, template, id_col, turn_col, role_col, text_col), template, id_col, turn_col, role_col)
-    order = turn_order(turns, template, id_col, turn_col, role_col).withColumnRenamed(id_col, "_id")
-    return whole.join(order, F.col(id_col).eqNullSafe(F.col("_id"))).select(id_col, "segments", "valid", "first_bad_turn", "complete")
+    # both sides lie by key already, and the texts aren't moved again
+    order = turn_order(turns, template, id_col, turn_col, role_col)
+    return whole.join(order, "key").select(F.col("key.id").alias(id_col), "segments", "valid", "first_bad_turn", "complete")
