@@ -7,55 +7,53 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import winter_year
+from ..shared import cut
+from . import packed
 from .climate import season_running_mean
 
 
-def gram(anomalies: DataFrame, time: str, cell: list[str], value: str = "value") -> DataFrame:
-    """(t, s, g): sums over cells of products of two times, t <= s. As many rows as pairs of times: a few hundred times at most."""
-    a, b = anomalies.select(F.col(time).alias("t"), *cell, F.col(value).alias("_a")), anomalies.select(F.col(time).alias("s"), *cell, F.col(value).alias("_b"))
-    return a.join(b, cell).where("t <= s").groupBy("t", "s").agg(F.sum(F.col("_a") * F.col("_b")).alias("g"))
+def gram(anomalies: DataFrame, time: str, cell: list[str], value: str = "value", most_times: int = 4096) -> DataFrame:
+    """(t, s, g): sums over cells of products of two times, t <= s. As many rows as pairs of times, ``most_times`` squared numbers in a task at most."""
+    times = packed.numbered(anomalies, time, most_times)
+    g = packed.gram_matrix(packed.pack(anomalies, cell, time, times, value), len(times))
+    kind = anomalies.schema[time].dataType.simpleString()
+    rows = [(times[i], times[j], float(g[i, j])) for i in range(len(times)) for j in range(i, len(times))]
+    return anomalies.sparkSession.createDataFrame(rows, f"t {kind}, s {kind}, g double")
 
 
-def snapshot_eof(anomalies: DataFrame, time: str, cell: list[str], value: str = "value", modes: int = 1, most_times: int = 400) -> tuple[DataFrame, list[float]]:
-    """(mode, cell, loading) of the leading patterns and their shares of variance.
+def snapshot_eof(anomalies: DataFrame, time: str, cell: list[str], value: str = "value", modes: int = 1, most_gram: int = 400) -> tuple[DataFrame, list[float]]:
+    """(mode, cell, loading) of the leading patterns and their shares of variance; a pattern has length one.
 
-    Only the Gram matrix of the times, ``most_times`` squared at most, reaches the driver; loadings are
-    made in Spark. Signs are arbitrary: see align_sign.
+    Each cell's series is packed in one row, and no cell meets another. Up to ``most_gram`` times their Gram matrix is decomposed; beyond,
+    a few vectors over times are iterated, each round one pass over the packed rows. Only what has
+    the length of the times reaches the driver: loadings are made and stay in Spark. Signs are arbitrary: see align_sign.
     """
-    times = [r[0] for r in anomalies.select(time).distinct().orderBy(time).limit(most_times + 1).collect()]
-    if len(times) > most_times:
-        raise ValueError(f"more than {most_times} times")
-    at = {t: k for k, t in enumerate(times)}
-    g = np.zeros((len(times), len(times)))
-    for t, s, x in gram(anomalies, time, cell, value).collect():
-        g[at[t], at[s]] = g[at[s], at[t]] = x
-    values, vectors = np.linalg.eigh(g)
-    lead = np.argsort(values)[::-1][:modes]
-    spark = anomalies.sparkSession
-    rows = [(times[t], m + 1, float(vectors[t, k] / np.sqrt(values[k]))) for m, k in enumerate(lead) for t in range(len(times))]
-    scores = spark.createDataFrame(rows, f"{time} {dict(anomalies.dtypes)[time]}, mode int, u double")
-    loadings = anomalies.join(scores, time).groupBy("mode", *cell).agg(F.sum(F.col("u") * F.col(value)).alias("loading"))
-    return loadings, [float(values[k] / values.sum()) for k in lead]
+    times = packed.numbered(anomalies, time)
+    series = cut(packed.pack(anomalies, cell, time, times, value))
+    modes = min(modes, len(times))
+    if len(times) <= most_gram:
+        values, vectors = np.linalg.eigh(packed.gram_matrix(series, len(times)))
+        total, values, vectors = values.sum(), values[::-1][:modes], vectors[:, ::-1][:, :modes]
+    else:
+        values, vectors, total = packed.leading_columns(series, len(times), modes)
+    loadings = packed.times_columns(series, cell, vectors / np.sqrt(values))
+    return loadings.select("mode", *cell, "loading"), [float(v / total) for v in values]
 
 
 def combined_eof(df: DataFrame, time: str, feature: str, value: str = "value", k: int = 2) -> tuple[DataFrame, list[float]]:
     """(feature, pc1..pck) of several fields side by side, one feature a field and longitude, and the shares of variance.
 
-    For about a thousand features and any number of times: the covariance is summed in
-    Spark, and only features x features of it are decomposed. Times that lack a feature go. Signs are
-    arbitrary: see align_sign.
+    The patterns of ``snapshot_eof`` over the features' anomalies. Times that lack a feature go. Signs are arbitrary: see align_sign.
     """
-    from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import array_to_vector
-
-    names = [r[0] for r in df.select(feature).distinct().orderBy(feature).collect()]
-    whole = df.where(F.col(value).isNotNull()).groupBy(time).agg(F.array_sort(F.collect_list(F.struct(feature, value))).alias("_a")).where(F.size("_a") == len(names))
-    model = PCA(k=k, inputCol="_v", outputCol="_p").fit(whole.select(array_to_vector(F.transform("_a", lambda x: x[value])).alias("_v")))
-    loadings = model.pc.toArray()
-    rows = [(n, *(float(x) for x in loadings[i])) for i, n in enumerate(names)]
-    kind = dict(df.dtypes)[feature]
-    out = df.sparkSession.createDataFrame(rows, ", ".join([f"{feature} {kind}", *(f"pc{m + 1} double" for m in range(k))]))
-    return out, [float(x) for x in model.explainedVariance]
+    given = df.where(F.col(value).isNotNull())
+    features = given.select(feature).distinct().count()
+    whole = given.groupBy(time).agg(F.count_distinct(feature).alias("_n")).where(F.col("_n") == features).select(time)
+    kept = given.join(whole, time)
+    means = kept.groupBy(feature).agg(F.avg(value).alias("_m"))
+    centred = kept.join(means, feature).select(time, feature, (F.col(value) - F.col("_m")).alias(value))
+    loadings, shares = snapshot_eof(centred, time, [feature], value, k)
+    pcs = [F.max(F.when(F.col("mode") == m + 1, F.col("loading"))).alias(f"pc{m + 1}") for m in range(k)]
+    return loadings.groupBy(feature).agg(*pcs), shares
 
 
 def project(df: DataFrame, eof: DataFrame, cell: list[str], keys: list[str], value: str = "value") -> DataFrame:

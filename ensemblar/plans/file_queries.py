@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.maths import mjo_phase
@@ -11,7 +11,7 @@ from ..sources import readers
 from ..sources.sinks import write_table
 from ..streaming import accumulate
 from .registry import Tables, query, rounded, uniform_sql
-from .shared import shared_path
+from ..shared import shared_path
 
 
 @query("s1_seed_folders", "with m as (select date_trunc('month', init_date)::date as init_date, number // 3 as seed, (number % 3) * 10 as member, avg(value) as value from fc group by 1, 2, 3), r as (select *, row_number() over (partition by init_date order by seed, member) - 1 as number from m) select init_date, number::int as number, round(value, 4) as value from r where number < 5")
@@ -69,14 +69,14 @@ def long_table(t: Tables) -> DataFrame:
 
 @query("x1_streamed_rank_counts", f"with ranked as (select model, n, (len(list_filter(xs, lambda x: x < obs)) + floor({uniform_sql('0, init_date, lead_day, cell')} * (len(list_filter(xs, lambda x: x = obs)) + 1)))::int as rank from cases where n = n_all and n > 0) select model, n, rank, count(*) as count from ranked group by 1, 2, 3")
 def streamed_rank_counts(t: Tables) -> DataFrame:
-    """Counts from a stream of forecast rows in two runs; the second takes only the files that came in between. Equal to the batch's."""
+    """Counts from a stream of forecast rows in two runs. Every init is split over both runs' files and held until it is whole. Equal to the batch's."""
     base = shared_path(t.spark, "stream")
     keys = ["model", "init_date", "lead_day", "cell"]
-    fc = t.fc
-    for early in (True, False):
-        part = fc.where((F.col("init_date") < F.lit("1998-01-01").cast("date")) == early)
-        part.repartition("init_date").write.mode("append").parquet(f"{base}/in")
-        rows = accumulate.forecast_stream(t.spark, f"{base}/in", fc.schema)
+    fc = t.fc.withColumn("rows", F.count(F.lit(1)).over(Window.partitionBy("model", "init_date")))
+    for late in (False, True):
+        part = fc.where(((F.col("lead_day") + F.col("number")) % 2 == 0) == late)
+        part.write.mode("append").parquet(f"{base}/in")
+        rows = accumulate.whole_inits(accumulate.forecast_stream(t.spark, f"{base}/in", fc.schema), ["model", "init_date"], ["lead_day", "cell", "number"], "rows")
         accumulate.run_available(rows, f"{base}/checkpoint", f"{base}/out", lambda df: accumulate.rank_counts(df, t.obs, keys, ["model"]))
     return accumulate.summed(t.spark, f"{base}/out", ["model", "n", "rank"])
 

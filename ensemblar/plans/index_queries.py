@@ -93,6 +93,22 @@ def gram_matrix(t: Tables) -> DataFrame:
     return rounded(indices.gram(_anomalies(t), "ym", ["cell"]), 3)
 
 
+def _power(name: str, matrix: str, n: int) -> str:
+    """CTEs ``name``: (v, l), the leading eigenvector and eigenvalue of a symmetric matrix of lists, by squaring it 18 times."""
+    times = "list_transform(m, lambda r: list_transform(m, lambda c: list_inner_product(r, c)))"
+    trace = f"list_sum(list_transform(range(1, {n + 1}), lambda i: m[i][i]))"
+    return (
+        f"{name}_p as (select 0 as k, m, m as c from ({matrix}) union all select k + 1, list_transform(m, lambda r: list_transform(r, lambda x: x / tr)), c from (select k, m, c, {trace} as tr from (select k, {times} as m, c from {name}_p where k < 18))), "
+        f"{name}_i as (select m, c, list_position(d, list_max(d)) as i from (select m, c, list_transform(range(1, {n + 1}), lambda i: m[i][i]) as d from {name}_p where k = 18)), "
+        f"{name} as (select v, c, list_inner_product(v, list_transform(c, lambda r: list_inner_product(r, v))) as l from (select c, list_transform(m[i], lambda x: x / sqrt(list_inner_product(m[i], m[i]))) as v from {name}_i))"
+    )
+
+
+def _covariance(rows: str, time: str, n: int) -> str:
+    """The matrix of lists of (time, cell, value) rows; what is missing counts as nothing."""
+    return f"select list(r order by cell) as m from (select x.cell, list(coalesce(s, 0)::double order by y.cell) as r from (select range as cell from range({n})) x cross join (select range as cell from range({n})) y left join (select a.cell as c, b.cell as d, sum(a.value * b.value) as s from {rows} a join {rows} b using ({time}) group by 1, 2) on c = x.cell and d = y.cell group by 1)"
+
+
 def _eof(t: Tables) -> DataFrame:
     """EOF1, its sign set so that the last row's mean loading is positive."""
     a = _anomalies(t)
@@ -102,18 +118,31 @@ def _eof(t: Tables) -> DataFrame:
     return eof.withColumn("loading", F.when(ref < 0, -F.col("loading")).otherwise(F.col("loading")))
 
 
-@query("e2_projection")
+@query("e1_daily_pattern", f"with recursive anom as (select valid_date, cell, (value - avg(value) over (partition by cell)) * sqrt(cos(radians(lat))) as value from obs join cells using (cell)), {_power('lead', _covariance('anom', 'valid_date', 24), 24)}, tot as (select sum(value * value) as total from anom), s as (select case when list_sum(v) < 0 then -1 else 1 end as sign, v, l / total as share from lead, tot) select (range)::int as cell, round(sign * v[range + 1], 4) as loading, round(share, 4) as share from s, range(24)")
+def daily_pattern(t: Tables) -> DataFrame:
+    """The leading pattern of daily anomalies, by iteration where there are more than 400 days; the mean loading is positive."""
+    gone = climate.remove_group_mean(t.obs, ["cell"], ["value"]).join(F.broadcast(t.cells), "cell")
+    eof, shares = indices.snapshot_eof(gone.select("valid_date", "cell", (F.col("value") * sqrt_cos_weight(F.col("lat"))).alias("value")), "valid_date", ["cell"])
+    sign = F.when(F.sum("loading").over(Window.partitionBy("mode")) < 0, -1).otherwise(1)
+    return rounded(eof.select("cell", (sign * F.col("loading")).alias("loading"), F.lit(shares[0]).alias("share")))
+
+
+@query("e2_projection", f"with recursive {MONTHS}, {_power('lead', _covariance('anom', 'ym', 24), 24)}, e as (select range::int as cell, v[range + 1] as loading, sum(case when range % 6 = 5 then v[range + 1] end) over () as ref from lead, range(24)), pc as (select valid_date, sum(value * sqrt(cos(radians(lat))) * case when ref < 0 then -loading else loading end) as pc from obs join cells using (cell) join e using (cell) group by 1) select valid_date, round((pc - avg(pc) over ()) / stddev_pop(pc) over (), 4) as index from pc")
 def projection(t: Tables) -> DataFrame:
-    """The daily index of the leading pattern over its deviation, from an eigenvector that SQL has no name for."""
+    """The daily index of the leading pattern over its deviation."""
     eof = _eof(t)
     pc = indices.project(t.obs, eof, ["cell"], ["valid_date"])
     sd = pc.agg(F.stddev_pop("pc").alias("sd"), F.avg("pc").alias("m"))
     return rounded(pc.join(F.broadcast(sd), F.lit(True)).select("valid_date", ((F.col("pc") - F.col("m")) / F.col("sd")).alias("index")))
 
 
-@query("e4_combined_eof")
+HALVES = "half as (select (year(valid_date) * 2 + (month(valid_date) - 1) // 6)::int as half, cell, avg(value) as a, avg(value * value) as b from obs group by 1, 2), ff as (select half, cell as cell, a as value from half union all select half, cell + 24, b from half), cc as (select half, cell, value - avg(value) over (partition by cell) as value from ff), sc as (select half, cell, value / stddev_pop(value) over (partition by cell >= 24) as value from cc), wh as (select half from sc group by 1 having count(distinct cell) = (select count(distinct cell) from sc)), zz as (select half, cell, value - avg(value) over (partition by cell) as value from sc semi join wh using (half))"
+DEFLATED = "select list_transform(range(1, 49), lambda i: list_transform(range(1, 49), lambda j: c[i][j] - l * v[i] * v[j])) as m from one"
+
+
+@query("e4_combined_eof", f"with recursive {HALVES}, {_power('one', _covariance('zz', 'half', 48), 48)}, {_power('two', DEFLATED, 48)}, f as (select range::int as feature, one.v[range + 1] as p, two.v[range + 1] as q from one, two, range(48)), g as (select sign(max_by(p, abs(p))) as sp, sign(max_by(q, abs(q))) as sq from f) select feature, round(p * sp, 4) as pc1, round(q * sq, 4) as pc2 from f, g")
 def combined_eof(t: Tables) -> DataFrame:
-    """The two leading patterns of two fields side by side over half-years, each field over its own deviation; an eigenvector again."""
+    """The two leading patterns of two fields side by side over half-years, each field over its own deviation."""
     half = (F.year("valid_date") * 2 + F.floor((F.month("valid_date") - 1) / 6)).cast("int").alias("half")
     means = t.obs.groupBy(half, "cell").agg(F.avg("value").alias("a"), F.avg(F.col("value") * F.col("value")).alias("b"))
     fields = means.select("half", F.explode(F.array(F.struct((F.col("cell")).alias("feature"), F.col("a").alias("value")), F.struct((F.col("cell") + 24).alias("feature"), F.col("b").alias("value")))).alias("x")).select("half", "x.*")
@@ -361,7 +390,7 @@ def consistency_band(t: Tables) -> DataFrame:
 def score_sink(t: Tables) -> DataFrame:
     """Two variants written side by side by partition and read back through the loader registry."""
     from ..sources.sinks import write_scores
-    from .shared import shared_path
+    from ..shared import shared_path
 
     path = shared_path(t.spark, "scores")
     for column, variant in (("mean", "weekly"), ("obs", "daily")):

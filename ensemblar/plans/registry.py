@@ -64,8 +64,9 @@ def with_views(sql: str) -> str:
     need(sql)
     own = sql.strip()
     parts = [f"{v} as ({VIEWS[v]})" for v in needed]
-    if own[:5].lower() == "with ":
-        return "with " + ", ".join([*parts, own[5:]])
+    for head in ("with recursive ", "with "):
+        if own.lower().startswith(head):
+            return head + ", ".join([*parts, own[len(head) :]])
     return ("with " + ", ".join(parts) + " " if parts else "") + own
 
 

@@ -1,17 +1,20 @@
 """Rank counts and window means from streams of new files.
 
 Each micro-batch writes its own folder, named by its number, so that a batch that is run again replaces
-itself and nothing else. Counts are additive: the sum over batches equals the batch query's. What needs all
-inits at once, such as the leave-one-year-out bias, is not for streams.
+itself and nothing else. Counts are additive: the sum over batches equals the batch query's. Inits whose members come in
+several files, in any order, are held as state until they are whole. What needs all inits at once, such as the
+leave-one-year-out bias, is not for streams.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..operators.align import ensemble_cases
 from ..operators.scores import ranked
@@ -26,14 +29,108 @@ def run_available(stream: DataFrame, checkpoint: str, path: str, make: Callable[
     def write(df: DataFrame, batch: int) -> None:
         (make(df) if make else df).write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
-    query = stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
-    query.awaitTermination()
+    with _state_store(stream.sparkSession):
+        query = stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
+        query.awaitTermination()
     return query
 
 
+@contextmanager
+def _state_store(spark: SparkSession) -> Iterator[None]:
+    """RocksDB for streams that start here: the store of timers and of lists that grow; the session's choice comes back afterwards."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+#: Days after the newest file in which an older one may still come; the file source itself takes none that is older.
+LATE_DAYS = 7
+
+
 def forecast_stream(spark: SparkSession, path: str, schema, files: int = 100) -> DataFrame:
-    """Forecast rows as files come in; one file holds whole inits."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
+    """Forecast rows as files come in, with the time at which their file was written, ``arrived``."""
+    read = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).option("maxFileAge", f"{LATE_DAYS}d").parquet(path)
+    return read.withColumn("arrived", F.col("_metadata.file_modification_time")).withWatermark("arrived", f"{LATE_DAYS} days")
+
+
+class _Held(StatefulProcessor):
+    """Holds a key's rows until there are as many as it expects, or a timer ends the wait."""
+
+    def __init__(self, keys: list[str], fields: list[str], schema: str, same: list[str], expected: str, wait: int) -> None:
+        self.keys, self.fields, self.schema, self.wait = keys, fields, schema, wait
+        self.same, self.expected, self.arrived = [fields.index(c) for c in same], fields.index(expected), fields.index("arrived")
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getListState("held", self.schema)
+        # rows held; -1 once they have gone on
+        self.count = handle.getValueState("count", "n long")
+
+    def _distinct(self, rows: list[tuple]) -> list[tuple]:
+        first: dict[tuple, tuple] = {}
+        for r in rows:
+            first.setdefault(tuple(r[k] for k in self.same), r)
+        return list(first.values())
+
+    def _out(self, key: tuple, rows: list[tuple], whole: bool) -> Iterator[Row]:
+        for r in rows:
+            yield Row(**dict(zip(self.keys, key, strict=True)), **{c: x for c, x in zip(self.fields, r, strict=True) if c != "arrived"}, whole=whole)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        new = [tuple(r[c] for c in self.fields) for r in rows]
+        state = self.count.get()
+        n = state[0] if state else 0
+        if n < 0:
+            return
+        if not n:
+            self.handle.registerTimer(int(max(r[self.arrived] for r in new).timestamp() * 1000) + self.wait)
+        expected = max((r[self.expected] for r in new if r[self.expected] is not None), default=None)
+        if expected is None or n + len(new) < expected:
+            self.held.appendList(new)
+            self.count.update((n + len(new),))
+            return
+        new = self._distinct([*(tuple(x) for x in self.held.get()), *new] if n else new)
+        if len(new) < expected:  # some came twice
+            self.held.put(new)
+            self.count.update((len(new),))
+            return
+        self.held.clear()
+        self.count.update((-1,))
+        yield from self._out(key, new, True)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+        state = self.count.get()
+        if state and state[0] > 0:
+            rows = self._distinct([tuple(x) for x in self.held.get()])
+            self.held.clear()
+            self.count.update((-1,))
+            self.handle.registerTimer(timerValues.getCurrentWatermarkInMs() + self.wait)
+            yield from self._out(key, rows, False)
+        else:
+            self.count.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def whole_inits(stream: DataFrame, keys: list[str], same: list[str], expected: str, wait_days: int = 30) -> DataFrame:
+    """The rows of ``forecast_stream`` once all of their key are there, with ``whole``; arrival is left behind.
+
+    ``expected`` is a column with the number of rows that the key will have; rows alike in ``same`` count once, the first stays. A key goes
+    on once: rows that come again later are left out. One that isn't whole ``wait_days`` after its first file (by the times of files, so that
+    a second run decides alike) goes on as it is, with whole = false. What the state holds is what is not whole yet; keys by
+    init, lead and a tile of cells keep one key's rows few where fields are large.
+    """
+    fields = [c for c in stream.columns if c not in keys]
+    held = ", ".join(f"{c} {stream.schema[c].dataType.simpleString()}" for c in fields)
+    kinds = [stream.schema[c] for c in [*keys, *(c for c in fields if c != "arrived")]]
+    out = T.StructType([T.StructField(f.name, f.dataType) for f in kinds] + [T.StructField("whole", T.BooleanType())])
+    held_rows = _Held(keys, fields, held, same, expected, wait_days * 86_400_000)
+    return stream.groupBy(*keys).transformWithState(held_rows, out, "Update", "EventTime")
 
 
 def rank_counts(rows: DataFrame, truth: DataFrame, keys: list[str], by: list[str], seed: int = 0) -> DataFrame:

@@ -148,6 +148,40 @@ def test_combined_eof_is_the_covariances_eigenvector(spark):
         assert abs(got[:, m] @ vectors[:, -1 - m]) == pytest.approx(1) and share[m] == pytest.approx(values[-1 - m] / values.sum())
 
 
+@pytest.mark.parametrize("most_gram", [400, 10])
+def test_patterns_over_many_times_equal_a_decomposition(spark, most_gram):
+    rng = np.random.default_rng(3)
+    times, cells = (2000, 120) if most_gram == 400 else (60, 40)
+    x = rng.normal(size=(times, cells)) @ np.diag(1 + 3 / (1 + np.arange(cells))) + np.outer(np.sin(np.arange(times) / 9), rng.normal(size=cells))
+    x[rng.random(x.shape) < 0.02] = 0  # those are left out
+    at = np.nonzero(x)
+    df = spark.createDataFrame(list(zip(at[0].tolist(), at[1].tolist(), x[at].tolist(), strict=True)) + [(0, 0, None)], "t int, cell int, value double")
+    eof, shares = indices.snapshot_eof(df, "t", ["cell"], modes=3, most_gram=most_gram)
+    _, s, v = np.linalg.svd(x, full_matrices=False)
+    for m in range(3):
+        got = np.array([r.loading for r in eof.where(f"mode = {m + 1}").orderBy("cell").collect()])
+        assert abs(got @ v[m]) == pytest.approx(1, abs=1e-7) and np.linalg.norm(got) == pytest.approx(1) and shares[m] == pytest.approx(s[m] ** 2 / (s**2).sum())
+
+
+def test_gram_needs_no_join_of_cells(spark):
+    from ensemblar.operators import packed
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(7, 50))
+    df = spark.createDataFrame([(t, c, float(x[t, c])) for t in range(7) for c in range(50)], "t int, cell int, value double").repartition(3)
+    got = {(r.t, r.s): r.g for r in indices.gram(df, "t", ["cell"]).collect()}
+    assert got == {(a, b): pytest.approx((x @ x.T)[a, b]) for a in range(7) for b in range(a, 7)}
+    plan = packed.pack(df, ["cell"], "t", list(range(7)))._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.split("\n") if "Join" in line]
+    assert len(joins) == 1 and "BroadcastHashJoin [t#" in joins[0]
+    with pytest.raises(ValueError):
+        indices.gram(df, "t", ["cell"], most_times=6)
+    # fewer cells than vectors that are iterated, and a rank below that
+    low = spark.createDataFrame([(t, c, float(np.cos(t) * (c + 1))) for t in range(30) for c in range(3)], "t int, cell int, value double")
+    eof, shares = indices.snapshot_eof(low, "t", ["cell"], modes=1, most_gram=5)
+    assert shares[0] == pytest.approx(1) and eof.count() == 3
+
+
 def test_table_sink_and_station_names(spark, tmp_path):
     df = spark.createDataFrame([(1, 2.5)], "a int, b double")
     sinks.write_table(df, str(tmp_path / "c"))
@@ -325,6 +359,47 @@ def test_a_second_run_of_a_stream_takes_new_files_only(spark, tmp_path):
     assert run(member(2)) == 3
 
 
+def test_inits_in_pieces_are_ranked_once_and_whole(spark, tmp_path):
+    import datetime
+    import os
+
+    from ensemblar.streaming import accumulate
+
+    day = datetime.date(2020, 1, 1)
+    schema = "model string, init_date date, lead_day int, cell int, number int, value double, rows int"
+    truth = spark.createDataFrame([(day + datetime.timedelta(k), c, 2.5) for k in range(30) for c in range(2)], "valid_date date, cell int, value double")
+    keys = ["model", "init_date", "lead_day", "cell"]
+    row = lambda k, lead, c, n: ("A", day + datetime.timedelta(k), lead, c, n, float(n) + 0.1 * lead, 12)
+    init = lambda k: [row(k, lead, c, n) for lead in (1, 2) for c in (0, 1) for n in range(3)]
+    began = 1_700_000_000
+
+    def run(rows, days):
+        """One file, ``days`` after the first, and what has been counted then: (rank, count)."""
+        name = f"{days}-{os.urandom(4).hex()}"
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / name))
+        (tmp_path / "in").mkdir(exist_ok=True)
+        part = next((tmp_path / name).glob("part*.parquet"))
+        part.rename(tmp_path / "in" / f"{name}.parquet")
+        os.utime(tmp_path / "in" / f"{name}.parquet", (began + days * 86_400,) * 2)
+        held = accumulate.whole_inits(accumulate.forecast_stream(spark, str(tmp_path / "in"), schema), ["model", "init_date"], ["lead_day", "cell", "number"], "rows", wait_days=3)
+        accumulate.run_available(held, str(tmp_path / "c"), str(tmp_path / "out"), lambda df: df)
+        seen = spark.read.parquet(str(tmp_path / "out"))
+        assert seen.count() == seen.select(*keys, "number").distinct().count()
+        ranks = accumulate.rank_counts(seen, truth, keys, ["model"]).where("n = 3").agg(F.sum("count")).first()[0]
+        return ranks or 0, seen.where("not whole").count()
+
+    first, second, third = init(0), init(1), init(2)
+    assert run(first[:5] + second[7:], 0) == (0, 0)
+    assert run(second[:7] + first[9:], 0) == (4, 0)  # the second init is whole
+    assert run(second + first[:3], 1) == (4, 0)  # a file that comes again
+    assert run(first[3:10], 1) == (8, 0)  # and overlaps: the first is whole
+    assert run(third[:4], 2) == (8, 0)
+    # nothing more of the third; the timer ends its wait when a much later file has come
+    assert run(init(3), 40) == (13, 4)  # one of its cases has all three members
+    assert run(third[4:], 41)[1] == 4
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass").endswith("HDFSBackedStateStoreProvider")
+
+
 def test_first_inits_and_gaps_by_key(spark):
     import datetime
 
