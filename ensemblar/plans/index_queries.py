@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.maths import mjo_phase, sqrt_cos_weight, transition_group, uniform
+from ..functions.maths import mjo_phase, sqrt_cos_weight, transition_group
 from ..operators import align, climate, indices, masks, monsoon, regrid, resample, scores
 from ..sources import readers
 from .registry import Tables, query, rounded, uniform_sql
@@ -294,10 +294,32 @@ def onset_statistics(t: Tables) -> DataFrame:
 # Resampling
 
 R = 1000
+LEVELS = 13  # ranges of up to 8192 blocks
+
+
+def _binomial(name: str, frm: str, n: str, p: str, u: str, keep: str) -> str:
+    """CTEs ``name``: ``keep`` of ``frm`` with k, the least number whose binomial distribution function reaches u."""
+    term = "exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln(p) + (n - k) * ln(1 - p))"
+    wide = "10 * sqrt(n * p * (1 - p)) + 10"
+    return (
+        f"{name}_n as (select {keep}, {n} as n, {p} as p, {u} as u from {frm}), "
+        f"{name}_k as (select n, p, unnest(range(greatest(0, floor(n * p - ({wide})))::bigint, least(n, ceil(n * p + {wide}))::bigint + 1)) as k from (select distinct n, p from {name}_n where n > 0 and p > 0 and p < 1)), "
+        f"{name}_c as (select n, p, k, sum({term}) over (partition by n, p order by k) as c from {name}_k), "
+        f"{name} as (select x.* exclude (p, u), coalesce(y.k, case when x.p >= 1 then x.n else 0 end)::bigint as k from {name}_n x asof left join {name}_c y on x.n = y.n and x.p = y.p and x.u <= y.c)"
+    )
 
 
 def _drawn(seed: int) -> str:
-    return f"num as (select block, row_number() over (order by block) - 1 as k from (select distinct block from blocked)), cnt as (select count(*)::int as nb from num), draws as (select r::int as replicate, floor({uniform_sql(f'{seed}, r, d')} * nb)::int as k from (select nb, unnest(range(nb)) as d from cnt), range(1, {R + 1}) x(r)), bw as (select replicate, block, count(*) as weight from draws join num using (k) group by 1, 2 union all select 0, block, 1 from num)"
+    """Counts of draws by halving: how many of a range's draws fall into its left half."""
+    parts = ["num as (select block, row_number() over (order by block) - 1 as k from (select distinct block from blocked))", "cnt as (select count(*) as nb from num)", f"l0 as (select r as replicate, 0 as lo, nb as m from cnt, range(1, {R + 1}) x(r))"]
+    for level in range(LEVELS):
+        size = 1 << (LEVELS - level)
+        share = f"(least(nb, lo + {size // 2}) - lo)::double / (least(nb, lo + {size}) - lo)"
+        hashed = f"(('0x' || substr(md5(concat_ws('|', {seed}, replicate // 4, {size}, lo)), 1 + 8 * (replicate % 4)::int, 8))::bigint + 0.5) / 4294967296.0::double"
+        parts.append(_binomial(f"d{level}", f"l{level}, cnt", "m", share, hashed, "replicate, lo, nb"))
+        parts.append(f"l{level + 1} as (select replicate, lo, k as m from d{level} where k > 0 union all select replicate, lo + {size // 2}, n - k from d{level} where n > k)")
+    parts.append(f"bw as (select replicate, block, m as weight from l{LEVELS} join num on num.k = lo union all select 0, block, 1 from num)")
+    return ", ".join(parts)
 
 
 BLOCKS = f"blocked as (select *, year(init_date) || '-' || lpad(month(init_date)::varchar, 2, '0') as block from weekly where fa is not null and oa is not null), {_drawn(7)}"
@@ -315,13 +337,13 @@ def _replicates(t: Tables) -> DataFrame:
     wk = _weekly_blocks(t)
     sums = resample.pair_sums(wk, ["block", "model", "week", "cell"], "fa", "oa")
     regions = masks.cell_region(t.cells).select("cell", "region", F.cos(F.radians("lat")).alias("weight"))
-    return resample.replicate_regional_correlation(sums, resample.weights(wk, R, seed=7), ["model", "week"], regions)
+    return resample.replicate_regional_correlation(sums, resample.draws(wk, R, seed=7), ["model", "week"], regions)
 
 
 @query("b1_block_weights", f"with {BLOCKS} select replicate, block, weight from bw")
 def block_weights(t: Tables) -> DataFrame:
     """B1: how often each replicate draws each month block; replicate 0 is the sample."""
-    return resample.weights(_weekly_blocks(t), R, seed=7).withColumn("weight", F.col("weight").cast("long"))
+    return resample.weights(resample.draws(_weekly_blocks(t), R, seed=7)).withColumn("weight", F.col("weight").cast("long"))
 
 
 @query("b2_replicate_tcc", f"with {BLOCKS}, {REGIONAL} select replicate, model, week, region, round(r, 4) as r from whole")
@@ -349,7 +371,7 @@ def _acc_replicates(t: Tables) -> DataFrame:
     f1, f2, o1, o2 = (F.col(c) for c in ("f1", "f2", "o1", "o2"))
     m = indices.trajectory(t.rmm, t.rmm_obs).withColumn("block", F.col("init_date").cast("string"))
     s = m.groupBy("block", "model", "lead_day").agg(F.sum(f1 * o1 + f2 * o2).alias("fo"), F.sum(f1 * f1 + f2 * f2).alias("ff"), F.sum(o1 * o1 + o2 * o2).alias("oo"))
-    rep = resample.replicate_sums(s, resample.weights(m, R, seed=3), ["model", "lead_day"], ("fo", "ff", "oo"))
+    rep = resample.replicate_sums(s, resample.draws(m, R, seed=3), ["model", "lead_day"], ("fo", "ff", "oo"))
     return rep.select("replicate", "model", "lead_day", F.try_divide("fo", F.sqrt(F.col("ff") * F.col("oo"))).alias("acc"))
 
 
@@ -369,17 +391,18 @@ def skill_day_interval(t: Tables) -> DataFrame:
     return rounded(out.select("model", "value", "low", "high", (F.col("high") >= F.col("top")).alias("censored")))
 
 
-CONS = f"pairs as (select f.model, f.lead_day, f.init_date, avg((sqrt(rmm1 ** 2 + rmm2 ** 2) >= 1)::int) as p from rmm f join rmm_obs b on b.valid_date = f.init_date + f.lead_day group by 1, 2, 3), red as (select r::int as replicate, least(floor(p * 5)::int, 4) as bin, ({uniform_sql('5, r, model, init_date, lead_day')} < p)::int as o from pairs, range(1, {R + 1}) x(r)), f as (select replicate, bin, avg(o) as freq from red group by 1, 2)"
+HASHED = "(('0x' || substr(md5(concat_ws('|', 5, r // 4, a, size)), 1 + 8 * (r % 4)::int, 8))::bigint + 0.5) / 4294967296.0::double"
+CONS = f"pairs as (select f.model, f.lead_day, f.init_date, count(*) filter (sqrt(rmm1 ** 2 + rmm2 ** 2) >= 1) as a, count(*) as size from rmm f join rmm_obs b on b.valid_date = f.init_date + f.lead_day group by 1, 2, 3), grp as (select least(floor(a / size * 5)::int, 4) as bin, a, size, count(*) as cases from pairs group by 1, 2, 3), each_r as (select * from grp, range(1, {R + 1}) x(r)), {_binomial('red', 'each_r', 'cases', 'a::double / size', HASHED, 'bin, r')}, f as (select r as replicate, bin, sum(k) / sum(n) as freq from red group by 1, 2)"
 
 
 @query("b7_consistency_band", f"with {CONS} select bin, round(quantile_cont(freq, 0.05), 4) as low, round(quantile_cont(freq, 0.95), 4) as high from f group by 1")
 def consistency_band(t: Tables) -> DataFrame:
-    """Where observed frequencies would lie if the probabilities were right."""
+    """Where observed frequencies would lie if the probabilities were right. Cases of one probability are redrawn together."""
     m = t.rmm.withColumn("valid_date", F.date_add("init_date", F.col("lead_day"))).join(t.rmm_obs, "valid_date")
-    pairs = m.groupBy("model", "lead_day", "init_date").agg(F.avg((F.sqrt(F.col("rmm1") * F.col("rmm1") + F.col("rmm2") * F.col("rmm2")) >= 1).cast("double")).alias("p"))
-    drawn = pairs.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(R))))
-    drawn = drawn.withColumn("o", (uniform(F.lit(5), "replicate", "model", "init_date", "lead_day") < F.col("p")).cast("int"))
-    f = drawn.groupBy("replicate", scores.event_bins(F.col("p"), 5).alias("bin")).agg(F.avg("o").alias("freq"))
+    active = F.count_if(F.sqrt(F.col("rmm1") * F.col("rmm1") + F.col("rmm2") * F.col("rmm2")) >= 1)
+    pairs = m.groupBy("model", "lead_day", "init_date").agg(active.alias("a"), F.count(F.lit(1)).alias("n"))
+    groups = pairs.groupBy(scores.event_bins(F.col("a") / F.col("n"), 5).alias("bin"), "a", "n").agg(F.count(F.lit(1)).alias("cases"))
+    f = resample.redrawn_events(groups, ["bin"], R, seed=5).withColumn("freq", F.col("events") / F.col("cases"))
     return rounded(f.groupBy("bin").agg(F.percentile("freq", F.lit(0.05)).alias("low"), F.percentile("freq", F.lit(0.95)).alias("high")))
 
 

@@ -213,8 +213,8 @@ def test_replicates_are_resamples(spark):
     data = [(f"b{k % 4}", c, float(rng.normal()), float(rng.normal())) for k in range(40) for c in range(3)]
     data += [("b1", 3, 2.0, 1.0), ("b1", 3, 2.0, 3.0)]  # no variance
     df = spark.createDataFrame(data, "block string, cell int, fa double, oa double").withColumn("model", F.lit("A"))
-    w = resample.weights(df, 5)
-    drawn = {(r.replicate, r.block): r.weight for r in w.collect()}
+    w = resample.draws(df, 5)
+    drawn = {(r.replicate, r.block): r.weight for r in resample.weights(w).collect()}
     cells = spark.createDataFrame([(0, "all", 1.0), (1, "all", 0.5), (2, "all", 2.0), (3, "all", 9.0), (1, "one", 0.5), (3, "none", 1.0)], "cell int, region string, weight double")
     sums = resample.pair_sums(df, ["block", "model", "cell"], "fa", "oa")
     got = {(r.region, r.replicate): r.r for r in resample.replicate_regional_correlation(sums, w, ["model"], cells).collect()}
@@ -228,12 +228,45 @@ def test_replicates_are_resamples(spark):
         assert got["one", k] == pytest.approx(each[1]) and got["none", k] is None
     whole = resample.replicate_sums(sums, w, ["model", "cell"], ("n", "fo")).where("replicate = 0 and cell = 2").first()
     assert whole.n == 40 and whole.fo == pytest.approx(sum(f * o for _, c, f, o in data if c == 2))
-    with pytest.raises(ValueError):
-        resample.MOST_WEIGHTS, kept = 3, resample.MOST_WEIGHTS
-        try:
-            resample.weight_matrix(w)
-        finally:
-            resample.MOST_WEIGHTS = kept
+
+
+def test_draws_are_multinomial_and_the_same_everywhere(spark):
+    for blocks in (1, 2, 5, 12, 64, 100):
+        counts = resample.draw_counts(9, 0, 1200, blocks).astype(int)
+        assert (counts.sum(1) == blocks).all() and (counts[0] == 1).all()
+        # any part of the replicates by itself
+        assert (resample.draw_counts(9, 130, 193, blocks) == counts[130:194]).all()
+        if blocks > 1:
+            each = counts[1:]
+            assert abs(each.mean(0) - 1).max() < 5 / np.sqrt(1200) and each.var() == pytest.approx(1 - 1 / blocks, rel=0.1)
+            c = np.cov(each.T)
+            assert c[0, blocks - 1] == pytest.approx(-1 / blocks, abs=0.15)
+    df = spark.createDataFrame([(f"b{k:03}",) for k in range(40)] * 2 + [(None,)], "block string")
+    got = [sorted(map(tuple, resample.weights(resample.draws(d, 90, seed=4)).collect())) for d in (df.coalesce(1), df.repartition(7))]
+    assert got[0] == got[1] and sum(w for _, _, w in got[0]) == 91 * 40
+    assert resample.weights(resample.draws(df.limit(0), 5)).count() == 0
+
+
+def test_binomials_by_inversion():
+    rng = np.random.default_rng(5)
+    for n, p in ((1, 0.5), (7, 0.3), (40, 0.9), (3000, 0.02)):
+        u = (np.arange(20_000) + 0.5) / 20_000
+        got = resample.binomials(np.full(u.shape, n), p, u)
+        assert (np.diff(got) >= 0).all() and got.mean() == pytest.approx(n * p, rel=2e-3) and got.var() == pytest.approx(n * p * (1 - p), rel=1e-2)
+        exact = np.cumsum([np.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log(1 - p)) for k in range(n + 1)])
+        assert (got == np.searchsorted(exact, u).clip(max=n)).mean() > 0.9999
+    mixed = rng.integers(0, 50, (30, 4))
+    u = rng.random((30, 4))
+    got = resample.binomials(mixed, 0.25, u)
+    assert all(got[i, j] == resample.binomials(mixed[i : i + 1, j], 0.25, u[i : i + 1, j])[0] for i in range(30) for j in range(4)) and (got <= mixed).all()
+
+
+def test_redrawn_events_have_the_exact_distribution(spark):
+    groups = spark.createDataFrame([("x", 1, 4, 30), ("x", 3, 4, 10), ("y", 0, 5, 7), ("y", 5, 5, 3)], "bin string, a int, n int, cases int").repartition(3)
+    got = resample.redrawn_events(groups, ["bin"], 4000, seed=2).toPandas()
+    x, y = got[got.bin == "x"], got[got.bin == "y"]
+    assert len(x) == len(y) == 4000 and (x.cases == 40).all() and (y.events == 3).all() and (y.cases == 10).all()
+    assert x.events.mean() == pytest.approx(15, abs=0.2) and x.events.var() == pytest.approx(7.5, rel=0.1)
 
 
 def test_skill_day_rules(spark):
