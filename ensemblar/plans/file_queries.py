@@ -25,6 +25,17 @@ def seed_folders(t: Tables) -> DataFrame:
     return rounded(read.select("init_date", F.col("number").cast("int").alias("number"), "value"))
 
 
+@query("d3_pruned_scan", "with m as (select date_trunc('month', init_date)::date as init_date, number // 3 as seed, avg(value) as value from fc group by 1, 2) select init_date, seed::int as seed, round(value, 4) as value, (select count(distinct init_date) from m where init_date >= date '1997-01-01' and init_date < date '1999-01-01' and seed <> 1)::int as partitions from m where init_date >= date '1997-01-01' and init_date < date '1999-01-01' and seed <> 1")
+def pruned_scan(t: Tables) -> DataFrame:
+    """The data source plans two years of all inits and two of three seeds from names; partitions is the number that it planned."""
+    path = shared_path(t.spark, "pruned")
+    rows = t.fc.groupBy(F.trunc("init_date", "month").alias("init_date"), F.floor(F.col("number") / 3).cast("int").alias("seed")).agg(F.avg("value").alias("value"))
+    rows.repartition("init_date").write.partitionBy("init_date", "seed").parquet(path)
+    read = readers.load_forecast("forecast_files", t.spark, path, layout="seed_dirs")
+    kept = read.where((F.col("init_date") >= F.lit("1997-01-01").cast("date")) & (F.col("init_date") < F.lit("1999-01-01").cast("date")) & (F.col("seed") != 1))
+    return rounded(kept.select("init_date", "seed", "value", F.lit(kept.rdd.getNumPartitions()).alias("partitions")))
+
+
 @query("s10_station_years", "select year(valid_date)::int as year, round(lat, 2) as lat, round(lon, 2) as lon, count(*) as n, round(sum(greatest(value - 150, 0)), 3) as rain from obs join cells using (cell) group by 1, 2, 3")
 def station_years(t: Tables) -> DataFrame:
     """A file a year, whose coordinates bear other names in one of them."""

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.maths import mjo_phase, sqrt_cos_weight, transition_group
 from ..operators import align, climate, indices, masks, monsoon, regrid, resample, scores
-from ..sources import readers
+from ..shared import shared_path
+from ..sources.sinks import ScoreStore
 from .registry import Tables, query, rounded, uniform_sql
 
 LAT = [-75.0, -45.0, -15.0, 15.0, 45.0, 75.0]
@@ -411,11 +412,8 @@ def consistency_band(t: Tables) -> DataFrame:
 
 @query("s13_score_sink", "select model, 'weekly' as variant, lead_day, round(avg(mean), 4) as mean from cases group by 1, 3 union all select model, 'daily', lead_day, round(avg(obs), 4) from cases group by 1, 3")
 def score_sink(t: Tables) -> DataFrame:
-    """Two variants written side by side by partition and read back through the loader registry."""
-    from ..sources.sinks import write_scores
-    from ..shared import shared_path
-
-    path = shared_path(t.spark, "scores")
-    for column, variant in (("mean", "weekly"), ("obs", "daily")):
-        write_scores(rounded(t.cases.groupBy("model", "lead_day").agg(F.avg(column).alias("mean"))), path, variant)
-    return readers.load_forecast("nested", t.spark, path).select("model", "variant", "lead_day", "mean")
+    """Two variants in one store; the first is written twice, and the second writing replaces it at once and leaves the other."""
+    store = ScoreStore(t.spark, shared_path(t.spark, "scores"))
+    for column, variant in (("obs", "weekly"), ("obs", "daily"), ("mean", "weekly")):
+        store.publish(rounded(t.cases.groupBy("model", "lead_day").agg(F.avg(column).alias("mean"))), variant, ["model"])
+    return store.read().select("model", "variant", "lead_day", "mean")

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.dates import name_date
 from ..schema import nan_to_null
+from .forecast_files import register
 
 LOADERS: dict[str, Callable[..., DataFrame]] = {}
 
@@ -56,26 +56,38 @@ def nested(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def _by_folder(spark: SparkSession, paths: dict[int, str], name: str) -> DataFrame:
+    """The files of several folders as one scan, with the number that each folder stands for."""
+    plain = lambda c: F.regexp_replace(c, r"^\w+:/+", "/")
+    pairs = [x for number, path in paths.items() for x in (plain(F.lit(path.rstrip("/"))), F.lit(number))]
+    df = spark.read.option("mergeSchema", True).parquet(*paths.values())
+    folder = F.regexp_extract(plain(F.col("_metadata.file_path")), r"^(.*)/[^/]+$", 1)
+    return df.withColumn(name, F.element_at(F.create_map(*pairs), folder))
+
+
 @loader("stations")
 def stations(spark: SparkSession, paths: dict[int, str]) -> DataFrame:
-    """Rain by year; columns are brought to one set of names, whichever a year has."""
-    names = {"latitude": "lat", "longitude": "lon", "TIME": "valid_date", "time": "valid_date"}
-    out = None
-    for year, path in paths.items():
-        df = spark.read.parquet(path)
-        df = df.withColumnsRenamed({a: b for a, b in names.items() if a in df.columns}).withColumn("year", F.lit(year))
-        out = df if out is None else out.unionByName(df)
-    return out
+    """Rain by year in one scan; columns are brought to one set of names, whichever a year has."""
+    df = _by_folder(spark, paths, "year")
+    for name, others in {"lat": ["latitude"], "lon": ["longitude"], "valid_date": ["TIME", "time"]}.items():
+        have = [c for c in (name, *others) if c in df.columns]
+        df = df.withColumn("_x", F.coalesce(*have)).drop(*have).withColumnRenamed("_x", name) if have else df
+    return df
 
 
 @loader("member_files")
 def member_files(spark: SparkSession, paths: dict[int, str], keys: list[str], time: str) -> DataFrame:
-    """One path a member brought together as a cube: number, and day 0..n-1 by time within each key and member."""
-    out = None
-    for number, path in paths.items():
-        df = spark.read.parquet(path).withColumn("number", F.lit(number))
-        out = df if out is None else out.unionByName(df)
-    return out.withColumn("day", F.row_number().over(Window.partitionBy(*keys, "number").orderBy(time)) - 1)
+    """One path a member brought together as a cube in one scan: number, and day 0..n-1 by time within each key and member."""
+    df = _by_folder(spark, paths, "number")
+    return df.withColumn("day", F.row_number().over(Window.partitionBy(*keys, "number").orderBy(time)) - 1)
+
+
+@loader("forecast_files")
+def forecast_files(spark: SparkSession, path: str, layout: str, most_members: int | None = None, **options: str) -> DataFrame:
+    """Files by what their names say, as the data source lists them; ``most_members`` is a filter on the list where names have the member."""
+    register(spark)
+    df = spark.read.format("forecast_files").options(layout=layout, **options).load(path)
+    return df if most_members is None else df.where(F.col("number") < most_members)
 
 
 @loader("months")
@@ -158,9 +170,3 @@ def complete_runs(df: DataFrame, members: int, run: str = "run", key: str = "ini
     whole = df.where(F.col("number") < members).groupBy(run, key).agg(F.count_distinct("number").alias("_n")).where(F.col("_n") == members)
     best = whole.groupBy(key).agg(F.max(run).alias(run))
     return df.where(F.col("number") < members).join(best, [run, key], "left_semi")
-
-
-def files_of(spark: SparkSession, path: str, pattern: str = "*.parquet") -> DataFrame:
-    """(path, file date) of files without reading them."""
-    listed = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path")
-    return listed.withColumn("file_date", name_date(F.col("path")))

@@ -1,7 +1,7 @@
 """Rank counts and window means from streams of new files.
 
-Each micro-batch writes its own folder, named by its number, so that a batch that is run again replaces
-itself and nothing else. Counts are additive: the sum over batches equals the batch query's. Inits whose members come in
+Each micro-batch is a variant of a score store, named by its number: a batch that is run again replaces itself and nothing
+else, and readers see whole batches only. Counts are additive: the sum over batches equals the batch query's. Inits whose members come in
 several files, in any order, are held as state until they are whole. What needs all inits at once, such as the
 leave-one-year-out bias, is not for streams.
 """
@@ -18,16 +18,17 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from ..operators.align import ensemble_cases
 from ..operators.scores import ranked
+from ..sources.sinks import ScoreStore
 
 
 def run_available(stream: DataFrame, checkpoint: str, path: str, make: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
-    """Takes the files that are new since the checkpoint and ends; ``make`` of each batch's rows goes to ``path``/batch=<number>.
+    """Takes the files that are new since the checkpoint and ends; ``make`` of each batch's rows goes to the store at ``path``.
 
     Windowed aggregations come in update mode: only rows that changed.
     """
 
     def write(df: DataFrame, batch: int) -> None:
-        (make(df) if make else df).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+        ScoreStore(df.sparkSession, path).publish(make(df) if make else df, str(batch))
 
     with _state_store(stream.sparkSession):
         query = stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
@@ -140,13 +141,13 @@ def rank_counts(rows: DataFrame, truth: DataFrame, keys: list[str], by: list[str
 
 def summed(spark: SparkSession, path: str, by: list[str], count: str = "count") -> DataFrame:
     """The batches' counts together."""
-    return spark.read.parquet(path).groupBy(*by).agg(F.sum(count).alias(count))
+    return ScoreStore(spark, path).read().groupBy(*by).agg(F.sum(count).alias(count))
 
 
 def latest(spark: SparkSession, path: str, by: list[str], columns: list[str]) -> DataFrame:
     """Of each key the row that the last batch gave."""
-    newest = F.max_by(F.struct(*columns), "batch").alias("_x")
-    return spark.read.parquet(path).groupBy(*by).agg(newest).select(*by, "_x.*")
+    newest = F.max_by(F.struct(*columns), F.col("variant").cast("long")).alias("_x")
+    return ScoreStore(spark, path).read().groupBy(*by).agg(newest).select(*by, "_x.*")
 
 
 def six_hourly(events: DataFrame, late: str = "1 hour") -> DataFrame:

@@ -204,7 +204,60 @@ def test_flat_files(spark, tmp_path):
     part.rename(tmp_path / "f" / "x_2020010100_ens_7.parquet")
     (row,) = readers.load_forecast("flat_files", spark, str(tmp_path / "f")).collect()
     assert row.number == 7 and row.init_time == dt.datetime(2020, 1, 1)
-    assert readers.files_of(spark, str(tmp_path / "f")).count() == 1
+
+
+def test_forecast_files_are_listed_before_they_are_read(spark, tmp_path):
+    from pyspark.sql.datasource import EqualTo, GreaterThan, In, IsNotNull, LessThanOrEqual, Not
+
+    from ensemblar.sources import forecast_files
+
+    frame = lambda v: spark.createDataFrame([(7, v, None), (8, float("nan"), "x")], "cell int, value double, note string")
+    root = tmp_path / "flat"
+    root.mkdir()
+    for day, member in ((1, 0), (1, 1), (1, 2), (2, 0), (2, 1), (3, 0)):
+        frame(day + member / 10).coalesce(1).write.parquet(str(tmp_path / f"w{day}{member}"))
+        next((tmp_path / f"w{day}{member}").glob("part*.parquet")).rename(root / f"run_202001{day:02}06_ens_{member}.parquet")
+    (root / "run_2020010406_ens_0.parquet").write_text("not a table")  # nobody reads it
+    (root / "notes.txt").write_text("no forecast")
+    load = lambda **o: readers.load_forecast("forecast_files", spark, str(root), layout="flat_files", **o)
+    jan = lambda day: F.lit(f"2020-01-{day:02}").cast("date")
+    df = load()
+    assert {c: t for c, t in df.dtypes} == {"cell": "int", "value": "double", "note": "string", "init_date": "date", "hour": "int", "number": "int"}
+    kept = df.where((F.col("init_date") <= jan(2)) & F.col("number").isin(0, 2) & (F.col("hour") == 6))
+    assert sorted((r.init_date.day, r.number, r.cell, r.value) for r in kept.where("cell = 7").collect()) == [(1, 0, 7, 1.0), (1, 2, 7, 1.2), (2, 0, 7, 2.0)]
+    assert kept.rdd.getNumPartitions() == 2 and all(r.value is None for r in kept.where("cell = 8").collect())
+    assert load(files_per_task="1").where(F.col("init_date") < jan(3)).rdd.getNumPartitions() == 5
+    assert df.where((F.col("init_date") == jan(3)) & (F.col("number") != 0)).count() == 0
+    assert df.where(F.col("init_date") == jan(9)).count() == 0
+    with pytest.raises(Exception, match="Parquet|parquet|magic"):
+        df.where(F.col("init_date") >= jan(4)).collect()
+    # a schema of one's own, and a column that files lack
+    own = spark.read.format("forecast_files").option("layout", "flat_files").schema("number int, more double, cell long").load(str(root)).where("number = 1")
+    assert sorted((r.number, r.more, r.cell) for r in own.where("cell = 7").collect()) == [(1, None, 7), (1, None, 7)]
+    for bad in ({"layout": "none"}, {"layout": "flat_files", "codec": "none"}):
+        with pytest.raises(Exception, match="unknown"):
+            spark.read.format("forecast_files").options(**bad).load(str(root)).count()
+    files = forecast_files.listed(str(root), "flat_files")
+    reader = forecast_files.ForecastReader(str(root), files, "parquet", own.schema, 64)
+    given = [EqualTo(("value",), 1.0), GreaterThan(("number",), 0), Not(In(("number",), (2,))), IsNotNull(("init_date",)), LessThanOrEqual(("init_date",), dt.date(2020, 1, 2))]
+    assert list(reader.pushFilters(given)) == given[:1]
+    assert [[f.keys["number"] for f in p.files] for p in reader.partitions()] == [[1], [1]]
+
+
+@pytest.mark.parametrize("codec", ["csv", "feather"])
+def test_other_codecs_and_layouts(spark, tmp_path, codec):
+    import pyarrow as pa
+    import pyarrow.csv as pc
+    import pyarrow.feather as pf
+
+    table = pa.table({"cell": [1, 2], "value": [0.5, 1.5], "number": [99, 99]})
+    for lead in (1, 2, 3):
+        folder = tmp_path / "init_date=2021-03-01" / "number=4"
+        folder.mkdir(parents=True, exist_ok=True)
+        (pc.write_csv if codec == "csv" else pf.write_feather)(table, str(folder / f"lead_day={lead}.bin"))
+    df = readers.load_forecast("forecast_files", spark, f"file://{tmp_path}", layout="nested", codec=codec, most_members=5).where("lead_day > 1")
+    assert sorted((r.init_date, r.number, r.lead_day, r.cell, r.value) for r in df.collect()) == [(dt.date(2021, 3, 1), 4, k, c, c - 0.5) for k in (2, 3) for c in (1, 2)]
+    assert df.where("number >= 5").count() == 0
 
 
 def test_replicates_are_resamples(spark):
@@ -294,11 +347,43 @@ def test_complete_runs_never_mix(spark):
     assert {(r.run, r.init_date) for r in readers.complete_runs(df, 3).collect()} == {("old", 1), ("new", 2)}
 
 
-def test_variants_do_not_overwrite_each_other(spark, tmp_path):
-    df = spark.createDataFrame([("A", 1.0)], "model string, crps double")
-    for v in ("daily", sinks.tagged("daily", land=True, bc=False), "daily"):
-        sinks.write_scores(df, str(tmp_path / "s"), v)
-    assert sorted(r.variant for r in spark.read.parquet(str(tmp_path / "s")).collect()) == ["daily", "daily_land"]
+def test_scores_are_replaced_at_once(spark, tmp_path):
+    store = sinks.ScoreStore(spark, str(tmp_path / "s"))
+    frame = lambda *rows: spark.createDataFrame(rows, "model string, crps double")
+    seen = lambda: sorted((r.variant, r.model, r.crps) for r in store.read().collect())
+    with pytest.raises(ValueError):
+        store.read()
+    assert store.publish(frame(("A", 1.0), ("B", 2.0)), "daily", ["model"]) == 1
+    assert store.publish(frame(("A", 3.0)), "land / sea=1", ["model"]) == 2
+    former = [("daily", "A", 1.0), ("daily", "B", 2.0), ("land / sea=1", "A", 3.0)]
+    assert seen() == former and store.variants() == ["daily", "land / sea=1"]
+    # a job that ends between write and commit, and one that fails within its write
+    left = store.write(frame(("A", 9.0)), "daily", ["model"])
+    with pytest.raises(Exception):  # noqa: B017
+        store.publish(frame(("A", 1.0)).withColumn("crps", F.raise_error(F.lit("stopped")).cast("double")), "daily", ["model"])
+    assert seen() == former and store.manifest()[0] == 2
+    # a reader that began before a commit ends with what it began with
+    before = store.read(["daily"])
+    assert store.publish(frame(("C", 4.0)), "daily", ["model"]) == 3
+    assert sorted(r.model for r in before.collect()) == ["A", "B"]
+    assert seen() == [("daily", "C", 4.0), ("land / sea=1", "A", 3.0)]
+    # two runs that count from the same moment on; one variant goes
+    assert store.commit({"daily": left, "land / sea=1": None}) == 4 and seen() == [("daily", "A", 9.0)]
+    for k in range(3):
+        store.publish(frame(("D", float(k))), "daily", ["model"])
+    assert store.vacuum() >= 3 and seen() == [("daily", "D", 2.0)]
+    assert store.read(["daily"]).count() == 1
+    with pytest.raises(ValueError):
+        store.read(["weekly"])
+
+
+def test_commits_that_meet_lose_nothing(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    stores = [sinks.ScoreStore(spark, str(tmp_path / "s")) for _ in range(6)]
+    with ThreadPoolExecutor(6) as pool:
+        versions = list(pool.map(lambda k: [stores[k].commit({f"v{k}-{n}": "x"}) for n in range(5)], range(6)))
+    assert sorted(v for vs in versions for v in vs) == list(range(1, 31)) and len(stores[0].variants()) == 30
 
 
 def test_loaders(spark, tmp_path):
@@ -416,7 +501,7 @@ def test_inits_in_pieces_are_ranked_once_and_whole(spark, tmp_path):
         os.utime(tmp_path / "in" / f"{name}.parquet", (began + days * 86_400,) * 2)
         held = accumulate.whole_inits(accumulate.forecast_stream(spark, str(tmp_path / "in"), schema), ["model", "init_date"], ["lead_day", "cell", "number"], "rows", wait_days=3)
         accumulate.run_available(held, str(tmp_path / "c"), str(tmp_path / "out"), lambda df: df)
-        seen = spark.read.parquet(str(tmp_path / "out"))
+        seen = sinks.ScoreStore(spark, str(tmp_path / "out")).read().drop("variant")
         assert seen.count() == seen.select(*keys, "number").distinct().count()
         ranks = accumulate.rank_counts(seen, truth, keys, ["model"]).where("n = 3").agg(F.sum("count")).first()[0]
         return ranks or 0, seen.where("not whole").count()
