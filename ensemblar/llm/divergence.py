@@ -23,8 +23,8 @@ from .common import cut
 FOLD = bytes(b if b >= 0x80 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 #: Terms that every task holds at most, and bytes of the longest of them; the rest meet their counts by a join.
 HELD, LONGEST = 1 << 20, 64
-#: Terms of one transducer, entries that a task gathers before it hands them on, terms that are compared at once, and cells of a matrix.
-SHARD, GATHERED, BLOCK, CELLS = 1 << 16, 1 << 18, 1 << 12, 1 << 21
+#: Terms of one transducer, entries that a task gathers before it hands them on, words whose ordinals it remembers, terms that are compared at once, and cells of a matrix.
+SHARD, GATHERED, REMEMBERED, BLOCK, CELLS = 1 << 16, 1 << 18, 1 << 19, 1 << 12, 1 << 21
 SCALE_STEPS = (1000, 1000, 1000)  # 10^9 by long division, so that products stay within 64 bits
 
 
@@ -203,8 +203,8 @@ class Vocabulary:
     def ordinals(self, words: list[bytes]) -> np.ndarray:
         """The ordinal of each word, -1 where no transducer holds it."""
         out = np.full(len(words), -1, np.int64)
-        if len(self.first) == 1:
-            places = [np.arange(len(words))]
+        if len(self.first) < 2:
+            places = [np.arange(len(words))] * len(self.first)
         else:
             own = np.fromiter((bisect_right(self.first, w) - 1 for w in words), np.int64, len(words))
             places = [np.flatnonzero(own == k) for k in range(len(self.first))]
@@ -239,20 +239,27 @@ def recount(texts: DataFrame, vocab: DataFrame, least: int = 3, held: int = HELD
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabularies: dict[str, Vocabulary] = {}
+        known: dict[str, dict[bytes, int]] = defaultdict(dict)
         gathered: dict[tuple[str, str], Counter] = defaultdict(Counter)
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
+            if sum(map(len, known.values())) > REMEMBERED:
+                known.clear()
+            for lang in {lang for lang, _ in gathered}:
+                if lang not in vocabularies:
+                    vocabularies[lang] = Vocabulary(sent.value.get(lang, []))
+                # sources share most words, which go through the transducers once
+                new = list({w for (x, _), counts in gathered.items() if x == lang for w in counts if w not in known[lang]})
+                known[lang].update(zip(new, vocabularies[lang].ordinals(new).tolist(), strict=True))
             for (lang, source), counts in gathered.items():
                 words, n = list(counts), np.fromiter(counts.values(), np.int64, len(counts))
-                if lang not in vocabularies and lang in sent.value:
-                    vocabularies[lang] = Vocabulary(sent.value[lang])
-                found = vocabularies[lang].ordinals(words) if lang in vocabularies else np.full(len(words), -1, np.int64)
-                at = np.flatnonzero(found >= 0)
-                unknown = [k for k in np.flatnonzero(found < 0).tolist() if (longer if len(words[k]) > LONGEST else rarer)]
+                found = np.fromiter(map(known[lang].__getitem__, words), np.int64, len(words))
+                at = found >= 0
+                unknown = [k for k in np.flatnonzero(~at).tolist() if (longer if len(words[k]) > LONGEST else rarer)] if longer or rarer else []
                 ordinals = np.concatenate([[-1], found[at], np.full(len(unknown), -1)]).astype(np.int64)
                 count = np.concatenate([[0], n[at], n[unknown]]).astype(np.int64)
-                terms = pa.array([None] * (1 + len(at)) + [words[k] for k in unknown], pa.binary())
+                terms = pa.concat_arrays([pa.nulls(len(ordinals) - len(unknown), pa.binary()), pa.array([words[k] for k in unknown], pa.binary())])
                 same = pa.array(np.zeros(len(ordinals), np.int8))
                 names = [pa.DictionaryArray.from_arrays(same, pa.array([x])).dictionary_decode() for x in (lang, source)]
                 yield pa.RecordBatch.from_arrays([*names, pa.array(ordinals), terms, pa.array(count)], ["lang", "source", "ordinal", "term", "count"])
