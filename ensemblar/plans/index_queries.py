@@ -34,8 +34,7 @@ def _apply(out: str = "jlat, jlon") -> str:
 @query("r1_bilinear", f"with {AXES} {_apply()}")
 def bilinear(t: Tables) -> DataFrame:
     """Bilinear onto a finer grid; longitude goes round, rows beyond the outermost take it."""
-    table = regrid.weights(t.spark, regrid.linear_axis(LAT, FINE_LAT), regrid.linear_axis(LON, FINE_LON, 360.0))
-    return rounded(regrid.regrid(_grid(t), table, ["valid_date"]))
+    return rounded(regrid.regrid(_grid(t), regrid.linear_axis(LAT, FINE_LAT), regrid.linear_axis(LON, FINE_LON, 360.0), ["valid_date"], tile=4))
 
 
 @query("r3_bilinear_box", f"with {AXES} select * from ({_apply()}) where jlat between 7 and 11 and (jlon >= 9 or jlon <= 1)")
@@ -43,7 +42,7 @@ def bilinear_box(t: Tables) -> DataFrame:
     """The same onto a box only; weights outside it are not made."""
     lat = [w for w in regrid.linear_axis(LAT, FINE_LAT) if 7 <= w[1] <= 11]
     lon = [w for w in regrid.linear_axis(LON, FINE_LON, 360.0) if w[1] >= 9 or w[1] <= 1]
-    return rounded(regrid.regrid(_grid(t), regrid.weights(t.spark, lat, lon), ["valid_date"]))
+    return rounded(regrid.regrid(_grid(t), lat, lon, ["valid_date"]))
 
 
 @query("r4_longitude_shift", "with d as (select valid_date, ilat, avg(case when ilon = 0 then value end) as a, avg(case when ilon = 1 then value end) as b, avg(case when ilon = 2 then value end) as c, avg(case when ilon = 3 then value end) as e from obs join cells using (cell) group by 1, 2), s as (select valid_date, ilat as jlat, unnest([0, 1, 2, 3]) as jlon, unnest([(a + b) / 2, (b + c) / 2, (c + e) / 2, (e + a) / 2]) as value from d) select valid_date, jlat, jlon, round(value, 4) as value from s where value is not null")
@@ -51,14 +50,13 @@ def longitude_shift(t: Tables) -> DataFrame:
     """Half a cell along a periodic axis."""
     lon = regrid.linear_axis(LON, [x + 45 for x in LON], 360.0)
     same = regrid.nearest_axis(LAT, LAT)
-    return rounded(regrid.regrid(_grid(t), regrid.weights(t.spark, same, lon), ["valid_date"]).where("value is not null"))
+    return rounded(regrid.regrid(_grid(t), same, lon, ["valid_date"]).where("value is not null"))
 
 
 @query("r5_nearest", "select valid_date, unnest(case ilat when 0 then [0] when 2 then [1] when 4 then [2] else [] end)::int as jlat, ilon as jlon, round(value, 4) as value from obs join cells using (cell)")
 def nearest(t: Tables) -> DataFrame:
     """Nearest rows."""
-    table = regrid.weights(t.spark, regrid.nearest_axis(LAT, [-70.0, -10.0, 50.0]), regrid.nearest_axis(LON, LON, 360.0))
-    return rounded(regrid.regrid(_grid(t), table, ["valid_date"]))
+    return rounded(regrid.regrid(_grid(t), regrid.nearest_axis(LAT, [-70.0, -10.0, 50.0]), regrid.nearest_axis(LON, LON, 360.0), ["valid_date"]))
 
 
 @query("r6_block_mean", "select valid_date, (ilat // 2)::int as jlat, (ilon // 2)::int as jlon, round(avg(value), 4) as value from obs join cells using (cell) group by 1, 2, 3")
@@ -72,7 +70,7 @@ def conservative(t: Tables) -> DataFrame:
     """First-order conservative by overlaps of cell bounds."""
     bounds = lambda start, step, n: [(start + step * k, start + step * (k + 1)) for k in range(n)]
     lat, lon = regrid.conservative_axes(bounds(-90.0, 30.0, 6), bounds(-90.0, 45.0, 4), bounds(0.0, 90.0, 4), bounds(0.0, 120.0, 3))
-    return rounded(regrid.regrid(_grid(t), regrid.weights(t.spark, lat, lon), ["valid_date"]))
+    return rounded(regrid.regrid(_grid(t), lat, lon, ["valid_date"]))
 
 
 # Patterns and projections

@@ -122,9 +122,37 @@ def test_weights_of_a_constant_field_and_wrap():
 
 
 def test_regrid_is_null_where_a_source_is_missing(spark):
-    table = regrid.weights(spark, regrid.linear_axis([0.0, 1.0], [0.5]), regrid.nearest_axis([0.0], [0.0]))
-    df = spark.createDataFrame([(1, 0, 0, 1.0), (1, 1, 0, 3.0), (2, 0, 0, 1.0), (2, 1, 0, None), (3, 0, 0, 1.0)], "t int, ilat int, ilon int, value double")
-    assert dict(regrid.regrid(df, table, ["t"]).select("t", "value").collect()) == {1: 2.0, 2: None, 3: None}
+    lat, lon = regrid.linear_axis([0.0, 1.0], [0.5]), regrid.nearest_axis([0.0], [0.0])
+    df = spark.createDataFrame([(1, 0, 0, 1.0), (1, 1, 0, 3.0), (2, 0, 0, 1.0), (2, 1, 0, None), (3, 0, 0, 1.0), (4, 5, 0, 1.0), (4, 0, 9, 1.0)], "t int, ilat int, ilon int, value double")
+    assert dict(regrid.regrid(df, lat, lon, ["t"]).select("t", "value").collect()) == {1: 2.0, 2: None, 3: None}
+    assert regrid.regrid(df, [], lon, ["t"]).count() == regrid.regrid(df.limit(0), lat, lon, ["t"]).count() == 0
+
+
+@pytest.mark.parametrize("tile", [1, 3, 16])
+def test_gather_and_dot_equals_the_sum_over_pairs(spark, tile):
+    rng = np.random.default_rng(6)
+    ys, xs = [-75.0 + 15 * k for k in range(11)], [30.0 * k for k in range(12)]
+    bounds = lambda start, step, n: [(start + step * k, start + step * (k + 1)) for k in range(n)]
+    axes = [
+        (regrid.linear_axis(ys, [-90.0 + 7 * k for k in range(26)]), regrid.linear_axis(xs, [11.0 * k for k in range(33)], 360.0)),
+        regrid.conservative_axes(bounds(-82.5, 15.0, 11), bounds(-60.0, 20.0, 6), bounds(0.0, 30.0, 12), bounds(45.0, 70.0, 3)),
+        (regrid.nearest_axis(ys, [40.0, -40.0]), regrid.nearest_axis(xs, [100.0, 20.0], 360.0)),
+    ]
+    field = {(t, i, j): None if rng.random() < 0.02 else float(rng.normal()) for t in range(3) for i in range(11) for j in range(12) if rng.random() > 0.03}
+    rows = [(f"t{t}", i, j, v) for (t, i, j), v in field.items()] + [("t0", 4, 4, 1.0), ("t3", 0, 0, 1.0)]
+    df = spark.createDataFrame(rows, "t string, ilat int, ilon int, value double").repartition(3)
+    for lat, lon in axes:
+        want = {}
+        for t, i, j, v in rows:
+            for a, y, p in lat:
+                for b, x, q in lon:
+                    if a == i and b == j:
+                        want.setdefault((t, y, x), []).append((p * q, v))
+        got = {(r.t, r.jlat, r.jlon): r.value for r in regrid.regrid(df, lat, lon, ["t"], tile).collect()}
+        assert got.keys() == want.keys()
+        for key, terms in want.items():
+            whole = round(sum(w for w, _ in terms), 9) == 1 and all(v is not None for _, v in terms)
+            assert got[key] == (pytest.approx(sum(w * v for w, v in terms)) if whole else None)
 
 
 def test_eof_is_the_leading_singular_vector(spark):
