@@ -9,10 +9,12 @@ enumerated and looked up, and the whole distance is verified.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -188,38 +190,81 @@ WIDE = tuple(f"w{k}" for k in range(4))
 LONG = tuple(f"s{k}" for k in range(4))
 
 
-def wide_links(nodes: DataFrame, name: Column, radius: int = 48, bucket_limit: int = 4) -> DataFrame:
-    """Links (a, b), as ``name``, between nodes (node, weight, w0..w3, s0..s3) whose s words differ at ``radius`` or fewer of 256 bits.
+#: Members of one part of a bucket; larger buckets are compared part by part.
+PART = 2048
+CUTS = ", ".join(f"{(2 * k + h) << SEGMENT}L | (shiftrightunsigned({w}, {SEGMENT * h}) & 4294967295L)" for k, w in enumerate(WIDE) for h in range(2))
+#: Masks move a bit that is set; the pair's other side stands at the place moved to.
+MASKS = ", ".join(f"{1 << b}L" for b in range(SEGMENT))
 
-    Candidates come from multi-index hashing of the w words: each of the eight segments of 32 bits is looked up with
-    the ball of radius 1, so that two values at 15 bits or fewer always meet in a bucket, and most at 23 do. All that stand in a
-    bucket of up to ``bucket_limit`` meet whoever looks it up. In a larger one three of them do, the one with the greatest
-    weight and two more that differ from segment to segment, so that a
-    group of copies gives a number of pairs in proportion to its size. Whole distances are verified for each pair.
+
+def _compared(rows: DataFrame, radius: int, part: int) -> DataFrame:
+    """Links (a, b) between members of a bucket: rows are (key, own, name, root, s0..s3), and those that stand in the bucket themselves (own) meet all others in it.
+
+    Every such pair is compared, unless both are in one component already (``root``): a link is only handed on where it joins
+    two. A bucket of more than ``part`` members is dealt out, and each two parts meet in a task of their own.
+    """
+    count = lambda own: F.count_if(F.col("own") == own)
+    open_ = rows.groupBy("key").agg(count(True).alias("t"), count(False).alias("p"), F.min("root").alias("low"), F.max("root").alias("high"))
+    open_ = open_.where("t > 0 and low < high").select("key", F.ceil(F.col("t") / part).cast("int").alias("t"), F.ceil(F.col("p") / part).cast("int").alias("p"))
+    at = lambda n: F.pmod(F.xxhash64("name"), F.greatest(n, F.lit(1))).cast("int")
+    whole, t, p = F.col("t") + F.col("p"), F.col("t"), F.col("p")
+    every = lambda n: F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1)
+    own = F.transform(every(whole), lambda j: F.least(at(t), j) * whole + F.greatest(at(t), j))
+    others = F.transform(every(t), lambda i: i * whole + t + at(p))
+    job = F.when((t == 1) & (p <= 1), F.array(F.lit(0))).when(F.col("own"), own).otherwise(others)
+    dealt = rows.join(open_, "key").select("key", F.explode(job).alias("job"), F.struct("name", "root", "own", *LONG).alias("member"))
+    jobs = dealt.groupBy("key", "job").agg(F.collect_list("member").alias("members")).where(F.size("members") > 1)
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            members = batch.column(0).flatten()
+            ends = np.cumsum(batch.column(0).value_lengths().to_numpy())
+            name, roots = members.field(0), members.field(1).to_numpy()
+            owns = members.field(2).to_numpy(zero_copy_only=False)
+            prints = np.stack([members.field(3 + k).to_numpy() for k in range(len(LONG))], axis=1).view(np.uint64)
+            left, right = [], []
+            for lo, hi in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                root, print_ = roots[lo:hi].copy(), prints[lo:hi]
+                for i in np.flatnonzero(owns[lo:hi]).tolist():
+                    near = np.bitwise_count(print_ ^ print_[i]).sum(1) <= radius
+                    near &= root != root[i]
+                    while near.any():
+                        j = int(near.argmax())
+                        left.append(lo + i)
+                        right.append(lo + j)
+                        root[root == root[j]] = root[i]
+                        near &= root != root[i]
+            yield pa.RecordBatch.from_arrays([name.take(pa.array(left, pa.int64())), name.take(pa.array(right, pa.int64()))], ["a", "b"])
+
+    kind = rows.schema["name"].dataType.simpleString()
+    return jobs.select("members").mapInArrow(links, f"a {kind}, b {kind}")
+
+
+def wide_links(nodes: DataFrame, base: DataFrame | None = None, radius: int = 48, part: int = PART) -> DataFrame:
+    """Links (a, b) between the names of nodes (name, node, w0..w3, s0..s3), whose components, with the links of ``base``, are those of the whole rule.
+
+    The rule is about a pair alone: the w words, cut into eight segments of 32 bits, agree in one of them up to one bit, and
+    the s words differ at ``radius`` or fewer of 256 bits. Two values at 15 bits or fewer of the w words always agree so in a segment.
+    Multi-index hashing: first all that stand at the same place of a segment meet; then the ball of radius 1 around each
+    segment is looked up, for what doesn't belong together yet. No bucket is cut short, and none needs one task.
     """
-    cuts = ", ".join(f"{(2 * k + h) << SEGMENT}L | (shiftrightunsigned({w}, {SEGMENT * h}) & 4294967295L)" for k, w in enumerate(WIDE) for h in range(2))
-    # masks move a bit that is set; the pair's other side stands at the place moved to
-    masks = ", ".join(f"{m}L" for m in [0, *(1 << b for b in range(SEGMENT))])
-    order = [F.xxhash64(F.col("key"), "mixed", F.lit(k)) for k in range(2)]
-    # the order is by content, so that it is the same in every run
-    stands = nodes.select(F.col("node").alias("b"), "weight", F.xxhash64(*WIDE, *LONG).alias("mixed"), F.expr(f"explode(array({cuts})) as key"))
-    hubs = [F.max_by("b", F.struct("weight", order[0])), F.max_by("b", F.struct(order[0], "b")), F.max_by("b", F.struct(order[1], "b"))]
-    heavy = cut(stands.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.array_distinct(F.array(*hubs)).alias("hubs")).where(F.col("n") > bucket_limit).select("key", "hubs"))
-    light = stands.select("key", "b").join(heavy, "key", "left_anti")
-    partners = light.withColumn("every", F.lit(True)).union(heavy.select("key", F.explode("hubs"), F.lit(False)))
-    probes = nodes.select(F.col("node").alias("a"), F.expr(f"explode(array({cuts})) as at")).select("a", "at", F.expr(f"explode(array({masks})) as mask"))
-    probes = probes.where("mask = 0 or at & mask != 0").select(F.expr("at ^ mask").alias("key"), "a", F.expr("mask = 0").alias("own"))
-    # two that stand in one small bucket meet once
-    met = probes.join(partners, "key").where("a != b and not (own and every and a > b)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    side = lambda x: nodes.select(F.col("node").alias(x), F.struct(*LONG, name.alias("name")).alias(f"{x}_side"))
-    both = met.join(side("a"), "a").join(side("b"), "b")
-    far = sum((F.bit_count(F.col(f"a_side.{w}").bitwiseXOR(F.col(f"b_side.{w}"))) for w in LONG), F.lit(0))
-    return both.where(far <= radius).select(F.col("a_side.name").alias("a"), F.col("b_side.name").alias("b"))
-
-
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 48, keep: list[str] | None = None) -> DataFrame:
-    """(id_col, kept columns, component_id, stays) for every row of ``docs``, where texts link as in ``near_duplicates`` or at ``radius`` of the
-    256 bits of a fingerprint of their distinct five-word shingles; 48 bits hold nearly all texts of a similarity of 0.8 or more.
+    found = cut(_compared(nodes.select(F.expr(f"explode(array({CUTS})) as key"), F.lit(True).alias("own"), "name", F.col("node").alias("root"), *LONG), radius, part))
+    links = found if base is None else base.union(found)
+    roots = connected_components(links).select(F.col("node.node").alias("node"), F.col("root.node").alias("root"))
+    placed = cut(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).select(F.expr(f"array({CUTS}) as keys"), "name", "root", *LONG))
+    stands = placed.select(F.explode("keys").alias("key"), F.lit(True).alias("own"), "name", "root", *LONG)
+    looks = placed.select(F.explode("keys").alias("at"), "name", "root", *LONG).select("*", F.expr(f"explode(array({MASKS})) as mask")).where("at & mask != 0")
+    looks = looks.select(F.expr("at ^ mask").alias("key"), F.lit(False).alias("own"), "name", "root", *LONG)
+    # places first, without the fingerprints: only those where something may still be joined
+    small = stands.select("key", "root", F.lit(1).alias("t")).union(looks.select("key", "root", F.lit(0)))
+    open_ = cut(small.groupBy("key").agg(F.max("t").alias("t"), F.min("root").alias("low"), F.max("root").alias("high")).where("t = 1 and low < high").select("key"))
+    return found.union(cut(_compared(stands.union(looks).join(open_, "key", "left_semi"), radius, part)))
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 48, keep: list[str] | None = None, part: int = PART) -> DataFrame:
+    """(id_col, kept columns, component_id, stays) for every row of ``docs``, where texts link as in ``near_duplicates``, or at ``radius`` of the
+    256 bits of a fingerprint of their distinct five-word shingles if that of their distinct words agrees in a segment (see ``wide_links``); 48 bits
+    hold nearly all texts of a similarity of 0.8 or more. Components are exactly those of this rule, however many texts stand together.
 
     stays: the row is the one of its component that a corpus keeps: it has the component's id, and of texts that share that id the
     one that gives the component its name. Rows that repeat an id and a text alike have it alike. Null, empty
@@ -241,12 +286,12 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     marked = docs.select(F.col(id_col).alias("id"), F.struct(*keep).alias("kept") if keep else F.lit(None).alias("kept"), of(F.col(text_col)).alias("p"))
     marked = cut(marked.select("id", "kept", "p.*"))
     # numbers are given after the checkpoint, whose partitions stay as they are
-    nodes = cut(marked.groupBy(*prints).agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("weight"))).withColumn("node", F.monotonically_increasing_id())
+    nodes = cut(marked.groupBy(*prints).agg(F.min("id").alias("low"))).withColumn("node", F.monotonically_increasing_id())
     name = _name(F.col("low"), F.col("node"))
-    links = wide_links(nodes, name, radius)
     narrow = nodes.groupBy("fp").agg(F.min(name).alias("head"))
-    links = links.union(nodes.join(narrow, "fp").select(name.alias("a"), F.col("head").alias("b")).where("a != b"))
-    links = links.union(hamming_links(narrow, "fp", carry="head").select("a_carry", "b_carry"))
+    base = nodes.join(narrow, "fp").select(name.alias("a"), F.col("head").alias("b")).where("a != b")
+    base = cut(base.union(hamming_links(narrow, "fp", carry="head").select("a_carry", "b_carry")))
+    links = base.union(wide_links(nodes.select(name.alias("name"), "node", *WIDE, *LONG), base, radius, part))
     roots = connected_components(links).select(F.col("node.node").alias("node"), "root")
     named = nodes.join(roots, "node", "left").select(*prints, F.coalesce("root", name).alias("root"), "node")
     named = named.select(*prints, F.col("root.low").alias("component_id"), (F.col("root.node") == F.col("node")).alias("first"))

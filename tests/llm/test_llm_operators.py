@@ -84,30 +84,57 @@ def test_fingerprint_by_hand_and_edges(spark):
     assert simhash.near_duplicates(docs_of(spark, TEXTS).limit(0)).count() == 0
 
 
-def test_wide_links_meet_all_at_15_bits_and_verify(spark):
+def wide_rule(w, s, radius=48):
+    """Whether two (w words, s words) link: a segment of 32 bits of the first agrees up to a bit, and the second is near."""
+    agree = any(((a ^ b) >> h & 0xFFFFFFFF).bit_count() <= 1 for a, b in zip(w[0], w[1], strict=True) for h in (0, 32))
+    return agree and sum((a ^ b).bit_count() for a, b in zip(s[0], s[1], strict=True)) <= radius
+
+
+@pytest.mark.parametrize("part", [2048, 7])
+def test_wide_links_have_the_components_of_the_rule(spark, part):
     rng = random.Random(7)
     signed = lambda x: [v - 2**64 if v >= 2**63 else v for v in x]
     values = []
-    for _ in range(12):
+    for copies in (*(8,) * 12, 90):
         base, long = [rng.getrandbits(64) for _ in range(4)], [rng.getrandbits(64) for _ in range(4)]
-        for _ in range(8):
+        for _ in range(copies):
             x, y = list(base), list(long)
-            for _ in range(rng.choice([0, 3, 7])):
+            for _ in range(rng.choice([0, 3, 12, 25])):
                 x[rng.randrange(4)] ^= 1 << rng.randrange(64)
             for _ in range(rng.choice([0, 20, 30, 60])):
                 y[rng.randrange(4)] ^= 1 << rng.randrange(64)
             values.append((x, y))
-    far = lambda i, j, k: sum((a ^ b).bit_count() for a, b in zip(values[i][k], values[j][k], strict=True))
-    rows = [(k, 1, *signed(x), *signed(y)) for k, (x, y) in enumerate(values)]
-    nodes = spark.createDataFrame(rows, "node long, weight long, w0 long, w1 long, w2 long, w3 long, s0 long, s1 long, s2 long, s3 long")
-    pairs = [(i, j) for j in range(len(values)) for i in range(j)]
-    sure = {(i, j) for i, j in pairs if far(i, j, 0) <= 15 and far(i, j, 1) <= 48}
-    # all meet in buckets within the limit
-    got = {tuple(r) for r in simhash.wide_links(nodes, F.col("node"), bucket_limit=64).collect()}
-    assert len(sure) > 60 and sure <= got <= {(i, j) for i, j in pairs if far(i, j, 1) <= 48}
-    # large buckets meet a few of their own
-    some = {tuple(r) for r in simhash.wide_links(nodes, F.col("node"), bucket_limit=2).collect()}
-    assert some <= got and len(some) < len(got)
+    # unrelated texts that share a segment: a crowd without links
+    shared = rng.getrandbits(64)
+    values += [([shared, *(rng.getrandbits(64) for _ in range(3))], [rng.getrandbits(64) for _ in range(4)]) for _ in range(60)]
+    rows = [((False, k, k), k, *signed(x), *signed(y)) for k, (x, y) in enumerate(values)]
+    nodes = spark.createDataFrame(rows, "name struct<none:boolean,low:long,node:long>, node long, w0 long, w1 long, w2 long, w3 long, s0 long, s1 long, s2 long, s3 long").repartition(3)
+    pairs = {(i, j) for j in range(len(values)) for i in range(j) if wide_rule((values[i][0], values[j][0]), (values[i][1], values[j][1]))}
+    got = {tuple(sorted((r.a.node, r.b.node))) for r in simhash.wide_links(nodes, part=part).collect()}
+    assert got <= pairs and union_find(len(values), got) == union_find(len(values), pairs)
+    assert part == 7 or len(got) < 2 * len(values) < len(pairs)
+
+
+def test_edited_copies_have_the_components_of_the_rule(spark):
+    rng = random.Random(12)
+    vocab = [f"w{k}" for k in range(4000)]
+    texts = []
+    for edits, copies in ((4, 60), (8, 200), (12, 60)):
+        base = rng.choices(vocab, k=300)
+        for _ in range(copies):
+            copy = list(base)
+            for at in rng.sample(range(300), edits):
+                copy[at] = rng.choice(vocab)
+            texts.append(" ".join(copy))
+    words = [t.encode().split() for t in texts]
+    whole = lambda x: [int(v) & 2**64 - 1 for v in x]
+    w, s, n = ([f(x) for x in words] for f in (lambda x: whole(simhash.wide_fingerprint(x, 1)), lambda x: whole(simhash.wide_fingerprint(x, 5)), lambda x: simhash.fingerprint(b" ".join(x).decode())))
+    links = [(i, j) for j in range(len(texts)) for i in range(j) if (n[i] ^ n[j]).bit_count() <= 2 or wide_rule((w[i], w[j]), (s[i], s[j]))]
+    want = union_find(len(texts), links)
+    for part in (2048, 16):
+        got = {r.doc_id: r.component_id for r in simhash.near_copies(docs_of(spark, texts), part=part).collect()}
+        assert [got[k] for k in range(len(texts))] == want
+    assert 3 < len(set(want)) < len(texts) // 2
 
 
 def test_near_copies(spark):

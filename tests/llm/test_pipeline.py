@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from compare import connect, rows
 from ensemblar.llm import queries, secret_scan, simhash
+from test_llm_operators import wide_rule
 
 
 def test_stages_against_brute_force(spark, sf_dir):
@@ -21,7 +22,7 @@ def test_stages_against_brute_force(spark, sf_dir):
     assert kept.columns == columns
     texts = {r.doc_id: r.text for r in docs.collect() if r.doc_id is not None}
     prints = {i: simhash.fingerprint(t) for i, t in texts.items()}
-    wide = {i: [int(x) & 2**64 - 1 for x in simhash.wide_fingerprint((t or "").lower().encode().split(), 5)] for i, t in texts.items()}
+    wide = {i: [[int(x) & 2**64 - 1 for x in simhash.wide_fingerprint((t or "").encode().lower().split(), n)] for n in (1, 5)] for i, t in texts.items()}
     ids = sorted(prints)
 
     def heads(links):
@@ -40,9 +41,9 @@ def test_stages_against_brute_force(spark, sf_dir):
         return {i for i in ids if find(i) == i}
 
     narrow = lambda i, j: (prints[i] ^ prints[j]).bit_count() <= 2
-    far = lambda i, j: sum((a ^ b).bit_count() for a, b in zip(wide[i], wide[j], strict=True))
+    far = lambda i, j: wide_rule((wide[i][0], wide[j][0]), (wide[i][1], wide[j][1]))
     got = sorted(r.doc_id for r in kept.collect() if r.doc_id is not None)
-    assert len(set(got)) == len(got) and heads(lambda i, j: narrow(i, j) or far(i, j) <= 48) <= set(got) <= heads(narrow)
+    assert len(set(got)) == len(got) and heads(lambda i, j: narrow(i, j) or far(i, j)) == set(got) < heads(narrow)
     clean = {r.doc_id: r for r in corpus_pipeline.redact_secrets(spark, docs, sf_dir).collect()}
     for i, t in texts.items():
         spans = secret_scan.find_secrets(t)[0]
