@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import valid_date, week_of
+from .segments import carried
 
 
 def ensemble_cases(fc: DataFrame, obs: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -108,19 +109,24 @@ def log_pressure(inner: Column, outer: Column, p_inner: float, p_outer: float, p
     return inner + math.log(p_inner / p) / math.log(p_outer / p_inner) * (inner - outer)
 
 
-def nearest_time(left: DataFrame, right: DataFrame, keys: list[str], time: str, tolerance_s: int | None = None) -> DataFrame:
+def nearest_time(left: DataFrame, right: DataFrame, keys: list[str], time: str, tolerance_s: int | None = None, segment: int | None = None) -> DataFrame:
     """For each left row the right value at the nearest time; of two as near, the earlier.
 
     The rows of both sides stand in one window; the last right row at or before and
     the first at or after are the only candidates. One shuffle by ``keys``, no
-    product.
+    product. With ``segment`` a key's rows are spread over tasks in segments of that many rows, and
+    candidates are carried from one to the next.
     """
     both = left.select(*keys, F.col(time).alias("_t"), F.struct(*left.columns).alias("_l"), F.lit(None).cast(right.schema["value"].dataType).alias("_v"), F.lit(1).alias("_s"))
     other = right.where("value is not null").select(*keys, F.col(time).alias("_t"), F.lit(None).cast(both.schema["_l"].dataType).alias("_l"), F.col("value").alias("_v"), F.lit(0).alias("_s"))
     hit = F.when(F.col("_s") == 0, F.struct("_t", "_v"))
-    back = Window.partitionBy(*keys).orderBy("_t", "_s")
-    ahead = Window.partitionBy(*keys).orderBy(F.desc("_t"), "_s")
-    found = both.unionByName(other).withColumns({"_b": F.last(hit, True).over(back), "_a": F.last(hit, True).over(ahead)}).where("_s = 1")
+    if segment is None:
+        back = Window.partitionBy(*keys).orderBy("_t", "_s")
+        ahead = Window.partitionBy(*keys).orderBy(F.desc("_t"), "_s")
+        found = both.unionByName(other).withColumns({"_b": F.last(hit, True).over(back), "_a": F.last(hit, True).over(ahead)}).where("_s = 1")
+    else:
+        # a right row at a left row's own time is the one before it, and so the earlier of two as near
+        found = carried(both.unionByName(other), keys, ["_t", "_s"], hit, segment).withColumnsRenamed({"_last": "_b", "_next": "_a"}).where("_s = 1")
     since, until = (F.col("_t").cast("double") - F.col("_b._t").cast("double"), F.col("_a._t").cast("double") - F.col("_t").cast("double"))
     pick = F.when(until.isNull() | (since <= until), F.col("_b")).otherwise(F.col("_a"))
     gap = F.least(since, until)

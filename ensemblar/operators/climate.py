@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import doy_index
+from .segments import rolling
 
 
 def doy_climatology(obs: DataFrame, keys: list[str], years: tuple[int, int] | None = None) -> DataFrame:
@@ -58,18 +59,27 @@ def remove_group_mean(df: DataFrame, by: list[str], columns: list[str]) -> DataF
     return df.withColumns({c: F.col(c) - F.avg(c).over(w) for c in columns})
 
 
-def high_pass(df: DataFrame, keys: list[str], day: str, width: int = 120, value: str = "value") -> DataFrame:
-    """value minus the mean of the last ``width`` rows, its own included; rows with fewer before them go."""
-    w = Window.partitionBy(*keys).orderBy(day).rowsBetween(1 - width, 0)
-    passed = df.withColumns({"_n": F.count(value).over(w), "_m": F.avg(value).over(w)}).where(F.col("_n") == width)
+def high_pass(df: DataFrame, keys: list[str], day: str, width: int = 120, value: str = "value", segment: int | None = None) -> DataFrame:
+    """value minus the mean of the last ``width`` rows, its own included; rows with fewer before them go. With ``segment`` a key's series is spread over tasks in segments of that many rows."""
+    means = {"_n": F.count(value), "_m": F.avg(value)}
+    if segment is None:
+        w = Window.partitionBy(*keys).orderBy(day).rowsBetween(1 - width, 0)
+        passed = df.withColumns({name: c.over(w) for name, c in means.items()})
+    else:
+        passed = rolling(df, keys, [day], width - 1, 0, means, segment)
+    passed = passed.where(F.col("_n") == width)
     return passed.withColumn(value, F.col(value) - F.col("_m")).drop("_n", "_m")
 
 
-def season_running_mean(df: DataFrame, day: str, months: list[int], width: int = 7, value: str = "value", keys: list[str] | None = None) -> DataFrame:
-    """Means of ``width`` rows from each on, where all lie in the season."""
-    w = Window.partitionBy(*(keys or [F.year(day)])).orderBy(day).rowsBetween(0, width - 1)
-    inside = F.min(F.month(day).isin(months).cast("int")).over(w)
-    return df.withColumns({"_n": F.count(value).over(w), "_in": inside, "running": F.avg(value).over(w)}).where(F.col("_n") == width).where("_in = 1").drop("_n", "_in")
+def season_running_mean(df: DataFrame, day: str, months: list[int], width: int = 7, value: str = "value", keys: list[str] | None = None, segment: int | None = None) -> DataFrame:
+    """Means of ``width`` rows from each on, where all lie in the season. With ``segment`` and columns as ``keys`` a key's series is spread over tasks."""
+    means = {"_n": F.count(value), "_in": F.min(F.month(day).isin(months).cast("int")), "running": F.avg(value)}
+    if segment is None:
+        w = Window.partitionBy(*(keys or [F.year(day)])).orderBy(day).rowsBetween(0, width - 1)
+        found = df.withColumns({name: c.over(w) for name, c in means.items()})
+    else:
+        found = rolling(df, keys or [], [day], 0, width - 1, means, segment)
+    return found.where(F.col("_n") == width).where("_in = 1").drop("_n", "_in")
 
 
 def meridional_mean(df: DataFrame, south: float, north: float, keys: list[str]) -> DataFrame:

@@ -224,7 +224,10 @@ def valid_time_join(t: Tables) -> DataFrame:
     return rounded(align.ensemble_cases(t.fc, t.obs, CASE, "left").select(*CASE, "mean", "obs"))
 
 
-@query("j2_nearest_time", "with o as (select cell, valid_date::timestamp + interval 36 hours as tm, value from obs), l as (select distinct cell, init_date::timestamp as tm from fc), r as (select l.cell, l.tm, o.tm as matched_time, o.value as matched, row_number() over (partition by l.cell, l.tm order by abs(epoch(o.tm) - epoch(l.tm)), o.tm) as k from l join o on o.cell = l.cell and o.tm between l.tm - interval 5 days and l.tm + interval 5 days) select l.cell, l.tm as init_time, matched_time, round(matched, 4) as matched from l left join r on r.cell = l.cell and r.tm = l.tm and r.k = 1")
+J2 = "with o as (select cell, valid_date::timestamp + interval 36 hours as tm, value from obs), l as (select distinct cell, init_date::timestamp as tm from fc), r as (select l.cell, l.tm, o.tm as matched_time, o.value as matched, row_number() over (partition by l.cell, l.tm order by abs(epoch(o.tm) - epoch(l.tm)), o.tm) as k from l join o on o.cell = l.cell and o.tm between l.tm - interval 5 days and l.tm + interval 5 days) select l.cell, l.tm as init_time, matched_time, round(matched, 4) as matched from l left join r on r.cell = l.cell and r.tm = l.tm and r.k = 1"
+
+
+@query("j2_nearest_time", J2)
 def nearest_time(t: Tables) -> DataFrame:
     """The truth nearest in time within five days; of two as near, the earlier."""
     left = t.fc.select("cell", F.col("init_date").cast("timestamp").alias("init_time")).distinct()
@@ -232,6 +235,14 @@ def nearest_time(t: Tables) -> DataFrame:
     return rounded(align.nearest_time(left, right, ["cell"], "init_time", 5 * 86400))
 
 
+@query("j2_segments", J2)
+def nearest_time_by_segments(t: Tables) -> DataFrame:
+    """The same, a cell's series spread over tasks; candidates are carried from segment to segment."""
+    left = t.fc.select("cell", F.col("init_date").cast("timestamp").alias("init_time")).distinct()
+    right = t.obs.select("cell", (F.col("valid_date").cast("timestamp") + F.expr("interval 36 hours")).alias("init_time"), "value")
+    return rounded(align.nearest_time(left, right, ["cell"], "init_time", 5 * 86400, segment=1000))
+
+
 @query("j4_truth_rule", "with f as (select model, init_date, lead_day, cell, avg(value) as f from fc group by 1, 2, 3, 4) select f.model, f.lead_day, count(*) as n, round(avg(f.f - o.value * case when model = 'A' then 1 else 2 end), 4) as bias from f join obs o on o.cell = f.cell and o.valid_date = f.init_date + f.lead_day + case when model = 'A' then 0 else 1 end group by 1, 2")
 def truth_rule(t: Tables) -> DataFrame:
     """Each model's own truth convention and day offset."""
@@ -307,12 +318,21 @@ def shared_support(t: Tables) -> DataFrame:
 # Windows
 
 
-@query("w1_high_pass", "with w as (select cell, valid_date, value, count(value) over g as n, avg(value) over g as m from obs window g as (partition by cell order by valid_date rows between 119 preceding and current row)) select cell, valid_date, round(value - m, 4) as value from w where n = 120")
+W1 = "with w as (select cell, valid_date, value, count(value) over g as n, avg(value) over g as m from obs window g as (partition by cell order by valid_date rows between 119 preceding and current row)) select cell, valid_date, round(value - m, 4) as value from w where n = 120"
+
+
+@query("w1_high_pass", W1)
 def high_pass(t: Tables) -> DataFrame:
     """Values minus the mean of their last 120 rows."""
     return rounded(climate.high_pass(t.obs, ["cell"], "valid_date").select("cell", "valid_date", "value"))
 
 
+@query("w1_segments", W1)
+def high_pass_by_segments(t: Tables) -> DataFrame:
+    """The same, a cell's series spread over tasks, each segment with the rows in front that its windows reach."""
+    return rounded(climate.high_pass(t.obs, ["cell"], "valid_date", segment=500).select("cell", "valid_date", "value"))
+
+
 @query("w2_season_running_mean", "with w as (select year(valid_date)::int as y, valid_date, count(value) over g as n, avg(value) over g as running, min((month(valid_date) in (5, 6, 7, 8))::int) over g as inside from daily window g as (partition by year(valid_date) order by valid_date rows between current row and 6 following)) select y, round(stddev_pop(running), 4) as sd, count(*) as n from w where n = 7 and inside = 1 group by 1")
 def season_running_mean(t: Tables) -> DataFrame:
     """Deviation of seven-day means that lie in the season."""

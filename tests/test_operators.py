@@ -155,6 +155,34 @@ def test_gather_and_dot_equals_the_sum_over_pairs(spark, tile):
             assert got[key] == (pytest.approx(sum(w * v for w, v in terms)) if whole else None)
 
 
+def test_segments_equal_windows_over_whole_series(spark):
+    from pyspark.sql import Window
+
+    from ensemblar.operators import segments
+
+    rng = np.random.default_rng(9)
+    rows = [(k, int(t), None if rng.random() < 0.1 else float(rng.normal())) for k, n in ((1, 900), (2, 3), (None, 40)) for t in rng.choice(5000, n, replace=False)]
+    df = spark.createDataFrame(rows, "k int, t int, value double").repartition(5)
+    w = Window.partitionBy("k").orderBy("t")
+    numbers = segments.numbered_rows(df, ["k"], ["t"]).select("k", "t", "_at")
+    assert sorted(map(tuple, numbers.collect()), key=str) == sorted(map(tuple, df.select("k", "t", F.row_number().over(w) - 1).collect()), key=str)
+    for before, after, size in ((6, 0, 50), (0, 6, 7), (3, 4, 1), (20, 20, 100_000)):
+        means = {"m": F.avg("value"), "n": F.count("value")}
+        got = segments.rolling(df, ["k"], ["t"], before, after, means, size)
+        want = df.withColumns({name: c.over(w.rowsBetween(-before, after)) for name, c in means.items()})
+        both = [sorted(((r.k, r.t, r.n, None if r.m is None else round(r.m, 9)) for r in x.collect()), key=str) for x in (got, want)]
+        assert both[0] == both[1]
+    got = segments.carried(df.withColumn("value", F.when(F.col("t") % 97 < 3, F.col("value"))), ["k"], ["t"], F.when(F.col("value").isNotNull(), F.struct("t", "value")), 20)
+    held = {k: sorted((t, v) for a, t, v in rows if a == k and v is not None and t % 97 < 3) for k in (1, 2, None)}
+    for r in got.collect():
+        last, after = [x for x in held[r.k] if x[0] <= r.t][-1:], [x for x in held[r.k] if x[0] >= r.t][:1]
+        assert [tuple(x) for x in (r._last, r._next) if x is not None] == [*last, *after]
+    assert segments.rolling(df.limit(0), ["k"], ["t"], 2, 0, {"m": F.avg("value")}).count() == 0
+    # no segment has more than its rows and those beside it
+    most = segments.segmented(df, ["k"], ["t"], 6, 2, 50).groupBy("_key", "_segment").count().agg(F.max("count")).first()[0]
+    assert most <= 58
+
+
 def test_eof_is_the_leading_singular_vector(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(12, 5)) @ np.diag([5, 2, 1, 1, 1])
