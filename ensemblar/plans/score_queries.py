@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import ensemble as ens
 from ..functions.maths import normal_cdf, normal_pdf
-from ..operators import align, climate, masks, scores
+from ..operators import align, climate, cube, masks, scores
+from ..operators.align import ensemble_cases
+from ..shared import shared_path
+from ..sources import bucketed
+from ..sources.sinks import ScoreStore
 from .registry import Tables, query, rounded, uniform_sql
 
 CASE = ["model", "init_date", "lead_day", "cell"]
@@ -240,7 +244,10 @@ def bivariate_acc(t: Tables) -> DataFrame:
     return rounded(scores.bivariate(_biv(t), ["model", "lead_day"]))
 
 
-@query("a41_subset_comparison", f"with {BIV}, subset as (select 'all' as subset, init_date from pairs group by 2 union all select 'may-jul', init_date from pairs where month(init_date) between 5 and 7 group by 2 union all select 'common', init_date from pairs group by 2 having count(distinct model) = 2) select subset, model, lead_day, count(*) as n, round(case when count(*) > 1 then sum(f1 * o1 + f2 * o2) / nullif(sqrt(sum(f1 * f1 + f2 * f2) * sum(o1 * o1 + o2 * o2)), 0) end, 4) as acc, round(sqrt(avg((f1 - o1) ** 2 + (f2 - o2) ** 2)), 4) as rmse from pairs join subset using (init_date) group by 1, 2, 3")
+A41 = f"with {BIV}, subset as (select 'all' as subset, init_date from pairs group by 2 union all select 'may-jul', init_date from pairs where month(init_date) between 5 and 7 group by 2 union all select 'common', init_date from pairs group by 2 having count(distinct model) = 2) select subset, model, lead_day, count(*) as n, round(case when count(*) > 1 then sum(f1 * o1 + f2 * o2) / nullif(sqrt(sum(f1 * f1 + f2 * f2) * sum(o1 * o1 + o2 * o2)), 0) end, 4) as acc, round(sqrt(avg((f1 - o1) ** 2 + (f2 - o2) ** 2)), 4) as rmse from pairs join subset using (init_date) group by 1, 2, 3"
+
+
+@query("a41_subset_comparison", A41)
 def subset_comparison(t: Tables) -> DataFrame:
     """The same score on all inits, on one season's and on those that both models have."""
     pairs = _biv(t)
@@ -250,6 +257,40 @@ def subset_comparison(t: Tables) -> DataFrame:
     return rounded(scores.subset_scores(pairs, subsets, scores.bivariate, ["model", "lead_day"]))
 
 
+@query("a41_from_cube", A41)
+def subsets_from_cube(t: Tables) -> DataFrame:
+    """The same from stored sums by init and lead; subsets and their scores read the cube alone."""
+    store = ScoreStore(t.spark, shared_path(t.spark, "cube"))
+    store.publish(cube.score_cube(_biv(t), ["model", "init_date", "lead_day"], [("f1", "o1"), ("f2", "o2")]), "rmm", ["model"])
+    held = store.read(["rmm"])
+    sums = cube.subset_cube(held, cube.subsets_of(held, {"may-jul": [5, 6, 7]}, 2), ["model", "lead_day"])
+    return rounded(cube.scores_of(sums).select("subset", "model", "lead_day", "n", "acc", "rmse"))
+
+
+@query("d4_regional_cube", f"with {WIDE}, r as (select *, unnest(case when abs(lat) <= 20 then ['global', 'tropics'] when lat > 0 then ['global', 'NH'] else ['global', 'SH'] end) as region from wide where f is not null and o is not null), g as (select model, year(init_date)::int as year, region, ceil(lead_day / 7.0)::int as week, sum(w) as sw, sum(w * f) as sf, sum(w * o) as so, sum(w * f * f) as ff, sum(w * o * o) as oo, sum(w * f * o) as fo, sum(w * (f - o) ** 2) as ee, count(*) as n from r group by 1, 2, 3, 4) select model, year, region, week, n, round(case when n > 1 then fo / sqrt(ff * oo) end, 4) as acc, round(sqrt(ee / sw), 4) as rmse, round((sf - so) / sw, 4) as bias, round(case when n > 2 then (fo / sw - sf / sw * so / sw) / sqrt(ff / sw - (sf / sw) ** 2) / sqrt(oo / sw - (so / sw) ** 2) end, 3) as cor from g")
+def regional_cube(t: Tables) -> DataFrame:
+    """Sums by init, lead and region, stored, and merged to years and weeks."""
+    pairs = _wide(t).join(F.broadcast(masks.cell_region(t.cells).select("cell", "region")), "cell")
+    store = ScoreStore(t.spark, shared_path(t.spark, "cube"))
+    store.publish(cube.score_cube(pairs, ["model", "init_date", "lead_day", "region"], [("f", "o")], F.cos(F.radians("lat"))), "field", ["model"])
+    held = store.read(["field"]).withColumns({"year": F.year("init_date"), "week": F.ceil(F.col("lead_day") / 7).cast("int")})
+    found = cube.scores_of(cube.merged(held, ["model", "year", "region", "week"]))
+    return rounded(found.select("model", "year", "region", "week", "n", "acc", "rmse", "bias", F.round(F.when(F.col("n") > 2, F.col("cor")), 3).alias("cor")))
+
+
+@query("j1_bucketed_truth", f"with c as (select model, lead_day, round(avg(case when n = n_all then {CRPS} end), 4) as crps, round(sqrt(avg((mean - obs) ** 2)), 4) as error from cases group by 1, 2), clim as (select dayofyear(valid_date) - 1 as doy, cell, avg(value) as clim from obs group by 1, 2), a as (select model, lead_day, sum((mean - clim) * (obs - clim)) / sqrt(sum((mean - clim) ** 2) * sum((obs - clim) ** 2)) as acc from cases k join clim c on c.cell = k.cell and c.doy = dayofyear(init_date + lead_day) - 1 where mean is not null group by 1, 2) select model, lead_day, crps, error, round(acc, 4) as acc from c left join a using (model, lead_day)")
+def bucketed_truth(t: Tables) -> DataFrame:
+    """Scores against truth and a climatology that are stored in buckets of what joins them, and are not shuffled again."""
+    truth = bucketed.store_bucketed(t.obs, "ensemblar_truth", bucketed.TRUTH).hint("merge")
+    clim = bucketed.store_bucketed(climate.doy_climatology(t.obs, ["cell"]), "ensemblar_climatology", bucketed.CLIMATOLOGY).hint("merge")
+    cases = ensemble_cases(t.fc, truth, ["model", "init_date", "lead_day", "cell"])
+    crps = scores.spread_skill(cases, ["model", "lead_day"]).select("model", "lead_day", "crps", "error")
+    pairs = cases.withColumn("valid_date", F.date_add("init_date", F.col("lead_day")))
+    gone = climate.anomalies(pairs, clim, ["cell"], ["mean", "obs"])
+    acc = gone.groupBy("model", "lead_day").agg(scores.acc(F.col("mean"), F.col("obs")).alias("acc"))
+    return rounded(crps.join(acc, ["model", "lead_day"], "left"))
+
+
 NORMAL = f"nrm as (select *, o as y, 1 - (((((1.061405429 * {ERF} - 1.453152027) * {ERF}) + 1.421413741) * {ERF} - 0.284496736) * {ERF} + 0.254829592) * {ERF} * exp(-o * o / 2) as e from (select *, o as y from idx)), idx2 as (select *, y * (2 * {CDF} - 1) + 2 * exp(-y * y / 2) / sqrt(2 * pi()) - 1 / sqrt(pi()) as cref from nrm)"
 
 

@@ -155,6 +155,59 @@ def test_gather_and_dot_equals_the_sum_over_pairs(spark, tile):
             assert got[key] == (pytest.approx(sum(w * v for w, v in terms)) if whole else None)
 
 
+def test_stored_truth_is_not_shuffled(spark):
+    """In the plan no exchange stands between the scan of a bucketed table and the join above it."""
+    from ensemblar.sources import bucketed
+
+    days = [(DAY(2000, 1, 1 + k), c, float(k * c)) for k in range(20) for c in range(5)]
+    truth = bucketed.store_bucketed(spark.createDataFrame(days, "valid_date date, cell int, value double"), "truth_for_test", bucketed.TRUTH)
+    fc = spark.createDataFrame([("A", DAY(2000, 1, 1), lead, c, n, float(n)) for lead in range(1, 15) for c in range(5) for n in range(3)], "model string, init_date date, lead_day int, cell int, number int, value double")
+    cases = align.ensemble_cases(fc, truth.hint("merge"), ["model", "init_date", "lead_day", "cell"])
+    lines = cases._jdf.queryExecution().executedPlan().toString().split("\n")
+    depth = lambda line: len(line) - len(line.lstrip(" :+-*|"))
+    (at,) = [k for k, line in enumerate(lines) if "FileScan" in line and "Bucketed: true" in line]
+    above, level = [], depth(lines[at])
+    for line in reversed(lines[:at]):
+        if depth(line) < level:
+            level = depth(line)
+            above.append(line)
+            if "Join" in line:
+                break
+    assert "SortMergeJoin" in above[-1] and not any("Exchange" in line for line in above)
+    assert cases.count() == 70 and truth.count() == 100
+    # a table of the same name is replaced
+    again = bucketed.store_bucketed(spark.createDataFrame(days[:3], "valid_date date, cell int, value double"), "truth_for_test", bucketed.TRUTH, buckets=2)
+    assert again.count() == 3
+    spark.sql("drop table truth_for_test")
+
+
+def test_cubes_merge_to_the_scores_of_their_pairs(spark):
+    from ensemblar.operators import cube
+
+    rng = np.random.default_rng(10)
+    rows = [("AB"[k % 2], DAY(2000, 1 + k % 12, 1 + k % 7), 1 + k % 5, float(rng.normal()), None if k % 31 == 0 else float(rng.normal()), float(1 + k % 3)) for k in range(400)] + [("C", DAY(2001, 1, 1), 1, 1.0, 2.0, 1.0)]
+    pairs = spark.createDataFrame(rows, "model string, init_date date, lead_day int, f double, o double, w double").repartition(3)
+    held = cube.score_cube(pairs, ["model", "init_date", "lead_day"], [("f", "o")], F.col("w"))
+    for by in (["model"], ["model", "lead_day"], []):
+        got = {tuple(r[c] for c in by): r for r in cube.scores_of(cube.merged(held, by)).collect()}
+        for key, r in got.items():
+            kept = [x for x in rows if x[4] is not None and dict(zip(("model", "lead_day"), (x[0], x[2]))).items() >= dict(zip(by, key)).items()]
+            f, o, w = (np.array([x[k] for x in kept]) for k in (3, 4, 5))
+            assert r.n == len(kept) and r.rmse == pytest.approx(np.sqrt(np.average((f - o) ** 2, weights=w))) and r.bias == pytest.approx(np.average(f - o, weights=w))
+            if len(kept) > 1:
+                assert r.acc == pytest.approx((w * f * o).sum() / np.sqrt((w * f * f).sum() * (w * o * o).sum()))
+                m = lambda x, w=w: np.average(x, weights=w)
+                assert r["cor"] == pytest.approx(m((f - m(f)) * (o - m(o))) / np.sqrt(m((f - m(f)) ** 2) * m((o - m(o)) ** 2)))
+            else:
+                assert r.acc is None and r["cor"] is None
+    named = cube.subsets_of(held, {"winter": [12, 1, 2]}, 2)
+    both = {d for d in {x[1] for x in rows} if len({x[0] for x in rows if x[1] == d and x[4] is not None}) == 2}
+    assert {r.init_date for r in named.where("subset = 'common'").collect()} == both
+    assert {r.init_date.month for r in named.where("subset = 'winter'").collect()} == {12, 1, 2}
+    n = {(r.subset, r.model): r.n for r in cube.subset_cube(held, named, ["model"]).collect()}
+    assert n["all", "A"] + n["all", "B"] + n["all", "C"] == sum(x[4] is not None for x in rows)
+
+
 def test_segments_equal_windows_over_whole_series(spark):
     from pyspark.sql import Window
 
