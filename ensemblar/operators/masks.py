@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,30 +33,60 @@ def all_regions(cells: DataFrame, mask: DataFrame, n_lat: int, n_lon: int, land:
     return bands.unionByName(outer).unionByName(split).unionByName(interior)
 
 
-def neighbours(df: DataFrame, offsets: list[tuple[int, int]], n_lon: int | None = None, n_lat: int | None = None) -> DataFrame:
-    """Each cell with the cells at ``offsets``; longitude wraps at ``n_lon``, rows beyond the poles repeat the last of ``n_lat``."""
-    moved = df.withColumn("_o", F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in offsets))))
-    lat, lon = F.col("ilat") + F.col("_o.a"), F.col("ilon") + F.col("_o.b")
-    if n_lat is not None:
-        lat = F.least(F.greatest(lat, F.lit(0)), F.lit(n_lat - 1))
-    if n_lon is not None:
-        lon = F.pmod(lon, F.lit(n_lon))
-    return moved.withColumns({"jlat": lat.cast("int"), "jlon": lon.cast("int")}).drop("_o")
+def haloed(df: DataFrame, value: str, tile: int = 32, halo: int = 1) -> DataFrame:
+    """(tile, cells): a row for each tile of ``tile`` latitudes, with its cells (ilat, ilon, x) and those of the ``halo`` rows beside it."""
+    own, place = F.floor(F.col("ilat") / tile).cast("int"), F.pmod(F.col("ilat"), F.lit(tile))
+    tiles = F.array_compact(F.array(own, F.when(place < halo, own - 1), F.when(place >= tile - halo, own + 1)))
+    cell = F.struct(F.col("ilat").cast("int").alias("ilat"), F.col("ilon").cast("int").alias("ilon"), F.col(value).cast("double").alias("x"))
+    return df.select(F.explode(tiles).alias("tile"), cell.alias("cell")).groupBy("tile").agg(F.collect_list("cell").alias("cells"))
+
+
+def stencil(df: DataFrame, value: str, keep: Callable[[np.ndarray], np.ndarray], n_lon: int | None = None, tile: int = 32) -> DataFrame:
+    """(ilat, ilon) of the places that ``keep`` finds in a tile's field, NaN where there is no value.
+
+    ``keep`` takes the field with a row above and below and a column on either side, and gives true or false for each place within. Columns wrap at
+    ``n_lon``; without it places beside the grid are among them. A cell is copied to the neighbouring tile only in the rows at its edge.
+    """
+    beside = 0 if n_lon else 1
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n in range(batch.num_rows):
+                first = batch.column(0)[n].as_py() * tile
+                cells = batch.slice(n, 1).column(1).flatten()
+                i, j, x = (cells.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+                width = n_lon or int(j.max()) + 1
+                field = np.full((tile + 2, width + 2 + 2 * beside), np.nan)
+                field[i - first + 1, j + 1 + beside] = x
+                if n_lon:
+                    field[:, 0], field[:, -1] = field[:, -2].copy(), field[:, 1].copy()
+                lat, lon = np.nonzero(keep(field))
+                yield pa.RecordBatch.from_arrays([pa.array((lat + first).astype(np.int32)), pa.array((lon - beside).astype(np.int32))], ["ilat", "ilon"])
 
+    return haloed(df, value, tile).mapInArrow(work, "ilat int, ilon int")
 
-def dilated_missing(df: DataFrame) -> DataFrame:
+
+def dilated_missing(df: DataFrame, tile: int = 32) -> DataFrame:
     """(ilat, ilon) of cells that never have a value, and of their four neighbours; longitude does not wrap."""
-    never = df.groupBy("ilat", "ilon").agg(F.count("value").alias("_n")).where("_n = 0")
-    grown = neighbours(never, [(0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)])
-    return grown.select(F.col("jlat").alias("ilat"), F.col("jlon").alias("ilon")).distinct()
+    never = df.groupBy("ilat", "ilon").agg((F.count("value") == 0).cast("double").alias("_never"))
+
+    def keep(x: np.ndarray) -> np.ndarray:
+        y = x == 1
+        return y[1:-1, 1:-1] | y[:-2, 1:-1] | y[2:, 1:-1] | y[1:-1, :-2] | y[1:-1, 2:]
+
+    return stencil(never, "_never", keep, None, tile)
+
+
+def land_interior(mask: DataFrame, n_lat: int, n_lon: int, core: float = 0.99, around: float = 0.5, tile: int = 32) -> DataFrame:
+    """(ilat, ilon) of cells of at least ``core`` land whose eight neighbours are at least ``around``; longitude wraps at ``n_lon``, rows beyond the poles repeat the last of ``n_lat``."""
 
+    def keep(x: np.ndarray) -> np.ndarray:
+        rows, columns = x.shape[0] - 2, x.shape[1] - 2
+        low = np.nan_to_num(x, nan=np.inf)  # a row that a pole repeats is among the neighbours already
+        least = np.minimum.reduce([low[a : a + rows, b : b + columns] for a in range(3) for b in range(3)])
+        return (x[1:-1, 1:-1] >= core) & (least >= around)
 
-def land_interior(mask: DataFrame, n_lat: int, n_lon: int, core: float = 0.99, around: float = 0.5) -> DataFrame:
-    """(ilat, ilon) of cells of at least ``core`` land whose eight neighbours are at least ``around``."""
-    square = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1)]
-    near = neighbours(mask.where(F.col("lsm") >= core).select("ilat", "ilon"), square, n_lon, n_lat)
-    sides = near.join(mask.select(F.col("ilat").alias("jlat"), F.col("ilon").alias("jlon"), "lsm"), ["jlat", "jlon"])
-    return sides.groupBy("ilat", "ilon").agg(F.min("lsm").alias("least")).where(F.col("least") >= around).select("ilat", "ilon")
+    return stencil(mask.where(F.col("ilat").between(0, n_lat - 1)), "lsm", keep, n_lon, tile)
 
 
 def screen_cases(cases: DataFrame, least: float) -> DataFrame:

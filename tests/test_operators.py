@@ -208,6 +208,29 @@ def test_cubes_merge_to_the_scores_of_their_pairs(spark):
     assert n["all", "A"] + n["all", "B"] + n["all", "C"] == sum(x[4] is not None for x in rows)
 
 
+def test_stencils_on_a_large_grid(spark):
+    rng = np.random.default_rng(11)
+    lsm = np.clip(np.add.outer(np.sin(np.arange(180) / 7), np.cos(np.arange(360) / 11)) / 2 + 0.6 + rng.normal(0, 0.05, (180, 360)), 0, 1)
+    there = rng.random((180, 360)) > 0.01
+    mask = spark.createDataFrame([(i, j, float(lsm[i, j])) for i, j in zip(*(x.tolist() for x in np.nonzero(there)), strict=True)], "ilat int, ilon int, lsm double")
+    field = np.where(there, lsm, np.inf)
+    around = np.minimum.reduce([np.roll(np.vstack([field[:1], field, field[-1:]])[a : a + 180], b, axis=1) for a in range(3) for b in (-1, 0, 1)])
+    want = set(zip(*(x.tolist() for x in np.nonzero(there & (lsm >= 0.9) & (around >= 0.6))), strict=True))
+    got = masks.land_interior(mask, 180, 360, 0.9, 0.6)
+    assert 1000 < len(want) and set(map(tuple, got.collect())) == want
+    assert set(map(tuple, masks.land_interior(mask, 180, 360, 0.9, 0.6, tile=1).collect())) == want
+    # cells grow by the rows beside tiles only
+    copies = masks.haloed(mask, "lsm").agg(F.sum(F.size("cells"))).first()[0]
+    assert copies == mask.count() + sum(int(there[i].sum()) for i in range(180) if i % 32 in (0, 31))
+    missing = rng.random((180, 360)) < 0.02
+    values = mask.select("ilat", "ilon", "lsm").join(spark.createDataFrame([(i, j) for i, j in zip(*(x.tolist() for x in np.nonzero(missing)), strict=True)], "ilat int, ilon int").withColumn("gone", F.lit(True)), ["ilat", "ilon"], "left")
+    values = values.select("ilat", "ilon", F.when(F.col("gone").isNull(), F.col("lsm")).alias("value"))
+    grown = {(i + a, j + b) for i, j in zip(*(x.tolist() for x in np.nonzero(missing & there)), strict=True) for a, b in ((0, 0), (1, 0), (-1, 0), (0, 1), (0, -1))}
+    found = masks.dilated_missing(values).collect()
+    assert set(map(tuple, found)) == grown and len(found) == len(grown)
+    assert masks.dilated_missing(values.limit(0)).count() == 0
+
+
 def test_segments_equal_windows_over_whole_series(spark):
     from pyspark.sql import Window
 
