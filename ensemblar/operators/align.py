@@ -85,10 +85,6 @@ def box(df: DataFrame, south: float, north: float, west: float, east: float) ->
     return df.where(F.col("lat").between(south, north) & lon)
 
 
-def latitude_band(df: DataFrame, half_width: float) -> DataFrame:
-    return df.where(F.abs("lat") <= half_width)
-
-
 def complete_groups(df: DataFrame, by: str, parts: list[str], needed: int) -> DataFrame:
     """The values of ``by`` for which every combination of ``parts`` is there (relational division)."""
     return df.groupBy(by).agg(F.count_distinct(*parts).alias("_n")).where(F.col("_n") == needed).select(by)

@@ -95,6 +95,14 @@ def init_state(df: DataFrame, state: DataFrame) -> DataFrame:
     return df.join(state.withColumnRenamed("valid_date", "init_date"), "init_date", "left")
 
 
+def with_persistence(pairs: DataFrame, state: DataFrame, name: str = "persistence") -> DataFrame:
+    """Pairs of ``trajectory`` with those of a model that keeps the init day's state, on the inits of the model that has the most (of equals the first by name)."""
+    most = pairs.groupBy("model").agg(F.count_distinct("init_date").alias("_n")).orderBy(F.desc("_n"), "model").limit(1).select("model")
+    start = state.select(F.col("valid_date").alias("init_date"), F.col("o1").alias("f1"), F.col("o2").alias("f2"))
+    kept = pairs.join(F.broadcast(most), "model").drop("f1", "f2").join(start, "init_date").withColumn("model", F.lit(name))
+    return pairs.unionByName(kept)
+
+
 def lead_window(df: DataFrame, width: int, lead: str = "lead_day") -> DataFrame:
     """Each row at every lead within ``width`` of its own, for pooling."""
     return df.withColumn(lead, F.explode(F.sequence(F.col(lead) - width, F.col(lead) + width)))

@@ -80,14 +80,6 @@ def pit(cases: DataFrame, by: list[str], keys: list[str], bins: int, seed: int =
     return binned.groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("count"))
 
 
-def pit_bins(n_members: int) -> int:
-    """M + 1 bins if there are 30 at most, else the largest divisor of M + 1 up to 30, or 20 if that is 1."""
-    if n_members + 1 <= 30:
-        return n_members + 1
-    best = max(d for d in range(1, 31) if (n_members + 1) % d == 0)
-    return best if best > 1 else 20
-
-
 def rmse_by_lead(pairs: DataFrame, f: str, o: str, field: list[str], by: list[str]) -> DataFrame:
     """cos-lat RMSE of each field, then its mean and population deviation over fields. ``pairs`` has lat."""
     e = F.col(f) - F.col(o)

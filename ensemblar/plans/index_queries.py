@@ -322,21 +322,22 @@ def _drawn(seed: int) -> str:
 
 
 BLOCKS = f"blocked as (select *, year(init_date) || '-' || lpad(month(init_date)::varchar, 2, '0') as block from weekly where fa is not null and oa is not null), {_drawn(7)}"
+SEASONS = f"blocked as (select *, year(init_date) || '-' || (month(init_date) % 12) // 3 as block from weekly where fa is not null and oa is not null), {_drawn(11)}"
 # each cell's correlation in each replicate, then the mean over a region's cells that have one
 REGIONAL = "sums as (select block, model, week, cell, count(*) as n, sum(fa) as f, sum(oa) as o, sum(fa * fa) as ff, sum(oa * oa) as oo, sum(fa * oa) as fo from blocked group by 1, 2, 3, 4), rep as (select replicate, model, week, cell, sum(weight * n)::double as n, sum(weight * f) as f, sum(weight * o) as o, sum(weight * ff) as ff, sum(weight * oo) as oo, sum(weight * fo) as fo from sums join bw using (block) group by 1, 2, 3, 4), v as (select *, ff / n - (f / n) ** 2 as vf, oo / n - (o / n) ** 2 as vo from rep), tcc as (select replicate, model, week, cell, case when n > 1 and vf > 1e-9 * ff / n and vo > 1e-9 * oo / n then (fo / n - f / n * (o / n)) / sqrt(vf * vo) end as r from v), located as (select *, cos(radians(lat)) as w, unnest(case when abs(lat) <= 20 then ['global', 'tropics'] when lat > 0 then ['global', 'NH'] else ['global', 'SH'] end) as region from tcc join cells using (cell)), cor as (select replicate, model, week, region, sum(w * r) / sum(case when r is not null then w end) as r from located group by 1, 2, 3, 4), keys as (select * from (select distinct replicate from bw), (select distinct model, week, region from cor)), whole as (select * from keys left join cor using (replicate, model, week, region))"
 
 
-def _weekly_blocks(t: Tables) -> DataFrame:
+def _weekly_blocks(t: Tables, by: str = "month") -> DataFrame:
     from ..functions.dates import block_key
 
-    return t.weekly.where("fa is not null and oa is not null").withColumn("block", block_key(F.col("init_date"), "month"))
+    return t.weekly.where("fa is not null and oa is not null").withColumn("block", block_key(F.col("init_date"), by))
 
 
-def _replicates(t: Tables) -> DataFrame:
-    wk = _weekly_blocks(t)
+def _replicates(t: Tables, by: str = "month", seed: int = 7) -> DataFrame:
+    wk = _weekly_blocks(t, by)
     sums = resample.pair_sums(wk, ["block", "model", "week", "cell"], "fa", "oa")
     regions = masks.cell_region(t.cells).select("cell", "region", F.cos(F.radians("lat")).alias("weight"))
-    return resample.replicate_regional_correlation(sums, resample.draws(wk, R, seed=7), ["model", "week"], regions)
+    return resample.replicate_regional_correlation(sums, resample.draws(wk, R, seed=seed), ["model", "week"], regions)
 
 
 @query("b1_block_weights", f"with {BLOCKS} select replicate, block, weight from bw")
@@ -357,18 +358,28 @@ def tcc_interval(t: Tables) -> DataFrame:
     return rounded(resample.intervals(_replicates(t), ["model", "week", "region"], "r"))
 
 
+@query("b3_season_interval", f"with {SEASONS}, {REGIONAL} select model, week, region, round(max(r) filter (replicate = 0), 4) as value, round(quantile_cont(r, 0.025) filter (replicate > 0), 4) as low, round(quantile_cont(r, 0.975) filter (replicate > 0), 4) as high from whole group by 1, 2, 3")
+def season_interval(t: Tables) -> DataFrame:
+    """The same with seasons as blocks."""
+    return rounded(resample.intervals(_replicates(t, "season", 11), ["model", "week", "region"], "r"))
+
+
 @query("b4_paired_difference", f"with {BLOCKS}, {REGIONAL}, d as (select replicate, week, region, max(r) filter (model = 'A') - max(r) filter (model = 'B') as d from whole group by 1, 2, 3), q as (select week, region, max(d) filter (replicate = 0) as value, quantile_cont(d, 0.025) filter (replicate > 0) as low, quantile_cont(d, 0.975) filter (replicate > 0) as high, avg((d > 1e-9)::int) filter (replicate > 0) as p_gt0 from d group by 1, 2) select week, region, round(value, 4) as value, round(low, 4) as low, round(high, 4) as high, round(p_gt0, 4) as p_gt0, low > 1e-9 or high < -1e-9 as significant from q")
 def paired_difference(t: Tables) -> DataFrame:
     """One model minus the other on the same replicates."""
     return rounded(resample.paired_difference(_replicates(t), "A", "B", ["week", "region"], "r"))
 
 
+PERSISTED = "m as (select * from m0 union all select 'persistence', m0.lead_day, m0.init_date, i.o1, i.o2, m0.o1, m0.o2 from m0 join (select model from m0 group by 1 order by count(distinct init_date) desc, model limit 1) using (model) join rmm_obs i on i.valid_date = m0.init_date)"
 BIVB = f"m as (select f.model, f.lead_day, f.init_date, avg(rmm1) as f1, avg(rmm2) as f2, any_value(o1) as o1, any_value(o2) as o2 from rmm f join rmm_obs b on b.valid_date = f.init_date + f.lead_day group by 1, 2, 3), blocked as (select *, init_date::varchar as block from m), {_drawn(3)}, s as (select block, model, lead_day, sum(f1 * o1 + f2 * o2) as fo, sum(f1 * f1 + f2 * f2) as ff, sum(o1 * o1 + o2 * o2) as oo from blocked group by 1, 2, 3), acc as (select replicate, model, lead_day, sum(weight * fo) / sqrt(sum(weight * ff) * sum(weight * oo)) as acc from s join bw using (block) group by 1, 2, 3), keys as (select * from (select distinct replicate from bw), (select distinct model, lead_day from s)), whole as (select * from keys left join acc using (replicate, model, lead_day))"
 
 
-def _acc_replicates(t: Tables) -> DataFrame:
+def _acc_replicates(t: Tables, persistence: bool = False) -> DataFrame:
     f1, f2, o1, o2 = (F.col(c) for c in ("f1", "f2", "o1", "o2"))
-    m = indices.trajectory(t.rmm, t.rmm_obs).withColumn("block", F.col("init_date").cast("string"))
+    m = indices.trajectory(t.rmm, t.rmm_obs)
+    if persistence:
+        m = indices.with_persistence(m, t.rmm_obs)
+    m = m.withColumn("block", F.col("init_date").cast("string"))
     s = m.groupBy("block", "model", "lead_day").agg(F.sum(f1 * o1 + f2 * o2).alias("fo"), F.sum(f1 * f1 + f2 * f2).alias("ff"), F.sum(o1 * o1 + o2 * o2).alias("oo"))
     rep = resample.replicate_sums(s, resample.draws(m, R, seed=3), ["model", "lead_day"], ("fo", "ff", "oo"))
     return rep.select("replicate", "model", "lead_day", F.try_divide("fo", F.sqrt(F.col("ff") * F.col("oo"))).alias("acc"))
@@ -380,16 +391,28 @@ def bivariate_bootstrap(t: Tables) -> DataFrame:
     return rounded(resample.intervals(_acc_replicates(t), ["model", "lead_day"], "acc"))
 
 
-@query("b6_skill_day_interval", f"with {BIVB}, l as (select *, lag(lead_day) over (partition by replicate, model order by lead_day) as bl from whole), k as (select replicate, model, coalesce(min(case when acc < 0.05 then coalesce(bl, 0) end), max(lead_day))::double as day, max(lead_day) as top from l group by 1, 2), q as (select model, max(day) filter (replicate = 0) as value, quantile_cont(day, 0.025) filter (replicate > 0) as low, quantile_cont(day, 0.975) filter (replicate > 0) as high, max(top) as top from k group by 1) select model, value, round(low, 4) as low, round(high, 4) as high, high >= top as censored from q")
+SKILL_DAYS = "l as (select *, lag(lead_day) over (partition by replicate, model order by lead_day) as bl from whole), k as (select replicate, model, coalesce(min(case when acc < 0.05 then coalesce(bl, 0) end), max(lead_day))::double as day, max(lead_day) as top from l group by 1, 2), q as (select model, max(day) filter (replicate = 0) as value, quantile_cont(day, 0.025) filter (replicate > 0) as low, quantile_cont(day, 0.975) filter (replicate > 0) as high, max(top) as top from k group by 1) select model, value, round(low, 4) as low, round(high, 4) as high, high >= top as censored from q"
+
+
+@query("b6_skill_day_interval", f"with {BIVB}, {SKILL_DAYS}")
 def skill_day_interval(t: Tables) -> DataFrame:
     """The skill day's interval on the same draws of inits, and whether its end is the last lead."""
-    acc = _acc_replicates(t)
+    return _skill_days(_acc_replicates(t))
+
+
+def _skill_days(acc: DataFrame) -> DataFrame:
     days = scores.skill_day(acc, ["replicate", "model"], "before_drop", 0.05)
     top = acc.groupBy("model").agg(F.max("lead_day").alias("top"))
     out = resample.intervals(days, ["model"], "skill_day").join(top, "model")
     return rounded(out.select("model", "value", "low", "high", (F.col("high") >= F.col("top")).alias("censored")))
 
 
+@query("b6_with_persistence", "with " + BIVB.replace("m as (", "m0 as (", 1).replace("), blocked as", f"), {PERSISTED}, blocked as", 1) + f", {SKILL_DAYS}")
+def skill_days_with_persistence(t: Tables) -> DataFrame:
+    """The state of the init day, kept, beside the models, on the inits of the model that has the most."""
+    return _skill_days(_acc_replicates(t, persistence=True))
+
+
 HASHED = "(('0x' || substr(md5(concat_ws('|', 5, r // 4, a, size)), 1 + 8 * (r % 4)::int, 8))::bigint + 0.5) / 4294967296.0::double"
 CONS = f"pairs as (select f.model, f.lead_day, f.init_date, count(*) filter (sqrt(rmm1 ** 2 + rmm2 ** 2) >= 1) as a, count(*) as size from rmm f join rmm_obs b on b.valid_date = f.init_date + f.lead_day group by 1, 2, 3), grp as (select least(floor(a / size * 5)::int, 4) as bin, a, size, count(*) as cases from pairs group by 1, 2, 3), each_r as (select * from grp, range(1, {R + 1}) x(r)), {_binomial('red', 'each_r', 'cases', 'a::double / size', HASHED, 'bin, r')}, f as (select r as replicate, bin, sum(k) / sum(n) as freq from red group by 1, 2)"
 

@@ -22,8 +22,3 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     """NaN becomes NULL in every float column; Spark's aggregates skip NULL but carry NaN on."""
     kinds = (T.DoubleType, T.FloatType)
     return df.select(*(F.when(~F.isnan(f.name), F.col(f.name)).alias(f.name) if isinstance(f.dataType, kinds) else F.col(f.name) for f in df.schema))
-
-
-def cell_index(degrees: Column, step: float, origin: float = 0.0) -> Column:
-    """Integer cell of a coordinate, so that joins never compare floats."""
-    return F.round((degrees - origin) / step).cast("int")

@@ -101,14 +101,6 @@ def month_range(df: DataFrame, month, first: int, last: int) -> DataFrame:
     return df.where(month.isin(months))
 
 
-def level_of(df: DataFrame, variable: str, level: float):
-    """The column of a variable at a level, under any of the names in use."""
-    for name in (f"{variable}_{level:g}_avg", f"{variable}_{level:g}", variable):
-        if name in df.columns:
-            return F.col(name)
-    raise ValueError(f"no column for {variable} at {level:g}")
-
-
 def stacked_levels(df: DataFrame, variable: str, levels: list[float], keys: list[str]) -> DataFrame:
     """Columns of one level each as rows with level."""
     return df.unpivot(keys, [f"{variable}_{v:g}" for v in levels], "_name", "value").select(*keys, F.regexp_extract("_name", r"_([0-9.]+)$", 1).cast("double").alias("level"), "value")
