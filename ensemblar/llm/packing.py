@@ -9,7 +9,7 @@ length and looks up each one's place.
 from __future__ import annotations
 
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
@@ -21,15 +21,59 @@ from . import bytebpe
 from .common import cut
 
 Group = tuple[int, list[tuple[int, int]]]
+#: Items of one length that are ranked in one part.
+RANKED = 1 << 16
+
+
+def _smallest(left: np.ndarray, n: int, above: int = 0) -> list[int]:
+    """The ``n`` smallest items longer than ``above``, with repeats."""
+    out: list[int] = []
+    for size in np.flatnonzero(left[above + 1 :])[:n].tolist():
+        out += [size + above + 1] * int(min(n, left[size + above + 1]))
+    return out[:n]
+
+
+def dominating_set(left: np.ndarray, size: int) -> tuple[int, ...] | None:
+    """The items that stand with one of ``size`` in some best solution, by Martello and Toth's rules; None where no rule decides.
+
+    ``left`` counts items by length, that one taken out. A set dominates if what any other set puts beside the item could be put in the places
+    of this one's: nothing fits beside it; one item does, and this is the longest; two do, and this one is as long as the best two
+    together; or these are the longest that fits and one that of any two that fit together the shorter doesn't exceed.
+    """
+    room = len(left) - 1 - size
+    fits = np.flatnonzero(left[: room + 1])
+    if not len(fits):
+        return ()
+    longest = int(fits[-1])
+    low = _smallest(left, 3)
+    if longest == room or len(low) < 2 or low[0] + low[1] > room:
+        return (longest,)
+    if len(low) == 3 and sum(low) <= room:
+        return None
+    # the longest and what then fits
+    left[longest] -= 1
+    beside = np.flatnonzero(left[: room - longest + 1])
+    left[longest] += 1
+    second = int(beside[-1]) if len(beside) else 0
+    longer = _smallest(left, 2, second)
+    if second and (len(longer) < 2 or sum(longer) > room):
+        return (longest, second)
+    # the best two that fit together, by two ends that approach
+    i, j, best = 0, len(fits) - 1, 0
+    while i <= j:
+        both = int(fits[i] + fits[j])
+        if both > room or (i == j and left[fits[i]] < 2):
+            j -= 1
+        else:
+            best = max(best, both)
+            i += 1
+    return (longest,) if longest >= best else None
 
 
 def reduce_by_dominance(counts: dict[int, int], capacity: int) -> tuple[list[Group], dict[int, int]]:
-    """Sets that some best solution holds, as (sequences, [(length, items in each)]), and the counts left.
+    """Sets that some best solution holds, as (sequences, [(length, items in each)]), and the counts left: Martello and Toth's reduction.
 
-    For an item j, a set {j, k} dominates every other set with j if what else
-    fits beside j could be put in k's place. That holds (1) if k fills the
-    sequence exactly, (2) if nothing fits beside j, then alone, and (3) if k
-    is the longest that fits and no two items fit together.
+    Alike items are fixed together as long as at least three of each length stay, as no rule asks for more than that.
     """
     left = np.zeros(capacity + 1, np.int64)
     for size, n in counts.items():
@@ -37,9 +81,10 @@ def reduce_by_dominance(counts: dict[int, int], capacity: int) -> tuple[list[Gro
     fixed: list[Group] = []
 
     def take(n: int, *sizes: int) -> None:
-        for s in sizes:
-            left[s] -= n
-        fixed.append((int(n), [(s, 1) for s in sizes] if len(set(sizes)) == len(sizes) else [(sizes[0], len(sizes))]))
+        each = Counter(sizes)
+        for s, k in each.items():
+            left[s] -= n * k
+        fixed.append((int(n), sorted(each.items(), reverse=True)))
 
     if left[capacity]:
         take(left[capacity], capacity)
@@ -53,18 +98,13 @@ def reduce_by_dominance(counts: dict[int, int], capacity: int) -> tuple[list[Gro
         changed = False
         for size in np.flatnonzero(left)[::-1].tolist():
             while left[size]:
-                room = capacity - size
                 left[size] -= 1
-                there = np.flatnonzero(left)
+                beside = dominating_set(left, size)
                 left[size] += 1
-                fits = there[there <= room]
-                if not len(fits):
-                    take(left[size] if size > room else 1, size)
-                elif (fits[0] * 2 if left[fits[0]] - (fits[0] == size) > 1 else fits[0] + (there[1] if len(there) > 1 else capacity)) > room:
-                    best = int(fits[-1])
-                    take(left[size] // 2 if best == size else min(left[size], left[best]), size, best)
-                else:
+                if beside is None:
                     break
+                each = Counter((size, *beside))
+                take(max(1, min((int(left[s]) - 3) // k for s, k in each.items())), size, *beside)
                 changed = True
     return fixed, {int(s): int(left[s]) for s in np.flatnonzero(left)}
 
@@ -122,22 +162,25 @@ class Places:
         return self.first[at] + turn, self.offset[at] + within * size
 
 
-def pack(items: DataFrame, length_col: str = "length", capacity: int = 2048, order: list[str] | None = None, salts: int = 64) -> DataFrame:
+def pack(items: DataFrame, length_col: str = "length", capacity: int = 2048, order: list[str] | None = None, ranked: int = RANKED) -> DataFrame:
     """``items`` with sequence_id and offset: gapless places from 0 in sequences of at most ``capacity``.
 
-    Lengths must lie between 1 and ``capacity``; other rows fail. ``items``
-    should be cut from its lineage, as it is read twice. ``order`` names columns
-    that make the places repeatable. Items of one length, however many, are ranked in
-    ``salts`` parts that go to different tasks.
+    Lengths must lie between 1 and ``capacity``; other rows, null lengths among them, fail. ``items`` should be cut from its lineage, as it is read
+    more than once. ``order`` names columns that make the places repeatable. Items of one length are ranked in parts of about
+    ``ranked`` rows, as many as their number asks for. Columns of ``items`` named sequence_id or offset are replaced, others may have any name;
+    repeated rows are items of their own; an empty table gives an empty result.
     """
-    spark, order = items.sparkSession, order or [length_col]
-    n = F.col(length_col).cast("long")
+    spark = items.sparkSession
+    n = F.col(f"`{length_col}`").cast("long")
     checked = F.when(n.between(1, capacity), n).otherwise(F.raise_error(F.lit(f"{length_col} is not between 1 and {capacity}")).cast("long"))
-    marked = items.withColumns({"_size": checked, "_salt": F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int")})
-    cells = marked.groupBy("_size", "_salt").count()
-    before = Window.partitionBy("_size").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cut(cells.select("_size", "_salt", "count", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_base")))
-    counts = {r[0]: r[1] for r in cells.groupBy("_size").agg(F.sum("count")).collect()}  # a row a length, capacity at most
+    item, by = F.struct(*(F.col(f"`{c}`") for c in items.columns)), F.struct(*(F.col(f"`{c}`") for c in order or [length_col]))
+    marked = items.select(checked.alias("size"), by.alias("by"), item.alias("item"))
+    counts = {r[0]: r[1] for r in marked.groupBy("size").count().collect()}  # a row a length, capacity at most
+    parts = F.array(*(F.lit(-(-counts.get(size, 0) // ranked) or 1) for size in range(1, capacity + 1)))
+    marked = marked.withColumn("part", F.pmod(F.xxhash64("by"), F.element_at(parts, F.col("size").cast("int"))).cast("int"))
+    before = Window.partitionBy("size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    cells = marked.groupBy("size", "part").count()
+    cells = cut(cells.select("size", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base")))
     places = spark.sparkContext.broadcast(Places(plan(counts, capacity)))
 
     @F.pandas_udf("struct<sequence_id:long,offset:long>")
@@ -145,10 +188,9 @@ def pack(items: DataFrame, length_col: str = "length", capacity: int = 2048, ord
         sequence, offset = places.value(size.to_numpy(np.int64), rank.to_numpy(np.int64))
         return pd.DataFrame({"sequence_id": sequence, "offset": offset})
 
-    within = F.row_number().over(Window.partitionBy("_size", "_salt").orderBy(*order)) - 1
-    ranked = marked.withColumn("_rank", within).join(cells.drop("count"), ["_size", "_salt"])
-    placed = ranked.withColumn("_place", place("_size", F.col("_rank") + F.col("_base")))
-    return placed.select(*(F.col(f"`{c}`") for c in items.columns), F.col("_place.sequence_id"), F.col("_place.offset"))
+    within = F.row_number().over(Window.partitionBy("size", "part").orderBy("by")) - 1
+    placed = marked.withColumn("rank", within).join(cells, ["size", "part"]).select("item", place("size", F.col("rank") + F.col("base")).alias("place"))
+    return placed.select(*(F.col(f"item.`{c}`") for c in items.columns if c not in ("sequence_id", "offset")), "place.sequence_id", "place.offset")
 
 
 def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 0, path: str | None = None, with_ids: bool = False) -> DataFrame:

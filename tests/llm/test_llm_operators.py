@@ -247,6 +247,59 @@ def test_reduction_keeps_the_optimum():
         assert sum(n for n, _ in fixed) + (optimum(rest, 12) if rest else 0) == optimum(items, 12)
 
 
+def test_a_triple_may_dominate():
+    assert packing.reduce_by_dominance({50: 1, 25: 2}, 100) == ([(1, [(50, 1), (25, 2)])], {})
+    # two fit beside the first, no pair with it is full, and only the three together dominate
+    assert packing.dominating_set(np.bincount([30, 28, 28], minlength=101), 41) == (30, 28)
+    fixed, left = packing.reduce_by_dominance({41: 2000, 30: 2000, 28: 2000}, 100)
+    assert sum(n for n, items in fixed if items == [(41, 1), (30, 1), (28, 1)]) >= 1990 and sum(n for n, _ in fixed) + sum(left.values()) <= 2010
+    # one as long as the best two together; and a case that no rule decides
+    assert packing.dominating_set(np.bincount([58, 26, 25, 24], minlength=101), 40) == (58,)
+    assert packing.dominating_set(np.bincount([30, 20, 19, 18], minlength=101), 40) is None
+
+
+def test_reduction_of_tight_sets_keeps_the_optimum():
+    rng = random.Random(2)
+    triples = 0
+    for _ in range(150):
+        items = sorted((rng.choice([rng.randint(8, 14), rng.randint(5, 9)]) for _ in range(rng.randint(3, 9))), reverse=True)
+        fixed, left = packing.reduce_by_dominance(dict(Counter(items)), 24)
+        triples += any(sum(k for _, k in held) == 3 for _, held in fixed)
+        rest = sorted((s for s, n in left.items() for _ in range(n)), reverse=True)
+        assert sum(n for n, _ in fixed) + (optimum(rest, 24) if rest else 0) == optimum(items, 24)
+    assert triples > 40
+
+
+def test_pack_keeps_columns_of_any_name(spark):
+    names = "size long, part int, by string, item string, rank int, base int, place string, count long, sequence_id string, offset string, length long"
+    items = spark.createDataFrame([(k, 1, "a", "b", 2, 3, "c", 4, "old", "old", 1 + k % 5) for k in range(40)] * 2, names)
+    got = packing.pack(items, capacity=9, order=["size"], ranked=4)
+    assert got.columns == [c.split()[0] for c in names.split(", ") if c.split()[0] not in ("sequence_id", "offset")] + ["sequence_id", "offset"]
+    rows = got.collect()
+    check_packing(rows, Counter([1 + k % 5 for k in range(40)] * 2), 9)
+    assert {r.base for r in rows} == {3} and sorted(r.size for r in rows) == sorted([*range(40)] * 2)
+    assert packing.pack(items.limit(0), capacity=9).count() == 0
+    with pytest.raises(Exception, match="is not between"):
+        packing.pack(spark.createDataFrame([(None,)], "length long"), capacity=9).collect()
+
+
+def test_very_long_texts_are_cut_whole(spark):
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    rng = random.Random(3)
+    odd = ["".join(chr(rng.choice([rng.randrange(32, 127), rng.randrange(160, 0xD800), rng.randrange(0x10000, 0x10400)])) for _ in range(rng.randrange(60))) for _ in range(150)]
+    texts = [*odd, "a" * 200_000, "word and 12 more\n\n  " * 20_000]
+    own = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
+    pieces = packing.token_pieces(docs_of(spark, texts)).collect()
+    for k, text in enumerate(texts):
+        ids = np.array([*own.encode(text, add_special_tokens=False).ids, 0], "<u4")
+        mine = sorted((p for p in pieces if p.doc_id == k), key=lambda p: p.piece)
+        assert [p.start for p in mine] == [0, *np.cumsum([p.length for p in mine])[:-1]] and sum(p.length for p in mine) == len(ids)
+        assert all(p.ids_crc32 == zlib.crc32(ids[p.start : p.start + p.length].tobytes()) for p in mine)
+
+
 def check_packing(rows, lengths, cap):
     by = {}
     for r in rows:
@@ -263,7 +316,7 @@ def check_packing(rows, lengths, cap):
 def test_pack_hot_lengths_and_refuses_long(spark):
     lengths = [5] * 500 + [7] * 30 + [10] * 3 + [1] * 11
     items = spark.createDataFrame([(k, n) for k, n in enumerate(lengths)], "id long, length long")
-    check_packing(packing.pack(items, capacity=10, order=["id"], salts=3).collect(), Counter(lengths), 10)
+    check_packing(packing.pack(items, capacity=10, order=["id"], ranked=7).collect(), Counter(lengths), 10)
     with pytest.raises(Exception, match="is not between"):
         packing.pack(items, capacity=6).collect()
 
