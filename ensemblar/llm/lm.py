@@ -29,6 +29,8 @@ END = b""
 HELD, CHUNK, LEARNT = 300_000, 4_000_000, 1 << 20
 #: Texts that a task learns from side by side, and models averaged at once.
 STREAMS, FAN_IN = 1024, 32
+#: Bytes of the words of over 64 bytes that every task holds at most.
+LONG_BYTES = 8 << 20
 
 
 def words(text: str | None) -> list[bytes]:
@@ -127,7 +129,7 @@ def train(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", id_co
 
     Each row belongs to one of ``rounds`` by a hash, so that each text is learnt from once. In a round every
     task goes on from the parameters of the last one over its rows of the round; the results, of fixed size, are
-    averaged by numbers of tokens in a tree of groups. ``most_tokens``, where given, ends a task's
+    averaged by numbers of tokens, FAN_IN of them at a time until one is left. ``most_tokens``, where given, ends a task's
     learning in a round. The model depends on how the rows are dealt out to tasks. ``trained`` of the model
     is the number of tokens that it learnt from.
     """
@@ -186,18 +188,57 @@ def train(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", id_co
 
     state = flat(model.params, model.no_slopes()).tobytes()
     kind = "part int, n long, p binary"
+    tasks = docs.rdd.getNumPartitions()
     for k in range(rounds):
         now = spark.sparkContext.broadcast(state)
         rows = docs.where(F.pmod(F.xxhash64(id_col, text_col), F.lit(rounds)) == k).select(text_col)
-        parts = rows.mapInArrow(learner(now), kind)
-        parts = parts.withColumn("slot", F.floor(F.col("part") / FAN_IN)).groupBy("slot").applyInArrow(mean, kind)
-        found = parts.withColumn("slot", F.col("n") * 0).groupBy("slot").applyInArrow(mean, kind).collect()
+        parts, many = rows.mapInArrow(learner(now), kind), tasks
+        while many > 1:
+            parts, many = parts.withColumn("slot", F.floor(F.col("part") / FAN_IN)).groupBy("slot").applyInArrow(mean, kind), -(-many // FAN_IN)
+        found = parts.collect()
         if found:
             state, model.trained = bytes(found[0]["p"]), model.trained + found[0]["n"]
     model.params = unflat(np.frombuffer(state, "<f4")[: sizes[-1]])
     return model
 
 
+def frequent_words(counts: DataFrame, most_words: int, most_bytes: int = LONG_BYTES) -> tuple[list[bytes], list[int]]:
+    """The most frequent of (word, c) and their counts: ``most_words`` words of 64 bytes at most, the end first, then by falling count, then by bytes; and behind
+    them longer words, as many of the highest counts as have ``most_bytes`` bytes together.
+
+    The least count that is kept comes from histograms of counts, and where only some of the words of that count are kept, the last of these from
+    histograms of their beginnings: no task sorts more words than it hands on, and the driver gets what every task will hold.
+    """
+    size, level = F.octet_length("word"), F.floor(F.log2("c") * 8).cast("int")
+    short = counts.where((size > 0) & (size <= 64))
+    room = most_words - counts.where(size == 0).count()
+    # whole levels, then whole counts of the level that doesn't fit, then whole beginnings of the words of the count that doesn't
+    steps = [level, F.col("c"), *(F.substring("word", k, 2) for k in range(1, 64, 2))]
+    taken, within = F.lit(False), F.lit(True)
+    for k, step in enumerate(steps):
+        sizes = [tuple(r) for r in short.where(within).groupBy(step.alias("step")).count().collect()]
+        sizes.sort(reverse=k < 2)
+        fits = 0
+        while fits < len(sizes) and sizes[fits][1] <= room:
+            room -= sizes[fits][1]
+            fits += 1
+        if fits:
+            taken |= within & (step >= F.lit(sizes[fits - 1][0]) if k < 2 else step <= F.lit(sizes[fits - 1][0]))
+        if room <= 0 or fits == len(sizes):
+            break
+        within &= step == F.lit(sizes[fits][0])
+    long = counts.where(size > 64)
+    least = 1 << 30
+    for lev, total in sorted((tuple(r) for r in long.groupBy(level.alias("level")).agg(F.sum(size)).collect()), reverse=True):
+        most_bytes -= total
+        if most_bytes < 0:
+            break
+        least = lev
+    kept = short.where(taken).union(counts.where(size == 0)).union(long.where(level >= least)).collect()
+    found = sorted(((bytes(w), c) for w, c in kept), key=lambda x: (len(x[0]) > 64, len(x[0]) > 0, -x[1], x[0]))
+    return [w for w, _ in found], [c for _, c in found]
+
+
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, table_words: int = 1 << 18, model_words: int = 2048, n_extra: int = 64, **options) -> DataFrame:
     """(id_col, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of ``docs``.
 
@@ -206,15 +247,14 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Both scores are log10 probabilities of the whole text, its end included. Repeated
     rows each get a row and each count. With no training row every probability is
     that of an unseen word. ``table_words`` and ``model_words`` bound the table of frequent
-    words (of 64 bytes at most) and the recurrent model; no word's count is approximated.
+    words and the recurrent model; no word's count is approximated.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     training = rows.where(id_bucket(F.col("id"), folds) != 0)
     counts = cut(count_words(training))
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    frequent = counts.where(F.octet_length("word") <= 64).orderBy(F.octet_length("word") > 0, F.desc("c"), "word").limit(table_words).toArrow()
-    vocabulary = Vocabulary(frequent["word"].to_pylist(), frequent["c"].to_pylist(), model_words, n_extra, total, distinct)
+    vocabulary = Vocabulary(*frequent_words(counts, table_words), model_words, n_extra, total, distinct)
     model = train(training, vocabulary, "text", "id", **options)
     shared = spark.sparkContext.broadcast((vocabulary, model))
 

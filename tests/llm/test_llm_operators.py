@@ -753,6 +753,35 @@ def test_unigram_scores_and_proper_model(spark):
     assert {r.train_tokens for r in lm.score_documents(held).collect()} == {0}
 
 
+def test_frequent_words_are_the_first_of_all(spark):
+    rng = random.Random(15)
+    words = [(f"w{k}".encode(), int(1 + rng.expovariate(0.4))) for k in range(2000)] + [(b"", 5), (b"x" * 80, 900), (b"y" * 5000, 10), (b"z" * 100, 2), (b"q" * 64, 7), (b"\xff\x80", 3)]
+    df = spark.createDataFrame([(bytearray(w), c) for w, c in words], "word binary, c long").repartition(3)
+    order = sorted(((w, c) for w, c in words if len(w) <= 64), key=lambda x: (len(x[0]) > 0, -x[1], x[0]))
+    for most in (1, 2, 100, 777, 1500, 5000):
+        got = list(zip(*lm.frequent_words(df, most, 1000), strict=True))
+        assert got == [*order[:most], (b"x" * 80, 900)]  # the next long word has too many bytes
+    assert len(lm.frequent_words(df, 5000)[0]) == len(words)
+    assert lm.frequent_words(df.limit(0), 10) == ([], [])
+
+
+def test_a_long_word_in_every_text(spark):
+    """It is in the table of every task, so that no key of the join has a row a text; averages go through more than one level of the tree."""
+    import re as plain
+
+    word = "L" * 80
+    texts = [f"{word} term{k % 7} rare{k}" for k in range(300)] + [word * 3]
+    df = docs_of(spark, texts).repartition(40)
+    got = {r.doc_id: r for r in lm.score_documents(df, most_classes=8, hidden=8, rounds=1).collect()}
+    tokens = [[*plain.findall(r"[^\x20\x09-\x0D]+", t.lower()), ""] for t in texts]
+    counts = Counter(w for k, ws in enumerate(tokens) if zlib.crc32(str(k).encode()) % 10 for w in ws)
+    n, v = sum(counts.values()), len(counts)
+    for k, ws in enumerate(tokens):
+        assert got[k].base_score == pytest.approx(sum(math.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws))
+        assert got[k].n_known == sum(counts[w] > 0 for w in ws) and np.isfinite(got[k].score)
+    assert word.lower().encode() in lm.frequent_words(lm.count_words(df), 1 << 18)[0]
+
+
 def test_tokens_of_a_batch():
     texts = [None, "", "  a B\tc ", "\x0b\x0cé É a", "\u00a0x y\x1fz A", "a " * 5000, "a"]
     known = lm.Vocabulary([b"", b"a", b"b"], [9, 5, 2], 2, 4, 20, 6)
