@@ -197,22 +197,23 @@ CUTS = ", ".join(f"{(2 * k + h) << SEGMENT}L | (shiftrightunsigned({w}, {SEGMENT
 MASKS = ", ".join(f"{1 << b}L" for b in range(SEGMENT))
 
 
-def _compared(rows: DataFrame, radius: int, part: int) -> DataFrame:
-    """Links (a, b) between members of a bucket: rows are (key, own, name, root, s0..s3), and those that stand in the bucket themselves (own) meet all others in it.
+def _compared(rows: DataFrame, nodes: DataFrame, radius: int, part: int) -> DataFrame:
+    """Links (a, b) between members of a bucket: rows are (key, own, node, root), and those that stand in the bucket themselves (own) meet all others in it.
 
     Every such pair is compared, unless both are in one component already (``root``): a link is only handed on where it joins
-    two. A bucket of more than ``part`` members is dealt out, and each two parts meet in a task of their own.
+    two. A bucket of more than ``part`` members is dealt out, and each two parts meet in a task of their own. ``nodes`` has (node, name, s0..s3), which
+    only members of buckets that may join something are given.
     """
     count = lambda own: F.count_if(F.col("own") == own)
     open_ = rows.groupBy("key").agg(count(True).alias("t"), count(False).alias("p"), F.min("root").alias("low"), F.max("root").alias("high"))
     open_ = open_.where("t > 0 and low < high").select("key", F.ceil(F.col("t") / part).cast("int").alias("t"), F.ceil(F.col("p") / part).cast("int").alias("p"))
-    at = lambda n: F.pmod(F.xxhash64("name"), F.greatest(n, F.lit(1))).cast("int")
+    at = lambda n: F.pmod(F.xxhash64("node"), F.greatest(n, F.lit(1))).cast("int")
     whole, t, p = F.col("t") + F.col("p"), F.col("t"), F.col("p")
     every = lambda n: F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1)
     own = F.transform(every(whole), lambda j: F.least(at(t), j) * whole + F.greatest(at(t), j))
     others = F.transform(every(t), lambda i: i * whole + t + at(p))
     job = F.when((t == 1) & (p <= 1), F.array(F.lit(0))).when(F.col("own"), own).otherwise(others)
-    dealt = rows.join(open_, "key").select("key", F.explode(job).alias("job"), F.struct("name", "root", "own", *LONG).alias("member"))
+    dealt = rows.join(open_, "key").join(nodes, "node").select("key", F.explode(job).alias("job"), F.struct("name", "root", "own", *LONG).alias("member"))
     jobs = dealt.groupBy("key", "job").agg(F.collect_list("member").alias("members")).where(F.size("members") > 1)
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,7 +237,7 @@ def _compared(rows: DataFrame, radius: int, part: int) -> DataFrame:
                         near &= root != root[i]
             yield pa.RecordBatch.from_arrays([name.take(pa.array(left, pa.int64())), name.take(pa.array(right, pa.int64()))], ["a", "b"])
 
-    kind = rows.schema["name"].dataType.simpleString()
+    kind = nodes.schema["name"].dataType.simpleString()
     return jobs.select("members").mapInArrow(links, f"a {kind}, b {kind}")
 
 
@@ -248,17 +249,20 @@ def wide_links(nodes: DataFrame, base: DataFrame | None = None, radius: int = 48
     Multi-index hashing: first all that stand at the same place of a segment meet; then the ball of radius 1 around each
     segment is looked up, for what doesn't belong together yet. No bucket is cut short, and none needs one task.
     """
-    found = cut(_compared(nodes.select(F.expr(f"explode(array({CUTS})) as key"), F.lit(True).alias("own"), "name", F.col("node").alias("root"), *LONG), radius, part))
+    prints = nodes.select("node", "name", *LONG)
+    stands = nodes.select(F.expr(f"explode(array({CUTS})) as key"), F.lit(True).alias("own"), "node", F.col("node").alias("root"))
+    found = cut(_compared(stands, prints, radius, part))
     links = found if base is None else base.union(found)
     roots = connected_components(links).select(F.col("node.node").alias("node"), F.col("root.node").alias("root"))
-    placed = cut(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).select(F.expr(f"array({CUTS}) as keys"), "name", "root", *LONG))
-    stands = placed.select(F.explode("keys").alias("key"), F.lit(True).alias("own"), "name", "root", *LONG)
-    looks = placed.select(F.explode("keys").alias("at"), "name", "root", *LONG).select("*", F.expr(f"explode(array({MASKS})) as mask")).where("at & mask != 0")
-    looks = looks.select(F.expr("at ^ mask").alias("key"), F.lit(False).alias("own"), "name", "root", *LONG)
-    # places first, without the fingerprints: only those where something may still be joined
-    small = stands.select("key", "root", F.lit(1).alias("t")).union(looks.select("key", "root", F.lit(0)))
-    open_ = cut(small.groupBy("key").agg(F.max("t").alias("t"), F.min("root").alias("low"), F.max("root").alias("high")).where("t = 1 and low < high").select("key"))
-    return found.union(cut(_compared(stands.union(looks).join(open_, "key", "left_semi"), radius, part)))
+    placed = cut(nodes.join(roots, "node", "left").select(F.expr(f"array({CUTS}) as keys"), "node", F.coalesce("root", "node").alias("root")))
+    stands = placed.select(F.explode("keys").alias("key"), F.lit(True).alias("own"), "node", "root")
+    looks = placed.select(F.explode("keys").alias("at"), "node", "root").select("*", F.expr(f"explode(array({MASKS})) as mask")).where("at & mask != 0")
+    # only where something stands that doesn't belong to who looks
+    there = stands.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    met = looks.select(F.expr("at ^ mask").alias("key"), "node", "root").join(there, "key").where("low != root or high != root")
+    met = cut(met.select("key", F.lit(False).alias("own"), "node", "root"))
+    beside = stands.join(met.select("key").distinct(), "key", "left_semi")
+    return found.union(cut(_compared(met.union(beside), prints, radius, part)))
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 48, keep: list[str] | None = None, part: int = PART) -> DataFrame:
