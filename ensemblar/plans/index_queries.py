@@ -117,7 +117,7 @@ def _eof(t: Tables) -> DataFrame:
     return eof.withColumn("loading", F.when(ref < 0, -F.col("loading")).otherwise(F.col("loading")))
 
 
-@query("e1_daily_pattern", f"with recursive anom as (select valid_date, cell, (value - avg(value) over (partition by cell)) * sqrt(cos(radians(lat))) as value from obs join cells using (cell)), {_power('lead', _covariance('anom', 'valid_date', 24), 24)}, tot as (select sum(value * value) as total from anom), s as (select case when list_sum(v) < 0 then -1 else 1 end as sign, v, l / total as share from lead, tot) select (range)::int as cell, round(sign * v[range + 1], 4) as loading, round(share, 4) as share from s, range(24)")
+@query("e1_daily_pattern", f"with recursive anom as (select valid_date, cell, (value - avg(value) over (partition by cell)) * sqrt(cos(radians(lat))) as value from obs join cells using (cell)), {_power('lead', _covariance('anom', 'valid_date', 24), 24)}, tot as (select sum(value * value) as total from anom), s as (select case when list_sum(v) < 0 then -1 else 1 end as sign, v, l / total as share from lead, tot) select (range)::int as cell, round(sign * v[range + 1], 4) as loading, round(share, 4) as share from s, range(24) where range in (select cell from anom)")
 def daily_pattern(t: Tables) -> DataFrame:
     """The leading pattern of daily anomalies, by iteration where there are more than 400 days; the mean loading is positive."""
     gone = climate.remove_group_mean(t.obs, ["cell"], ["value"]).join(F.broadcast(t.cells), "cell")
@@ -139,7 +139,7 @@ HALVES = "half as (select (year(valid_date) * 2 + (month(valid_date) - 1) // 6):
 DEFLATED = "select list_transform(range(1, 49), lambda i: list_transform(range(1, 49), lambda j: c[i][j] - l * v[i] * v[j])) as m from one"
 
 
-@query("e4_combined_eof", f"with recursive {HALVES}, {_power('one', _covariance('zz', 'half', 48), 48)}, {_power('two', DEFLATED, 48)}, f as (select range::int as feature, one.v[range + 1] as p, two.v[range + 1] as q from one, two, range(48)), g as (select sign(max_by(p, abs(p))) as sp, sign(max_by(q, abs(q))) as sq from f) select feature, round(p * sp, 4) as pc1, round(q * sq, 4) as pc2 from f, g")
+@query("e4_combined_eof", f"with recursive {HALVES}, {_power('one', _covariance('zz', 'half', 48), 48)}, {_power('two', DEFLATED, 48)}, f as (select range::int as feature, one.v[range + 1] as p, two.v[range + 1] as q from one, two, range(48) where range in (select cell from zz)), g as (select sign(max_by(p, abs(p))) as sp, sign(max_by(q, abs(q))) as sq from f) select feature, round(p * sp, 4) as pc1, round(q * sq, 4) as pc2 from f, g")
 def combined_eof(t: Tables) -> DataFrame:
     """The two leading patterns of two fields side by side over half-years, each field over its own deviation."""
     half = (F.year("valid_date") * 2 + F.floor((F.month("valid_date") - 1) / 6)).cast("int").alias("half")
