@@ -249,6 +249,8 @@ def transition_groups(t: Tables) -> DataFrame:
 
 RAIN = "rain as (select year(valid_date)::int as year, valid_date, cell % 6 as cell, avg(greatest(value - 150, 0)) as rain, 40 + cell % 6 as threshold from obs group by 1, 2, 3, 5), roll as (select *, case when count(rain) over g = 5 then sum(rain) over g end as rolled from rain window g as (partition by year, cell order by valid_date rows between current row and 4 following)), onset as (select year, cell, min(case when valid_date > make_date(year, 6, 2) and rain > 1 and rolled > threshold then valid_date end) as onset from roll group by 1, 2)"
 FRAIN = "fday as (select init_date, number, cell, lead_day, avg(greatest(value - 150, 0)) as rain from (select init_date, number, cell % 6 as cell, lead_day, value from fc) group by 1, 2, 3, 4), froll as (select *, 40 + cell as threshold, case when count(*) over g = 5 then sum(coalesce(rain, 0)) over g end as rolled from fday window g as (partition by init_date, number, cell order by lead_day rows between current row and 4 following)), mem as (select init_date, number, cell, min(case when lead_day between 1 and 15 and coalesce(rain, 0) > 1 and rolled > threshold then lead_day end) as onset_day from froll group by 1, 2, 3)"
+# a missing member value has no part in its cells' mean; DuckDB's greatest passes over NULL and would count it as dry
+FRAIN_THERE = FRAIN.replace("greatest(value - 150, 0)", "case when value is not null then greatest(value - 150, 0) end")
 PROB = f"with {RAIN}, {FRAIN}, pairs as (select year(init_date)::int as year, init_date, m.cell, b.a || '-' || b.z as bin_days, avg(coalesce(onset_day between b.a and b.z, false)::int) as p, max((onset - init_date between b.a and b.z)::int) as o from mem m join onset s on s.cell = m.cell and s.year = year(init_date) and s.onset is not null and init_date < s.onset, (values (1, 5), (6, 10), (11, 15)) b(a, z) group by 1, 2, 3, 4)"
 
 
@@ -270,9 +272,9 @@ def observed_onset(t: Tables) -> DataFrame:
     return monsoon.observed_onset(_rain(t), ["cell"])
 
 
-@query("w4_member_onset", f"with {FRAIN} select onset_day, count(*) as n from mem group by 1")
+@query("w4_member_onset", f"with {FRAIN_THERE} select onset_day, count(*) as n from mem group by 1")
 def member_onset(t: Tables) -> DataFrame:
-    """Onset days of members, NULL where there is none."""
+    """Onset days of members, NULL where there is none. A day's rain is the mean over the values that are there; a day without any counts as 0 in the sum."""
     fday = t.fc.withColumn("cell", F.col("cell") % 6).groupBy("init_date", "number", "cell", "lead_day").agg(F.avg(F.greatest(F.col("value") - 150, F.when(F.col("value").isNotNull(), 0.0))).alias("rain"))
     members = monsoon.member_onset(fday.withColumn("threshold", F.col("cell") + 40), ["cell"], start=None)
     return members.groupBy("onset_day").agg(F.count(F.lit(1)).alias("n"))
