@@ -130,12 +130,14 @@ def member_rmse(t: Tables) -> DataFrame:
 
 @query("a14_regional_acc", f"with clim as (select dayofyear(valid_date) - 1 as doy, cell, avg(value) as clim from obs group by 1, 2), {WIDE}, a as (select x.model, init_date, lead_day, lat, w, f - clim as f, o - clim as o from wide x join clim c on c.cell = x.cell and c.doy = dayofyear(init_date + lead_day) - 1), r as (select *, unnest(case when abs(lat) <= 20 then ['global', 'tropics'] when lat > 0 then ['global', 'NH'] else ['global', 'SH'] end) as region from a), s as (select model, lead_day, init_date, region, {ACC.format(w='w')} as acc from r group by 1, 2, 3, 4) select model, lead_day, region, round(avg(acc), 4) as acc, count(acc) as n_inits from s group by 1, 2, 3")
 def regional_acc(t: Tables) -> DataFrame:
-    """Uncentred ACC of anomalies by region, mean over inits."""
+    """Uncentred ACC of anomalies by region, mean over inits. A field's squares are over all cells that forecast or truth has."""
     clim = climate.doy_climatology(t.obs, ["cell"])
     pairs = _wide(t).withColumn("valid_date", F.date_add("init_date", F.col("lead_day")))
     a = climate.anomalies(pairs, clim, ["cell"], ["f", "o"])
     regions = F.broadcast(masks.cell_region(t.cells).select("cell", "region"))
-    each = a.join(regions, "cell").groupBy("model", "lead_day", "init_date", "region").agg(scores.acc(F.col("f"), F.col("o"), F.cos(F.radians("lat"))).alias("acc"))
+    each = a.join(regions, "cell").groupBy("model", "lead_day", "init_date", "region").agg(scores.acc(F.col("f"), F.col("o"), F.cos(F.radians("lat")), paired=False).alias("acc"))
+    # fields of one cell have 1 or -1 but for the last bits, which would decide on means halfway between two roundings
+    each = each.withColumn("acc", F.round("acc", 12))
     return rounded(each.groupBy("model", "lead_day", "region").agg(F.avg("acc").alias("acc"), F.count("acc").alias("n_inits")))
 
 

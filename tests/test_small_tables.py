@@ -1,9 +1,11 @@
 """Queries on small tables made for one case each, against their SQL or numbers known beforehand."""
 
 import datetime as dt
+from decimal import ROUND_HALF_UP, Decimal
 from types import SimpleNamespace
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -45,3 +47,30 @@ def test_onset_missing_value_is_not_dry(tables):
     got = t.query("w4_member_onset")
     assert got.values.tolist() == [[1.0, 1]]
     assert rows(got) == rows(t.sql("w4_member_onset"))
+
+
+def test_regional_acc_squares_of_what_each_side_has(tables):
+    # two cells of a band, one of them without a forecast: its truth counts in the truth's squares
+    days = [dt.date(1996, 5, 2), dt.date(1997, 5, 3)]
+    truth = [(days[0], 4, 160.0), (days[1], 4, 130.0), (days[0], 10, 190.0), (days[1], 10, 120.0)]
+    t = tables([(dt.date(1996, 5, 1), 1, 4, 170.0), (dt.date(1996, 5, 1), 1, 10, None)], truth)
+    got = t.query("a14_regional_acc")
+    assert rows(got) == rows(t.sql("a14_regional_acc"))
+    assert set(got["acc"]) == {0.3939}  # 15 / sqrt(15² + 35²), not 1
+
+
+def test_regional_acc_halfway_means(tables):
+    # fields of one cell have 1 or -1; over 64 inits the mean may lie halfway between two roundings
+    random = np.random.default_rng(3)
+    forecasts, truth = [], []
+    for year in range(1938, 2002):
+        for lead in range(1, 31):
+            f, o = random.uniform(80, 220, 2).round(3).tolist()
+            forecasts.append((dt.date(year, 1, 1), lead, 0, f))
+            truth.append((dt.date(year, 1, 1) + dt.timedelta(days=lead), 0, o))
+    t = tables(forecasts, truth)
+    got = t.query("a14_regional_acc")
+    whole = (got["acc"] * 32).round()
+    assert (got["n_inits"] == 64).all() and (whole % 2 == 1).any()
+    halfway = Decimal("0.0001")
+    assert got["acc"].tolist() == [float((Decimal(int(x)) / 32).quantize(halfway, ROUND_HALF_UP)) for x in whole]
