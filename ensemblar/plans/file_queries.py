@@ -83,12 +83,14 @@ def streamed_rank_counts(t: Tables) -> DataFrame:
     """Counts from a stream of forecast rows in two runs. Every init is split over both runs' files and held until it is whole. Equal to the batch's."""
     base = shared_path(t.spark, "stream")
     keys = ["model", "init_date", "lead_day", "cell"]
-    fc = t.fc.withColumn("rows", F.count(F.lit(1)).over(Window.partitionBy("model", "init_date")))
+    t.fc.withColumn("rows", F.count(F.lit(1)).over(Window.partitionBy("model", "init_date"))).write.parquet(f"{base}/all")
+    t.obs.write.parquet(f"{base}/truth")
+    fc, truth = t.spark.read.parquet(f"{base}/all"), t.spark.read.parquet(f"{base}/truth")
     for late in (False, True):
         part = fc.where(((F.col("lead_day") + F.col("number")) % 2 == 0) == late)
         part.write.mode("append").parquet(f"{base}/in")
         rows = accumulate.whole_inits(accumulate.forecast_stream(t.spark, f"{base}/in", fc.schema), ["model", "init_date"], ["lead_day", "cell", "number"], "rows")
-        accumulate.run_available(rows, f"{base}/checkpoint", f"{base}/out", lambda df: accumulate.rank_counts(df, t.obs, keys, ["model"]))
+        accumulate.run_available(rows, f"{base}/checkpoint", f"{base}/out", lambda df: accumulate.rank_counts(df, truth, keys, ["model"]))
     return accumulate.summed(t.spark, f"{base}/out", ["model", "n", "rank"])
 
 
