@@ -8,12 +8,12 @@ import numpy as np
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    """In place; what overflows is 0."""
-    np.negative(x, out=x)
-    with np.errstate(over="ignore"):
-        np.exp(x, out=x)
-    x += 1
-    return np.reciprocal(x, out=x)
+    """In place, by the hyperbolic tangent, which doesn't overflow."""
+    x *= 0.5
+    np.tanh(x, out=x)
+    x *= 0.5
+    x += 0.5
+    return x
 
 
 def _softmax(x: np.ndarray, target: np.ndarray, all_of_it: bool = True) -> tuple[np.ndarray, np.ndarray]:
@@ -63,25 +63,33 @@ class Gru:
                 "words": 0.1 * draw(self.n_words, h), "words_bias": np.zeros(self.n_words, np.float32),
             }
 
-    def step(self, ids: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-        """The next state, and what going back needs."""
+    def parts(self) -> tuple[np.ndarray, ...]:
+        """Inputs of the update and reset gates and of the new state, and both gates, each a block of its own: what goes over a part then goes over whole blocks."""
         p, n = self.params, self.hidden
-        x = p["inputs"][ids]
-        gate = h @ p["gates"]
-        gate += x[:, : 2 * n]
-        gate = _sigmoid(gate)
-        past = h @ p["state"]
-        new = gate[:, n:] * past
-        new += x[:, 2 * n :]
+        return tuple(map(np.ascontiguousarray, (p["inputs"][:, :n], p["inputs"][:, n : 2 * n], p["inputs"][:, 2 * n :], p["gates"][:, :n], p["gates"][:, n:])))
+
+    def step(self, ids: np.ndarray, h: np.ndarray, parts: tuple[np.ndarray, ...] | None = None) -> tuple[np.ndarray, ...]:
+        """The next state, and what going back needs; ``parts`` are those of the parameters as they are."""
+        in_update, in_reset, in_new, update, reset = parts or self.parts()
+        u = h @ update
+        u += in_update.take(ids, 0)
+        u = _sigmoid(u)
+        r = h @ reset
+        r += in_reset.take(ids, 0)
+        r = _sigmoid(r)
+        past = h @ self.params["state"]
+        new = r * past
+        new += in_new.take(ids, 0)
         np.tanh(new, out=new)
-        return h + gate[:, :n] * (new - h), gate, past, new
+        out = new - h
+        out *= u
+        out += h
+        return out, u, r, past, new
 
     def log_prob(self, h: np.ndarray, target: np.ndarray, slopes: dict[str, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log-probability of each target (any number from n_words on: some other word) and, with ``slopes``, the slope by h."""
         p = self.params
-        known = target < self.n_words
-        kind = np.full(len(target), self.n_classes)
-        kind[known] = self.kind[target[known]]
+        kind = np.append(self.kind, self.n_classes).take(np.minimum(target, self.n_words))
         # a column a token: what goes over a token's choices then goes over whole rows
         side = np.ascontiguousarray(h.T)
         logits = p["kinds"].T @ side
@@ -94,23 +102,28 @@ class Gru:
             slopes["kinds"] += side @ d.T
             slopes["kinds_bias"] += d.sum(1)
             back = d.T @ p["kinds"].T
+        # a class's tokens side by side
         order = np.argsort(kind.astype(np.int16), kind="stable")
         ends = np.searchsorted(kind[order], np.arange(self.n_classes + 1))
+        states, goals, more = h.take(order[: ends[-1]], 0), target.take(order[: ends[-1]]), np.zeros(ends[-1])
+        returned = None if slopes is None else np.zeros_like(states)
         for k in np.flatnonzero(np.diff(ends)):
             low, high = self.starts[k], self.starts[k + 1]
             if high - low == 1:
                 continue
-            at = order[ends[k] : ends[k + 1]]
-            state, local = h[at], target[at] - low
+            at = slice(ends[k], ends[k + 1])
+            state, local = states[at], goals[at] - low
             logits = p["words"][low:high] @ state.T
             logits += p["words_bias"][low:high, None]
-            logs, d = _softmax(logits, local, slopes is not None)
-            out[at] += logs
+            more[at], d = _softmax(logits, local, slopes is not None)
             if slopes is not None:
-                d[local, np.arange(len(at))] -= 1
+                d[local, np.arange(len(local))] -= 1
                 slopes["words"][low:high] += d @ state
                 slopes["words_bias"][low:high] += d.sum(1)
-                back[at] += d.T @ p["words"][low:high]
+                np.matmul(d.T, p["words"][low:high], out=returned[at])
+        out[order[: ends[-1]]] += more
+        if slopes is not None:
+            back[order[: ends[-1]]] += returned
         return out, back
 
     def train(self, ids: np.ndarray, target: np.ndarray, first: np.ndarray, streams: int = 64, window: int = 16, rate: float = 0.1, passes: int = 1, seen: dict[str, np.ndarray] | None = None) -> float:
@@ -127,48 +140,66 @@ class Gru:
         side = lambda x, fill: np.concatenate([x, np.full(streams * n - len(x), fill, x.dtype)]).reshape(streams, n).T
         there = side(np.ones(len(ids), bool), False)
         ids, target, first = side(ids, 0), side(target, 0), side(first, False)
+        begins = first.any(1).tolist()
         seen = self.no_slopes() if seen is None else seen
         p, m, losses = self.params, self.hidden, []
         for _ in range(passes):
             h = np.zeros((streams, m), np.float32)
             for at in range(0, n, window):
                 steps = range(at, min(at + window, n))
-                held = []
+                held, parts = [], self.parts()
                 for t in steps:
-                    before = h * ~first[t][:, None]
-                    h, gate, past, new = self.step(ids[t], before)
-                    held.append((before, gate, past, new, h))
+                    before = h
+                    if begins[t]:
+                        before = h.copy()
+                        before[first[t]] = 0
+                    h, u, r, past, new = self.step(ids[t], before, parts)
+                    held.append((before, u, r, past, new, h))
                 slopes = {k: np.zeros_like(v) for k, v in p.items() if k != "inputs"}
                 keep = np.flatnonzero(there[at : at + window])
-                states = np.concatenate([x[4] for x in held])
-                logs, got = self.log_prob(states[keep], target[at : at + window].reshape(-1)[keep], slopes)
+                states = np.concatenate([x[5] for x in held])
+                goals, full = target[at : at + window].reshape(-1), len(keep) == len(states)
+                logs, got = self.log_prob(states if full else states[keep], goals if full else goals[keep], slopes)
                 losses.append(-logs.mean())
-                back, d_next = np.zeros_like(states), np.zeros_like(h)
-                back[keep] = got
-                back = back.reshape(len(held), streams, m)
-                rows = np.empty((len(held), streams, 3 * m), np.float32)
-                pasts = np.empty((len(held), streams, m), np.float32)
+                back = got
+                if not full:
+                    back = np.zeros_like(states)
+                    back[keep] = got
+                back, d_next = back.reshape(len(held), streams, m), np.zeros_like(h)
+                d_u, d_r, d_new, d_past = (np.empty(back.shape, back.dtype) for _ in range(4))
+                update, reset, state = parts[3].T, parts[4].T, p["state"].T
                 for k in range(len(held) - 1, -1, -1):
-                    before, gate, past, new, _ = held[k]
+                    before, u, r, past, new, _ = held[k]
                     d = back[k] + d_next
-                    z = gate[:, :m]
-                    d_gate, d_new = rows[k, :, : 2 * m], rows[k, :, 2 * m :]
-                    np.multiply(d, z, out=d_new)
-                    d_new *= 1 - new * new
-                    np.multiply(d, new - before, out=d_gate[:, :m])
-                    np.multiply(d_new, past, out=d_gate[:, m:])
-                    d_gate *= gate * (1 - gate)
-                    np.multiply(d_new, gate[:, m:], out=pasts[k])
-                    d_next = (d * (1 - z) + d_gate @ p["gates"].T + pasts[k] @ p["state"].T) * ~first[at + k][:, None]
-                rows = rows.reshape(-1, 3 * m)
+                    rest = 1 - u
+                    slope = new * new
+                    np.subtract(1, slope, out=slope)
+                    slope *= u
+                    np.multiply(d, slope, out=d_new[k])
+                    np.subtract(new, before, out=slope)
+                    slope *= u
+                    d *= rest
+                    np.multiply(d, slope, out=d_u[k])
+                    np.multiply(d_new[k], r, out=d_past[k])
+                    np.subtract(1, r, out=slope)
+                    slope *= past
+                    np.multiply(d_past[k], slope, out=d_r[k])
+                    d += d_u[k] @ update
+                    d += d_r[k] @ reset
+                    d += d_past[k] @ state
+                    if begins[at + k]:
+                        d[first[at + k]] = 0
+                    d_next = d
+                rows = np.concatenate([d_u, d_r, d_new], 2).reshape(-1, 3 * m)
                 befores = np.concatenate([x[0] for x in held])
                 slopes["gates"] += befores.T @ rows[:, : 2 * m]
-                slopes["state"] += befores.T @ pasts.reshape(-1, m)
+                slopes["state"] += befores.T @ d_past.reshape(-1, m)
                 marks = ids[at : at + window].reshape(-1)
                 # only the inputs that occur have slopes
-                order = np.argsort(marks.astype(np.int32), kind="stable")
-                used, begin = np.unique(marks[order], return_index=True)
-                slopes["inputs"] = np.add.reduceat(rows[order], begin)
+                order = np.argsort(marks.astype(np.int16 if self.start_mark < 1 << 15 else np.int32), kind="stable")
+                begin = np.flatnonzero(np.diff(marks[order], prepend=-1))
+                used = marks[order[begin]]
+                slopes["inputs"] = np.add.reduceat(rows.take(order, 0), begin)
                 for k, d in slopes.items():
                     d /= streams
                     np.clip(d, -5, 5, out=d)
@@ -191,10 +222,10 @@ class Gru:
         start, size = (np.cumsum(lengths) - lengths)[order], lengths[order]
         h, total = np.zeros((len(order), self.hidden), np.float32), np.zeros(len(order))
         going = np.searchsorted(-size, -np.arange(1, (size[0] if len(size) else 0) + 1), side="right")
-        states, places, held = [], [], 0
+        states, places, held, parts = [], [], 0, self.parts()
         for t, n in enumerate(going.tolist()):
             place = start[:n] + t
-            h = self.step(ids[place], h[:n])[0]
+            h = self.step(ids[place], h[:n], parts)[0]
             states.append(h)
             places.append(place)
             held += n

@@ -10,7 +10,6 @@ words share by smoothed counts, so that its probabilities sum to one.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -42,21 +41,25 @@ def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(word binary, c long) over all rows."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[bytes] = Counter()
+        held: list[pa.Table] = []
+        ends = 0
 
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(held.keys()), pa.binary()), pa.array(list(held.values()), pa.int64())], ["word", "c"])
+        def out() -> Iterator[pa.RecordBatch]:
+            own = pa.table({"word": pa.array([END] if ends else [], pa.binary()), "c": pa.array([ends] if ends else [], pa.int64())})
+            table = pa.concat_tables([*held, own])
+            if len(held) > 1:
+                table = table.group_by("word").aggregate([("c", "sum")]).rename_columns({"c_sum": "c"})
+            yield from table.select(["word", "c"]).to_batches()
 
         for batch in batches:
             found, sizes = split_words(batch.column(0))
             counts = found.value_counts()
-            for word, n in zip(counts.field(0).cast(pa.binary()).to_pylist(), counts.field(1).to_pylist(), strict=True):
-                held[word] += n
-            held[END] += len(sizes)
-            if len(held) > HELD:
-                yield out()
-                held.clear()
-        yield out()
+            held.append(pa.table({"word": counts.field(0).cast(pa.binary()), "c": counts.field(1)}))
+            ends += len(sizes)
+            if sum(map(len, held)) > HELD:
+                yield from out()
+                held, ends = [], 0
+        yield from out()
 
     counted = docs.select(text_col).mapInArrow(count, "word binary, c long")
     return counted.groupBy("word").agg(F.sum("c").alias("c"))
@@ -84,6 +87,7 @@ class Vocabulary:
         self.total, self.distinct = total, distinct
         own = np.arange(len(names))
         self.mark = np.where(own < self.n_model, own, self.extra(self.names))
+        self.end_mark = self.mark[0] if self.has_end else self.extra(pa.array([""]))[0]
         self.log_count = np.log10(self.counts + 0.1)
         self.log_all = math.log10(total + 0.1 * (distinct + 1))
         # words outside the model, and the unseen one
@@ -95,11 +99,20 @@ class Vocabulary:
             return np.zeros(0, np.int64)
         words = words.cast(pa.large_string())
         ends = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
-        data = np.concatenate([[0], np.frombuffer(words.buffers()[2] or b"", np.uint8), [0]]).astype(np.int64)
+        edge = np.zeros(1, np.uint8)
+        data = np.concatenate([edge, np.frombuffer(words.buffers()[2] or b"", np.uint8), edge])
         last, size = ends[1:], np.diff(ends)
-        ending = np.where(size > 0, data[last], 0) * 256 + np.where(size > 1, data[np.maximum(last - 1, 0)], 0)
+        ending = np.where(size > 0, data[last], 0).astype(np.int64) * 256 + np.where(size > 1, data[np.maximum(last - 1, 0)], 0)
         return self.n_model + ending * 40503 % 65536 * self.n_extra // 65536
 
+    def marks(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The mark of each token, as ``tokens`` gives it, and the number of each text's; only the model's words are looked up."""
+        words, sizes = split_words(texts)
+        mark = pc.fill_null(pc.index_in(words, self.names.slice(0, self.n_model)), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        other = mark < 0
+        mark[other] = self.extra(words.filter(pa.array(other)))
+        return np.insert(mark, np.cumsum(sizes), self.end_mark), sizes + 1
+
     def tokens(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array, np.ndarray]:
         """Of all texts, each with its end: the place of each token or -1, its mark, the number of each text's; the words without a place and their numbers."""
         words, sizes = split_words(texts)
@@ -109,10 +122,9 @@ class Vocabulary:
         mark = np.where(place < 0, self.extra(coded.dictionary), self.mark[place] if len(self.mark) else 0)
         ends = np.cumsum(sizes)
         places = np.insert(place[turn], ends, 0 if self.has_end else -1)
-        end_mark = self.mark[0] if self.has_end else self.extra(pa.array([""]))[0]
         strange = place[turn] < 0
         before = np.concatenate([[0], np.cumsum(strange)])
-        return places, np.insert(mark[turn], ends, end_mark), sizes + 1, words.filter(pa.array(strange)), before[ends] - before[ends - sizes]
+        return places, np.insert(mark[turn], ends, self.end_mark), sizes + 1, words.filter(pa.array(strange)), before[ends] - before[ends - sizes]
 
 
 def _inputs(marks: np.ndarray, sizes: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
@@ -169,7 +181,7 @@ def train(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", id_co
             for batch in batches:
                 if most_tokens is not None and n + done >= most_tokens:
                     continue
-                _, marks, sizes, _, _ = known.tokens(batch.column(0))
+                marks, sizes = known.marks(batch.column(0))
                 inputs, starting = _inputs(marks, sizes, own.start_mark)
                 ids.append(inputs)
                 target.append(marks)
